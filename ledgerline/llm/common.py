@@ -70,9 +70,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == digest or now[0] == 0:
             break
         digest = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Large star: each edge (u, v) is v's to give, and v gives u its own smallest neighbour, or itself.
+        down = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        large = edges.join(down, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = settle(
             large.join(small, "u")

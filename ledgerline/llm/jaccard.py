@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Segment digests that a map task holds before it sends them on, and that a bucket of the exchange takes.
-HELD, BUCKET = 1_500_000, 1_000_000
+HELD, BUCKET, LEAST_BUCKETS = 1_500_000, 1_000_000, 256
 #: Shingles in a block of a large family, and in a bucket of families.
 BLOCK, GROUPED = 2_000_000, 2_000_000
 #: Merged by a heap up to this many list entries, by one sort beyond.
@@ -153,8 +153,31 @@ def stars(digests: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return digests[first], docs[first], pairs[:, 0], pairs[:, 1]
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what (a, b) join, one for each document but the smallest of its group: (smallest, document)."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    roots = np.array([root(i) for i in range(len(ids))], np.int64)
+    other = roots != np.arange(len(ids))
+    return ids[roots[other]], ids[other]
+
+
 def family_links(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Links (a, b) of documents that share a segment, a star for each segment digest and task."""
+    """Links (a, b) that join the documents that share a segment.
+
+    A map task joins its own documents first and sends the digests of a group under the group's smallest document, so
+    a hot group counts once for each task; an exchange bucket then joins what the tasks sent.
+    """
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rule, held, size = Segments(num, den), [], 0
@@ -162,6 +185,10 @@ def family_links(docs: DataFrame, width: int, num: int, den: int, buckets: int)
         def flush() -> pd.DataFrame:
             ids = np.repeat(np.array([d for d, _ in held], np.int64), [len(x) for _, x in held])
             digests, firsts, a, b = stars(np.concatenate([x for _, x in held]), ids)
+            a, b = forest(a, b)
+            if len(a):  # b is sorted
+                at = np.minimum(np.searchsorted(b, firsts), len(b) - 1)
+                firsts = np.where(b[at] == firsts, a[at], firsts)
             to = (digests % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -187,7 +214,8 @@ def family_links(docs: DataFrame, width: int, num: int, den: int, buckets: int)
         if b.open.any():
             digests, firsts = (b"".join(b[c][b.open]) for c in "xy")
             links.append(stars(np.frombuffer(digests, np.uint64), np.frombuffer(firsts, np.int64))[2:])
-        return pd.DataFrame({"a": np.concatenate([x for x, _ in links]), "b": np.concatenate([y for _, y in links])})
+        a, b = forest(np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
+        return pd.DataFrame({"a": a, "b": b})
 
     sent = docs.select("doc_id", "text").mapInPandas(send, "bucket int, open boolean, x binary, y binary")
     return sent.groupBy("bucket").applyInPandas(meet, "a long, b long")
@@ -286,10 +314,9 @@ def links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -
 
 def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): the smallest doc_id reachable by links."""
-    spark = docs.sparkSession
     rows = common.settle(signed(docs, width, num, den))
     total = rows.agg(F.sum("n_digests")).first()[0] or 0
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET))
     families = common.components(family_links(docs, width, num, den, buckets))
     some = rows.where("n_shingles > 0")
     key = ["s1", "s2", "n_shingles"]
