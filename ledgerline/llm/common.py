@@ -27,6 +27,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand whole texts to Python workers in batches of few rows, so that long ones fit a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     shared_dir(df.sparkSession)

@@ -268,6 +268,7 @@ def templates(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages with text and n_chars (code points)."""
     columns = [c for c in pages.columns if c not in ("text", "n_chars")]
+    common.small_batches(pages.sparkSession)
     hosted = pages.withColumn("_host", host_of(url))
     known = templates(hosted.select(F.col("_host").alias("host"), F.col(html).alias("html"))).withColumnRenamed("host", "_host")
     joined = common.join_measured(hosted, known, ["_host"], "left", BROADCAST_ROWS // 10)

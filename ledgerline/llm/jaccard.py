@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Segment digests that a map task holds before it sends them on, and that a bucket of the exchange takes.
-HELD, BUCKET, LEAST_BUCKETS = 1_500_000, 1_000_000, 256
+HELD, BUCKET, LEAST_BUCKETS = 600_000, 1_000_000, 256
 #: Shingles in a block of a large family, and in a bucket of families.
 BLOCK, GROUPED = 2_000_000, 2_000_000
 #: Merged by a heap up to this many list entries, by one sort beyond.
 HEAP = 2_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -314,6 +314,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -
 
 def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): the smallest doc_id reachable by links."""
+    common.small_batches(docs.sparkSession)
     rows = common.settle(signed(docs, width, num, den))
     total = rows.agg(F.sum("n_digests")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET))

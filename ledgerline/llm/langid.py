@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: N-grams in a profile, and in a document's list.
 PROFILE, LISTED = 600, 400
 UNKNOWN = "und"
@@ -86,6 +88,7 @@ def profiles(train: DataFrame, most: int = PROFILE) -> dict[str, np.ndarray]:
         if held:
             yield summed()
 
+    common.small_batches(train.sparkSession)
     grams = train.where("text is not null and lang is not null").select("lang", "text").mapInPandas(count, "lang string, code long, n long")
     sums = grams.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # Best of 64 hashed parts of a language first, so no language's n-grams meet in one task.

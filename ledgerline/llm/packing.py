@@ -134,5 +134,6 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text)."""
+    common.small_batches(docs.sparkSession)
     pieces = common.settle(token_pieces(docs, path or tokens.tokenizer_path(), capacity, end_id))
     return place(pieces, capacity, ["doc_id", "piece", "ids_crc32"])

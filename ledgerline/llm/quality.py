@@ -107,6 +107,7 @@ def beta_prior(n: float, hosts: int, n2: float, k: float, q: float) -> tuple[flo
 
 def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """doc_id, host, the metrics, base_failed, host_rejected, kept of every row of docs (doc_id, text, host)."""
+    common.small_batches(docs.sparkSession)
     rows = common.settle(measured(docs, host))
     bad = F.lit(False)
     for r in RULES:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words held per worker; when the store is full it starts anew, so a worker's memory is bounded.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: Words encoded in one string, and documents in one go.
 JOINED, BATCH = 64, 64
 
@@ -149,6 +149,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 0, partitio
 
     An empty table gives a folder with a schema and no rows.
     """
+    common.small_batches(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     (
