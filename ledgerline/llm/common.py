@@ -35,9 +35,19 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as Parquet under the shared checkpoint folder and go on from there; lost executors lose nothing of it."""
+    path = staging_path(df.sparkSession, "settled")
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled frame that nothing will read again."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df._settled_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def join_measured(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, most_rows: int = 200_000) -> DataFrame:
@@ -81,13 +91,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
         large = edges.join(down, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = settle(
+        before, edges = edges, settle(
             large.join(small, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
