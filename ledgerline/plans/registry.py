@@ -1,17 +1,511 @@
-"""Registered queries over the driver tables, each with its DuckDB twin where SQL can say the same."""
+"""Registered queries over the driver tables, each with its DuckDB twin where SQL can say the same.
+
+lineitem and orders span more than 1100 days, so their grain is the quarter. A trailing period is partial below 80 %
+of its length and left out of period analyses on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators import analytics, kpi, periods, stats, verbs
+from . import catalog, sqlbox
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle.strip()
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+RETAIL_MAP = {"order_date": "l_shipdate", "revenue": "l_extendedprice", "quantity": "l_quantity", "discount": "l_discount", "order_id": "l_orderkey", "product": "l_partkey"}
+
+
+def _window(table: str, when: str) -> str:
+    """CTEs q (rows with their quarter p) and w (current, previous)."""
+    return f"""q AS (SELECT *, CAST(date_trunc('quarter', {when}) AS DATE) AS p FROM {table} WHERE {when} IS NOT NULL),
+s AS (SELECT max(p) AS lastp, max({when}) AS hi FROM q),
+k AS (SELECT CASE WHEN (date_diff('day', lastp, CAST(hi AS DATE)) + 1) / 91.0 < 0.8 THEN lastp ELSE NULL END AS gone FROM s),
+c AS (SELECT max(p) AS cur FROM q, k WHERE k.gone IS NULL OR q.p <> k.gone),
+w AS (SELECT c.cur, (SELECT max(p) FROM q WHERE p < c.cur) AS prev FROM c)"""
+
+
+def _money(x: str, when: str = "") -> str:
+    f = f" FILTER (WHERE {when})" if when else ""
+    return f"CAST(sum(CAST({x} AS DECIMAL(18,2))){f} AS DOUBLE)"
+
+
+def _slices(name: str, f: Callable[[str], str]) -> str:
+    return ", ".join(f"{f(by)} AS {name}_{s}" for s, by in (("a", "true"), ("c", "p = cur"), ("b", "p = prev")))
+
+
+@query(
+    f"""WITH {_window('lineitem', 'l_shipdate')},
+g AS (SELECT {_slices('rev', lambda b: _money('l_extendedprice', b))}, {_slices('ord', lambda b: f'CAST(count(DISTINCT l_orderkey) FILTER (WHERE {b}) AS DOUBLE)')},
+ {_slices('units', lambda b: _money('l_quantity', b))}, {_slices('disc', lambda b: _money('l_discount', b))} FROM q, w),
+t AS (SELECT {_money('l_extendedprice')} AS s FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY l_partkey),
+r AS (
+SELECT 'total_revenue' AS key, rev_a AS value, rev_b AS previous, 100.0 * (rev_c - rev_b) / abs(rev_b) AS delta_pct FROM g
+UNION ALL SELECT 'order_count', ord_a, ord_b, 100.0 * (ord_c - ord_b) / abs(ord_b) FROM g
+UNION ALL SELECT 'aov', rev_a / ord_a, rev_b / ord_b, 100.0 * (rev_c / ord_c - rev_b / ord_b) / abs(rev_b / ord_b) FROM g
+UNION ALL SELECT 'units_sold', units_a, units_b, 100.0 * (units_c - units_b) / abs(units_b) FROM g
+UNION ALL SELECT 'discount_total', disc_a, disc_b, 100.0 * (disc_c - disc_b) / abs(disc_b) FROM g
+UNION ALL SELECT 'revenue_growth', 100.0 * (rev_c - rev_b) / abs(rev_b), NULL, NULL FROM g
+UNION ALL SELECT 'top_product_share', 100.0 * (SELECT sum(s) FROM (SELECT s FROM t ORDER BY s DESC LIMIT 10)) / (SELECT sum(s) FROM t), NULL, NULL)
+SELECT key, round(value, 4) AS value, round(previous, 4) AS previous, round(delta_pct, 4) AS delta_pct FROM r"""
+)
+def kpi_pack_retail(spark, d):
+    out = kpi.pack(read(spark, d, "lineitem"), catalog.RETAIL, RETAIL_MAP, "l_shipdate")
+    return out.select("key", *(F.round(c, 4).alias(c) for c in ("value", "previous", "delta_pct")))
+
+
+@query(
+    f"""WITH a AS (SELECT {_money('c_acctbal')} AS n, {_money('c_acctbal', 'c_acctbal > 0')} AS i, {_money('c_acctbal', 'c_acctbal < 0')} AS o, count(*) AS c FROM customer),
+t AS (SELECT CAST(sum(CAST(abs(c_acctbal) AS DECIMAL(18,2))) AS DOUBLE) AS s FROM customer WHERE c_nationkey IS NOT NULL GROUP BY c_nationkey)
+SELECT 'net_total' AS key, round(n, 4) AS value FROM a UNION ALL SELECT 'inflows', round(i, 4) FROM a UNION ALL SELECT 'outflows', round(o, 4) FROM a
+UNION ALL SELECT 'txn_count', CAST(c AS DOUBLE) FROM a UNION ALL SELECT 'avg_txn', round(n / c, 4) FROM a
+UNION ALL SELECT 'top_head_share', round(100.0 * (SELECT sum(s) FROM (SELECT s FROM t ORDER BY s DESC LIMIT 5)) / (SELECT sum(s) FROM t), 4)"""
+)
+def kpi_pack_finance(spark, d):
+    return kpi.pack(read(spark, d, "customer"), catalog.FINANCE, {"amount": "c_acctbal", "account": "c_nationkey"}, None).select("key", F.round("value", 4).alias("value"))
+
+
+@query(
+    f"""WITH j AS (SELECT o_orderdate, l_shipdate, l_returnflag, l_extendedprice, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT CAST(count(*) AS DOUBLE) AS n, {_money('l_extendedprice')} AS m, {_money('l_quantity')} AS q, {_money('l_extendedprice', 'l_quantity > 30')} AS h,
+ CAST(count(*) FILTER (WHERE lower(trim(l_returnflag)) IN ('r', 'delivered')) AS DOUBLE) AS r, CAST(count(l_shipdate) AS DOUBLE) AS dated,
+ CAST(sum(date_diff('day', o_orderdate, l_shipdate)) FILTER (WHERE l_shipdate >= o_orderdate) AS DOUBLE) / count(*) FILTER (WHERE l_shipdate >= o_orderdate) AS t FROM j)
+SELECT 'shipments' AS key, n AS value FROM a UNION ALL SELECT 'delivered_rate', round(100.0 * r / n, 4) FROM a UNION ALL SELECT 'avg_transit', round(t, 4) FROM a
+UNION ALL SELECT 'total_freight', round(m, 4) FROM a UNION ALL SELECT 'cost_per_shipment', round(m / n, 4) FROM a UNION ALL SELECT 'heavy_share', round(100.0 * h / m, 4) FROM a
+UNION ALL SELECT 'cost_per_weight', round(m / q, 4) FROM a UNION ALL SELECT 'dated_share', round(100.0 * dated / n, 4) FROM a"""
+)
+def kpi_rates_and_durations(spark, d):
+    rows = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    fields = {"ship_date": "o_orderdate", "delivery_date": "l_shipdate", "status": "l_returnflag", "cost": "l_extendedprice", "weight": "l_quantity"}
+    return kpi.pack(rows, catalog.LOGISTICS, fields, None).select("key", F.round("value", 4).alias("value"))
+
+
+@query(
+    f"""WITH m AS (SELECT avg(o_totalprice) AS a, stddev_samp(o_totalprice) AS s FROM orders)
+SELECT {_money('o_totalprice')} AS total, round({_money('o_totalprice')} / count(o_totalprice), 4) AS mean, quantile_cont(o_totalprice, 0.5) AS median, round(stddev_samp(o_totalprice), 2) AS std,
+ min(o_totalprice) AS min, max(o_totalprice) AS max, count(o_totalprice) AS count, round(100.0 * count(*) FILTER (WHERE o_totalprice IS NULL) / count(*), 2) AS null_rate,
+ round(stddev_samp(o_totalprice) / avg(o_totalprice) * 100, 2) AS cv, quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.75) AS p75, round(skewness(o_totalprice), 4) AS skew,
+ quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr, count(*) FILTER (WHERE abs((o_totalprice - m.a) / m.s) > 3) AS outliers FROM orders, m"""
+)
+def kpi_universal(spark, d):
+    out = kpi.universal(read(spark, d, "orders"), "o_totalprice")
+    return out.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 2), "null_rate": F.col("null_rate").cast("double")})
+
+
+@query(
+    """WITH r AS (SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS x, row_number() OVER (ORDER BY o_totalprice DESC) AS k, count(*) OVER () AS n FROM orders WHERE o_totalprice IS NOT NULL)
+SELECT round(100.0 * CAST(sum(x) FILTER (WHERE k <= greatest(1, floor(0.2 * n))) AS DOUBLE) / CAST(sum(x) AS DOUBLE), 1) AS pareto FROM r"""
+)
+def kpi_pareto(spark, d):
+    return kpi.pareto(read(spark, d, "orders"), "o_totalprice")
+
+
+@query(
+    """WITH r AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS k FROM orders WHERE o_totalprice IS NOT NULL)
+SELECT round(2 * sum(k * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*), 4) AS gini FROM r"""
+)
+def kpi_gini(spark, d):
+    return kpi.gini(read(spark, d, "orders"), "o_totalprice")
+
+
+@query(
+    f"""WITH s AS (SELECT {_money('c_acctbal')} AS net_total, {_money('c_acctbal', 'c_acctbal > 0')} AS inflows, {_money('c_acctbal', 'c_acctbal < 0')} AS outflows FROM customer)
+SELECT *, round(inflows / abs(outflows), 4) AS in_out_ratio FROM s"""
+)
+def kpi_in_out(spark, d):
+    return kpi.flows(read(spark, d, "customer"), "c_acctbal")
+
+
+_SERIES = f"""{_window('orders', 'o_orderdate')},
+ser AS (SELECT p AS period, {_money('o_totalprice')} AS value, count(*) AS n FROM q, k WHERE k.gone IS NULL OR p <> k.gone GROUP BY p)"""
+
+
+def _series(spark, d, g=None):
+    orders = read(spark, d, "orders")
+    w = periods.bounds(orders, "o_orderdate", g)
+    return periods.series(orders, "o_orderdate", periods.money("o_totalprice"), w.grain, w)
+
+
+@query(f"WITH {_SERIES} SELECT period, value, n FROM ser")
+def period_series(spark, d):
+    return _series(spark, d)
+
+
+@query(
+    f"""WITH {_SERIES}, i AS (SELECT CAST(row_number() OVER (ORDER BY period) - 1 AS DOUBLE) AS i, value FROM ser),
+f AS (SELECT count(*) AS n, regr_slope(value, i) AS b, regr_intercept(value, i) AS a, regr_r2(value, i) AS r FROM i)
+SELECT n, round(b, 4) AS slope, round(a, 2) AS intercept, round(r, 6) AS r2, round(sign(b) * sqrt(r * (n - 2) / (1 - r)), 4) AS t FROM f"""
+)
+def trend_stats(spark, d):
+    t = analytics.trend(_series(spark, d))
+    return t.select("n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("t", 4).alias("t"))
+
+
+@query(
+    f"""WITH {_SERIES}, m AS (SELECT period, value, CASE WHEN count(value) OVER v >= 3 THEN median(value) OVER v END AS med FROM ser WINDOW v AS (ORDER BY period ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+z AS (SELECT period, value, (value - med) / stddev_samp(value - med) OVER () AS z FROM m)
+SELECT period, value, round(z, 4) AS z, coalesce(abs(z) >= 2.5, false) AS anomaly FROM z"""
+)
+def anomaly_rolling_median(spark, d):
+    return analytics.rolling_anomalies(_series(spark, d)).withColumn("z", F.round("z", 4))
+
+
+@query(
+    f"""WITH {_SERIES}, x AS (SELECT period, value, lag(value) OVER (ORDER BY period) AS l, avg(value) OVER (ORDER BY period ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS m,
+ avg(value) OVER t AS tm, count(value) OVER t AS tn FROM ser WINDOW t AS (ORDER BY period ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+SELECT period, value, round(100.0 * (value - l) / abs(l), 4) AS change_pct, round(100.0 * (value - m) / abs(m), 4) AS momentum_pct, CASE WHEN tn >= 2 THEN round(tm, 2) END AS trailing_mean FROM x"""
+)
+def period_change(spark, d):
+    return analytics.changes(_series(spark, d)).select("period", "value", F.round("change_pct", 4).alias("change_pct"), F.round("momentum_pct", 4).alias("momentum_pct"), F.round("trailing_mean", 2).alias("trailing_mean"))
+
+
+@query(
+    f"""WITH {_window('orders', 'o_orderdate')},
+g AS (SELECT coalesce(o_orderpriority, '(null)') AS segment, coalesce({_money('o_totalprice', 'p = cur')}, 0.0) AS a, coalesce({_money('o_totalprice', 'p = prev')}, 0.0) AS b FROM q, w WHERE p IN (cur, prev) GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY abs(a - b) DESC, segment) AS r FROM g)
+SELECT CASE WHEN r <= 3 THEN segment ELSE 'Others' END AS segment, round(sum(a), 2) AS current, round(sum(b), 2) AS previous, round(round(sum(a), 2) - round(sum(b), 2), 2) AS delta FROM r GROUP BY 1"""
+)
+def bridge_segments(spark, d):
+    o = read(spark, d, "orders")
+    return analytics.bridge(o, "o_orderdate", "o_totalprice", "o_orderpriority", periods.bounds(o, "o_orderdate"), 3)
+
+
+@query(
+    f"""WITH {_window('lineitem', 'l_shipdate')},
+g AS (SELECT {_money('l_extendedprice', 'p = cur')} AS m1, {_money('l_extendedprice', 'p = prev')} AS m0, CAST(count(DISTINCT l_orderkey) FILTER (WHERE p = cur) AS DOUBLE) AS v1, CAST(count(DISTINCT l_orderkey) FILTER (WHERE p = prev) AS DOUBLE) AS v0 FROM q, w)
+SELECT m1, m0, v1, v0, round(m1 / v1, 4) AS r1, round(m0 / v0, 4) AS r0, round((v1 - v0) * (m0 / v0), 2) AS volume_effect, round((m1 / v1 - m0 / v0) * v1, 2) AS rate_effect FROM g"""
+)
+def volume_rate(spark, d):
+    li = read(spark, d, "lineitem")
+    out = analytics.volume_rate(li, "l_shipdate", "l_extendedprice", "l_orderkey", periods.bounds(li, "l_shipdate"))
+    return out.withColumns({"r1": F.round("r1", 4), "r0": F.round("r0", 4), "volume_effect": F.round("volume_effect", 2), "rate_effect": F.round("rate_effect", 2)})
+
+
+@query(
+    f"""WITH {_window('orders', 'o_orderdate')},
+g AS (SELECT {_money('o_totalprice', 'p = cur')} AS m1, {_money('o_totalprice', 'p = prev')} AS m0, CAST(count(*) FILTER (WHERE p = cur) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE p = prev) AS DOUBLE) AS n0 FROM q, w GROUP BY o_orderpriority),
+t AS (SELECT sum(m1) AS m1, sum(m0) AS m0, sum(n1) AS n1, sum(n0) AS n0, sum(m1 / n1 * n0) AS f FROM g WHERE n1 > 0 AND n0 > 0)
+SELECT round(100 * (m1 / n1 / (m0 / n0) - 1), 6) AS blended_pct, round(100 * (f / m0 - 1), 6) AS fixed_mix_pct FROM t"""
+)
+def mix_shift(spark, d):
+    o = read(spark, d, "orders")
+    return analytics.mix_shift(o, "o_orderdate", "o_totalprice", "o_orderpriority", periods.bounds(o, "o_orderdate"))
+
+
+@query(
+    f"""WITH {_window('orders', 'o_orderdate')},
+u AS (SELECT p, o_totalprice AS v, 'o_orderpriority' AS dim, coalesce(o_orderpriority, '(null)') AS segment FROM q UNION ALL SELECT p, o_totalprice, 'o_orderstatus', coalesce(o_orderstatus, '(null)') FROM q),
+g AS (SELECT dim, segment, {_money('v')} AS total, {_money('v', 'p = cur')} AS m1, {_money('v', 'p = prev')} AS m0, count(*) FILTER (WHERE p = cur) AS n1, count(*) FILTER (WHERE p = prev) AS n0 FROM u, w GROUP BY 1, 2)
+SELECT dim, segment, total, round(100.0 * total / sum(total) OVER (PARTITION BY dim), 6) AS share_pct, CASE WHEN n1 >= 8 AND n0 >= 8 THEN round(100.0 * (m1 - m0) / abs(m0), 6) END AS move_pct FROM g"""
+)
+def segment_moves(spark, d):
+    o = read(spark, d, "orders")
+    return analytics.segments(o, "o_orderdate", "o_totalprice", ["o_orderpriority", "o_orderstatus"], periods.bounds(o, "o_orderdate"))
+
+
+@query(
+    f"""WITH s AS (SELECT c_nationkey, {_money('c_acctbal')} AS total FROM customer GROUP BY 1)
+SELECT CAST(c_nationkey AS VARCHAR) AS segment, total, round(100.0 * sum(total) OVER (ORDER BY total DESC, c_nationkey ROWS UNBOUNDED PRECEDING) / sum(total) OVER (), 6) AS cum_share_pct FROM s"""
+)
+def pareto_curve(spark, d):
+    return analytics.pareto_curve(read(spark, d, "customer"), "c_nationkey", "c_acctbal")
+
+
+@query(
+    f"""WITH s AS (SELECT coalesce(CAST(c_nationkey AS VARCHAR), '(null)') AS segment, {_money('c_acctbal')} AS total FROM customer GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY total DESC, segment) AS r FROM s)
+SELECT CASE WHEN r <= 8 THEN segment ELSE 'Others' END AS segment, round(sum(total), 2) AS total FROM r GROUP BY 1"""
+)
+def others_bucket(spark, d):
+    return verbs.others(read(spark, d, "customer"), "c_nationkey", "c_acctbal", 8)
+
+
+@query(
+    f"""WITH q AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS p FROM orders), l AS (SELECT DISTINCT p FROM q ORDER BY p DESC LIMIT 2),
+g AS (SELECT p, date_diff('day', p, CAST(o_orderdate AS DATE)) + 1 AS day, {_money('o_totalprice')} AS v FROM q WHERE p IN (SELECT p FROM l) GROUP BY 1, 2)
+SELECT p AS period, CAST(day AS BIGINT) AS day, round(sum(v) OVER (PARTITION BY p ORDER BY day), 2) AS running FROM g"""
+)
+def pace_cumulative(spark, d):
+    return analytics.pace(read(spark, d, "orders"), "o_orderdate", "o_totalprice")
+
+
+def _yoy(year: str) -> str:
+    return f"""WITH g AS (SELECT CAST({year} AS BIGINT) AS year, CAST(month(o_orderdate) AS BIGINT) AS month, {_money('o_totalprice')} AS total FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT *, lag(total) OVER m AS b, year - lag(year) OVER m AS gap FROM g WINDOW m AS (PARTITION BY month ORDER BY year))
+SELECT year, month, total, CASE WHEN gap = 1 THEN round(100.0 * (total - b) / abs(b), 6) END AS change_pct FROM l"""
+
+
+@query(_yoy("year(o_orderdate)"))
+def yoy_calendar(spark, d):
+    return analytics.year_over_year(read(spark, d, "orders"), "o_orderdate", "o_totalprice")
+
+
+@query(_yoy("year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END"))
+def yoy_fiscal(spark, d):
+    return analytics.year_over_year(read(spark, d, "orders"), "o_orderdate", "o_totalprice", 4)
+
+
+@query(
+    f"""WITH g AS (SELECT CAST(isodow(o_orderdate) - 1 AS BIGINT) AS weekday, {_money('o_totalprice')} AS total, count(*) AS n FROM orders GROUP BY 1)
+SELECT *, round(100.0 * total / sum(total) OVER (), 6) AS share_pct FROM g"""
+)
+def seasonality_weekday(spark, d):
+    return analytics.seasonality(read(spark, d, "orders"), "o_orderdate", "o_totalprice")
+
+
+@query("SELECT CAST(isodow(ts) - 1 AS BIGINT) AS weekday, CAST(hour(ts) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def heat_dow_hour(spark, d):
+    return read(spark, d, "events").groupBy(F.weekday("ts").cast("long").alias("weekday"), F.hour("ts").cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT o_custkey AS e, CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders), f AS (SELECT *, min(m) OVER (PARTITION BY e) AS cohort FROM e),
+g AS (SELECT cohort, CAST(date_diff('month', cohort, m) AS BIGINT) AS "offset", count(*) AS entities FROM f WHERE date_diff('month', cohort, m) <= 6 GROUP BY 1, 2)
+SELECT *, round(100.0 * entities / max(CASE WHEN "offset" = 0 THEN entities END) OVER (PARTITION BY cohort), 6) AS retention_pct FROM g"""
+)
+def cohort_retention(spark, d):
+    return analytics.cohorts(read(spark, d, "orders"), "o_orderdate", "o_custkey")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT o_custkey AS e, CAST(o_orderdate AS DATE) AS d FROM orders), g AS (SELECT e, date_diff('day', lag(d) OVER (PARTITION BY e ORDER BY d), d) AS gap FROM e),
+o AS (SELECT e, count(gap) AS again FROM g GROUP BY 1)
+SELECT count(*) AS entities, count(*) FILTER (WHERE again > 0) AS repeaters, round(100.0 * count(*) FILTER (WHERE again > 0) / count(*), 6) AS repeat_pct, (SELECT CAST(median(gap) AS DOUBLE) FROM g) AS median_gap FROM o"""
+)
+def cohort_repeat_gap(spark, d):
+    return analytics.repeat_gap(read(spark, d, "orders"), "o_orderdate", "o_custkey")
+
+
+@query(
+    f"""WITH {_SERIES.replace("AS value, count(*) AS n", "AS target, CAST(count(*) AS DOUBLE) AS driver")},
+l AS (SELECT target, lag(driver, 1) OVER o AS d1, lag(driver, 2) OVER o AS d2, lag(driver, 3) OVER o AS d3, lag(driver, 4) OVER o AS d4 FROM ser WINDOW o AS (ORDER BY period))
+SELECT CAST(1 AS BIGINT) AS lag, count(d1) AS n, round(corr(d1, target), 6) AS r FROM l UNION ALL SELECT 2, count(d2), round(corr(d2, target), 6) FROM l
+UNION ALL SELECT 3, count(d3), round(corr(d3, target), 6) FROM l UNION ALL SELECT 4, count(d4), round(corr(d4, target), 6) FROM l"""
+)
+def driver_lag(spark, d):
+    return analytics.driver_lags(_series(spark, d).select("period", F.col("value").alias("target"), F.col("n").cast("double").alias("driver")))
+
+
+_PAIR = "SELECT '{0}' AS a, '{1}' AS b, round(corr(CAST({0} AS DOUBLE), CAST({1} AS DOUBLE)), 6) AS r FROM lineitem"
+
+
+@query(" UNION ALL ".join(_PAIR.format(a, b) for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))))
+def corr_pearson(spark, d):
+    return stats.pearson(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+@query(
+    """WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS b FROM lineitem)
+SELECT round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) AS rho FROM r"""
+)
+def corr_spearman(spark, d):
+    return stats.spearman(read(spark, d, "lineitem"), "l_quantity", "l_discount")
+
+
+@query(f"SELECT count(l_extendedprice) AS n, quantile_cont(l_extendedprice, 0.5) AS median, round({_money('l_extendedprice')} / count(l_extendedprice), 4) AS mean, quantile_cont(l_extendedprice, 0.9) AS p90, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem")
+def distribution_stats(spark, d):
+    return analytics.distribution(read(spark, d, "lineitem"), "l_extendedprice").withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4), "p90": F.round("p90", 4)})
+
+
+_ORACLES["distribution_stats"] = _ORACLES["distribution_stats"].replace("quantile_cont(l_extendedprice, 0.5)", "round(quantile_cont(l_extendedprice, 0.5), 4)").replace("quantile_cont(l_extendedprice, 0.9)", "round(quantile_cont(l_extendedprice, 0.9), 4)")
+
+
+@query("WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, least(40, greatest(10, count(o_totalprice) // 15)) AS k FROM orders) SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / k)), k - 1) AS BIGINT) AS bin, count(*) AS n FROM orders, r GROUP BY 1")
+def histogram_bins(spark, d):
+    return verbs.histogram(read(spark, d, "orders"), "o_totalprice")
+
+
+@query("WITH r AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_discount) AS y0, max(l_discount) AS y1 FROM lineitem) SELECT CAST(least(floor((l_quantity - x0) / ((x1 - x0) / 10)), 9) AS BIGINT) AS bx, CAST(least(floor((l_discount - y0) / ((y1 - y0) / 10)), 9) AS BIGINT) AS by, count(*) AS n FROM lineitem, r GROUP BY 1, 2")
+def density_2d(spark, d):
+    return verbs.density(read(spark, d, "lineitem"), "l_quantity", "l_discount")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND NOT coalesce(contains(lower(o_orderpriority), 'urgent'), false) AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
+def filter_ops(spark, d):
+    o = verbs.where(verbs.where(read(spark, d, "orders"), "o_totalprice", ">=", "100000"), "o_orderpriority", "not contains", "URGENT")
+    return verbs.between_dates(o, "o_orderdate", "1996-01-01", "1996-12-31").select("o_orderkey", "o_totalprice")
+
+
+@query("WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS x FROM customer) SELECT c_custkey, coalesce(x, (SELECT median(x) FROM n)) AS x FROM n")
+def fill_missing(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("x"))
+    return verbs.fill_missing(c, "x", "median")
+
+
+@query("WITH g AS (SELECT lang, source, text, count(*) AS n FROM documents GROUP BY 1, 2, 3) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(n) - count(*) AS BIGINT) AS n_duplicates FROM g")
+def dedupe(spark, d):
+    return verbs.duplicates(read(spark, d, "documents").select("lang", "source", "text"))
+
+
+@query(
+    f"""SELECT l_returnflag, l_linestatus, {_money('l_extendedprice')} AS sum, round({_money('l_extendedprice')} / count(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, max(l_extendedprice) AS max, min(l_extendedprice) AS min,
+ count(l_extendedprice) AS count, round(stddev_samp(l_extendedprice), 2) AS std, count(DISTINCT l_extendedprice) AS nunique, arg_min(l_extendedprice, l_orderkey * 10 + l_linenumber) AS first, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS last
+FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2"""
+)
+def groupby_11(spark, d):
+    out = verbs.group(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", ["sum", "mean", "median", "max", "min", "count", "std", "nunique", "first", "last"], F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return out.withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4), "std": F.round("std", 2)})
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3")
+def value_counts(spark, d):
+    return verbs.value_counts(read(spark, d, "events"), "event_type", 3)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def crosstab(spark, d):
+    return verbs.crosstab(read(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query(
+    f"""WITH g AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, {_money('o_totalprice')} AS s, count(o_totalprice) AS c, max(o_totalprice) AS mx, min(o_totalprice) AS mn FROM orders WHERE o_custkey % 97 = 0 GROUP BY 1),
+sp AS (SELECT CAST(unnest(generate_series((SELECT min(bucket) FROM g), (SELECT max(bucket) FROM g), INTERVAL 1 MONTH)) AS DATE) AS bucket)
+SELECT sp.bucket, coalesce(s, 0.0) AS sum, coalesce(c, 0) AS count, round(s / c, 4) AS mean, mx AS max, mn AS min FROM sp LEFT JOIN g ON sp.bucket = g.bucket"""
+)
+def resample_dense(spark, d):
+    return verbs.resample(read(spark, d, "orders").where("o_custkey % 97 = 0"), "o_orderdate", "o_totalprice", "M").withColumn("mean", F.round("mean", 4))
+
+
+@query(f"WITH {_SERIES} SELECT period, value, round(avg(value) OVER (ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rolling FROM ser")
+def rolling_mean(spark, d):
+    return verbs.rolling_mean(_series(spark, d), 7)
+
+
+@query("SELECT user_id, event_id, last_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS x FROM events")
+def forward_fill(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("x"))
+    return verbs.forward_fill(e, "x", ["user_id"], "event_id")
+
+
+@query("SELECT l_returnflag AS flag, 'quantity' AS period, sum(l_quantity) AS value FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'lines', CAST(count(*) AS DOUBLE) FROM lineitem GROUP BY 1")
+def unpivot_columns(spark, d):
+    wide = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).cast("double").alias("lines"))
+    return verbs.unpivot_months(wide, ["flag"], ["quantity", "lines"])
+
+
+@query("SELECT count(o_totalprice) AS n, round((avg(o_totalprice) - 150000) / (stddev_samp(o_totalprice) / sqrt(count(o_totalprice))), 6) AS t FROM orders")
+def ttest_1s(spark, d):
+    return stats.t_one_sample(read(spark, d, "orders"), "o_totalprice", 150000)
+
+
+@query(
+    """WITH g AS (SELECT count(*) FILTER (WHERE l_linestatus = 'O') AS n0, count(*) FILTER (WHERE l_linestatus = 'F') AS n1, avg(l_quantity) FILTER (WHERE l_linestatus = 'O') AS m0, avg(l_quantity) FILTER (WHERE l_linestatus = 'F') AS m1,
+ var_samp(l_quantity) FILTER (WHERE l_linestatus = 'O') AS v0, var_samp(l_quantity) FILTER (WHERE l_linestatus = 'F') AS v1 FROM lineitem)
+SELECT n0, n1, round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)), 6) AS t FROM g"""
+)
+def ttest_2s(spark, d):
+    return stats.t_two_sample(read(spark, d, "lineitem"), "l_quantity", "l_linestatus", "O", "F")
+
+
+@query(
+    """WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS o FROM lineitem GROUP BY 1, 2), r AS (SELECT x, sum(o) AS r FROM c GROUP BY 1), k AS (SELECT y, sum(o) AS k FROM c GROUP BY 1),
+t AS (SELECT sum(o) AS t FROM c), g AS (SELECT coalesce(c.o, 0) AS o, CAST(r.r * k.k AS DOUBLE) / t.t AS e FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c ON c.x = r.x AND c.y = k.y)
+SELECT CAST(((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM k) - 1) AS BIGINT) AS dof, round(sum((o - e) * (o - e) / e), 6) AS chi2 FROM g"""
+)
+def chi2(spark, d):
+    return stats.chi_square(read(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query(
+    """WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders GROUP BY 1), t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) AS s, sum(n * m * m) AS q, sum(n * v) AS w FROM g)
+SELECT k, CAST(n AS BIGINT) AS n, round(((q - s * s / n) / (k - 1)) / (w / (n - k)), 4) AS f FROM t"""
+)
+def anova_f(spark, d):
+    return stats.anova(read(spark, d, "orders"), "o_totalprice", "o_orderpriority")
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
+def ols_fit(spark, d):
+    return stats.ols(read(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
+
+
+@query(
+    f"""WITH {_SERIES}, i AS (SELECT period, value, CAST(row_number() OVER (ORDER BY period) - 1 AS DOUBLE) AS i FROM ser),
+f AS (SELECT max(period) AS last, count(*) AS n, regr_slope(value, i) AS b, regr_intercept(value, i) AS a, sqrt(var_pop(value) * (1 - regr_r2(value, i))) AS sd FROM i), h AS (SELECT unnest(generate_series(1, 4)) AS step)
+SELECT CAST(step AS BIGINT) AS step, CAST(last + CAST(step * 91 AS INTEGER) AS DATE) AS period, round(a + b * (n - 1 + step), 2) AS mean, round(a + b * (n - 1 + step) - 1.96 * sd, 2) AS lower, round(a + b * (n - 1 + step) + 1.96 * sd, 2) AS upper FROM f, h"""
+)
+def forecast_linear(spark, d):
+    return analytics.linear_forecast(_series(spark, d), 4, 91)
+
+
+_JOIN_SQL = "SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM {0} GROUP BY o_orderpriority"
+
+
+@query(_JOIN_SQL.format("lineitem JOIN orders ON l_orderkey = o_orderkey"))
+def sql_box_join(spark, d):
+    read(spark, d, "orders").createOrReplaceTempView("box_orders")
+    return sqlbox.ask(read(spark, d, "lineitem"), _JOIN_SQL.format("data JOIN box_orders ON l_orderkey = o_orderkey"))
+
+
+_ROLLUP = "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {0} GROUP BY ROLLUP (l_returnflag, l_linestatus)"
+
+
+@query(_ROLLUP.format("lineitem"))
+def sql_box_rollup(spark, d):
+    return sqlbox.ask(read(spark, d, "lineitem"), _ROLLUP.format("data"))
+
+
+_SETS = "SELECT c_nationkey AS k FROM {0} WHERE c_acctbal < 0 EXCEPT SELECT c_nationkey FROM {0} WHERE c_acctbal > 9900"
+
+
+@query(_SETS.format("customer"))
+def sql_box_setops(spark, d):
+    return sqlbox.ask(read(spark, d, "customer"), _SETS.format("data"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), g AS (SELECT d, date_diff('day', lag(d) OVER (ORDER BY d), d) AS gap FROM d)
+SELECT count(*) AS days, CAST(median(gap) AS DOUBLE) AS median_gap, CAST(max(gap) AS BIGINT) AS longest FROM g"""
+)
+def audit_gaps(spark, d):
+    days = read(spark, d, "events").select(F.to_date("ts").alias("d")).distinct()
+    gap = days.withColumn("gap", F.datediff("d", F.lag("d").over(W.orderBy("d"))))
+    return gap.agg(F.count(F.lit(1)).alias("days"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.max("gap").cast("long").alias("longest"))
+
+
+@query("SELECT count(DISTINCT l_shipmode) AS raw, count(DISTINCT lower(trim(l_shipmode))) AS folded, count(*) FILTER (WHERE c_acctbal < 0) AS negatives FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || ' ' ELSE lower(c_mktsegment) END AS l_shipmode, c_acctbal FROM customer)")
+def audit_case_fold(spark, d):
+    c = read(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.upper("c_mktsegment"), F.lit(" "))).otherwise(F.lower("c_mktsegment")).alias("s"), "c_acctbal")
+    return c.agg(F.count_distinct("s").alias("raw"), F.count_distinct(F.lower(F.trim("s"))).alias("folded"), F.count_if(F.col("c_acctbal") < 0).alias("negatives"))
+
+
+_PROFILE = {"o_orderkey": "orders", "o_totalprice": "orders", "o_orderstatus": "orders", "o_orderpriority": "orders"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS n_unique, round(count(DISTINCT {c}) / CAST(count(*) AS DOUBLE), 4) AS ratio FROM {t}" for c, t in _PROFILE.items()))
+def profile_columns(spark, d):
+    """All columns from one unpivot: a pair for each cell, grouped twice, so no distinct count multiplies the rows."""
+    o = read(spark, d, "orders")
+    cells = o.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in _PROFILE))).alias("x")).select("x.*")
+    once = cells.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
+    out = once.groupBy("col").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("n_unique"))
+    return out.withColumn("ratio", F.round(F.col("n_unique") / F.col("n_rows"), 4))
