@@ -4,9 +4,9 @@ A document's set holds its distinct word shingles; two documents link when their
 threshold. Links are exact: none is lost and none is added but by a collision of 64-bit hashes.
 
 1. Texts with the same set are one class from the start (128-bit digests, summed before the shuffle).
-2. Two sets that may link differ in at most D shingles. Cut by hash range into more than D segments, they agree on one
-   segment at least; so classes that share a segment go to one family (connected components over segment digests), and
-   no link leaves a family. A task sends one row for each segment digest it met, however many copies it read.
+2. Two sets that may link differ in at most D shingles. Cut by hash range into about 1.7 D segments, taken in triples,
+   they agree on two segments of one triple at least; so classes that share two segments of a triple go to one family
+   (connected components over digests), and no link leaves a family. A task joins what it read before it sends digests.
 3. Each family is searched by DivideSkip over inverted lists: of a query's lists the T - 1 longest are set aside, the
    short ones are merged by a heap, and the documents so found are probed for in the long lists by binary search. Those
    that reach the overlap link. Documents that link to the family's central document are of one group already, so only
@@ -99,7 +99,9 @@ class Segments:
         if s not in self.cuts:
             largest = self.bounds[s + 1] - 1
             most = 2 * largest * (self.den - self.num) // (self.den + self.num)
-            k = most + 1 + -(-most * 15 // 100)  # some more, so that empty segments need not count as agreement
+            k = 3  # so many that, past `most` differences and some empty segments, more agree than there are triples
+            while k - most - -(-6 * k // 100) <= k // 3:
+                k += 3
             starts = np.array([-(-(i << 64) // k) for i in range(k)], np.uint64)
             salts = mix(np.arange(k, dtype=np.uint64) + np.uint64(s << 32) + _M1)
             self.cuts[s] = most, starts, salts
@@ -110,8 +112,13 @@ class Segments:
         return sum(len(starts) for s in self.schemes(n) for most, starts, _ in [self.cut(s)] if most) if n else 0
 
     def digests(self, h: np.ndarray) -> np.ndarray:
-        """Two linking, differing sets of one scheme differ in at most `most` of k segments, so agree on k - most. If
-        one has fewer empty segments than that, they agree on one that is not empty; if not, both send empty ones too."""
+        """A digest for each two segments of a triple.
+
+        Two linking, differing sets of one scheme differ in at most `most` of k segments. More than k / 3 of the others
+        agree, so some triple has two of them. If either set has few empty segments, those two are not empty, and only
+        such pairs count; a set with many empty ones sends all its pairs. Two segments together hold so many shingles
+        that documents which merely share a passage seldom meet.
+        """
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + _M1), dtype=np.uint64)])
         out = []
         for s in self.schemes(len(h)) if len(h) else ():
@@ -119,9 +126,12 @@ class Segments:
             if not most:  # only equal sets link
                 continue
             at = np.append(np.searchsorted(h, starts), len(h))
-            digest = mix((sums[at[1:]] - sums[at[:-1]]) ^ salts)
-            empty = at[1:] == at[:-1]
-            out.append(digest if empty.sum() >= len(starts) - most else digest[~empty])
+            digest = mix((sums[at[1:]] - sums[at[:-1]]) ^ salts).reshape(-1, 3)
+            full = (at[1:] > at[:-1]).reshape(-1, 3)
+            every = (~full).sum() > len(starts) - most - len(digest) - 1
+            for x, y in ((0, 1), (0, 2), (1, 2)):
+                two = mix(digest[:, x] * _M2 + digest[:, y])
+                out.append(two if every else two[full[:, x] & full[:, y]])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
