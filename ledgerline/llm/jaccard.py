@@ -4,9 +4,10 @@ A document's set holds its distinct word shingles; two documents link when their
 threshold. Links are exact: none is lost and none is added but by a collision of 64-bit hashes.
 
 1. Texts with the same set are one class from the start (128-bit digests, summed before the shuffle).
-2. Two sets that may link differ in at most D shingles. Cut by hash range into about 1.7 D segments, taken in triples,
-   they agree on two segments of one triple at least; so classes that share two segments of a triple go to one family
-   (connected components over digests), and no link leaves a family. A task joins what it read before it sends digests.
+2. Two sets that may link differ in at most D shingles. Cut by hash range into more than D segments, they agree on one
+   segment at least; so classes that share a segment go to one family (connected components over segment digests), and
+   no link leaves a family. A task sends one row for each segment digest it met, however many copies it read.
+   Large families are first cut by sketches that show which documents cannot link.
 3. Each family is searched by DivideSkip over inverted lists: of a query's lists the T - 1 longest are set aside, the
    short ones are merged by a heap, and the documents so found are probed for in the long lists by binary search. Those
    that reach the overlap link. Documents that link to the family's central document are of one group already, so only
@@ -35,6 +36,8 @@ from . import common
 HELD, BUCKET, LEAST_BUCKETS = 600_000, 1_000_000, 256
 #: Shingles in a block of a large family, and in a bucket of families.
 BLOCK, GROUPED = 2_000_000, 2_000_000
+#: Cells of a sketch, and documents in a block of sketches.
+CELLS, PAIRED = 128, 3_000
 #: Merged by a heap up to this many list entries, by one sort beyond.
 HEAP = 2_000
 MEMO_WORDS = 150_000
@@ -99,9 +102,7 @@ class Segments:
         if s not in self.cuts:
             largest = self.bounds[s + 1] - 1
             most = 2 * largest * (self.den - self.num) // (self.den + self.num)
-            k = 3  # so many that, past `most` differences and some empty segments, more agree than there are triples
-            while k - most - -(-6 * k // 100) <= k // 3:
-                k += 3
+            k = most + 1 + -(-most * 15 // 100)  # some more, so that empty segments need not count as agreement
             starts = np.array([-(-(i << 64) // k) for i in range(k)], np.uint64)
             salts = mix(np.arange(k, dtype=np.uint64) + np.uint64(s << 32) + _M1)
             self.cuts[s] = most, starts, salts
@@ -112,13 +113,8 @@ class Segments:
         return sum(len(starts) for s in self.schemes(n) for most, starts, _ in [self.cut(s)] if most) if n else 0
 
     def digests(self, h: np.ndarray) -> np.ndarray:
-        """A digest for each two segments of a triple.
-
-        Two linking, differing sets of one scheme differ in at most `most` of k segments. More than k / 3 of the others
-        agree, so some triple has two of them. If either set has few empty segments, those two are not empty, and only
-        such pairs count; a set with many empty ones sends all its pairs. Two segments together hold so many shingles
-        that documents which merely share a passage seldom meet.
-        """
+        """Two linking, differing sets of one scheme differ in at most `most` of k segments, so agree on k - most. If
+        one has fewer empty segments than that, they agree on one that is not empty; if not, both send empty ones too."""
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + _M1), dtype=np.uint64)])
         out = []
         for s in self.schemes(len(h)) if len(h) else ():
@@ -126,12 +122,9 @@ class Segments:
             if not most:  # only equal sets link
                 continue
             at = np.append(np.searchsorted(h, starts), len(h))
-            digest = mix((sums[at[1:]] - sums[at[:-1]]) ^ salts).reshape(-1, 3)
-            full = (at[1:] > at[:-1]).reshape(-1, 3)
-            every = (~full).sum() > len(starts) - most - len(digest) - 1
-            for x, y in ((0, 1), (0, 2), (1, 2)):
-                two = mix(digest[:, x] * _M2 + digest[:, y])
-                out.append(two if every else two[full[:, x] & full[:, y]])
+            digest = mix((sums[at[1:]] - sums[at[:-1]]) ^ salts)
+            empty = at[1:] == at[:-1]
+            out.append(digest if empty.sum() >= len(starts) - most else digest[~empty])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -288,6 +281,72 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of CELLS equal ranges, up to 255."""
+    cell = (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(sketches: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all documents whose sketches allow a link: counts of two linking sets differ by at most
+    (den - num) / (den + num) of their sizes' sum, so no link is lost."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, sketches, a, b = sizes[order], sketches[order].astype(np.int16), [], []
+    for k in range(0, len(sizes), 16):
+        own = np.arange(k, min(k + 16, len(sizes)))
+        end = int(np.searchsorted(sizes, sizes[own[-1]] * den // num, side="right"))
+        away = np.abs(sketches[own, None, :] - sketches[None, k:end, :]).sum(2, dtype=np.int64)
+        x, y = np.nonzero(away * (den + num) <= (den - num) * (sizes[own, None] + sizes[None, k:end]))
+        a.append(own[x])
+        b.append(y + k)
+        if sum(map(len, a)) > 2_000_000:
+            one = forest(np.concatenate(a), np.concatenate(b))
+            a, b = [one[0]], [one[1]]
+    a, b = forest(np.concatenate(a), np.concatenate(b))
+    return order[a], order[b]
+
+
+def refined(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """members with large families cut into those that sketches can tell apart.
+
+    Documents that share a long passage may share a segment by chance and so make a large family; their sets differ by
+    far more than links allow, which a sketch of CELLS bytes shows. Sketches meet in pairs of blocks of PAIRED documents.
+    """
+    sums = members.groupBy("family").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n_shingles").alias("_sum")).where(F.col("_sum") > BLOCK)
+    big = common.settle(members.join(sums, "family").select("doc_id", "family", "n_shingles", F.ceil(F.col("_docs") / PAIRED).cast("int").alias("_blocks")))
+    if big.isEmpty():
+        return members
+
+    @F.pandas_udf("binary")
+    def sketched(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sketch(shingles(t, width)))
+
+    rows = common.settle(common.join_measured(docs.select("doc_id", "text"), big, ["doc_id"], "inner").select("doc_id", "family", "n_shingles", "_blocks", sketched("text").alias("h")))
+    total = rows.agg(F.sum("_blocks")).first()[0]
+    buckets = max(LEAST_BUCKETS, -(-total // PAIRED))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, one in b.groupby(["family", "i", "j"]):
+            ids = one.doc_id.to_numpy()
+            x, y = may_link(np.frombuffer(b"".join(one.h), np.uint8).reshape(len(one), CELLS), one.n_shingles.to_numpy(np.int64), num, den)
+            out.append(pd.DataFrame({"a": ids[x], "b": ids[y]}))
+        return pd.concat(out)
+
+    near = paired(rows, "n_shingles").withColumn("bucket", F.pmod(F.xxhash64("family", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "a long, b long")
+    cut = common.components(near).withColumnRenamed("node", "doc_id")
+    new = big.select("doc_id", "n_shingles").join(cut, "doc_id").select("doc_id", F.col("component").alias("family"), "n_shingles")
+    return members.join(big.select("family").distinct(), "family", "left_anti").select("doc_id", "family", "n_shingles").unionByName(new)
+
+
+def paired(rows: DataFrame, *more: str) -> DataFrame:
+    """doc_id, family, i, j, h: a row for each pair of its family's blocks (_blocks) that a document takes part in."""
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_blocks") - 1, F.lit(0))), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
+    pairs = F.when(F.col("_blocks") > 1, F.filter(others, lambda p: p["i"] < p["j"])).otherwise(others)
+    return rows.select("doc_id", "family", *more, "h", F.explode(pairs).alias("p")).select("doc_id", "family", *more, "p.i", "p.j", "h")
+
+
 def links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) within families. members: doc_id, family, n_shingles of one document for each class and family."""
     spark = docs.sparkSession
@@ -301,14 +360,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -
     def hashes(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingles(t, width).tobytes())
 
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_blocks") - 1, F.lit(0))), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
-    pairs = F.when(F.col("_blocks") > 1, F.filter(others, lambda p: p["i"] < p["j"])).otherwise(others)
-    dealt = (
-        rows.select("doc_id", "family", F.explode(pairs).alias("p"), hashes("text").alias("h"))
-        .select("doc_id", "family", "p.i", "p.j", "h")
-        .withColumn("bucket", F.pmod(F.xxhash64("family", "i", "j"), F.lit(buckets)))
-    )
+    dealt = paired(rows.select("doc_id", "family", "_blocks", hashes("text").alias("h"))).withColumn("bucket", F.pmod(F.xxhash64("family", "i", "j"), F.lit(buckets)))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -334,7 +386,8 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Da
     classes = some.groupBy(*key).agg(F.min("doc_id").alias("head"))
     member = families.join(some.withColumnRenamed("doc_id", "node"), "node").groupBy("component", *key).agg(F.min("node").alias("doc_id"))
     # A class has one family, and the family's copies include its head: all copies give the same digests.
-    found = links(docs, member.select("doc_id", F.col("component").alias("family"), "n_shingles"), width, num, den)
+    member = common.settle(member.select("doc_id", F.col("component").alias("family"), "n_shingles"))
+    found = links(docs, refined(docs, member, width, num, den), width, num, den)
     linked = common.components(found)
     classes = classes.join(linked.withColumnRenamed("node", "head"), "head", "left").select(*key, F.coalesce("component", "head").alias("component_id"))
     return rows.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -236,7 +236,8 @@ def test_groups_equal_brute_force(spark, width, num, monkeypatch):
         for _ in range(4):
             base = prose(rng, n, 10**4)
             texts += [base, base.upper()] + [edited(rng, base, rng.randrange(0, 1 + n // 12)) for _ in range(12)]
-    hot = prose(rng, 120, 10**4)
+    hot, passage = prose(rng, 120, 10**4), prose(rng, 60, 10**4)
+    texts += [passage + " " + prose(rng, 60, 10**4) for _ in range(60)]  # no near copies of each other
     texts += [edited(rng, hot, rng.randrange(0, 6)) for _ in range(120)]
     rng.shuffle(texts)
     ids = [7 * i + 3 for i in range(len(texts))]
@@ -244,7 +245,8 @@ def test_groups_equal_brute_force(spark, width, num, monkeypatch):
     want = brute_groups(ids, texts, width, num, 100)
     assert len({c for *_, c in want}) < len(texts) - 100
     assert sorted(map(tuple, jaccard.groups(df, width, num, 100).collect())) == sorted(want)
-    monkeypatch.setattr(jaccard, "BLOCK", 4_000)  # families in many blocks
+    monkeypatch.setattr(jaccard, "BLOCK", 4_000)  # large families, many blocks
+    monkeypatch.setattr(jaccard, "PAIRED", 30)
     assert sorted(map(tuple, jaccard.groups(df, width, num, 100).collect())) == sorted(want)
 
 
