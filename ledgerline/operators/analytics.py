@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from . import periods
 
-#: Over period rows only: at most a few thousand, never raw rows.
-ORDER = W.orderBy("period")
+
+def by_period():
+    """Over period rows only: at most a few thousand, never raw rows."""
+    return W.orderBy("period")
 
 
 def rolling_anomalies(series: DataFrame, limit: float = 2.5) -> DataFrame:
     """period, value, z of the residual from a centred median of five periods (three at least)."""
-    five = ORDER.rowsBetween(-2, 2)
+    five = by_period().rowsBetween(-2, 2)
     out = series.withColumn("_m", F.when(F.count("value").over(five) >= 3, F.percentile("value", F.lit(0.5)).over(five))).withColumn("_r", F.col("value") - F.col("_m"))
     z = F.col("_r") / F.nullif(F.stddev_samp("_r").over(W.partitionBy()), F.lit(0.0))
     return out.select("period", "value", z.alias("z")).withColumn("anomaly", F.coalesce(F.abs("z") >= limit, F.lit(False)))
@@ -22,8 +24,8 @@ def rolling_anomalies(series: DataFrame, limit: float = 2.5) -> DataFrame:
 
 def changes(series: DataFrame) -> DataFrame:
     """Period over period, momentum against the four before, and the trailing mean of four (two at least)."""
-    v, last = F.col("value"), F.lag("value").over(ORDER)
-    four, trail = ORDER.rowsBetween(-4, -1), ORDER.rowsBetween(-3, 0)
+    v, last = F.col("value"), F.lag("value").over(by_period())
+    four, trail = by_period().rowsBetween(-4, -1), by_period().rowsBetween(-3, 0)
     return series.select(
         "period",
         "value",
@@ -35,7 +37,7 @@ def changes(series: DataFrame) -> DataFrame:
 
 def trend(series: DataFrame) -> DataFrame:
     """n, slope, intercept, r2 and t of value on the period's ordinal."""
-    i = series.withColumn("i", (F.row_number().over(ORDER) - 1).cast("double"))
+    i = series.withColumn("i", (F.row_number().over(by_period()) - 1).cast("double"))
     s = i.agg(F.count("value").alias("n"), F.regr_slope("value", "i").alias("slope"), F.regr_intercept("value", "i").alias("intercept"), F.regr_r2("value", "i").alias("r2"))
     return s.withColumn("t", F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / F.nullif(1 - F.col("r2"), F.lit(0.0))))
 
@@ -137,7 +139,7 @@ def repeat_gap(df: DataFrame, when: str, entity: str) -> DataFrame:
 
 def driver_lags(series: DataFrame, most: int = 4) -> DataFrame:
     """lag, n, r of driver k periods before against target. series: period, driver, target."""
-    lagged = series.select("target", *(F.lag("driver", k).over(ORDER).alias(f"d{k}") for k in range(1, most + 1)))
+    lagged = series.select("target", *(F.lag("driver", k).over(by_period()).alias(f"d{k}") for k in range(1, most + 1)))
     parts = [F.struct(F.lit(k).cast("long").alias("lag"), F.count(F.when(F.col(f"d{k}").isNotNull() & F.col("target").isNotNull(), 1)).alias("n"), F.round(F.corr(f"d{k}", "target"), 6).alias("r")) for k in range(1, most + 1)]
     return lagged.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
@@ -149,7 +151,7 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 
 def linear_forecast(series: DataFrame, horizon: int, step_days: int) -> DataFrame:
     """step, period, mean, lower, upper: a line on the ordinal, with a band of 1.96 residual deviations (ddof 0)."""
-    i = series.withColumn("i", (F.row_number().over(ORDER) - 1).cast("double"))
+    i = series.withColumn("i", (F.row_number().over(by_period()) - 1).cast("double"))
     s = i.agg(F.max("period").alias("last"), F.count("value").alias("n"), F.regr_slope("value", "i").alias("b"), F.regr_intercept("value", "i").alias("a"), F.sqrt(F.var_pop("value") * (1 - F.regr_r2("value", "i"))).alias("sd"))
     out = s.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")).withColumn("mean", F.col("a") + F.col("b") * (F.col("n") - 1 + F.col("step")))
     return out.select(F.col("step").cast("long").alias("step"), F.date_add("last", F.col("step") * step_days).alias("period"), *(F.round(F.col("mean") + k * F.col("sd"), 2).alias(x) for x, k in (("mean", 0.0), ("lower", -1.96), ("upper", 1.96))))

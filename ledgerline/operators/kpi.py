@@ -40,10 +40,6 @@ def matches(c: Column | str, values: Sequence[str]) -> Column:
     return F.coalesce(text.isin(low) | text.rlike(rf"\b({words})\b"), F.lit(False))
 
 
-def _filtered(agg: Column, by: Column | None) -> Column:
-    return agg if by is None else F.when(by, agg)
-
-
 def aggregate(k: KPI, mapping: dict[str, str], by: Column, as_of: Column) -> dict[str, Column] | None:
     """The aggregates that a KPI of a slice needs, by part; None if a field isn't mapped."""
     p = k.params

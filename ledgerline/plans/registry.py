@@ -368,11 +368,11 @@ def dedupe(spark, d):
 
 @query(
     f"""SELECT l_returnflag, l_linestatus, {_money('l_extendedprice')} AS sum, round({_money('l_extendedprice')} / count(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, max(l_extendedprice) AS max, min(l_extendedprice) AS min,
- count(l_extendedprice) AS count, round(stddev_samp(l_extendedprice), 2) AS std, count(DISTINCT l_extendedprice) AS nunique, arg_min(l_extendedprice, l_orderkey * 10 + l_linenumber) AS first, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS last
+ count(l_extendedprice) AS count, round(stddev_samp(l_extendedprice), 2) AS std, count(DISTINCT l_extendedprice) AS nunique, arg_min(l_extendedprice, (l_orderkey * 10 + l_linenumber) * 1000000.0 + l_extendedprice) AS first, arg_max(l_extendedprice, (l_orderkey * 10 + l_linenumber) * 1000000.0 + l_extendedprice) AS last
 FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2"""
 )
 def groupby_11(spark, d):
-    out = verbs.group(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", ["sum", "mean", "median", "max", "min", "count", "std", "nunique", "first", "last"], F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    out = verbs.group(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", ["sum", "mean", "median", "max", "min", "count", "std", "nunique", "first", "last"], (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000.0 + F.col("l_extendedprice"))
     return out.withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4), "std": F.round("std", 2)})
 
 
