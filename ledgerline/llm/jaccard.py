@@ -22,6 +22,7 @@ that repeat a doc_id count as one document. Empty tables give empty results; ext
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -36,8 +37,8 @@ from . import common
 HELD, BUCKET, LEAST_BUCKETS = 600_000, 1_000_000, 256
 #: Shingles in a block of a large family, and in a bucket of families.
 BLOCK, GROUPED = 2_000_000, 2_000_000
-#: Cells of a sketch, and documents in a block of sketches.
-CELLS, PAIRED = 128, 3_000
+#: Least cells of a sketch, and documents and cells in a block of sketches.
+CELLS, PAIRED, SKETCHED = 128, 6_000, 4_000_000
 #: Merged by a heap up to this many list entries, by one sort beyond.
 HEAP = 2_000
 MEMO_WORDS = 150_000
@@ -282,26 +283,42 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """How many of a set's hashes fall in each of CELLS equal ranges, up to 255."""
-    cell = (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """How many of a set's hashes fall in each of equal ranges, up to 255; one range for 4 to 8 hashes, CELLS at least."""
+    bits = max(CELLS, len(h) // 4).bit_length() - 1
+    cell = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def may_link(sketches: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def may_link(sketches: list[bytes], sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all documents whose sketches allow a link: counts of two linking sets differ by at most
-    (den - num) / (den + num) of their sizes' sum, so no link is lost."""
+    (den - num) / (den + num) of their sizes' sum, so no link is lost. Of two sketches the finer is folded to the other."""
     order = np.argsort(sizes, kind="stable")
-    sizes, sketches, a, b = sizes[order], sketches[order].astype(np.int16), [], []
-    for k in range(0, len(sizes), 16):
-        own = np.arange(k, min(k + 16, len(sizes)))
-        end = int(np.searchsorted(sizes, sizes[own[-1]] * den // num, side="right"))
-        away = np.abs(sketches[own, None, :] - sketches[None, k:end, :]).sum(2, dtype=np.int64)
-        x, y = np.nonzero(away * (den + num) <= (den - num) * (sizes[own, None] + sizes[None, k:end]))
-        a.append(own[x])
-        b.append(y + k)
-        if sum(map(len, a)) > 2_000_000:
-            one = forest(np.concatenate(a), np.concatenate(b))
-            a, b = [one[0]], [one[1]]
+    sizes = sizes[order]
+    width = np.array([len(sketches[i]) for i in order])
+    a, b = [], []
+    for cells in np.unique(width):
+        start, end = np.searchsorted(width, [cells, cells + 1])
+        stop = int(np.searchsorted(sizes, sizes[end - 1] * den // num, side="right"))  # up to twice the cells
+        counts = np.zeros((stop - start, cells), np.int16)
+        for row, i in enumerate(order[start:stop]):
+            counts[row] = np.frombuffer(sketches[i], np.uint8).reshape(cells, -1).sum(1)
+        k = start
+        while k < end:
+            last = int(np.searchsorted(sizes, sizes[k] * den // num, side="right"))
+            own = np.arange(k, min(k + max(1, min(16, 8_000_000 // ((last - k) * cells))), end))
+            last = int(np.searchsorted(sizes, sizes[own[-1]] * den // num, side="right"))
+            away = np.abs(counts[own - start, None, :] - counts[None, k - start : last - start, :]).sum(2, dtype=np.int64)
+            near = away * (den + num) <= (den - num) * (sizes[own, None] + sizes[None, k:last])
+            first = near.argmax(0)  # each document joins the first of own that it may link with, and those join
+            x, y = np.nonzero(near)
+            met = np.unique(np.stack([first[y], x], 1), axis=0)
+            hit = np.flatnonzero(near.any(0))
+            a += [own[first[hit]], own[met[:, 0]]]
+            b += [hit + k, own[met[:, 1]]]
+            k = int(own[-1]) + 1
+            if sum(map(len, a)) > 2_000_000:
+                one = forest(np.concatenate(a), np.concatenate(b))
+                a, b = [one[0]], [one[1]]
     a, b = forest(np.concatenate(a), np.concatenate(b))
     return order[a], order[b]
 
@@ -310,10 +327,11 @@ def refined(docs: DataFrame, members: DataFrame, width: int, num: int, den: int)
     """members with large families cut into those that sketches can tell apart.
 
     Documents that share a long passage may share a segment by chance and so make a large family; their sets differ by
-    far more than links allow, which a sketch of CELLS bytes shows. Sketches meet in pairs of blocks of PAIRED documents.
+    far more than links allow, which a sketch shows if its cells grow with the set. Sketches meet in bands of sizes
+    that may link, a family's band in pairs of blocks.
     """
-    sums = members.groupBy("family").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n_shingles").alias("_sum")).where(F.col("_sum") > BLOCK)
-    big = common.settle(members.join(sums, "family").select("doc_id", "family", "n_shingles", F.ceil(F.col("_docs") / PAIRED).cast("int").alias("_blocks")))
+    sums = members.groupBy("family").agg(F.sum("n_shingles").alias("_sum")).where(F.col("_sum") > BLOCK)
+    big = common.settle(members.join(sums.select("family"), "family").select("doc_id", "family", "n_shingles"))
     if big.isEmpty():
         return members
 
@@ -321,19 +339,25 @@ def refined(docs: DataFrame, members: DataFrame, width: int, num: int, den: int)
     def sketched(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sketch(shingles(t, width)))
 
-    rows = common.settle(common.join_measured(docs.select("doc_id", "text"), big, ["doc_id"], "inner").select("doc_id", "family", "n_shingles", "_blocks", sketched("text").alias("h")))
-    total = rows.agg(F.sum("_blocks")).first()[0]
-    buckets = max(LEAST_BUCKETS, -(-total // PAIRED))
+    # Sizes that may link lie in one band or in two neighbours; a band is a little wider than they can be apart.
+    band = F.floor(F.ln("n_shingles") / F.lit(math.log(1.01 * den / num))).cast("int")
+    rows = common.settle(common.join_measured(docs.select("doc_id", "text"), big, ["doc_id"], "inner").select("doc_id", "family", "n_shingles", sketched("text").alias("h")))
+    rows = rows.withColumn("band", F.explode(F.array(band, band + 1)))
+    bands = rows.groupBy("family", "band").agg(F.count(F.lit(1)).alias("_docs"), F.sum(F.length("h")).alias("_cells")).where("_docs > 1")
+    bands = common.settle(bands.select("family", "band", F.ceil(F.greatest(F.col("_docs") / PAIRED, F.col("_cells") / SKETCHED)).cast("int").alias("_blocks")))
+    total = bands.agg(F.sum(F.col("_blocks") * F.col("_blocks"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, total)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, one in b.groupby(["family", "i", "j"]):
+        for _, one in b.groupby(["family", "band", "i", "j"]):
             ids = one.doc_id.to_numpy()
-            x, y = may_link(np.frombuffer(b"".join(one.h), np.uint8).reshape(len(one), CELLS), one.n_shingles.to_numpy(np.int64), num, den)
+            x, y = may_link(list(one.h), one.n_shingles.to_numpy(np.int64), num, den)
             out.append(pd.DataFrame({"a": ids[x], "b": ids[y]}))
         return pd.concat(out)
 
-    near = paired(rows, "n_shingles").withColumn("bucket", F.pmod(F.xxhash64("family", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "a long, b long")
+    met = paired(common.join_measured(rows, bands, ["family", "band"], "inner"), "n_shingles", "band")
+    near = met.withColumn("bucket", F.pmod(F.xxhash64("family", "band", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "a long, b long")
     cut = common.components(near).withColumnRenamed("node", "doc_id")
     new = big.select("doc_id", "n_shingles").join(cut, "doc_id").select("doc_id", F.col("component").alias("family"), "n_shingles")
     return members.join(big.select("family").distinct(), "family", "left_anti").select("doc_id", "family", "n_shingles").unionByName(new)

@@ -486,3 +486,23 @@ def test_html_templates(spark):
     for r, (_, h) in zip(got[:30], rows):
         assert r.text == " ".join(re.findall("<p>(.*?)</p>", h)) and r.n_chars == len(r.text)
     assert {r.text for r in got[30:]} == {"The same copy"}
+
+
+def test_sketches_lose_no_link_and_tell_long_sets_apart():
+    rng = np.random.default_rng(6)
+    fresh = lambda n: np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+    sets = []
+    for n in (30, 120, 900, 1023, 1100, 3000, 5000):
+        base = fresh(n)
+        sets += [base, np.unique(np.concatenate([base[rng.random(len(base)) > 0.08], fresh(n // 12)])), fresh(n)]
+    sizes = np.array([len(s) for s in sets])
+    a, b = jaccard.may_link([jaccard.sketch(s) for s in sets], sizes, 80, 100)
+    joined = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    linked = set()
+    for x in range(len(sets)):
+        for y in range(x):
+            shared = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * shared >= 80 * (sizes[x] + sizes[y] - shared):
+                linked.add((y, x))
+    assert linked and linked <= joined
+    assert not any(sizes[x] > 2000 and (x, y) not in linked for x, y in joined)
