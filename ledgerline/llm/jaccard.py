@@ -38,7 +38,7 @@ HELD, BUCKET, LEAST_BUCKETS = 600_000, 1_000_000, 256
 #: Shingles in a block of a large family, and in a bucket of families.
 BLOCK, GROUPED = 2_000_000, 2_000_000
 #: Least cells of a sketch, and documents and cells in a block of sketches.
-CELLS, PAIRED, SKETCHED = 128, 6_000, 4_000_000
+CELLS, PAIRED, SKETCHED = 128, 3_000, 4_000_000
 #: Merged by a heap up to this many list entries, by one sort beyond.
 HEAP = 2_000
 MEMO_WORDS = 150_000
