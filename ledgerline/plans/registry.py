@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import analytics, kpi, periods, stats, verbs
+from ..operators import analytics, audit, kpi, periods, series, stats, verbs
+from ..sources import delimited
 from . import catalog, sqlbox
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -509,3 +510,84 @@ def profile_columns(spark, d):
     once = cells.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
     out = once.groupBy("col").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("n_unique"))
     return out.withColumn("ratio", F.round(F.col("n_unique") / F.col("n_rows"), 4))
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey, o_orderstatus, CASE WHEN month(o_orderdate) = 3 THEN NULL ELSE o_orderdate END AS d,
+  CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN NULL ELSE o_totalprice END AS x, o_totalprice - 50000 AS q,
+  CASE WHEN o_orderstatus = 'F' THEN lower(o_orderpriority) ELSE o_orderpriority END AS s, 1 AS k FROM orders),
+u AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE o_orderstatus = 'P'),
+n AS (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM u)) AS dup, count(*) FILTER (WHERE x IS NULL) AS miss, count(*) FILTER (WHERE q < 0) AS neg,
+  count(DISTINCT s) - count(DISTINCT lower(trim(s))) AS odd FROM u),
+g AS (SELECT date_diff('day', lag(d) OVER (ORDER BY d), d) AS gap FROM (SELECT DISTINCT CAST(d AS DATE) AS d FROM u WHERE d IS NOT NULL)),
+b AS (SELECT count(*) AS big FROM g WHERE gap > greatest(7, 6 * (SELECT median(gap) FROM g))),
+i AS (SELECT 'duplicates' AS issue, NULL AS field, CASE WHEN dup > 0.05 * n THEN 'high' WHEN dup > 0.01 * n THEN 'medium' WHEN dup > 0 THEN 'low' END AS severity, dup AS affected FROM n
+  UNION ALL SELECT 'missing', 'x', CASE WHEN miss > 0.2 * n THEN 'high' WHEN miss > 0.02 * n THEN 'medium' END, miss FROM n
+  UNION ALL SELECT 'negative', 'q', CASE WHEN neg > 0 THEN 'medium' END, neg FROM n
+  UNION ALL SELECT 'inconsistent', 's', CASE WHEN odd > 0 THEN 'medium' END, odd FROM n
+  UNION ALL SELECT 'constant', NULL, 'low', 1
+  UNION ALL SELECT 'gap', 'd', CASE WHEN big > 0 THEN 'medium' END, big FROM b)
+SELECT issue, field, severity, affected, CAST(greatest(0, 100 - sum(CASE severity WHEN 'high' THEN 18 WHEN 'medium' THEN 8 ELSE 3 END) OVER ()) AS BIGINT) AS score FROM i WHERE severity IS NOT NULL"""
+)
+def audit_score(spark, d):
+    """Orders with what an audit looks for: repeats, empty prices, mixed spelling, a column of one value, months without dates."""
+    t = read(spark, d, "orders").select(
+        "o_orderkey",
+        "o_orderstatus",
+        F.when(F.month("o_orderdate") != 3, F.col("o_orderdate")).alias("d"),
+        F.when(~F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), F.col("o_totalprice")).alias("x"),
+        (F.col("o_totalprice") - 50000).alias("q"),
+        F.when(F.col("o_orderstatus") == "F", F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("s"),
+        F.lit(1).alias("k"),
+    )
+    found = audit.audit(t.unionByName(t.where("o_orderstatus = 'P'")), ["x"], ["q"], "d")
+    return found.withColumnsRenamed({"check": "issue", "column": "field"})
+
+
+@query(
+    """SELECT o_orderpriority AS priority, count(*) AS n, CAST(sum(CAST(o_totalprice - 150000 AS DECIMAL(18,2))) AS DOUBLE) AS total,
+CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_day, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day FROM orders GROUP BY 1"""
+)
+def ingest_delimited(spark, d):
+    """Orders written as delimited text with day-first dates and bracketed amounts, and read back by the ingest."""
+    x = F.col("o_totalprice") - 150000
+    money = F.concat(F.lit("$"), F.format_number(F.abs(x), 2))
+    text = read(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("Order ID"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("Order Date"),
+        F.col("o_orderpriority").alias("Priority"),
+        F.when(x < 0, F.concat(F.lit("("), money, F.lit(")"))).otherwise(money).alias("Net Amount"),
+    )
+    path = delimited.staging_path(spark, "orders-text")
+    text.write.csv(path, sep=";", header=True)
+    got = delimited.load(spark, path).df
+    return got.groupBy(F.col("Priority").alias("priority")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("Net Amount").cast("decimal(18,2)")).cast("double").alias("total"),
+        F.min(F.to_date("Order Date")).cast("string").alias("first_day"),
+        F.max(F.to_date("Order Date")).cast("string").alias("last_day"),
+    )
+
+
+@query(
+    """WITH m AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM lineitem GROUP BY 1),
+t AS (SELECT *, (row_number() OVER (ORDER BY period) - 1) % 12 AS phase, CASE WHEN count(*) OVER w = 13 THEN (sum(value) OVER w - 0.5 * (lag(value, 6) OVER (ORDER BY period) + lead(value, 6) OVER (ORDER BY period))) / 12 END AS trend
+  FROM m WINDOW w AS (ORDER BY period ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
+p AS (SELECT phase, avg(value - trend) AS a FROM t GROUP BY 1)
+SELECT CAST(period AS VARCHAR) AS period, round(value, 2) AS value, round(trend, 2) AS trend, round(a - (SELECT avg(a) FROM p), 2) AS seasonal, round(value - trend - (a - (SELECT avg(a) FROM p)), 2) AS resid FROM t JOIN p USING (phase)"""
+)
+def seasonal_decompose(spark, d):
+    m = read(spark, d, "lineitem").groupBy(F.trunc("l_shipdate", "month").alias("period")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("value"))
+    s = series.decompose(m, 12)
+    return s.select(F.col("period").cast("string").alias("period"), *(F.round(c, 2).alias(c) for c in ("value", "trend", "seasonal", "resid")))
+
+
+@query("SELECT c_custkey, round(z, 4) AS z FROM (SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS z FROM customer) WHERE abs(z) > 1.6")
+def zscore_outliers(spark, d):
+    return series.outliers(read(spark, d, "customer"), "c_acctbal", 1.6).select("c_custkey", F.round("z", 4).alias("z"))
+
+
+@query()
+def kmeans_parts(spark, d):
+    """No SQL fits clusters; tested by what must hold of any clustering."""
+    return series.kmeans(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 4)
