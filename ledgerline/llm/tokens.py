@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,21 +128,32 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
+def token_batch(doc_ids: list[int | None], ids: list[np.ndarray]) -> pa.RecordBatch:
+    """doc_id, n_tokens, tokens as Arrow columns; the lists share one array of values."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    columns = [pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "tokens"])
+
+
 def with_tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens, tokens of docs (doc_id, text)."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        held = 0
-        for doc_id, ids in encoded(batches, path, end_id):
-            rows.append((doc_id, len(ids), ids.astype(np.int32)))
-            if (held := held + len(ids)) > 500_000:
-                yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "tokens"])
-                rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "tokens"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, doc_ids, held, n = encoder(path), [], [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                some = batch.slice(i, BATCH)
+                for doc_id, ids in zip(some.column(0).to_pylist(), own.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                    doc_ids.append(doc_id)
+                    held.append(np.append(ids, np.uint32(end_id)).astype(np.int32))
+                    if (n := n + len(held[-1])) > 500_000:
+                        yield token_batch(doc_ids, held)
+                        doc_ids, held, n = [], [], 0
+        if held:
+            yield token_batch(doc_ids, held)
 
-    return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, n_tokens long, tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_tokens long, tokens array<int>")
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 0, partitions: int | None = None) -> None:
@@ -181,11 +193,14 @@ def read_tokens(spark, out: str) -> DataFrame:
 def token_digests(spark, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files. Each file is read in its own order by one task at a time."""
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": b.n_tokens, "ids_crc32": [crc32(np.asarray(t, np.uint32)) for t in b.tokens], "_file": b._file, "_before": b._before})
+            lists = b.column(2)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint32)
+            found = [crc32(values[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64()), b.column(3), b.column(4)], names=["doc_id", "n_tokens", "ids_crc32", "_file", "_before"])
 
-    small = read_tokens(spark, out).mapInPandas(digest, "doc_id long, n_tokens long, ids_crc32 long, _file string, _before long")
+    small = read_tokens(spark, out).mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, _file string, _before long")
     inside = Window.partitionBy("_file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     return small.select("doc_id", start.cast("long").alias("start"), "n_tokens", "ids_crc32")
