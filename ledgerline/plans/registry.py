@@ -396,6 +396,16 @@ def resample_dense(spark, d):
     return verbs.resample(read(spark, d, "orders").where("o_custkey % 97 = 0"), "o_orderdate", "o_totalprice", "M").withColumn("mean", F.round("mean", 4))
 
 
+@query(
+    f"""WITH g AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, {_money('o_totalprice')} AS s, count(o_totalprice) AS c, max(o_totalprice) AS mx, min(o_totalprice) AS mn FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+sp AS (SELECT CAST(unnest(generate_series((SELECT min(bucket) FROM g), (SELECT max(bucket) FROM g), INTERVAL 1 MONTH)) AS DATE) AS bucket)
+SELECT sp.bucket, coalesce(s, 0.0) AS sum, coalesce(c, 0) AS count, round(s / c, 4) AS mean, mx AS max, mn AS min FROM sp LEFT JOIN g ON sp.bucket = g.bucket"""
+)
+def resample_orders(spark, d):
+    """All orders; resample_dense takes one customer key in 97, so that months may be empty."""
+    return verbs.resample(read(spark, d, "orders"), "o_orderdate", "o_totalprice", "M").withColumn("mean", F.round("mean", 4))
+
+
 @query(f"WITH {_SERIES} SELECT period, value, round(avg(value) OVER (ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rolling FROM ser")
 def rolling_mean(spark, d):
     return verbs.rolling_mean(_series(spark, d), 7)

@@ -57,6 +57,19 @@ def test_empty_table_gives_no_kpi(spark):
     assert verbs.histogram(o, "o_totalprice").count() == 0
 
 
+def test_resample_takes_all_orders(spark, duck):
+    got = registry.queries()["resample_orders"](spark, SF).agg({"count": "sum", "sum": "sum"}).first()
+    n, total = duck.execute("SELECT count(o_totalprice), sum(o_totalprice) FROM orders WHERE o_orderdate IS NOT NULL").fetchone()
+    assert n > 1000 and got["sum(count)"] == n and got["sum(sum)"] == pytest.approx(total)
+
+
+def test_resample_fills_gaps(spark):
+    df = spark.createDataFrame([("2024-01-05", 2.0), ("2024-01-31", 4.0), ("2024-02-01", None), ("2024-05-09", 7.0), (None, 9.0)], "d string, x double")
+    got = [(str(r.bucket), r["sum"], r["count"], r["mean"], r["max"], r["min"]) for r in verbs.resample(df.withColumn("d", df.d.cast("timestamp")), "d", "x").orderBy("bucket").collect()]
+    empty = (0.0, 0, None, None, None)
+    assert got == [("2024-01-01", 6.0, 2, 3.0, 4.0, 2.0), ("2024-02-01", *empty), ("2024-03-01", *empty), ("2024-04-01", *empty), ("2024-05-01", 7.0, 1, 7.0, 7.0, 7.0)]
+
+
 def test_filters_keep_null_policy(spark):
     df = spark.createDataFrame([("Abc",), (None,), ("x",)], "s string")
     assert verbs.where(df, "s", "contains", "B").count() == 1 and verbs.where(df, "s", "not contains", "B").count() == 2
