@@ -1,7 +1,7 @@
 """Delimited text of unknown shape: encoding, separator, header, total rows, numbers and dates are found out.
 
 Choices that the head of a file decides come from its first lines; those about whole columns (width, empty columns,
-share of numbers and dates) from one aggregate over all rows. Line breaks inside quotes aren't supported: files stay
+share of numbers and dates) from one aggregate over all rows, and the encoding of each file from one over all its lines. Line breaks inside quotes aren't supported: files stay
 splittable. Several files are read in the order of their names; a header that repeats is left out.
 """
 
@@ -40,10 +40,25 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
-def _encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if the head decodes without a replacement character, else Latin-1 (made cp1252 by _western)."""
-    head = spark.read.csv(path, sep="\u0001", quote="", encoding="UTF-8", schema="line string").limit(SNIFF).collect()
-    return "ISO-8859-1" if any("\ufffd" in (r.line or "") for r in head) else "UTF-8"
+def _encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of each encoding: UTF-8 if every line's bytes are, else Latin-1 (made cp1252 by _western)."""
+    file = F.col("_metadata.file_path").alias("_file")
+    found: dict[str, list[str]] = {}
+    for r in spark.read.text(path).groupBy(file).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")).collect():
+        found.setdefault("UTF-8" if r.utf8 else "ISO-8859-1", []).append(r._file)
+    return found or {"UTF-8": []}
+
+
+def _read(spark: SparkSession, path: str, files: dict[str, list[str]], schema: str, columns, **options) -> DataFrame:
+    """The files under path, each in its encoding. columns: what to select, by encoding."""
+    out = []
+    for encoding in sorted(files, reverse=True):
+        part = spark.read.csv(path, encoding=encoding, schema=schema, **options)
+        if len(files) > 1:
+            western = F.col("_metadata.file_path").isin(files["ISO-8859-1"])
+            part = part.where(western if encoding == "ISO-8859-1" else ~western)
+        out.append(part.select(*columns(encoding)))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def _western(c: str, encoding: str) -> Column:
@@ -98,8 +113,8 @@ def _names(cells: list[str | None]) -> list[str]:
 
 def load(spark: SparkSession, path: str) -> Ingested:
     """The table in a delimited file or folder. A file without a line gives an empty frame and says so."""
-    encoding = _encoding(spark, path)
-    whole = spark.read.csv(path, sep="\u0001", quote="", encoding=encoding, schema="line string").select(_western("line", encoding).alias("line"))
+    files = _encodings(spark, path)
+    whole = _read(spark, path, files, "line string", lambda encoding: [_western("line", encoding).alias("line")], sep="\u0001", quote="")
     lines = [r.line for r in whole.where("line is not null").limit(SNIFF).collect()]
     if not lines:
         return Ingested(spark.createDataFrame([], "column_1 string"), ["empty input"])
@@ -107,13 +122,14 @@ def load(spark: SparkSession, path: str) -> Ingested:
     # Quoted separators make this too wide at worst; empty columns go below.
     width = whole.agg(F.max(F.size(F.split("line", f"\\Q{sep}\\E")))).first()[0]
     raw = [f"_c{i}" for i in range(width)]
-    table = spark.read.csv(path, sep=sep, encoding=encoding, schema=", ".join(f"{c} string" for c in raw), mode="PERMISSIVE")
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
-    table = table.select(*(F.nullif(F.trim(_western(c, encoding)), F.lit("")).alias(c) for c in raw), *place)
+    cells = lambda encoding: [*(F.nullif(F.trim(_western(c, encoding)), F.lit("")).alias(c) for c in raw), *place]
+    table = _read(spark, path, files, ", ".join(f"{c} string" for c in raw), cells, sep=sep, mode="PERMISSIVE")
     order, back = ["_file", "_block", "_id"], [F.desc("_file"), F.desc("_block"), F.desc("_id")]
     head = table.orderBy(*order).limit(HEAD).collect()
     at = _header([[r[c] for c in raw] for r in head], width)
     top, names = head[at], _names([head[at][c] for c in raw])
+    encoding = next(iter(files)) if len(files) == 1 else f"{len(files['ISO-8859-1'])} files ISO-8859-1, {len(files['UTF-8'])} UTF-8"
     receipt = [f"encoding {encoding}", f"separator {sep!r}", f"header in row {at + 1}"]
 
     before = F.struct(*order) <= _place(top)

@@ -47,6 +47,22 @@ def test_cp1252_signs(spark, tmp_path):
     assert got.symbols == {"price": "€"} and {r.name for r in got.df.collect()} == {"café", "thé", "lait"}
 
 
+def test_encoding_of_late_accents(spark, tmp_path):
+    plain = "".join(f"tea{i},{i}\n" for i in range(200))
+    got = delimited.load(spark, at(tmp_path, ("name,price\n" + plain + "café €,7\n").encode("cp1252"))).df
+    assert got.count() == 201 and got.where("name = 'café €'").count() == 1
+    got = delimited.load(spark, at(tmp_path, "name,price\n" + plain + "caf\ufffd é,7\n")).df  # UTF-8 that holds the sign itself
+    assert got.where("name = 'caf\ufffd é'").count() == 1
+
+
+def test_encoding_by_file(spark, tmp_path):
+    for name, text, encoding in (("a 1.csv", "thé", "utf-8"), ("b.csv", "café", "cp1252"), ("c.csv", "crème €", "utf-8"), ("d.csv", "pâté €", "cp1252")):
+        (tmp_path / name).write_bytes(f"name,price\n{text},1\nlait {name[0]},2\n".encode(encoding))
+    got = delimited.load(spark, str(tmp_path))
+    assert got.df.columns == ["name", "price"] and got.receipt[0] == "encoding 2 files ISO-8859-1, 2 UTF-8"
+    assert sorted(r.name for r in got.df.collect()) == sorted(["thé", "café", "crème €", "pâté €", "lait a", "lait b", "lait c", "lait d"])
+
+
 @pytest.mark.parametrize(("text", "month"), [("03-04-2024", 4), ("2024-03-04", 3)])
 def test_dates_of_two_readings(spark, tmp_path, text, month):
     df = delimited.load(spark, at(tmp_path, f"date,item\n{text},tea\n{text},oil\n")).df
