@@ -16,7 +16,8 @@ threshold. Links are exact: none is lost and none is added but by a collision of
 
 Words are runs of anything but ASCII white space, with A-Z in lower case. A text of fewer words than a shingle has is
 one shingle. Texts without words and null texts have no shingle and link with nothing, not even with each other. Rows
-that repeat a doc_id count as one document. Empty tables give empty results; extra columns are ignored.
+that repeat a doc_id count as one document. Rows with a null doc_id link with nothing; they get their n_shingles and a
+null component_id. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -401,6 +402,14 @@ def links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -
 def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): the smallest doc_id reachable by links."""
     common.small_batches(docs.sparkSession)
+    # pandas would hand the ids of a batch with a null over as floats, which lose digits.
+    docs, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(shingles(t, width))).astype("int64")
+
+    apart = nameless.select(F.lit(None).cast("long").alias("doc_id"), counted("text").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     rows = common.settle(signed(docs, width, num, den))
     total = rows.agg(F.sum("n_digests")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET))
@@ -414,4 +423,4 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Da
     found = links(docs, refined(docs, member, width, num, den), width, num, den)
     linked = common.components(found)
     classes = classes.join(linked.withColumnRenamed("node", "head"), "head", "left").select(*key, F.coalesce("component", "head").alias("component_id"))
-    return rows.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(apart)

@@ -256,6 +256,12 @@ def test_groups_small(spark):
     assert sorted(map(tuple, got)) == [(4, 0, 4), (5, 2, 5), (5, 2, 5), (9, 0, 9)]
 
 
+def test_groups_of_null_ids(spark):
+    big = 2**53 + 1  # not a float
+    got = jaccard.groups(docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, "x", "a b c d e f"], ids=[None, big + 2, big, None, None, None]).coalesce(1)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(big, 2, big), (big + 2, 2, big), (None, 2, None), (None, 2, None), (None, 0, None), (None, 1, None)], key=str)
+
+
 def test_divide_skip_finds_every_link():
     rng = np.random.default_rng(5)
     for _ in range(30):
