@@ -1,4 +1,8 @@
-"""The corpus pipeline: five operators in a row over documents, each stage written and read again by run()."""
+"""The corpus pipeline: five operators in a row over documents, each stage written and read again by run().
+
+A row is a document, whatever its doc_id: ids may repeat or be null. The first stage numbers the rows (ROW), and the
+stages up to mixing know them by that number.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +11,36 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import common, jaccard, langid, mixing, packing, pii
 
+#: The number of a row, unique but else arbitrary; it is only used as written, since another run deals it anew.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, given once and written."""
+    return docs if ROW in docs.columns else common.settle(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known; texts that are null or without a letter are rejected."""
+    """Keep documents whose language is known, with their ROW; texts that are null or without a letter are rejected."""
     found = langid.identify(docs, langid.learn(docs))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns, F.monotonically_increasing_id().alias(ROW))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group; shingles of five words, similarity 0.8."""
-    groups = jaccard.groups(docs, width=5, num=80, den=100)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return common.join_measured(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """Keep the document with the smallest doc_id of each group, null last; shingles of five words, similarity 0.8.
+
+    Of rows with one doc_id the one whose other columns have the smallest hash stays, so that a new numbering keeps the same.
+    """
+    columns, docs = docs.columns, numbered(docs)
+    groups = jaccard.groups(docs.select(F.col(ROW).alias("doc_id"), "text"), width=5, num=80, den=100)
+    linked = common.settle(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(ROW), "component_id"))
+    member = linked.unionByName(linked.select(F.col("component_id").alias(ROW), "component_id").distinct())
+    digest = F.xxhash64(*(c for c in columns if c != ROW)).alias("_digest")
+    named = common.join_measured(docs.select(ROW, F.col("doc_id").isNull().alias("_null"), "doc_id", digest), member, [ROW], "inner")
+    named = common.settle(named.select(ROW, "component_id", F.struct("_null", "doc_id", "_digest", ROW).alias("_rank")))
+    kept = named.groupBy("component_id").agg(F.min("_rank").alias("_least"))
+    gone = named.join(kept, "component_id").where(F.col("_rank") > F.col("_least")).select(ROW)
+    return common.join_measured(docs, gone, [ROW], "left_anti").select(*columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +50,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that the sources meet their targets."""
-    mixed = mixing.mix(docs)
-    copies = mixed.where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    joined = common.join_measured(docs, copies, ["doc_id"], "inner", 500_000)
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Repeat or leave out documents so that the sources meet their targets; their ROW goes, since copies share it."""
+    columns, docs = [c for c in docs.columns if c != ROW], numbered(docs)
+    mixed = mixing.mix(docs, carry=[ROW])
+    copies = mixed.where("taken > 0").select(ROW, (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    joined = common.join_measured(docs, copies, [ROW], "inner", 500_000)
+    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,16 +56,16 @@ def join_measured(big: DataFrame, small: DataFrame, on: Sequence[str], how: str,
     return big.join(F.broadcast(small) if small.count() <= most_rows else small, list(on), how)
 
 
-def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, seed: int = 0, buckets: int = 256) -> DataFrame:
+def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, seed: int = 0, buckets: int = 256, ties: Sequence[str] = ()) -> DataFrame:
     """Number the rows of each key from 0 in a seeded order, without putting a key's rows in one task.
 
     Rows of a key are dealt to hashed buckets; a row's number is its rank in its bucket plus the rows of the
-    buckets before it. keys must not be null. Rows alike in every order column are interchangeable.
+    buckets before it. keys must not be null. Rows alike in every order column are interchangeable, or in the order of ties.
     """
     bucketed = df.withColumn("_h", F.xxhash64(*order, F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*keys, "_b").orderBy("_h", *order)
+    within = Window.partitionBy(*keys, "_b").orderBy("_h", *order, *ties)
     return (
         bucketed.withColumn("_r", F.row_number().over(within))
         .join(offsets, [*keys, "_b"])

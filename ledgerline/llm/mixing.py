@@ -83,10 +83,11 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most_epochs: float = MOST_EPOCHS, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of docs (doc_id, text, source)."""
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most_epochs: float = MOST_EPOCHS, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row of docs (doc_id, text, source), after the columns
+    of docs to carry; these also settle ties of doc_id."""
     spark = docs.sparkSession
-    sized = common.settle(docs.select("doc_id", "source", common.word_count("text").alias("size")))
+    sized = common.settle(docs.select(*carry, "doc_id", "source", common.word_count("text").alias("size")))
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
     by_source = sorted(by_source, key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
     sizes = [r.source_size for r in by_source]
@@ -107,8 +108,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
 
     counts = keyed.where("size > 0").groupBy("_s", "size", "_rest").agg(F.count(F.lit(1)).alias("n"))
     fitted = counts.groupBy("_s").applyInPandas(fit, "_s int, size long, _take long")
-    numbered = common.ordinals(keyed, ["_s", "size"], ["doc_id"], "_j", seed)
+    numbered = common.ordinals(keyed, ["_s", "size"], ["doc_id"], "_j", seed, ties=carry)
     return numbered.join(fitted, ["_s", "size"], "left").select(
+        *carry,
         "doc_id",
         "source",
         "size",

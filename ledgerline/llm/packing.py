@@ -129,7 +129,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # Ids go through as strings: pandas would make floats of those beside a null.
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    pieces = named.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
