@@ -248,7 +248,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets; where spans overlap, the first one counts."""
+    """docs with every span of text replaced by its kind in brackets; of a span that reaches beyond those before it, the rest."""
     columns = docs.columns
     found = candidates(docs)
     marked = accepted(found, learn(found.select("_spans")))
@@ -257,8 +257,8 @@ def redact(docs: DataFrame) -> DataFrame:
     pieces = F.aggregate(
         "spans",
         start,
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))).alias("out"))
+        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
+            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.get(names, s["kind"]))).alias("out"))
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )

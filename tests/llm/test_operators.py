@@ -373,6 +373,13 @@ def test_pii_adds_secrets_and_redacts(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def test_pii_redacts_overlaps(spark):
+    texts = ["from 10.0.0.4 4111 1111 1111 1117 ok", "+1 415 555 0100@example.com", "call +1 415 555 0100@example.com or 10.0.0.4 ok", "4111111111111111@example.com"]
+    assert [base_spans(t) for t in texts[:2]] == [[(5, 1, 13), (12, 2, 33)], [(0, 3, 15), (11, 0, 27)]]
+    out = [r.text for r in pii.redact(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert out == ["from [IP][CARD] ok", "[PHONE][EMAIL]", "call [PHONE][EMAIL] or [IP] ok", "[EMAIL]"]
+
+
 # --- chat
 
 
