@@ -522,6 +522,16 @@ def profile_columns(spark, d):
     return out.withColumn("ratio", F.round(F.col("n_unique") / F.col("n_rows"), 4))
 
 
+@query("SELECT col, count(*) AS n_rows, count(*) FILTER (WHERE v IS NULL) AS nulls, count(DISTINCT v) AS n_unique, round(count(DISTINCT v) / CAST(count(*) AS DOUBLE), 4) AS ratio FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM orders) UNPIVOT INCLUDE NULLS (v FOR col IN (COLUMNS(*))) GROUP BY col")
+def profile_table(spark, d):
+    """profile_columns for every column that the schema of orders has."""
+    o = read(spark, d, "orders")
+    cells = o.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("v")) for c in o.columns))).alias("x")).select("x.*")
+    once = cells.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
+    out = once.groupBy("col").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("n_unique"))
+    return out.withColumn("ratio", F.round(F.col("n_unique") / F.col("n_rows"), 4))
+
+
 @query(
     """WITH t AS (SELECT o_orderkey, o_orderstatus, CASE WHEN month(o_orderdate) = 3 THEN NULL ELSE o_orderdate END AS d,
   CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN NULL ELSE o_totalprice END AS x, o_totalprice - 50000 AS q,

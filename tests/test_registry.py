@@ -63,6 +63,11 @@ def test_resample_takes_all_orders(spark, duck):
     assert n > 1000 and got["sum(count)"] == n and got["sum(sum)"] == pytest.approx(total)
 
 
+def test_profile_has_every_column(spark):
+    rows = registry.queries()["profile_table"](spark, SF).collect()
+    assert sorted(r.col for r in rows) == sorted(registry.read(spark, SF, "orders").columns)
+
+
 def test_resample_fills_gaps(spark):
     df = spark.createDataFrame([("2024-01-05", 2.0), ("2024-01-31", 4.0), ("2024-02-01", None), ("2024-05-09", 7.0), (None, 9.0)], "d string, x double")
     got = [(str(r.bucket), r["sum"], r["count"], r["mean"], r["max"], r["min"]) for r in verbs.resample(df.withColumn("d", df.d.cast("timestamp")), "d", "x").orderBy("bucket").collect()]
