@@ -14,8 +14,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; one of our own only where all is one machine."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,7 +58,19 @@ def join_measured(big: DataFrame, small: DataFrame, on: Sequence[str], how: str,
     return big.join(F.broadcast(small) if small.count() <= most_rows else small, list(on), how)
 
 
-def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, seed: int = 0, buckets: int = 256, ties: Sequence[str] = ()) -> DataFrame:
+def parts(df: DataFrame, size: int) -> int:
+    """Partitions of about `size` bytes by Spark's own estimate of df, and no fewer than a shuffle has."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = estimate < 1 << 56  # a frame of unknown size counts as larger than anything
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimate // size if known else 0)
+
+
+def buckets(rows: int) -> int:
+    """How many buckets ordinals needs so that none of the largest key's has much more than 100000 rows."""
+    return max(64, rows // 100_000)
+
+
+def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, seed: int = 0, buckets: int = 64, ties: Sequence[str] = ()) -> DataFrame:
     """Number the rows of each key from 0 in a seeded order, without putting a key's rows in one task.
 
     Rows of a key are dealt to hashed buckets; a row's number is its rank in its bucket plus the rows of the
@@ -77,8 +91,10 @@ def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links (a, b: long) -> one row (node, component) per linked node; component is its smallest reachable node.
 
-    Alternates large-star and small-star steps until the edges are stars around the smallest nodes. Hubs are
-    never gathered: each step is an aggregate and a join, whose hot keys adaptive execution can split.
+    Alternates large-star and small-star steps until the edges are stars around the smallest nodes. Minima are summed in
+    map tasks before their exchange. They are settled and counted before they are joined back: up to a limit they are
+    broadcast, so a hub's edges stay where they are; beyond it both sides of the join are plain exchanges, which
+    adaptive execution splits where a hub makes one large.
     """
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     digest = None
@@ -88,21 +104,27 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         digest = now
         # Large star: each edge (u, v) is v's to give, and v gives u its own smallest neighbour, or itself.
-        down = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
-        large = edges.join(down, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = settle(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v"))
+        large = settle(_joined(edges, down, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        small = settle(large.groupBy("u").agg(F.min("v").alias("m")))
         before, edges = edges, settle(
-            large.join(small, "u")
+            _joined(large, small, "u", "inner")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
-        discard(before)
+        for spent in (before, down, large, small):
+            discard(spent)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _joined(big: DataFrame, small: DataFrame, on: str, how: str, most_rows: int = 200_000) -> DataFrame:
+    """join_measured for a frame that is settled already."""
+    return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+
+
 def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

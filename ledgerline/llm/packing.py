@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,21 +92,26 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def place(pieces: DataFrame, capacity: int, order: list[str], seed: int = 0) -> DataFrame:
     """pieces (length: int from 1 to capacity, and others) with sequence_id and offset.
 
-    The counts by length, at most `capacity` rows, are all that the driver sees; the rules go back as a broadcast of
-    at most a few rows for each length. An empty table stays empty.
+    A piece that fills a sequence has one of its own, numbered downwards from -1 by its place in the input, which must
+    be a written table. For the others the counts by length, less than `capacity` rows, are all that the driver sees;
+    the rules go back as a broadcast of at most a few rows for each length. An empty table stays empty. Input columns
+    must not be called sequence_id or offset.
     """
     spark = pieces.sparkSession
     counts = {int(r[0]): r[1] for r in pieces.groupBy("length").count().collect()}
     if counts and (min(counts) < 1 or max(counts) > capacity):
         raise ValueError("a piece is empty or longer than a sequence")
-    rules = spark.createDataFrame(best_fit(counts, capacity), "length long, first long, last long, base long, each long, shift long")
-    numbered = common.ordinals(pieces, ["length"], order, "_j", seed)
-    j = F.col("_j") - F.col("first")
-    return numbered.join(F.broadcast(rules), (numbered["length"] == rules["length"]) & F.col("_j").between(F.col("first"), F.col("last"))).select(
-        *[numbered[c] for c in pieces.columns],
-        (F.col("base") + F.floor(j / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("shift") + j % F.col("each") * rules["length"]).cast("long").alias("offset"),
+    alone = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    counts.pop(capacity, None)
+    rules = spark.createDataFrame(best_fit(counts, capacity), "_length long, _first long, _last long, _base long, _each long, _shift long")
+    numbered = common.ordinals(pieces.where(F.col("length") < capacity), ["length"], order, "_j", seed, common.buckets(max(counts.values(), default=0)))
+    j = F.col("_j") - F.col("_first")
+    placed = numbered.join(F.broadcast(rules), (F.col("length") == F.col("_length")) & F.col("_j").between(F.col("_first"), F.col("_last"))).select(
+        *pieces.columns,
+        (F.col("_base") + F.floor(j / F.col("_each"))).cast("long").alias("sequence_id"),
+        (F.col("_shift") + j % F.col("_each") * F.col("_length")).cast("long").alias("offset"),
     )
+    return placed.unionByName(alone)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -114,25 +120,20 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
     Null texts count as empty and give one piece with the end id. Repeated rows give repeated pieces.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for doc_id, ids in tokens.encoded(batches, path, end_id):
-            first = (len(ids) - 1) % capacity + 1
-            ends = range(first, len(ids) + 1, capacity)
-            for piece, end in enumerate(ends):
-                start = max(0, end - (capacity if piece else first))
-                rows.append((doc_id, piece, start, end - start, tokens.crc32(ids[start:end])))
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    # Ids go through as strings: pandas would make floats of those beside a null.
-    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    pieces = named.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long")
-    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, offsets, ids in tokens.encoded(batches, path, end_id):
+            sizes = np.diff(offsets)
+            n = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            first = (sizes - 1) % capacity + 1
+            start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            ends = np.append(offsets[doc] + start, offsets[-1:])
+            columns = [doc_ids.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(np.diff(ends)), pa.array(tokens.crc32s(ids, ends), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    named = docs.select(F.col("doc_id").cast("long"), "text")
+    return named.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:

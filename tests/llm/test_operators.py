@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from ledgerline.llm import ann, chat, common, html, jaccard, langid, mixing, packing, pii, quality, tokens
@@ -70,9 +72,16 @@ def test_encoder_equals_library():
     rng = random.Random(1)
     texts = [t or "" for t in ODD] + [prose(rng, 80) for _ in range(20)]
     texts += ["".join(rng.choice(list(" \n\tab'sé1!\xa0\u2003")) for _ in range(60)) for _ in range(300)] + ["<|endoftext|> a <|endoftext|>"]
-    got = tokens.Encoder(path).encode(texts)
-    for text, ids in zip(texts, got):
-        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    texts += ["a\n\nb", "\n\na b", "a\n b", " \nfoo", "foo\n\n", "foo bar\n\n baz", "a\r\nb c", "it's don't\nI'll 's", "a\t\nb c", "a \n\nb", None]
+    for own in (tokens.Encoder(path), tokens.Encoder(path)):
+        own.clear()
+        for _ in range(2):  # with words unknown, then known
+            offsets, ids = own.encode(pa.array(texts), 0)
+            for i, text in enumerate(texts):
+                assert ids[offsets[i] : offsets[i + 1]].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 0], text
+    own.cuts = False
+    assert own.encode(pa.array(texts), 0)[1].tolist() == ids.tolist()
+    assert own.encode(pa.array([], pa.string()), 0)[0].tolist() == [0]
 
 
 def library_ids(text, end):
@@ -88,8 +97,6 @@ def crc(ids):
 
 
 def test_token_files(spark, tmp_path):
-    import pyarrow.parquet as pq
-
     rng = random.Random(2)
     texts = ODD + [prose(rng, rng.randrange(1, 200)) for _ in range(60)]
     ids = list(range(0, 3 * len(texts), 3))
@@ -107,6 +114,28 @@ def test_token_files(spark, tmp_path):
     assert "DELTA_BINARY_PACKED" in column.encodings and column.has_offset_index
 
 
+def test_token_files_with_null_and_repeated_ids(spark, tmp_path):
+    texts, ids = ["b c", "a", None, "d e f", "a"], [5, None, 5, 2, None]
+    out = str(tmp_path / "t")
+    tokens.write_tokens(docs(spark, texts, ids=ids).repartition(2), out, tokens.tokenizer_path(), partitions=3)
+    held = [r for f in sorted((tmp_path / "t").glob("*.parquet")) for r in pq.read_table(f).to_pylist()]
+    rows = sorted(tokens.token_digests(spark, out).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.ids_crc32) for r in rows] == [(r["doc_id"], crc(r["tokens"])) for r in held]
+    assert [r.doc_id for r in rows] == [None, None, 2, 5, 5]
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(5)]
+
+
+def test_token_files_read_in_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "PAGE_ROWS", 20)
+    out = str(tmp_path / "t")
+    tokens.write_tokens(docs(spark, [f"word {i}" for i in range(1000)]), out, tokens.tokenizer_path(), partitions=1)
+    some = tokens.read_range(spark, out, 300, 309)
+    assert sorted(r.doc_id for r in some.collect()) == list(range(300, 310))
+    leaf = some._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() <= 60  # of 1000: the other pages are skipped
+    assert tokens.read_metadata(spark, out).columns == ["doc_id", "n_tokens"]
+
+
 def test_token_files_empty(spark, tmp_path):
     out = str(tmp_path / "t")
     tokens.write_tokens(docs(spark, []), out, tokens.tokenizer_path())
