@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 PART = "struct<type:string,text:string,ref:string,size:bigint>"
 #: type -> (least tokens, size units for one token more): image in pixels, audio in milliseconds, document in characters.
 EXPANSION = {"image": (85, 784), "audio": (1, 40), "document": (1, 4)}
@@ -53,52 +55,53 @@ def expanded(part: Column) -> Column:
     return out.cast("long")
 
 
+ITEM = "struct<shown:string,type:string,ref:string,tokens:bigint,train:boolean>"
+
+
 def format_chat(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, content) -> conv_id, n_turns, formatted, loss_mask, attachments, expanded_tokens."""
-    gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("content", F.array().cast(f"array<{PART}>")).alias("content")))).alias("_t"))
-    blank = F.array().cast("array<struct<n:bigint,type:string,ref:string,tokens:bigint>>")
-    spans = F.array().cast("array<struct<start:int,end:int>>")
+    """turns (conv_id, turn, role, content) -> conv_id, n_turns, formatted, loss_mask, attachments, expanded_tokens.
+
+    The visitor makes one list of items (marks, texts, attachments) of all turns; numbers and places of items are
+    running sums over it, so the time hardly grows faster than the conversation.
+    """
+    content = F.coalesce("content", F.array().cast(f"array<{PART}>"))
+    gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("content")))).alias("_t"))
+
+    def item(shown: Column, kind: Column, ref: Column, tokens: Column, train: Column) -> Column:
+        return F.struct(shown.alias("shown"), kind.alias("type"), ref.alias("ref"), tokens.alias("tokens"), train.alias("train"))
+
+    def mark(text: Column) -> Column:
+        return item(text, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(False))
 
-    def visit_part(acc: Column, p: Column) -> Column:
+    def visit_part(p: Column, train: Column) -> Column:
         attached = F.coalesce(p["type"], F.lit("text")) != "text"
-        n = F.size(acc["attachments"]) + 1
-        shown = F.when(attached, F.concat(F.lit("<"), F.coalesce(p["type"], F.lit("")), F.lit(":"), n.cast("string"), F.lit(">"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
-        record = F.struct(n.cast("bigint").alias("n"), p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens"))
-        own = F.when(acc["train"] & ~attached & (F.length(shown) > 0), F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(shown)).alias("end")))).otherwise(spans)
-        return F.struct(
-            (acc["at"] + F.length(shown)).alias("at"),
-            F.concat(acc["out"], F.array(shown)).alias("out"),
-            F.when(attached, F.concat(acc["attachments"], F.array(record))).otherwise(acc["attachments"]).alias("attachments"),
-            F.concat(acc["spans"], own).alias("spans"),
-            acc["train"].alias("train"),
-        )
+        return item(F.when(~attached, escape(F.coalesce(p["text"], F.lit("")))), F.when(attached, p["type"]), p["ref"], expanded(p), train & ~attached)
+
+    def visit_turn(t: Column) -> Column:
+        head = mark(F.concat(F.lit("<turn:"), escape_role(t["role"]), F.lit(">\n")))
+        return F.concat(F.array(head), F.transform(t["content"], lambda p: visit_part(p, t["role"] == "assistant")), F.array(mark(F.lit("</turn>\n")))).cast(f"array<{ITEM}>")
 
-    def visit_turn(acc: Column, t: Column) -> Column:
-        head = F.concat(F.lit("<turn:"), escape_role(t["role"]), F.lit(">\n"))
-        tail = "</turn>\n"
-        inside = F.aggregate(
-            t["content"],
-            F.struct(
-                (acc["at"] + F.length(head)).alias("at"),
-                F.concat(acc["out"], F.array(head)).alias("out"),
-                acc["attachments"].alias("attachments"),
-                acc["spans"].alias("spans"),
-                (t["role"] == "assistant").alias("train"),
-            ),
-            visit_part,
+    def out(items: Column, numbers: Column, shown: Column, ends: Column) -> Column:
+        span = lambda x, i: F.struct((F.get(ends, i) - F.length(F.get(shown, i))).alias("start"), F.get(ends, i).alias("end"), x["train"].alias("train"))
+        spans = F.filter(F.transform(items, span), lambda s: s["train"] & (s["end"] > s["start"]))
+        record = lambda x, i: F.struct(F.get(numbers, i).cast("bigint").alias("n"), x["type"].alias("type"), x["ref"].alias("ref"), x["tokens"].alias("tokens"))
+        return F.struct(
+            F.array_join(shown, "").alias("formatted"),
+            F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss_mask"),
+            F.filter(F.transform(items, record), lambda r: r["type"].isNotNull()).alias("attachments"),
+            F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc + x["tokens"]).alias("expanded_tokens"),
         )
-        return F.transform(F.array(inside), lambda x: F.struct((x["at"] + len(tail)).alias("at"), F.concat(x["out"], F.array(F.lit(tail))).alias("out"), x["attachments"].alias("attachments"), x["spans"].alias("spans"), F.lit(False).alias("train")))[0]
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), blank.alias("attachments"), spans.alias("spans"), F.lit(False).alias("train"))
-    done = gathered.withColumn("_v", F.aggregate("_t", start, visit_turn))
-    return done.select(
-        "conv_id",
-        F.size("_t").cast("long").alias("n_turns"),
-        F.array_join("_v.out", "").alias("formatted"),
-        F.col("_v.spans").alias("loss_mask"),
-        F.col("_v.attachments").alias("attachments"),
-        F.aggregate("_v.attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"),
+    add = lambda a, b: a + b
+    number = lambda items: common.running(F.transform(items, lambda x: F.when(x["type"].isNotNull(), 1).otherwise(0)), add, F.lit(0))
+    show = lambda items, n: F.transform(items, lambda x, i: F.coalesce(x["shown"], F.concat(F.lit("<"), escape_role(x["type"]), F.lit(":"), F.get(n, i).cast("string"), F.lit(">"))))
+    place = lambda shown: common.running(F.transform(shown, F.length), add, F.lit(0))
+    visited = common.bind(
+        F.flatten(F.transform("_t", visit_turn)),
+        lambda items: common.bind(number(items), lambda n: common.bind(show(items, n), lambda shown: common.bind(place(shown), lambda ends: out(items, n, shown, ends)))),
     )
+    done = gathered.select("conv_id", F.size("_t").cast("long").alias("n_turns"), visited.alias("_v"))
+    return done.select("conv_id", "n_turns", "_v.formatted", "_v.loss_mask", "_v.attachments", "_v.expanded_tokens")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -115,7 +118,7 @@ def read_turns(formatted: Column) -> Column:
 
 def masked_text(formatted: Column, mask: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(mask, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    return common.bind(common.blocks(formatted), lambda b: F.array_join(F.transform(mask, lambda s: unescape(common.cut(b, s["start"], s["end"]))), ""))
 
 
 def digests(out: DataFrame) -> DataFrame:

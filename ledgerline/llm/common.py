@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,11 +29,19 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Hand whole texts to Python workers in batches of few rows, so that long ones fit a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20) -> None:
+    """Hand whole texts to Python workers in batches of few rows and bytes, so that long ones fit a worker's memory.
+
+    Spark has these limits for a session only, not for a plan; they are lowered, never raised.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key))
+        if not now.lstrip("-").isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))
+
+
+#: Where settled frames are that nothing has deleted.
+_kept: list[str] = []
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -42,14 +50,31 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    _kept.append(path)
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled frame that nothing will read again."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df._settled_at)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    remove(df.sparkSession, df._settled_at)
+    _kept.remove(df._settled_at)
+
+
+def mark() -> int:
+    return len(_kept)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the settled frames since a mark, once what reads them is written."""
+    for path in _kept[since:]:
+        remove(spark, path)
+    del _kept[since:]
 
 
 def join_measured(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, most_rows: int = 200_000) -> DataFrame:
@@ -128,3 +153,45 @@ def _joined(big: DataFrame, small: DataFrame, on: str, how: str, most_rows: int
 
 def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+# --- arrays in a row, in time that grows hardly faster than they do
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """The array of what combine (associative, neutral at zero) makes of values[0 .. i].
+
+    Appending to an array copies it, so one fold over n values would take n * n steps; folds over stretches of about
+    the root of n, and one over the stretches, take n * sqrt(n) plain copies of small numbers.
+    """
+
+    def within(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        stretches = F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / size).cast("int")), lambda k: F.slice(v, k * size + 1, size))
+        step = lambda acc, x: F.array_append(acc, combine(F.coalesce(F.element_at(acc, -1), zero), x))
+        folded = F.transform(stretches, lambda s: F.aggregate(F.slice(s, 2, F.size(s)), F.slice(s, 1, 1), step))
+        before = lambda f: F.aggregate(f, F.array(zero), lambda acc, s: F.array_append(acc, combine(F.element_at(acc, -1), F.element_at(s, -1))))
+        return bind(folded, lambda f: bind(before(f), lambda b: F.flatten(F.transform(f, lambda s, k: F.transform(s, lambda x: combine(F.get(b, k), x))))))
+
+    return bind(values, lambda v: F.when(F.size(v) > 0, within(v)).otherwise(v))
+
+
+#: Code points in a block.
+BLOCK = 4_096
+
+
+def blocks(text: Column) -> Column:
+    """A text as an array of blocks, so that cutting far inside it needs no walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(of: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text in blocks."""
+    some = F.sequence((start / BLOCK).cast("int"), ((end - 1) / BLOCK).cast("int"))
+    piece = lambda k: F.substring(F.get(of, k), F.greatest(start - k * BLOCK, F.lit(0)) + 1, F.least(end - k * BLOCK, F.lit(BLOCK)) - F.greatest(start - k * BLOCK, F.lit(0)))
+    return F.when(end > start, F.array_join(F.transform(some, piece), "")).otherwise("")
