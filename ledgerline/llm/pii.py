@@ -1,11 +1,13 @@
 r"""Personal data in texts, by weak supervision, in DataFrame expressions only.
 
-Candidates are spans of five kinds: email, ip, card, phone, and secret (a long run of letters and digits). Three
-labelers vote on each: a regex labeler (the strict form of the kind), a gazetteer labeler (domain ends, issuer and
-country prefixes, public address ranges, key prefixes) and a context labeler (what the 32 characters before say).
-Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability for each kind, and a
-logistic span classifier is trained on the candidates' features with the resulting beliefs as soft labels. Spans of the
-base rules always stay; the classifier may add others.
+Candidates are spans of five kinds: email, ip, card, phone, and secret (a long run of letters and digits). Besides the
+matches of the base rules, those that fail them count, and so do spelled-out addresses (`me at x dot org` in brackets)
+and phone numbers in national form. Three labelers vote on each candidate, each from something else: a regex labeler
+from the span's own form, a gazetteer labeler from lists (domain ends, issuer and country prefixes, private address
+ranges, key prefixes) and a context labeler from the words before it. Expectation-maximisation over the counts of vote
+patterns estimates each labeler's reliability for each kind, and a logistic span classifier is trained on the
+candidates' features with the resulting beliefs as soft labels. Spans of the base rules always stay; the classifier
+adds any other candidate that it gives a probability of ADD_AT or more, whatever a single labeler says.
 
 Base rules, leftmost and non-overlapping for each kind, failing matches dropped without another try:
 email `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+`; ip four numbers of at most 255; card 14 to 19 digits, each
@@ -14,8 +16,9 @@ below say the same without repeated groups, on which Java's matcher would run ou
 start for each run of characters, so that a long run takes linear time.
 
 Null and empty texts have no spans. Positions are code points, ends are exclusive. Repeated rows are judged each for
-itself; ties of start are ordered by kind, then end. Empty tables give empty results. Only counts by vote pattern and
-by feature pattern, both of fixed size, reach the driver.
+itself; ties of start are ordered by kind, then end. The context of a span is what stands between it and the span of
+its own form before it, at most 32 characters. Empty tables give empty results; extra columns stay, whatever their
+names. Only counts by vote pattern and by feature pattern, both of fixed size, reach the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ BASE = KINDS[:4]
 DOMAIN_ENDS = "com org net edu gov io co info biz de fr es it nl uk us eu ch at be pl se no dk fi pt ru cn jp in br mx ca au"
 COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 354 358 380 420"
 ISSUERS = "4 51 52 53 54 55 22 23 24 25 26 27 34 37 36 38 30 6011 65 35 62"
+TRUNK_PREFIXES = "0 800 888 877 866 855 844 833 900"
 SECRET_PREFIXES = "sk- pk- ghp_ gho_ xoxb- xoxp- AKIA ASIA AIza glpat-"
 CONTEXT = {
     "email": "mail contact write to @",
@@ -54,144 +58,178 @@ def _words(text: str, end: str = "") -> str:
 
 
 LOCAL = "[A-Za-z0-9._%+-]"
-#: kind -> (what is searched, pattern). In the first, characters that no match can hold are replaced one for one.
-SEARCH = {
-    "email": (
-        lambda t: F.regexp_replace(t, r"(?<![A-Za-z0-9-])\.|\.(?![A-Za-z0-9-])", "%"),
-        rf"(?:(?<!{LOCAL})|\G){LOCAL}+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+",
-    ),
-    "ip": (lambda t: t, r"(?:(?<![0-9])|\G)[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
-    "card": (lambda t: F.regexp_replace(t, r"(?<![0-9])[ -]|[ -](?![0-9])", "x"), r"[0-9][0-9 -]*[0-9]"),
-    "phone": (lambda t: t, r"\+[0-9][ ().0-9-]+[0-9]"),
-    "secret": (lambda t: t, r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,40}[0-9])(?=[0-9_-]{0,40}[A-Za-z])[A-Za-z0-9_-]{20,}"),
+#: form -> (kind, what a text needs, what is searched, pattern). A text without what is needed (one of some signs, or a
+#: short pattern) has no candidate and is not searched. In what is searched, characters that no match can hold are
+#: replaced one for one.
+FORMS = {
+    "email": (0, ("@",), lambda t: F.regexp_replace(t, r"(?<![A-Za-z0-9-])\.|\.(?![A-Za-z0-9-])", "%"), rf"(?:(?<!{LOCAL})|\G){LOCAL}+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"),
+    "ip": (1, r"[0-9]\.[0-9]+\.[0-9]", lambda t: t, r"(?:(?<![0-9])|\G)[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    "card": (2, "[0-9][0-9 -]{11}", lambda t: F.regexp_replace(t, r"(?<![0-9])[ -]|[ -](?![0-9])", "x"), r"[0-9][0-9 -]*[0-9]"),
+    "phone": (3, ("+",), lambda t: t, r"\+[0-9][ ().0-9-]+[0-9]"),
+    "secret": (4, "[A-Za-z0-9_-]{20}", lambda t: t, r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}"),
+    # Any run of digits and phone signs; which of them are national numbers is told afterwards.
+    "national": (3, "[0-9][0-9 ().-]{6}", lambda t: t, r"[+(]?[0-9][0-9 ().-]*[0-9]"),
+    "spelled": (0, ("(at)", "[at]"), lambda t: t, rf"{LOCAL}+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+){{1,4}}"),
 }
-#: Without this a text has no match, and is not searched.
-NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+MARK = "\u0001"
+NONE = "array<struct<start:int,end:int,m:string,before:string>>"
 
 
-def matches(text: Column, kind: str) -> tuple[Column, Column]:
-    """The matches of a kind, and the pieces of text around them, one more."""
-    look, pattern = SEARCH[kind]
-    empty = F.array().cast("array<string>")
-    if kind in NEEDS:
-        has = F.contains(text, F.lit(NEEDS[kind]))
-        return F.when(has, F.regexp_extract_all(look(text), F.lit(pattern), F.lit(0))).otherwise(empty), F.when(has, F.split(look(text), pattern, -1)).otherwise(empty)
-    return F.regexp_extract_all(look(text), F.lit(pattern), F.lit(0)), F.split(look(text), pattern, -1)
+def placed(text: Column, form: str) -> Column:
+    """The matches of a form: array of (start, end, m, before), before being at most 32 characters since the last match.
+
+    One pass of the pattern sets marks around the matches; the text is then split at the marks, and running sums of the
+    pieces' lengths tell where they stand.
+    """
+    _, needed, look, pattern = FORMS[form]
+    unmarked = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(text)
+    pieces = F.split(F.regexp_replace(look(unmarked), f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
+
+    def spans(p: Column, ends: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))
+        return F.transform(at, lambda i: F.struct(F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end"), F.get(p, i).alias("m"), F.right(F.get(p, i - 1), F.lit(32)).alias("before")))
+
+    ends = lambda p: common.running(F.transform(p, F.length), lambda a, b: a + b, F.lit(0))
+    found = common.bind(pieces, lambda p: F.when(F.size(p) > 2, common.bind(ends(p), lambda e: spans(p, e))).otherwise(F.array().cast(NONE)))
+    has = text.rlike(needed) if isinstance(needed, str) else F.contains(text, F.lit(needed[0]))
+    for sign in needed[1:] if isinstance(needed, tuple) else ():
+        has = has | F.contains(text, F.lit(sign))
+    return F.when(has, found).otherwise(F.array().cast(NONE))
 
 
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def passes(kind: str, m: Column) -> Column:
-    """The regex labeler: does a match have the strict form of its kind?"""
+def base(form: str, m: Column) -> Column:
+    """Does a match pass the base rule of its kind?"""
     d = digits(m)
-    if kind == "email":
+    if form == "email":
         return F.lit(True)
-    if kind == "ip":
+    if form == "ip":
         return m.rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$")
-    if kind == "card":
+    if form == "card":
         return F.when(F.length(d).between(14, 19), F.call_function("luhn_check", d)).otherwise(F.lit(False))
-    if kind == "phone":
+    if form == "phone":
         return F.length(d).between(10, 15)
-    return m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | m.rlike("^" + _words(SECRET_PREFIXES))
-
-
-def listed(kind: str, m: Column) -> Column:
-    """The gazetteer labeler."""
-    if kind == "email":
-        return F.lower(m).rlike(r"\." + _words(DOMAIN_ENDS, "$"))
-    if kind == "ip":
-        return ~m.rlike(r"^(?:0|10|127|255)\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.")
-    if kind == "card":
-        return digits(m).rlike("^" + _words(ISSUERS))
-    if kind == "phone":
-        return digits(m).rlike("^" + _words(COUNTRY_CODES))
-    return m.rlike("^" + _words(SECRET_PREFIXES))
-
-
-def worth(spans: Column, kind: str) -> Column:
-    """A run of few digits is a number like any other, no card candidate; nor is a short one with a plus a phone."""
-    few = {"card": 13, "phone": 7}.get(kind, 0)
-    return F.filter(spans, lambda s: F.length(digits(s["m"])) >= few) if few else spans
-
-
-def judge(i: int, kind: str, text: Column):
-    """What becomes of a span (start, end, m) of text: its votes and features."""
+    return F.lit(False)
+
+
+def worth(form: str, s: Column) -> Column:
+    """Is a match a candidate? A run of few digits is a number like any other, as is one that no phone would be written as."""
+    m = s["m"]
+    if form == "card":
+        return F.length(digits(m)) >= 13
+    if form == "phone":
+        return F.length(digits(m)) >= 7
+    if form == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+    if form == "national":
+        return m.rlike(r"^(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ -])[0-9]{3,5}[ -]?[0-9]{2,5}$") & F.length(digits(m)).between(8, 12) & ~F.substring(s["before"], -1, 1).rlike(r"[A-Za-z0-9+)]") & ~s["before"].rlike(r"\+[0-9]{1,3} ?$")
+    return F.lit(True)
+
+
+def formed(form: str, m: Column) -> Column:
+    """The regex labeler: how well formed is the span in itself? 1, 0 (cannot say) or -1."""
+    d, yes = digits(m), lambda c: F.when(c, 1).otherwise(-1)
+    if form == "email":
+        return yes(m.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?!-)[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}$") & ~m.contains("..") & ~m.contains(".@"))
+    if form == "ip":
+        return yes(base(form, m) & ~m.rlike(r"(?:^|\.)0[0-9]"))
+    if form == "card":
+        return yes(base(form, m) & m.rlike(r"^(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -][0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$"))
+    if form == "phone":
+        return yes(base(form, m) & ~d.rlike("^([0-9])\\1*$"))
+    if form == "national":
+        return yes(m.rlike(r"^(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}$|^0[0-9]{2,4}[ -][0-9]{3,5}[ -]?[0-9]{2,5}$"))
+    if form == "spelled":
+        return yes(m.rlike(r"(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,24}$"))
+    mixed = m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9].*[0-9]")
+    return yes(m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | mixed)
+
+
+def listed(form: str, m: Column) -> Column:
+    """The gazetteer labeler: 1, 0 (not on a list that says something) or -1."""
+    yes = lambda c: F.when(c, 1).otherwise(-1)
+    if form in ("email", "spelled"):
+        return yes(F.lower(m).rlike(r"(?:\.|[\])] ?)" + _words(DOMAIN_ENDS, "$")))
+    if form == "ip":
+        return yes(~m.rlike(r"^(?:0|10|127|255)\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\."))
+    if form == "card":
+        return yes(digits(m).rlike("^" + _words(ISSUERS)))
+    if form == "phone":
+        return yes(digits(m).rlike("^" + _words(COUNTRY_CODES)))
+    if form == "national":
+        return F.when(digits(m).rlike("^" + _words(TRUNK_PREFIXES)), 1).otherwise(0)
+    return F.when(m.rlike("^" + _words(SECRET_PREFIXES)), 1).otherwise(0)
+
+
+def told(kind: str, before: Column) -> Column:
+    """The context labeler: 1, 0 (nothing said) or -1, from the words before."""
+    low = F.lower(before)
+    return F.when(low.rlike(r"\b" + _words(AGAINST) + r"\b[^A-Za-z]*[A-Za-z]{0,8}[^A-Za-z]*$"), -1).when(low.rlike(r"(?<![a-z])" + _words(CONTEXT[kind]) + r"(?![a-z])"), 1).otherwise(0)
+
+
+def judge(form: str):
+    """What becomes of a span (start, end, m, before): its votes and features."""
+    i = FORMS[form][0]
 
     def judged(s: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32))))
-        context = F.when(before.rlike(r"\b" + _words(AGAINST)), -1).when(before.rlike(_words(CONTEXT[kind])), 1).otherwise(0)
-        ok = passes(kind, s["m"])
-        vote = lambda c: F.when(c, 1).otherwise(-1)
         return F.struct(
             s["start"].alias("start"),
             F.lit(i).alias("kind"),
             s["end"].alias("end"),
-            (ok if kind in BASE else F.lit(False)).alias("base"),
-            vote(ok).alias("regex"),
-            vote(listed(kind, s["m"])).alias("gazetteer"),
-            context.alias("context"),
+            base(form, s["m"]).alias("base"),
+            F.lit(list(FORMS).index(form)).alias("form"),
+            formed(form, s["m"]).alias("regex"),
+            listed(form, s["m"]).alias("gazetteer"),
+            told(KINDS[i], s["before"]).alias("context"),
             F.least(F.floor((s["end"] - s["start"]) / 8), F.lit(6)).cast("int").alias("size"),
         )
 
     return judged
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans: array of (start, kind, end, base, regex, gazetteer, context, size), ordered by start, kind, end."""
-    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    parts = []
-    for i, kind in enumerate(KINDS):
-        m, pieces = matches(F.col("_t"), kind)
-        out = out.withColumn(f"_m{i}", m).withColumn(f"_p{i}", pieces)
-        step = F.transform(F.arrays_zip(F.col(f"_m{i}").alias("m"), F.slice(F.col(f"_p{i}"), 1, F.size(f"_m{i}")).alias("p")), lambda x: F.struct(x["m"].alias("m"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("size")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("spans"))
-        placed = F.aggregate(
-            step,
-            start,
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + x["size"]).alias("at"),
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["m"].alias("m")))).alias("spans"),
-            ),
-            lambda acc: acc["spans"],
-        )
-        out = out.withColumn(f"_s{i}", F.when(F.size(f"_m{i}") > 0, placed).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))).drop(f"_m{i}", f"_p{i}")
-        parts.append(F.transform(worth(F.col(f"_s{i}"), kind), judge(i, kind, F.col("_t"))))
-    out = out.withColumn("_spans", F.array_sort(F.concat(*parts)))
-    return out.drop("_t", *(f"_s{i}" for i in range(len(KINDS))))
+def candidates(text: Column) -> Column:
+    """Array of (start, kind, end, base, form, regex, gazetteer, context, size) of a text, ordered by start, kind, end."""
+    text = F.coalesce(text, F.lit(""))
+    parts = [F.transform(F.filter(placed(text, form), lambda s: worth(form, s)), judge(form)) for form in FORMS]  # noqa: B023
+    return F.array_sort(F.concat(*parts))
 
 
 LABELERS = ("regex", "gazetteer", "context")
-#: Starting reliabilities, and the bounds that keep the two classes from changing places.
+#: Starting rates of right votes, and bounds that keep the two classes from changing places.
 START, LOW, HIGH = {"regex": 0.9, "gazetteer": 0.75, "context": 0.7}, 0.55, 0.99
 
 
 def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> tuple[dict, dict]:
-    """patterns (kind, votes, count) -> belief for each (kind, votes), and reliability for each (kind, labeler).
+    """patterns (kind, votes, count) -> belief for each (kind, votes), and (right on true, right on false) for each
+    (kind, labeler): how often a labeler votes for a span that is personal data, and against one that isn't.
 
     Labelers err independently given the truth; a vote of 0 abstains and says nothing. Counts weigh patterns, with two
-    imagined votes of the starting reliability for each labeler.
+    imagined votes of the starting rate for each labeler and class.
     """
     beliefs, known = {}, {}
-    for kind in {k for k, _, _ in patterns}:
+    for kind in sorted({k for k, _, _ in patterns}):
         own = [(v, n) for k, v, n in patterns if k == kind]
-        rate, share = dict(START), 0.5
+        hit, miss, share = dict(START), dict(START), 0.5
         for _ in range(rounds):
             for votes, _n in own:
                 yes, no = math.log(share), math.log(1 - share)
                 for name, v in zip(LABELERS, votes, strict=True):
                     if v:
-                        yes += math.log(rate[name] if v > 0 else 1 - rate[name])
-                        no += math.log(1 - rate[name] if v > 0 else rate[name])
+                        yes += math.log(hit[name] if v > 0 else 1 - hit[name])
+                        no += math.log(1 - miss[name] if v > 0 else miss[name])
                 beliefs[kind, votes] = 1 / (1 + math.exp(min(700, max(-700, no - yes))))
             for i, name in enumerate(LABELERS):
-                right = sum(n * (beliefs[kind, v] if v[i] > 0 else 1 - beliefs[kind, v]) for v, n in own if v[i])
-                cast = sum(n for v, n in own if v[i])
-                rate[name] = min(HIGH, max(LOW, (right + 2 * START[name]) / (cast + 2)))
+                cast = [(v[i] > 0, n, beliefs[kind, v]) for v, n in own if v[i]]
+                for rates, right, weight in ((hit, True, lambda p: p), (miss, False, lambda p: 1 - p)):
+                    all_ = sum(n * weight(p) for _, n, p in cast)
+                    good = sum(n * weight(p) for up, n, p in cast if up == right)
+                    rates[name] = min(HIGH, max(LOW, (good + 2 * START[name]) / (all_ + 2)))
             share = min(0.95, max(0.05, (sum(n * beliefs[kind, v] for v, n in own) + 1) / (sum(n for _, n in own) + 2)))
-        known |= {(kind, name): r for name, r in rate.items()}
+        known |= {(kind, name): (hit[name], miss[name]) for name in LABELERS}
     return beliefs, known
 
 
@@ -216,24 +254,29 @@ def train(rows: list[tuple[int, tuple[int, ...], int, int]], beliefs: dict, roun
 
 
 def learn(found: DataFrame) -> dict[tuple[int, tuple[int, ...], int], float]:
-    """Probability of each feature pattern (kind, votes, size) among the candidates of found (_spans)."""
+    """Probability of each feature pattern (form, votes, size) among the candidates of found (_spans).
+
+    Reliabilities are estimated by kind, so the forms of a kind share what is known of its labelers.
+    """
     s = found.select(F.explode("_spans").alias("s"))
-    rows = s.groupBy("s.kind", "s.regex", "s.gazetteer", "s.context", "s.size").count().orderBy("kind", "regex", "gazetteer", "context", "size").collect()
-    rows = [(r.kind, (r.regex, r.gazetteer, r.context), r["size"], r["count"]) for r in rows]
+    keys = ["kind", "form", "regex", "gazetteer", "context", "size"]
+    rows = s.groupBy(*(f"s.{k}" for k in keys)).count().orderBy(*keys).collect()
+    kind = {r.form: r.kind for r in rows}
+    rows = [(r.form, (r.regex, r.gazetteer, r.context), r["size"], r["count"]) for r in rows]
     by_votes: dict[tuple, int] = {}
-    for kind, votes, _, n in rows:
-        by_votes[kind, votes] = by_votes.get((kind, votes), 0) + n
+    for form, votes, _, n in rows:
+        by_votes[kind[form], votes] = by_votes.get((kind[form], votes), 0) + n
     beliefs, _ = reliabilities([(k, v, n) for (k, v), n in by_votes.items()])
-    weights = train(rows, beliefs)
-    return {(k, v, z): 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(x, 0.0) for x in features(k, v, z)))))) for k, v, z, _ in rows}
+    weights = train(rows, {(f, v): beliefs[kind[f], v] for f, v, _, _ in rows})
+    return {(f, v, z): 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(x, 0.0) for x in features(f, v, z)))))) for f, v, z, _ in rows}
 
 
-def accepted(found: DataFrame, model: dict, add_at: float = ADD_AT) -> DataFrame:
-    """found with spans: the base spans and those that the classifier adds, (start, kind, end) in order."""
-    extra = [k * 1000 + (v[0] + 1) * 100 + (v[1] + 1) * 30 + (v[2] + 1) * 10 + z for (k, v, z), p in model.items() if p >= add_at and v[0] > 0]
-    code = lambda s: s["kind"] * 1000 + (s["regex"] + 1) * 100 + (s["gazetteer"] + 1) * 30 + (s["context"] + 1) * 10 + s["size"]
-    kept = F.filter("_spans", lambda s: s["base"] | (code(s).isin(extra) if extra else F.lit(False)))
-    return found.withColumn("spans", F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))).drop("_spans")
+def accepted(spans: Column, model: dict, add_at: float = ADD_AT) -> Column:
+    """(start, kind, end, base) of the base spans among candidates and of those that the classifier adds."""
+    extra = [f * 1000 + (v[0] + 1) * 100 + (v[1] + 1) * 30 + (v[2] + 1) * 10 + z for (f, v, z), p in model.items() if p >= add_at]
+    code = lambda s: s["form"] * 1000 + (s["regex"] + 1) * 100 + (s["gazetteer"] + 1) * 30 + (s["context"] + 1) * 10 + s["size"]
+    kept = F.filter(spans, lambda s: s["base"] | (code(s).isin(extra) if extra else F.lit(False)))
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
 
 
 def joined(spans: Column) -> Column:
@@ -243,23 +286,25 @@ def joined(spans: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans of every row of docs (doc_id, text)."""
-    found = common.settle(candidates(docs.select("doc_id", "text")).select("doc_id", "_spans"))
-    return accepted(found, learn(found))
+    found = common.settle(docs.select("doc_id", candidates(F.col("text")).alias("_spans")))
+    return found.select("doc_id", accepted(F.col("_spans"), learn(found)).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets; of a span that reaches beyond those before it, the rest."""
-    columns = docs.columns
-    found = candidates(docs)
-    marked = accepted(found, learn(found.select("_spans")))
+    """docs with every span of text replaced by its kind in brackets; of a span that reaches beyond those before it, the
+    rest. Null texts stay null. Other columns stay as they are, whatever their names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    found = common.settle(docs.select(row, candidates(F.col("text")).alias("_spans")))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    pieces = F.aggregate(
-        "spans",
-        start,
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.get(names, s["kind"]))).alias("out"))
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    return marked.withColumn("text", F.when(F.size("spans") > 0, pieces).otherwise(F.col("text"))).select(*columns)
+    text = F.col("_row.text")
+
+    def written(spans: Column, tops: Column, of: Column) -> Column:
+        """tops: how far the spans up to each one reach."""
+        before = lambda i: F.when(i > 0, F.get(tops, i - 1)).otherwise(0)
+        piece = lambda s, i: F.when(s["end"] > before(i), F.concat(common.cut(of, before(i), s["start"]), F.get(names, s["kind"]))).otherwise("")
+        return F.concat(F.array_join(F.transform(spans, piece), ""), common.cut(of, F.element_at(tops, -1), F.length(text)))
+
+    reach = lambda spans: common.running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+    clean = common.bind(F.col("_kept"), lambda s: F.when(F.size(s) > 0, common.bind(reach(s), lambda tops: common.bind(common.blocks(text), lambda of: written(s, tops, of)))).otherwise(text))
+    done = found.select("_row", accepted(F.col("_spans"), learn(found)).alias("_kept")).select("_row", clean.alias("_clean"))
+    return done.select(*(F.col("_clean").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import ann, chat, common, html, jaccard, langid, mixing, packing, pii, quality, tokens
 
@@ -409,6 +411,71 @@ def test_pii_redacts_overlaps(spark):
     assert out == ["from [IP][CARD] ok", "[PHONE][EMAIL]", "call [PHONE][EMAIL] or [IP] ok", "[EMAIL]"]
 
 
+def direct_em(votes, rounds=50):
+    """The same model, one candidate at a time."""
+    start = (0.9, 0.75, 0.7)
+    hit, miss, share = list(start), list(start), 0.5
+    clip = lambda x: min(0.99, max(0.55, x))
+    for _ in range(rounds):
+        belief = []
+        for v in votes:
+            p, q = share, 1 - share
+            for i, x in enumerate(v):
+                if x:
+                    p, q = p * (hit[i] if x > 0 else 1 - hit[i]), q * (1 - miss[i] if x > 0 else miss[i])
+            belief.append(p / (p + q))
+        for i in range(3):
+            cast = [(v[i], p) for v, p in zip(votes, belief) if v[i]]
+            hit[i] = clip((sum(p for x, p in cast if x > 0) + 2 * start[i]) / (sum(p for _, p in cast) + 2))
+            miss[i] = clip((sum(1 - p for x, p in cast if x < 0) + 2 * start[i]) / (sum(1 - p for _, p in cast) + 2))
+        share = min(0.95, max(0.05, (sum(belief) + 1) / (len(votes) + 2)))
+    return belief
+
+
+def test_pii_reliabilities_equal_direct_em():
+    rng = random.Random(31)
+    truth = [rng.random() < 0.4 for _ in range(500)]
+    votes = [tuple(0 if rng.random() < gap else (1 if t == (rng.random() < right) else -1) for gap, right in ((0, 0.95), (0.1, 0.8), (0.5, 0.9))) for t in truth]
+    beliefs, known = pii.reliabilities([(2, v, n) for v, n in Counter(votes).items()])
+    want = direct_em(votes)
+    assert all(abs(beliefs[2, v] - p) < 1e-9 for v, p in zip(votes, want))
+    assert sum((p > 0.5) == t for p, t in zip(want, truth)) > 450 and known[2, "regex"][0] > 0.85
+
+
+def test_pii_classifier_on_held_out_spans(spark):
+    """Keys that context names are learnt on half of the texts and found on the other half; plain codes are left alone."""
+    rng = random.Random(32)
+    code = lambda: "".join(rng.choice("abcdefXYZ0123456789") for _ in range(28)) + "aB1x2"
+    rows = [(f"api key: {code()} {prose(rng, 15)}", True) for _ in range(60)] + [(f"see version {'v' + code().lower()[:23] + '0a'} {prose(rng, 15)}", False) for _ in range(60)]
+    rng.shuffle(rows)
+    df = docs(spark, [t for t, _ in rows]).withColumn("_spans", pii.candidates(F.col("text")))
+    model = pii.learn(df.where("doc_id % 2 = 0"))
+    got = {r.doc_id: r.n for r in df.where("doc_id % 2 = 1").select("doc_id", F.size(pii.accepted(F.col("_spans"), model)).alias("n")).collect()}
+    assert {i: n > 0 for i, n in got.items()} == {i: rows[i][1] for i in got}
+
+
+def test_pii_classifier_adds_other_kinds(spark):
+    rng = random.Random(33)
+    texts = [f"call us, phone (212) 555-{rng.randrange(1000, 10000)} {prose(rng, 9)}" for _ in range(40)] + [f"mail jo{i}@x.org or write to me{i} (at) site{i} (dot) org {prose(rng, 9)}" for i in range(40)]
+    texts += ["from 1995-01-02 to 2001-11-04, 12 345 678 rows of 1,000", "version 1.2.3.400 and 212-5", "12:30 17-18 3.14159265 (1) 2 3"]
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans if not s.base] for r in pii.find(docs(spark, texts)).collect()}
+    assert all([k for k, _ in found[i]] == [3] and found[i][0][1].startswith("(212)") for i in range(40)), found
+    assert all([k for k, _ in found[i]] == [0] and "(at)" in found[i][0][1] for i in range(40, 80))
+    assert not found[80] and not found[81] and not found[82]
+
+
+def test_pii_long_texts_and_clashing_columns(spark):
+    number = "4111111111111111"
+    texts = ["no " + f"{number}, " * 30_000, "a\u0001b@c.org \u0001", None]
+    df = docs(spark, texts).withColumns({c: F.lit(c) for c in ("spans", "_spans", "_row", "_kept", "a.b")})
+    start = time.time()
+    rows = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert time.time() - start < 60 and rows[0].text == "no " + "[CARD], " * 30_000
+    assert rows[1].text == "a\u0001[EMAIL] \u0001" and rows[2].text is None
+    assert all((r.spans, r._spans, r._row, r._kept, r["a.b"]) == ("spans", "_spans", "_row", "_kept", "a.b") for r in rows.values())
+    assert pii.redact(df).columns == df.columns
+
+
 # --- chat
 
 
@@ -438,6 +505,28 @@ def test_chat_parts(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    turns = spark.range(50_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('😀 <', id) AS text", "'x' AS formatted")
+    start = time.time()
+    got = chat.digests(chat.format_chat(turns.select("conv_id", "turn", "role", chat.text_parts().alias("content")))).first()
+    loss = "".join(f"😀 <{i}" for i in range(1, 50_000, 2))
+    assert time.time() - start < 60
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (50_000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_running_and_cut(spark):
+    rng = random.Random(34)
+    lists = [[rng.randrange(-9, 99) for _ in range(n)] for n in (0, 1, 2, 3, 4, 5, 10, 99, 100, 101)]
+    df = spark.createDataFrame([(x,) for x in lists], "v array<int>")
+    add, top = lambda a, b: a + b, F.greatest
+    for r in df.select("v", common.running(F.col("v"), add, F.lit(0)).alias("s"), common.running(F.col("v"), top, F.lit(-99)).alias("m")).collect():
+        assert r.s == [sum(r.v[: i + 1]) for i in range(len(r.v))] and r.m == [max(r.v[: i + 1]) for i in range(len(r.v))]
+    text = "".join(rng.choice("aé😀\n") for _ in range(9000))
+    spans = [(0, 0), (0, 9000), (4095, 4097), (4096, 8192), (5, 4096), (8999, 9000)]
+    some = spark.createDataFrame([(text, a, b) for a, b in spans], "t string, a int, b int").select(common.cut(common.blocks(F.col("t")), F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in some] == [text[a:b] for a, b in spans]
+
+
 # --- language
 
 
