@@ -1,16 +1,21 @@
 """Main text of web pages by site template removal.
 
-Each page's elements are built into a tree and each subtree is hashed. Spark counts, for each host, the pages on which a
-subtree's hash occurs; what recurs on many pages of its host is template and is deleted. What is left of the page's main
-part (its article or main element, or else its body) is read off in page order. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments that name themselves by tag, role or class go even where a host
-has too few pages to count. Prose inside the main part (paragraphs, headings, list items and so on) stays however often
-it recurs: copies of an article on a host do not make it template.
+Each page's elements are built into a tree and each subtree is hashed. Spark counts, for each host, the distinct pages
+on which a subtree's hash occurs; what recurs on many pages of its host is template and is deleted, wherever in the body
+it stands. Of blocks of links the shape counts as well, since their words differ by page. The rest of the body is the
+text. Prose inside an article or main element (paragraphs, headings, list items and so on) stays however often it
+recurs: copies of an article on a host do not make it template. Menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and comments that name themselves by tag, role or class go as well, since adverts and readers'
+comments need not recur.
+
+A host of fewer than LEAST_PAGES distinct pages shows no recurrence. There the text is that of the page's main part
+(its article or main element, or else its body), without what names itself as something else.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one
 space; nothing else is dropped or capped. Null, empty and text-less pages give an empty text. A null or odd url counts
-as a host of its own kind (the empty host). Repeated rows count as pages each. Markup may be broken: open elements are
-closed as a browser would. Empty tables give empty results.
+as a host of its own kind (the empty host). Rows of a host with the same html count as one page, so copies of a page do
+not make its article template. Markup may be broken: open elements are closed as a browser would. Empty tables give
+empty results. Extra columns stay, but input columns called text or n_chars give way to the results.
 """
 
 from __future__ import annotations
@@ -216,6 +221,12 @@ def removable(top: Node, parts: list[Node]) -> Iterator[tuple[Node, int]]:
             yield node, s ^ 0x5BD1E995
 
 
+def within_main(node: Node) -> bool:
+    while node is not None and not (node.main or node.tag == "article"):
+        node = node.parent
+    return node is not None
+
+
 def text_of(parts: list[Node], gone: set[int]) -> str:
     """White-space-normal text of the elements, without what is dropped or in gone (ids of nodes)."""
     out: list[str] = []
@@ -229,7 +240,7 @@ def text_of(parts: list[Node], gone: set[int]) -> str:
             if (x.dropped or id(x) in gone) and x is not part:
                 continue
             if x.tag == "header" and x is not part:
-                if part.tag in ("#", "body"):
+                if part.tag in ("#", "body") and not within_main(x):
                     continue
                 heads = [y for y in x.items if isinstance(y, Node) and y.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "div")]
                 stack.extend([" ", *reversed(heads), " "])
@@ -249,45 +260,57 @@ def host_of(url: str) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and gone, the hashes of its recurring subtrees. pages: host, html.
+    """host and gone, the hashes of its recurring subtrees, of hosts with LEAST_PAGES distinct pages or more.
 
-    A task sums its pages before the shuffle. A host has at most 1 / LEAST_SHARE times as many recurring hashes as a
-    page has elements, so a host's list is bounded however many pages it has.
+    pages: host, html, weight (1 / rows of the host with this html), so that sums count distinct pages. A task sums its
+    pages before the shuffle. A host has at most 1 / LEAST_SHARE times as many recurring hashes as a page has elements,
+    so a host's list is bounded however many pages it has.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(host, h) for host, text in zip(b.host, b.html, strict=True) if text for top in [parse(text)] for h in {np.uint64(h).astype(np.int64) for _, h in removable(top, main_parts(top))}]
-            yield pd.DataFrame(rows, columns=["host", "hash"]).astype({"hash": "int64"}).groupby(["host", "hash"], as_index=False).size().rename(columns={"size": "n"})
+            rows = [(host, h, w) for host, text, w in zip(b.host, b.html, b.weight, strict=True) if text for top in [parse(text)] for h in {np.uint64(h).astype(np.int64) for _, h in removable(top, main_parts(top))}]
+            yield pd.DataFrame(rows, columns=["host", "hash", "n"]).astype({"hash": "int64", "n": "float64"}).groupby(["host", "hash"], as_index=False).n.sum()
 
-    seen = pages.select("host", "html").mapInPandas(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return seen.join(sizes, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("gone"))
+    found = pages.select("host", "html", "weight").mapInPandas(count, "host string, hash long, n double")
+    seen = found.groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES - 1e-6)
+    sizes = common.settle(pages.groupBy("host").agg(F.round(F.sum("weight")).alias("pages")).where(F.col("pages") >= LEAST_PAGES))
+    gone = seen.join(sizes, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages") - 1e-6).groupBy("host").agg(F.collect_list("hash").alias("gone"))
+    return sizes.join(gone, "host", "left").select("host", F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"))
+
+
+def main_text(text: str | None, gone: frozenset[int] | None) -> str:
+    """The text of a page whose host's template is gone; None where the host shows none."""
+    if not text:
+        return ""
+    top = parse(text)
+    parts = main_parts(top)
+    if gone is None:
+        return text_of(parts, set())
+    return text_of([top], {id(n) for n, h in removable(top, parts) if h in gone} if gone else set())
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages with text and n_chars (code points)."""
-    columns = [c for c in pages.columns if c not in ("text", "n_chars")]
     common.small_batches(pages.sparkSession)
-    hosted = pages.withColumn("_host", host_of(url))
-    known = templates(hosted.select(F.col("_host").alias("host"), F.col(html).alias("html"))).withColumnRenamed("host", "_host")
-    joined = common.join_measured(hosted, known, ["_host"], "left", BROADCAST_ROWS // 10)
+    row = F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_row")
+    text = F.col(f"`{html}`")
+    hosted = pages.select(row, host_of(url).alias("_host"), F.xxhash64(text).alias("_digest"))
+    copies = hosted.groupBy("_host", "_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    weighed = common.join_measured(hosted, copies, ["_host", "_digest"], "left")
+    known = templates(weighed.select(F.col("_host").alias("host"), F.col("_row")[html].alias("html"), (1.0 / F.coalesce("_n", F.lit(1))).alias("weight")))
+    joined = common.join_measured(hosted, known.withColumnRenamed("host", "_host"), ["_host"], "left", BROADCAST_ROWS // 10)
 
     @F.pandas_udf("string")
     def read(texts: pd.Series, gone: pd.Series) -> pd.Series:
         out, sets = [], {}
-        for text, hashes in zip(texts, gone, strict=True):
-            if not text:
-                out.append("")
-                continue
-            if hashes is None or not len(hashes):
-                bad = frozenset()
-            elif (bad := sets.get(key := hashes.tobytes())) is None:
+        for own, hashes in zip(texts, gone, strict=True):
+            bad = None
+            if hashes is not None and (bad := sets.get(key := hashes.tobytes())) is None:
                 bad = sets[key] = frozenset(hashes.astype(np.uint64).tolist())
-            top = parse(text)
-            parts = main_parts(top)
-            out.append(text_of(parts, {id(n) for n, h in removable(top, parts) if h in bad} if bad else set()))
-        return pd.Series(out)
+            out.append(main_text(own, bad))
+        return pd.Series(out, dtype=object)
 
-    done = joined.withColumn("text", read(F.col(html), F.col("gone")))
-    return done.select(*columns, "text", F.length("text").cast("long").alias("n_chars"))
+    done = joined.select("_row", read(F.col("_row")[html], F.col("gone")).alias("_text"))
+    kept = [F.col("_row")[c].alias(c) for c in pages.columns if c not in ("text", "n_chars")]
+    return done.select(*kept, F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))

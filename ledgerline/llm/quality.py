@@ -1,11 +1,14 @@
 """Quality rules, and verdicts on hosts from their documents' failures.
 
 Each document is held against rules; failures are summed by host, each host's rate is drawn towards the common one by
-a beta prior that is fitted to all hosts by moments, and a document is kept if it passes the base rules and its host's
-shrunk rate stays below the limit for every rule.
+a beta prior that is fitted to all hosts by moments, and a document is kept if it passes the base rules and its host is
+not rejected. A host is rejected if for some rule its shrunk rate reaches the upper quantile of that rule's prior, that
+is, if it stands out among the hosts of this corpus; but never while fewer than LEAST_LIMIT of its documents fail, since
+most of what it has is then sound, and always from MOST_LIMIT on.
 
 Words are runs of anything but ASCII white space. Null and empty texts have no words and fail the base rules. A null
-host is a host of its own. Repeated rows count as often as they occur. An empty table gives an empty result.
+host is a host of its own. Repeated rows and rows with a null doc_id count as often as they occur. An empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stats import beta_inc
 from . import common
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: A host is rejected when its shrunk rate of failures of one rule reaches this.
-HOST_LIMIT = 0.8
+#: A host is rejected when its shrunk rate of failures of one rule reaches this quantile of the prior, kept between these.
+UPPER, LEAST_LIMIT, MOST_LIMIT = 0.95, 0.5, 0.9
 RULES = {
     "short": "n_words < 50",
     "repeated": "100 * n_repeat_words > 50 * n_words",
@@ -69,14 +73,18 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
             out = pd.DataFrame([measure(t) for t in b.text], columns=[m.split()[0] for m in METRICS.split(", ")])
             yield pd.concat([b[["doc_id", "host"]].reset_index(drop=True), out], axis=1)
 
-    out = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").mapInPandas(run, f"doc_id long, host string, {METRICS}")
+    # Ids go through as strings: pandas would make floats of those beside a null.
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
+    out = named.mapInPandas(run, f"doc_id string, host string, {METRICS}").withColumn("doc_id", F.col("doc_id").cast("long"))
     return out.withColumns({f"fail_{name}": F.expr(rule) for name, rule in RULES.items()})
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """host, n_docs and shrunk_<rule>: (failures + a) / (documents + a + b) under the prior Beta(a, b) of that rule.
+    """host, n_docs, and for each rule shrunk_<rule>, (failures + a) / (documents + a + b) under its prior Beta(a, b), and
+    limit_<rule>.
 
     The prior has the mean of all documents and, by moments, the spread of the hosts' rates beyond what chance makes.
+    Sums over hosts alone reach the driver.
     """
     sums = common.settle(rows.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n_docs"), *(F.sum(F.col(f"fail_{r}").cast("double")).alias(r) for r in RULES)))
     moments = sums.agg(
@@ -89,10 +97,23 @@ def host_rates(rows: DataFrame) -> DataFrame:
     out = sums
     for r in RULES:
         a, b = beta_prior(moments["n"] or 0, moments["hosts"], moments["n2"] or 0, moments[f"k_{r}"] or 0, moments[f"q_{r}"] or 0)
-        out = out.withColumn(f"shrunk_{r}", (F.col(r) + F.lit(a)) / (F.col("n_docs") + F.lit(a + b)))
+        out = out.withColumn(f"shrunk_{r}", (F.col(r) + F.lit(a)) / (F.col("n_docs") + F.lit(a + b))).withColumn(f"limit_{r}", F.lit(host_limit(a, b)))
     return out.drop(*RULES)
 
 
+def beta_quantile(a: float, b: float, q: float) -> float:
+    """Where the beta distribution reaches q, by halving."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if beta_inc(a, b, mid) < q else (low, mid)
+    return (low + high) / 2
+
+
+def host_limit(a: float, b: float) -> float:
+    return min(MOST_LIMIT, max(LEAST_LIMIT, beta_quantile(a, b, UPPER)))
+
+
 def beta_prior(n: float, hosts: int, n2: float, k: float, q: float) -> tuple[float, float]:
     """(a, b) by moments from documents n, hosts, sum of n_h^2, failures k and sum of k_h^2 / n_h."""
     if not n:
@@ -105,13 +126,13 @@ def beta_prior(n: float, hosts: int, n2: float, k: float, q: float) -> tuple[flo
     return mean * weight, (1 - mean) * weight
 
 
-def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, the metrics, base_failed, host_rejected, kept of every row of docs (doc_id, text, host)."""
     common.small_batches(docs.sparkSession)
     rows = common.settle(measured(docs, host))
     bad = F.lit(False)
     for r in RULES:
-        bad = bad | (F.col(f"shrunk_{r}") >= limit)
+        bad = bad | (F.col(f"shrunk_{r}") >= F.col(f"limit_{r}"))
     verdicts = host_rates(rows).select(F.struct(F.col("host")).alias("_key"), bad.alias("host_rejected"))
     keyed = rows.withColumn("_key", F.struct("host"))  # a struct is equal to another with a null in the same place
     out = common.join_measured(keyed, verdicts, ["_key"], "left")

@@ -586,6 +586,27 @@ def test_quality(spark):
     assert quality.judge(docs(spark, [])).count() == 0
 
 
+def test_quality_hosts_by_direct_arithmetic(spark):
+    """Shrunk rates and limits from the definitions, over hosts of very different sizes."""
+    rng = random.Random(42)
+    share = {f"h{i}": (rng.choice([0.02, 0.1, 0.2]), rng.choice([1, 3, 40])) for i in range(60)} | {"bad": (0.97, 80), "half": (0.4, 80), "one": (1.0, 1), None: (0.1, 30)}
+    rows = [(h, "bad" if rng.random() < p else prose(rng, 60, 10**5)) for h, (p, n) in share.items() for _ in range(n)]
+    df = docs(spark, [t for _, t in rows], source=[h for h, _ in rows], ids=[None, 2**60 + 1, *range(len(rows) - 2)])
+    count, fails = Counter(h for h, _ in rows), Counter(h for h, t in rows if t == "bad")
+    n, k, hosts = len(rows), sum(fails.values()), len(count)
+    mean = (k + 0.5) / (n + 1)
+    spread = (sum(c * (fails[h] / c - k / n) ** 2 for h, c in count.items()) - (hosts - 1) * mean * (1 - mean)) / (n - sum(c * c for c in count.values()) / n)
+    weight = max(mean * (1 - mean) / spread - 1, 2.0)
+    draws = np.random.default_rng(1).beta(mean * weight, (1 - mean) * weight, 400_000)
+    limit = min(0.9, max(0.5, np.quantile(draws, 0.95)))
+    rates = {r.host: r for r in quality.host_rates(quality.measured(df)).collect()}
+    for h, c in count.items():
+        assert rates[h].shrunk_short == pytest.approx((fails[h] + mean * weight) / (c + weight)) and rates[h].limit_short == pytest.approx(limit, abs=0.01)
+    got = quality.judge(df).collect()
+    assert {r.host for r in got if r.host_rejected} == {h for h, c in count.items() if (fails[h] + mean * weight) / (c + weight) >= limit} == {"bad"}
+    assert any(r.base_failed is False and not r.kept for r in got) and {None, 2**60 + 1} <= {r.doc_id for r in got}
+
+
 # --- HTML
 
 
@@ -612,11 +633,48 @@ def test_html_templates(spark):
         own = prose(rng, 20, 10**5)
         menu = "".join(f"<li><a href=/{k}>{prose(rng, 1)}</a>" for _ in range(4))
         rows.append(("http://h.example/%d" % k, f"<body><div class=top7><ul>{menu}</ul></div><div class=box>All rights kept here</div><div class=txt><p>{own}</p><p>{own[:9]} tail</p></div></body>"))
-    rows += [("http://h2.example/%d" % k, "<article><p>The same copy</p><div class=z>Read our book now</div></article>") for k in range(30)]
+    rows += [("http://h2.example/%d" % k, f"<article><p>The same copy</p><div class=z>Read our book now</div><p>own {k}</p></article>") for k in range(30)]
     got = html.extract(pages(spark, rows)).orderBy("page_id").collect()
     for r, (_, h) in zip(got[:30], rows):
         assert r.text == " ".join(re.findall("<p>(.*?)</p>", h)) and r.n_chars == len(r.text)
-    assert {r.text for r in got[30:]} == {"The same copy"}
+    assert [r.text for r in got[30:]] == [f"The same copy own {k}" for k in range(30)]
+
+
+def chrome_pages(rng, n=24):
+    """Pages whose template names itself nowhere: only recurrence tells it from the text. (host, html, own text)."""
+    out = []
+    for host in ("one.example", "two.example"):
+        box, foot = prose(rng, 6), prose(rng, 8)
+        for k in range(n):
+            own = prose(rng, 25, 10**5)
+            links = "".join(f"<div class=k><a href=/{rng.random()}>{prose(rng, 2, 10**5)}</a></div>" for _ in range(5))
+            extra = f"<div class=z1>{foot} again</div>" if k % 3 == 0 else ""
+            out.append((host, f"<body><div class=a1><div class=a2>{links}</div></div><div class=b7>{box}</div><div class=c3><div>{own}</div>{extra}<div>tail {k}</div></div><div class=d4><span>{foot}</span></div></body>", f"{own} tail {k}"))
+        copy = prose(rng, 30, 10**5)  # one page, copied often: its own text stays
+        out += [(host, f"<body><div class=b7>{box}</div><div class=c3><div>{copy}</div></div><div class=d4><span>{foot}</span></div></body>", copy)] * n
+    out += [("small.example", f"<body><div class=b7>box</div><article><p>words {k}</p></article></body>", f"words {k}") for k in range(4)]
+    return out
+
+
+def test_html_recurrence_alone(spark, monkeypatch):
+    rows = chrome_pages(random.Random(41))
+    df = pages(spark, [(f"http://{h}/{i}", t) for i, (h, t, _) in enumerate(rows)]).repartition(3).withColumns({c: F.lit(c) for c in ("gone", "_host", "_row", "host", "text")})
+    got = {r.page_id: r for r in html.extract(df).collect()}
+    assert all(got[i].text == own for i, (*_, own) in enumerate(rows))
+    assert got[0].gone == "gone" and got[0]._row == "_row" and len(html.extract(df).columns) == len(df.columns) + 1
+
+    # A plain count of distinct pages on each host says what the template is.
+    want = defaultdict(set)
+    for host in {h for h, *_ in rows}:
+        distinct = {t for h, t, _ in rows if h == host}
+        counts = Counter(x for t in distinct for top in [html.parse(t)] for x in {h for _, h in html.removable(top, html.main_parts(top))})
+        if len(distinct) >= html.LEAST_PAGES:
+            want[host] = {x for x, n in counts.items() if n >= html.LEAST_PAGES and n >= html.LEAST_SHARE * len(distinct)}
+    for h, t, own in rows:
+        assert html.main_text(t, frozenset(want[h]) if h in want else None) == own
+    monkeypatch.setattr(html, "LEAST_SHARE", 2)  # the method switched off
+    off = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert sum(off[i] != own for i, (*_, own) in enumerate(rows)) == len(rows) - 4
 
 
 def test_sketches_lose_no_link_and_tell_long_sets_apart():
