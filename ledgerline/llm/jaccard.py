@@ -8,10 +8,12 @@ threshold. Links are exact: none is lost and none is added but by a collision of
    segment at least; so classes that share a segment go to one family (connected components over segment digests), and
    no link leaves a family. A task sends one row for each segment digest it met, however many copies it read.
    Large families are first cut by sketches that show which documents cannot link.
-3. Each family is searched by DivideSkip over inverted lists: of a query's lists the T - 1 longest are set aside, the
-   short ones are merged by a heap, and the documents so found are probed for in the long lists by binary search. Those
-   that reach the overlap link. Documents that link to the family's central document are of one group already, so only
-   the others have to query. Large families are searched in pairs of blocks.
+3. Each family is searched by DivideSkip over inverted lists. Of a query's lists, the L longest are set aside, L growing
+   with the overlap T that a link needs at least and shrinking with the longest list; a heap merges the others, skipping
+   documents on fewer than T - L of them; the documents so found are probed for in the long lists by binary search, and
+   those that reach the overlap link. The family's central document queries first. A document that its turn finds in the
+   central one's group need not query: what it links with is in that group, or has queried or will. Large families are
+   searched in pairs of blocks.
 4. Links, at most one for each document and task, give the groups.
 
 Words are runs of anything but ASCII white space, with A-Z in lower case. A text of fewer words than a shingle has is
@@ -24,8 +26,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -40,8 +43,8 @@ HELD, BUCKET, LEAST_BUCKETS = 600_000, 1_000_000, 256
 BLOCK, GROUPED = 2_000_000, 2_000_000
 #: Least cells of a sketch, and documents and cells in a block of sketches.
 CELLS, PAIRED, SKETCHED = 128, 3_000, 4_000_000
-#: Merged by a heap up to this many list entries, by one sort beyond.
-HEAP = 2_000
+#: How fast the number of long lists shrinks as the longest of them grows.
+MU = 0.01
 MEMO_WORDS = 150_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -226,15 +229,36 @@ def family_links(docs: DataFrame, width: int, num: int, den: int, buckets: int)
     return sent.groupBy("bucket").applyInPandas(meet, "a long, b long")
 
 
-def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The documents on sorted lists, ascending, and on how many lists each is. The heap gives way to one sort when lists are long."""
-    if sum(map(len, lists)) > HEAP:
-        return np.unique(np.concatenate(lists), return_counts=True)
+def merge_skip(key: array, lists: list[tuple[int, int, int]], least: int) -> tuple[list[int], list[int]]:
+    """The documents on at least `least` of the lists, ascending, and on how many each is.
+
+    A list (begin, end, base) holds key[begin:end], base more than its documents. A heap has the next document of each.
+    If too few lists stand at the first one, `least - 1` lists jump to what then is first: no document before it can be
+    on enough of them.
+    """
+    at = [begin for begin, _, _ in lists]
+    heap = [(key[begin] - base, i) for i, (begin, _, base) in enumerate(lists)]
+    heapq.heapify(heap)
     docs, counts = [], []
-    for doc, same in groupby(heapq.merge(*(x.tolist() for x in lists))):
-        docs.append(doc)
-        counts.append(sum(1 for _ in same))
-    return np.array(docs, np.int64), np.array(counts, np.int64)
+    while len(heap) >= least:
+        doc, moved = heap[0][0], []
+        while heap and heap[0][0] == doc:
+            moved.append(heapq.heappop(heap)[1])
+        if len(moved) >= least:
+            docs.append(doc)
+            counts.append(len(moved))
+            to = doc + 1
+        else:
+            while len(moved) < least - 1:
+                moved.append(heapq.heappop(heap)[1])
+            to = heap[0][0]
+        for i in moved:
+            _, end, base = lists[i]
+            if key[at[i]] < to + base:
+                at[i] = bisect_left(key, to + base, at[i] + 1, end)
+            if at[i] < end:
+                heapq.heappush(heap, (key[at[i]] - base, i))
+    return docs, counts
 
 
 def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -251,25 +275,22 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     every, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
     _, rank, n = np.unique(every, return_inverse=True, return_counts=True)
     key = np.sort(rank.astype(np.int64) * m + owner)  # the inverted lists, one after the other
+    plain = array("q", key.tobytes())
     begins = np.concatenate([[0], np.cumsum(n)])
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     central = int(np.argmax(np.add.reduceat(n[rank], offsets[:-1]) / sizes))
-    shared = np.add.reduceat(np.isin(every, sets[central], assume_unique=False).astype(np.int64), offsets[:-1])
-    settled = den * shared >= num * (sizes + sizes[central] - shared)
     out = []
-    for i in np.flatnonzero(settled):
-        if i != central:
-            parent[i] = central
-            out.append((central, int(i)))
-    for q in np.flatnonzero(~settled):
+
+    def query(q: int) -> None:
         own = rank[offsets[q] : offsets[q + 1]]
         own = own[np.argsort(n[own], kind="stable")]
         least = -(-num * len(own) // den)  # T: whatever links with q shares at least so many of its shingles
-        short, long_ = own[: len(own) - least + 1], own[len(own) - least + 1 :]
-        found, counts = merged([key[begins[r] : begins[r + 1]] - r * m for r in short])
-        mine = root(int(q))
-        keep = np.array([d != q and root(int(d)) != mine and den * min(sizes[d], sizes[q]) >= num * max(sizes[d], sizes[q]) for d in found], bool)
-        found, counts = found[keep], counts[keep]
+        apart = min(least - 1, int(least / (MU * math.log2(int(n[own[-1]]) + 1) + 1)))  # L
+        short, long_ = own[: len(own) - apart], own[len(own) - apart :]
+        found, counts = merge_skip(plain, [(int(begins[r]), int(begins[r + 1]), int(r) * m) for r in short], least - apart)
+        mine = root(q)
+        keep = [k for k, d in enumerate(found) if d != q and root(d) != mine and den * min(sizes[d], sizes[q]) >= num * max(sizes[d], sizes[q])]
+        found, counts = np.array(found, np.int64)[keep], np.array(counts, np.int64)[keep]
         step = max(1, 1_000_000 // max(1, len(long_)))
         for k in range(0, len(found), step):
             some = found[k : k + step]
@@ -277,9 +298,16 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
             at = np.minimum(np.searchsorted(key, probe), len(key) - 1)
             overlap = counts[k : k + step] + (key[at] == probe).sum(0)
             for d in some[den * overlap >= num * (sizes[q] + sizes[some] - overlap)]:
-                if (a := root(int(q))) != (b := root(int(d))):
+                if (a := root(q)) != (b := root(int(d))):
                     parent[max(a, b)] = min(a, b)
-                    out.append((int(q), int(d)))
+                    out.append((q, int(d)))
+
+    # Those most like the central document come first: they carry its group on, so that fewer are left to query.
+    shared = np.add.reduceat(np.isin(rank, rank[offsets[central] : offsets[central + 1]]).astype(np.int64), offsets[:-1])
+    query(central)
+    for q in np.argsort(-shared / (sizes + sizes[central] - shared), kind="stable").tolist():
+        if root(q) != root(central):
+            query(q)
     return out
 
 

@@ -61,7 +61,8 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 def profiles(train: DataFrame, most: int = PROFILE) -> dict[str, np.ndarray]:
     """Ranked n-gram codes of each language of train (text, lang), counted over all rows.
 
-    Each task sums its counts before the shuffle; the driver gets `most` codes for each language.
+    Each task sums its counts before the shuffle; the driver gets `most` codes for each language. Languages are the
+    distinct labels of the training rows: profiles are meant for tens or hundreds of them, and go to every task.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +117,7 @@ def nearest(own: np.ndarray, tables: list[tuple[str, np.ndarray, np.ndarray, int
 
 
 def identify(docs: DataFrame, known: dict[str, np.ndarray], most: int = LISTED) -> DataFrame:
-    """All columns of docs (with a text) and lang_pred, score. Only the text is used."""
+    """All columns of docs (with a text) and lang_pred, score, which replace columns of these names. Only the text is used."""
     worst = max([PROFILE, *map(len, known.values())])
     tables = [(lang, codes[o], o.astype(np.int64), worst) for lang, codes in sorted(known.items()) if len(codes) for o in [np.argsort(codes)]]
 
@@ -124,8 +125,9 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], most: int = LISTED)
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([nearest(ranked(*ngrams(t), most), tables) if t else (UNKNOWN, 0.0) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_found", run("text"))
-    return out.select(*docs.columns, "_found.lang_pred", "_found.score")
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), run("text").alias("_found"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return out.select(*kept, "_found.lang_pred", "_found.score")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

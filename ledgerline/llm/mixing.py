@@ -6,7 +6,8 @@ bounded knapsack on these counts finds how many documents of each length to take
 
 Null texts and texts without words have size 0 and are taken 0 times. Ties of length are broken by the seeded order of
 doc_id; repeated rows are separate documents. An empty table gives an empty result. Only totals by source reach the
-driver (sources, not documents); the knapsack of a source sees its counts by length.
+driver (one row for each source: sources are collections of documents with a weight each, thousands at most, not hosts);
+the knapsack of a source sees its counts by length.
 """
 
 from __future__ import annotations
@@ -108,7 +109,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
 
     counts = keyed.where("size > 0").groupBy("_s", "size", "_rest").agg(F.count(F.lit(1)).alias("n"))
     fitted = counts.groupBy("_s").applyInPandas(fit, "_s int, size long, _take long")
-    numbered = common.ordinals(keyed, ["_s", "size"], ["doc_id"], "_j", seed, ties=carry)
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    numbered = common.ordinals(keyed, ["_s", "size"], ["doc_id"], "_j", seed, common.buckets(largest), ties=carry)
     return numbered.join(fitted, ["_s", "size"], "left").select(
         *carry,
         "doc_id",

@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -310,6 +311,36 @@ def test_divide_skip_finds_every_link():
         assert classes(links) == classes(jaccard.search(sets, 80, 100))
 
 
+def test_divide_skip_on_a_large_family():
+    """Thousands of near copies, in chains that the central document doesn't reach, take a few queries."""
+    rng = np.random.default_rng(55)
+    one = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets, way = [], one.copy()
+    for k in range(3000):
+        if k % 10 == 0:
+            way[rng.integers(0, 200)] = rng.integers(0, 2**63)
+        own = way.copy()
+        own[rng.integers(0, 200, 4)] = rng.integers(0, 2**63, 4)
+        sets.append(np.unique(own))
+    start = time.time()
+    links = jaccard.search(sets, 80, 100)
+    assert time.time() - start < 60 and len(links) == 2999
+
+
+def test_merge_skip_equals_counting():
+    rng = random.Random(56)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(40), rng.randrange(1, 25))) for _ in range(rng.randrange(1, 12))]
+        key, spans = array("q"), []
+        for k, own in enumerate(lists):
+            spans.append((len(key), len(key) + len(own), 1000 * k))
+            key.extend(x + 1000 * k for x in own)
+        least = rng.randrange(1, len(lists) + 1)
+        count = Counter(x for own in lists for x in own)
+        want = sorted((d, n) for d, n in count.items() if n >= least)
+        assert list(zip(*jaccard.merge_skip(key, spans, least), strict=True)) == want
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)]
@@ -353,6 +384,37 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 60 and set(got) == set(range(0, 600, 50))
 
 
+def recall(spark, table, **how):
+    rows = table.select("vec_id", "embedding").collect()
+    v, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    unit, hits = v / np.linalg.norm(v, axis=1, keepdims=True), 0
+    got = defaultdict(set)
+    for r in ann.search(table, "vec_id % 50 = 0", **how).collect():
+        got[r.query_id].add(r.vec_id)
+    queries = np.flatnonzero(ids % 50 == 0)
+    for q in queries:
+        score = unit @ unit[q]
+        score[q] = -9
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
+    return hits / (5 * len(queries))
+
+
+def test_neighbours_of_the_registered_table(spark):
+    assert recall(spark, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")) >= 0.9
+
+
+def test_neighbours_with_more_rotations(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
+    rng = np.random.default_rng(57)
+    centre = rng.normal(size=(40, 16))
+    v = np.repeat(centre, 20, 0) + rng.normal(size=(800, 16)) * 0.2
+    assert ann.rotations_for(800, 16) == 2 and ann.rotations_for(10**10, 64) == 5
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert recall(spark, df, probes=4) >= 0.9
+
+
 def test_neighbours_small(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.search(spark.createDataFrame([], schema), "vec_id % 50 = 0").count() == 0
@@ -556,6 +618,8 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in rows)
     assert langid.identify(docs(spark, ["abc"]), {}).first().lang_pred == "und"
     assert langid.learn(docs(spark, [])) == {}
+    clash = docs(spark, ["the thing"]).withColumns({c: F.lit("x") for c in ("lang_pred", "_row", "_found")})
+    assert langid.identify(clash, known).select("lang_pred", "_row", "_found").collect() == [("aa", "x", "x")]
 
 
 # --- quality
