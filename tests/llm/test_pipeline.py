@@ -43,7 +43,7 @@ def test_stages_equal_brute_force(spark):
     known = langid.identify(df, langid.learn(df)).where(F.col("lang_pred") != langid.UNKNOWN)
     language = written(corpus_pipeline.identify_language(spark, df, ""))
     assert Counter(plain(language)) == Counter(plain(known)) and language.count() == df.count() - 3
-    assert language.select("_row").distinct().count() == language.count()
+    assert language.select(corpus_pipeline.ROW).distinct().count() == language.count()
 
     unique = written(corpus_pipeline.drop_near_duplicates(spark, language, ""))
     rows = sorted(plain(language), key=lambda r: (r[0] is None, r[0] or 0))  # the least of a group comes first
@@ -53,7 +53,7 @@ def test_stages_equal_brute_force(spark):
     assert len({i for i, *_ in want}) < len(want) < len(rows) - 30 and any(i is None for i, *_ in want)
 
     clean = written(corpus_pipeline.redact_personal_data(spark, unique, ""))
-    before, after = {r._row: r for r in unique.collect()}, {r._row: r for r in clean.collect()}
+    before, after = {r[corpus_pipeline.ROW]: r for r in unique.collect()}, {r[corpus_pipeline.ROW]: r for r in clean.collect()}
     assert before.keys() == after.keys()
     for k, r in after.items():
         assert r.doc_id == before[k].doc_id and r.n_chars == len(r.text)
@@ -88,3 +88,16 @@ def test_stages_without_numbers(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, df, "")
     assert got.columns == df.columns and sorted(plain(got), key=str) == sorted([(5, "a b c d e f", "s"), (None, "u v w x y z", "s")], key=str)
     assert corpus_pipeline.mix_sources(spark, df, "").count() == 7  # 30 words, target 45: two of five twice
+
+
+def test_run_on_clashing_columns_and_an_empty_table(spark, tmp_path):
+    names = ("_row", "row", "spans", "_spans", "_copies", "_k", "component_id", "lang_pred", "score", "size", "_j", "taken", "family", "a.b")
+    df = docs(spark, ["one two three four five six", "one two three four five six", "me@x.org and a b c d e f", None], ids=[1, 1, 2, 3])
+    df = df.withColumns({c: F.lit(c) for c in names})
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_duplicates, corpus_pipeline.redact_personal_data, corpus_pipeline.mix_sources):
+        df = written(stage(spark, df, ""))
+        assert [c for c in df.columns if c != corpus_pipeline.ROW] == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        assert all(r[c] == c for r in df.collect() for c in names)
+    assert {r.text for r in df.collect()} == {"one two three four five six", "[EMAIL] and a b c d e f"}
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
