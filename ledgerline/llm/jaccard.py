@@ -45,7 +45,7 @@ BLOCK, GROUPED = 2_000_000, 2_000_000
 CELLS, PAIRED, SKETCHED = 128, 3_000, 4_000_000
 #: How fast the number of long lists shrinks as the longest of them grows.
 MU = 0.01
-MEMO_WORDS = 150_000
+MEMO_WORDS = 100_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 

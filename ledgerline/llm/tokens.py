@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words held per worker, about 40 bytes each; when the store is full it starts anew, so a worker's memory is bounded.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: Words encoded in one string, and bytes of text in one go.
-JOINED, BATCH = 256, 4 << 20
+JOINED, BATCH = 256, 2 << 20
 
 #: Estimated input for each token file.
 FILE_BYTES = 32 << 20
