@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import periods
+from . import kpi, periods, verbs
 
 
 def by_period():
@@ -43,10 +43,9 @@ def trend(series: DataFrame) -> DataFrame:
 
 
 def two_periods(df: DataFrame, when: str, w: periods.Window) -> tuple[DataFrame, Column, Column]:
-    """The rows of the current and previous period, and a predicate for each; other rows are filtered at the scan."""
-    p = periods.period_of(when, w.grain)
-    kept = df.where(p.isin(w.current, w.previous)).withColumn("_p", p)
-    return kept, F.col("_p") == F.lit(w.current), F.col("_p") == F.lit(w.previous)
+    """The rows of the current and previous period, and a predicate for each. Ranges of the column itself go to the scan."""
+    cur, prev = (periods.within(df, when, first, w.grain) for first in (w.current, w.previous))
+    return df.where(cur | prev), cur, prev
 
 
 def bridge(df: DataFrame, when: str, value: str, segment: str, w: periods.Window, top: int = 5) -> DataFrame:
@@ -54,16 +53,21 @@ def bridge(df: DataFrame, when: str, value: str, segment: str, w: periods.Window
     rows, cur, prev = two_periods(df, when, w)
     v, zero = F.col(value), F.lit(0.0)
     sums = rows.groupBy(F.coalesce(F.col(segment).cast("string"), F.lit("(null)")).alias("segment")).agg(F.coalesce(periods.money(F.when(cur, v)), zero).alias("current"), F.coalesce(periods.money(F.when(prev, v)), zero).alias("previous"))
-    ranked = sums.withColumn("_r", F.row_number().over(W.orderBy(F.desc(F.abs(F.col("current") - F.col("previous"))), "segment")))
-    out = ranked.groupBy(F.when(F.col("_r") <= top, F.col("segment")).otherwise("Others").alias("segment")).agg(F.round(F.sum("current"), 2).alias("current"), F.round(F.sum("previous"), 2).alias("previous"))
+    move = F.abs(F.col("current") - F.col("previous"))
+    out = verbs.top_and_others(sums, "segment", ["current", "previous"], [F.desc(move), F.col("segment")], top)
+    out = out.select("segment", F.round("current", 2).alias("current"), F.round("previous", 2).alias("previous"))
     return out.withColumn("delta", F.round(F.col("current") - F.col("previous"), 2))
 
 
 def volume_rate(df: DataFrame, when: str, value: str, unit: str | None, w: periods.Window) -> DataFrame:
     """The move as volume effect (v1 - v0) r0 and rate effect (r1 - r0) v1."""
     rows, cur, prev = two_periods(df, when, w)
-    n = lambda by: F.count_distinct(F.when(by, F.col(unit))) if unit else F.count(F.when(by, 1))
-    s = rows.agg(periods.money(F.when(cur, F.col(value))).alias("m1"), periods.money(F.when(prev, F.col(value))).alias("m0"), n(cur).cast("double").alias("v1"), n(prev).cast("double").alias("v0"))
+    sums = [periods.money(F.when(cur, F.col(value))).alias("m1"), periods.money(F.when(prev, F.col(value))).alias("m0")]
+    if unit:
+        units = kpi.distinct_counts(rows, unit, {"cur": cur, "prev": prev}, "n").select(F.col("n__cur").alias("v1"), F.col("n__prev").alias("v0"))
+        s = rows.agg(*sums).crossJoin(F.broadcast(units))  # one row each
+    else:
+        s = rows.agg(*sums, F.count_if(cur).cast("double").alias("v1"), F.count_if(prev).cast("double").alias("v0"))
     s = s.withColumn("r1", F.col("m1") / F.col("v1")).withColumn("r0", F.col("m0") / F.col("v0"))
     return s.select("m1", "m0", "v1", "v0", "r1", "r0", ((F.col("v1") - F.col("v0")) * F.col("r0")).alias("volume_effect"), ((F.col("r1") - F.col("r0")) * F.col("v1")).alias("rate_effect"))
 
@@ -90,10 +94,18 @@ def segments(df: DataFrame, when: str, value: str, dims: list[str], w: periods.W
 
 
 def pareto_curve(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Groups by value and their cumulative share; one row for each group."""
-    s = df.groupBy(key).agg(periods.money(value).alias("total"))
-    down = W.orderBy(F.desc("total"), key).rowsBetween(W.unboundedPreceding, 0)
-    return s.select(F.col(key).cast("string").alias("segment"), "total", F.round(100.0 * F.sum("total").over(down) / F.sum("total").over(W.partitionBy()), 6).alias("cum_share_pct"))
+    """Groups by value and their cumulative share; one row for each group, ties by key.
+
+    Totals are dealt to ranges cut at approximate quantiles; a group's running total is that of its range up to it and
+    the sum of the ranges before, a row for each range.
+    """
+    s = df.groupBy(key).agg(periods.money(value).alias("total")).where("total is not null")
+    s = s.withColumn("_bin", kpi.range_of(F.col("total"), s, F.col("total")))
+    sums = s.groupBy("_bin").agg(F.sum("total").alias("_t"))
+    before = sums.select("_bin", F.coalesce(F.sum("_t").over(W.orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"), F.sum("_t").over(W.partitionBy()).alias("_all"))
+    down = W.partitionBy("_bin").orderBy(F.desc("total"), key).rowsBetween(W.unboundedPreceding, 0)
+    share = 100.0 * (F.col("_before") + F.sum("total").over(down)) / F.col("_all")
+    return s.join(F.broadcast(before), "_bin").select(F.col(key).cast("string").alias("segment"), "total", F.round(share, 6).alias("cum_share_pct"))
 
 
 def pace(df: DataFrame, when: str, value: str, g: str = "M") -> DataFrame:
@@ -145,8 +157,31 @@ def driver_lags(series: DataFrame, most: int = 4) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    x = F.col(column)
-    return df.agg(F.count(x).alias("n"), F.percentile(x, F.lit(0.5)).alias("median"), F.try_divide(periods.money(x), F.count(x)).alias("mean"), F.percentile(x, F.lit(0.9)).alias("p90"), F.min(x).alias("min"), F.max(x).alias("max"))
+    """Count, mean, median, p90, least and largest value, bias-corrected skewness with its band, and values more than three
+    deviations (ddof 1) from the mean. Null statistics below 30 values."""
+    x = F.col(column).cast("double")
+    n = F.count(x)
+    s = df.agg(n.alias("n"), F.try_divide(periods.money(x), n).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"), (F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))).alias("skew"))
+    far = df.crossJoin(F.broadcast(s.select("_m", "_s"))).agg(F.count_if(F.abs((x - F.col("_m")) / F.nullif("_s", F.lit(0.0))) > 3).alias("outliers"))
+    out = s.drop("_m", "_s").crossJoin(F.broadcast(kpi.quantiles(df, column, {"median": 0.5, "p90": 0.9}))).crossJoin(F.broadcast(far))
+    shape = F.when(F.col("skew") > 1, "right-skewed").when(F.col("skew") < -1, "left-skewed").otherwise("balanced")
+    return out.select("n", *(F.when(F.col("n") >= 30, F.col(c)).alias(c) for c in ("median", "mean", "p90", "min", "max", "skew", "outliers")), F.when(F.col("n") >= 30, shape).alias("shape"))
+
+
+def scorecard(kpis: DataFrame) -> DataFrame:
+    """key, value, delta_pct, direction (flat within 0.05 %) and verdict by polarity, of the rows of a KPI pack."""
+    d = F.col("delta_pct")
+    direction = F.when(F.abs(d) < kpi.FLAT, "flat").when(d > 0, "up").when(d < 0, "down")
+    good = (d > 0) == (F.col("polarity") == "up_good")
+    verdict = F.when(d.isNull(), "no comparison").when(F.abs(d) < kpi.FLAT, "stable").when(F.col("polarity") == "neutral", "neutral").when(good, "favourable").otherwise("adverse")
+    return kpis.select("key", "value", "delta_pct", direction.alias("direction"), verdict.alias("verdict"))
+
+
+def trend_bands(series: DataFrame) -> DataFrame:
+    """n, mean, best and worst period, and how steady the series is: CV up to 15 % stable, up to 40 % moderate, else
+    volatile. No row below four periods."""
+    s = series.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.max_by("period", F.struct("value", "period")).alias("best"), F.min_by("period", F.struct("value", "period")).alias("worst"), (100 * F.try_divide(F.stddev_samp("value"), F.abs(F.nullif(F.avg("value"), F.lit(0.0))))).alias("cv"))
+    return s.where("n >= 4").withColumn("steadiness", F.when(F.col("cv") <= 15, "stable").when(F.col("cv") <= 40, "moderate").when(F.col("cv").isNotNull(), "volatile"))
 
 
 def linear_forecast(series: DataFrame, horizon: int, step_days: int) -> DataFrame:

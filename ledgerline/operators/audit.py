@@ -48,6 +48,30 @@ def duplicates(df: DataFrame) -> DataFrame:
     return _issues(t, "duplicates", F.lit(None), F.when(share > 0.05, "high").when(share > 0.01, "medium").when(share > 0, "low"), F.col("d"))
 
 
+def day_gaps(df: DataFrame, when: str) -> DataFrame:
+    """One row: days with rows, the median and the longest distance between them."""
+    days = df.where(F.col(when).isNotNull()).select(F.to_date(when).alias("d")).distinct()
+    gap = days.withColumn("gap", F.datediff("d", F.lag("d").over(W.orderBy("d"))))
+    return gap.agg(F.count(F.lit(1)).alias("days"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.max("gap").cast("long").alias("longest"))
+
+
+def folding(df: DataFrame, column: str) -> DataFrame:
+    """One row: distinct values, and distinct values without case and outer blanks, from one grouping by value."""
+    once = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    folded = once.groupBy(F.lower(F.trim("v"))).agg(F.count(F.lit(1)).alias("raw"))
+    return folded.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.count(F.lit(1)).alias("folded"))
+
+
+def cell_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """col, n_rows, nulls, n_unique, ratio of the columns (all by default), exactly: a pair for each cell, summed in map
+    tasks by value, so no distinct count multiplies the rows."""
+    names = list(df.columns if columns is None else columns)
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("v")) for c in names))).alias("x")).select("x.*")
+    once = cells.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
+    out = once.groupBy("col").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("n_unique"))
+    return out.withColumn("ratio", F.round(F.col("n_unique") / F.col("n_rows"), 4))
+
+
 def gaps(df: DataFrame, when: str) -> DataFrame:
     """Gaps in the days of `when` beyond the larger of 7 days and 6 typical gaps; needs 10 days. Affected: such gaps.
 
@@ -68,10 +92,17 @@ def partial_month(df: DataFrame, when: str, as_of: Column) -> DataFrame:
 
 
 def spellings(df: DataFrame) -> DataFrame:
-    """Text columns of 2 to 200 values of which some differ by case or outer blanks alone; and columns of one value."""
+    """Text columns of 2 to 200 values of which some differ by case or outer blanks alone; and columns of one value.
+
+    A sketch of each column rules out those of far more values, so their cells are never shuffled.
+    """
     if not df.columns:
         return df.sparkSession.createDataFrame([], SCHEMA)
-    cells = df.select(F.explode(F.array(*(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.typeName() == "string").alias("text"), F.col(f.name).cast("string").alias("v")) for f in df.schema))).alias("x")).select("x.*")
+    sketch = df.agg(*(F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(df.columns))).first()
+    few = [f for i, f in enumerate(df.schema) if sketch[f"d{i}"] <= 400]
+    if not few:
+        return df.sparkSession.createDataFrame([], SCHEMA)
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.typeName() == "string").alias("text"), F.col(f"`{f.name}`").cast("string").alias("v")) for f in few))).alias("x")).select("x.*")
     once = cells.groupBy("column", "text", "v").agg(F.count(F.lit(1)).alias("n"))
     folded = once.groupBy("column", "text", F.lower(F.trim("v")).alias("f")).agg(F.count("v").alias("raw"))
     t = folded.groupBy("column", "text").agg(F.sum("raw").alias("raw"), F.count("f").alias("folded"))

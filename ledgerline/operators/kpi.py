@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from . import periods
 
 FLAT, SLICES = 0.05, ("all", "cur", "prev")
+#: Ranges that distinct values are dealt to.
+RANGES = 64
 UNIT_DAYS = {"days": 1.0, "months": 30.44, "years": 365.25}
 
 
@@ -65,11 +67,8 @@ def aggregate(k: KPI, mapping: dict[str, str], by: Column, as_of: Column) -> dic
         x = F.when(keep, x)
         agg = {"sum": lambda: periods.money(x), "mean": lambda: F.try_divide(periods.money(x), F.count(x)), "median": lambda: F.percentile(x, F.lit(0.5)), "max": lambda: F.max(x).cast("double")}[k.kind]()
         return {"value": agg * p.get("scale", 1.0)}
-    if k.kind == "distinct":
-        x = col("field")
-        if x is None:
-            return {"value": F.count(one).cast("double")} if p.get("fallback_rows") else None
-        return {"value": F.count_distinct(F.when(by, x)).cast("double")}
+    if k.kind == "distinct":  # of a mapped field: distinct_counts
+        return {"value": F.count(one).cast("double")} if col("field") is None and p.get("fallback_rows") else None
     if k.kind == "rows":
         return {"value": F.count(one).cast("double")}
     if k.kind == "ratio_fields":
@@ -103,6 +102,14 @@ def aggregate(k: KPI, mapping: dict[str, str], by: Column, as_of: Column) -> dic
     return {}
 
 
+def distinct_counts(df: DataFrame, column: str, cut: dict[str, Column], name: str) -> DataFrame:
+    """One row, <name>__<slice>: distinct values of a column in each slice, from one grouping by value with a flag for each
+    slice, so no row is multiplied and no task holds a set of values."""
+    flags = [F.max(F.when(by, 1).otherwise(0)).alias(f"_{s}") for s, by in cut.items()]
+    once = df.where(F.col(column).isNotNull()).groupBy(F.col(column)).agg(*flags)
+    return once.agg(*(F.coalesce(F.sum(f"_{s}"), F.lit(0)).cast("double").alias(f"{name}__{s}") for s in cut))
+
+
 def top_share(df: DataFrame, by: str, value: str, n: int = 10, absolute: bool = False) -> DataFrame:
     """One row: the share (percent) of the n largest groups in all groups; null keys are left out."""
     v = F.abs(F.col(value)) if absolute else F.col(value)
@@ -117,16 +124,21 @@ def pack(df: DataFrame, kpis: Sequence[KPI], mapping: dict[str, str], when: str
     w = periods.bounds(df, when) if when else periods.Window("D", None, None, None)
     cut = {"all": F.lit(True)}
     if w.previous:
-        p = periods.period_of(when, w.grain)
-        cut |= {"cur": F.coalesce(p == F.lit(w.current), F.lit(False)), "prev": F.coalesce(p == F.lit(w.previous), F.lit(False))}
-    aggs, known = [], {}
+        cut |= {s: F.coalesce(periods.within(df, when, first, w.grain), F.lit(False)) for s, first in (("cur", w.current), ("prev", w.previous))}
+    aggs, known, counted = [], {}, []
     for k in kpis:
+        if k.kind == "distinct" and k.params["field"] in mapping:
+            counted.append(distinct_counts(df, mapping[k.params["field"]], cut, k.key))
+            known |= {(k.key, s): F.col(f"{k.key}__{s}") for s in cut}
+            continue
         for s, by in cut.items():
             parts = aggregate(k, mapping, by, as_of)
             if parts and "value" in parts:
                 aggs.append(parts["value"].alias(f"{k.key}__{s}"))
                 known[k.key, s] = F.col(f"{k.key}__{s}")
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+    for one in counted:  # one row each
+        row = row.crossJoin(F.broadcast(one))
     by_key = {k.key: k for k in kpis}
 
     def value(key: str, s: str, depth: int = 0) -> Column | None:
@@ -160,7 +172,8 @@ def pack(df: DataFrame, kpis: Sequence[KPI], mapping: dict[str, str], when: str
         cur, prev = (value(k.key, s) if w.previous and k.kind != "growth" else None for s in ("cur", "prev"))
         delta = 100.0 * F.try_divide(cur - prev, F.abs(prev)) if cur is not None and prev is not None else F.lit(None)
         rows.append(F.struct(F.lit(k.key).alias("key"), v.cast("double").alias("value"), (prev if prev is not None else F.lit(None)).cast("double").alias("previous"), delta.cast("double").alias("delta_pct"), F.lit(k.fmt).alias("fmt"), F.lit(k.polarity).alias("polarity")))
-    out = row.select(F.explode(F.array(*rows)).alias("k")).select("k.*")
+    empty = "key string, value double, previous double, delta_pct double, fmt string, polarity string"
+    out = row.select(F.explode(F.array(*rows)).alias("k")).select("k.*") if rows else df.sparkSession.createDataFrame([], empty)
     for share in shares:
         out = out.unionByName(share)
     return out.where("value is not null and not isnan(value)")
@@ -176,32 +189,30 @@ def universal(df: DataFrame, column: str) -> DataFrame:
     stats = df.agg(
         periods.money(x).alias("total"),
         F.try_divide(periods.money(x), n).alias("mean"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
         sd.alias("std"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
         n.alias("count"),
-        F.round(100.0 * F.count_if(x.isNull()) / F.count(F.lit(1)), 2).alias("null_rate"),
-        F.round(F.try_divide(sd, F.avg(x)) * 100, 2).alias("cv"),
-        F.percentile(x, F.lit(0.25)).alias("p25"),
-        F.percentile(x, F.lit(0.75)).alias("p75"),
+        F.round(100.0 * F.count_if(x.isNull()) / F.nullif(F.count(F.lit(1)), F.lit(0)), 2).alias("null_rate"),
+        F.round(F.try_divide(sd, F.nullif(F.avg(x), F.lit(0.0))) * 100, 2).alias("cv"),
         F.round(F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)), 4).alias("skew"),
         F.avg(x).alias("_m"),
     )
     row = F.broadcast(stats.select(F.col("_m"), F.col("std").alias("_s")))  # one row
     outliers = df.crossJoin(row).agg(F.count_if(F.abs((x - F.col("_m")) / F.col("_s")) > 3).alias("outliers"))
-    return stats.drop("_m").withColumn("iqr", F.col("p75") - F.col("p25")).crossJoin(outliers)
+    parts = quantiles(df, column, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return stats.drop("_m").crossJoin(F.broadcast(parts)).withColumn("iqr", F.col("p75") - F.col("p25")).crossJoin(outliers)
 
 
 def positions(df: DataFrame, column: str, descending: bool) -> DataFrame:
     """value, copies and rank before it of each distinct value: ranks without a row-level sort in one task.
 
-    Distinct values are ranged over the tasks by Spark's sort; only each range's count is summed in one place.
+    Distinct values are dealt to ranges cut at approximate quantiles, so ranges are alike however the values lie; exact
+    ranks come from a window inside each range and the counts of the ranges before it, a row for each range.
     """
     x = F.col(column).cast("double")
     counts = df.where(x.isNotNull()).groupBy(x.alias("value")).agg(F.count(F.lit(1)).alias("copies"))
-    edge = F.floor(F.log2(F.abs(F.col("value")) + 1) * 16) * F.signum("value")
-    counts = counts.withColumn("_bin", edge)
+    counts = counts.withColumn("_bin", range_of(F.col("value"), df, x))
     order = F.desc if descending else F.asc
     sums = counts.groupBy("_bin").agg(F.sum("copies").alias("_n"))
     before = sums.select("_bin", F.coalesce(F.sum("_n").over(W.orderBy(order("_bin")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -209,20 +220,42 @@ def positions(df: DataFrame, column: str, descending: bool) -> DataFrame:
     return counts.join(F.broadcast(before), "_bin").select("value", "copies", (F.col("_before") + F.coalesce(F.sum("copies").over(inside), F.lit(0))).alias("before"))
 
 
+def range_of(value: Column, df: DataFrame, x: Column) -> Column:
+    """The number of the range that a value is in, of RANGES cut at approximate quantiles of x in df (one aggregate)."""
+    cuts = df.agg(F.percentile_approx(x, F.lit([i / RANGES for i in range(1, RANGES)]), F.lit(20 * RANGES))).first()[0]
+    return F.size(F.filter(F.lit(sorted(set(cuts or []))).cast("array<double>"), lambda c: c < value))
+
+
+def quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """One row, a column for each wanted quantile, exact with linear interpolation; null for a column without values."""
+    p = positions(df, column, False)
+    n = F.broadcast(df.agg(F.count(column).alias("_all")))  # one row, and beside each distinct value
+    at = p.crossJoin(n)
+    last = F.col("before") + F.col("copies")
+    aggs = []
+    for name, q in wanted.items():
+        place = F.lit(float(q)) * (F.col("_all") - 1)
+        for side, i in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            aggs.append(F.max(F.when((F.col("before") <= i) & (i < last), F.col("value"))).alias(f"_{side}_{name}"))
+        aggs.append(F.max(place - F.floor(place)).alias(f"_part_{name}"))
+    row = at.agg(*aggs)
+    return row.select(*((F.col(f"_lo_{c}") + (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * F.col(f"_part_{c}")).alias(c) for c in wanted))
+
+
 def pareto(df: DataFrame, column: str, share: float = 0.2) -> DataFrame:
     """Percent of the total held by the top share of rows (at least one)."""
     n = df.where(F.col(column).isNotNull()).count()
     top = max(1, int(n * share))
     p = positions(df, column, True)
     taken = F.greatest(F.lit(0), F.least(F.col("copies"), F.lit(top) - F.col("before")))
-    value = F.col("value").cast("decimal(18,2)")
+    value = F.col("value").cast("decimal(30,6)")
     return p.agg(F.round(100.0 * F.try_divide(F.sum(value * taken).cast("double"), F.sum(value * F.col("copies")).cast("double")), 1).alias("pareto"))
 
 
 def gini(df: DataFrame, column: str) -> DataFrame:
     """Gini coefficient over rows in ascending order, four decimals."""
     p = positions(df, column, False)
-    value, n, b = F.col("value").cast("decimal(18,2)"), F.col("copies"), F.col("before")
+    value, n, b = F.col("value").cast("decimal(30,6)"), F.col("copies"), F.col("before")
     ranks = (n * b + n * (n + 1) / 2).cast("decimal(20,0)")  # sum of the ranks of the copies
     s = p.agg(F.sum(ranks.cast("double") * F.col("value")).alias("w"), F.sum(value * n).cast("double").alias("t"), F.sum(n).alias("n"))
     return s.select(F.round(2 * F.col("w") / (F.col("n") * F.col("t")) - (F.col("n") + 1) / F.col("n"), 4).alias("gini"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import calendar
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +39,38 @@ class Window:
     dropped: date | None
 
 
+def start(d: date, g: str) -> date:
+    """First day of the period that a day is in."""
+    if g == "W":
+        return d - timedelta(days=d.weekday())
+    month = (d.month - 1) // 3 * 3 + 1 if g == "Q" else d.month
+    return d if g == "D" else date(d.year, month, 1)
+
+
+def after(first: date, g: str) -> date:
+    """First day of the next period."""
+    if g in ("D", "W"):
+        return first + timedelta(days=7 if g == "W" else 1)
+    month = first.month + (3 if g == "Q" else 1)
+    return date(first.year + (month > 12), (month - 1) % 12 + 1, 1)
+
+
+def within(df: DataFrame, when: str, first: date, g: str) -> Column:
+    """A half-open range of the column itself, which a Parquet scan can prune by."""
+    kind = df.schema[when].dataType
+    edge = lambda d: F.lit(d.isoformat()).cast(kind)
+    return (F.col(when) >= edge(first)) & (F.col(when) < edge(after(first, g)))
+
+
 def bounds(df: DataFrame, when: str, g: str | None = None) -> Window:
-    """One scan for the span, one small aggregate for the last three observed periods."""
-    row = df.agg(F.min(when).alias("lo"), F.max(when).alias("hi"), F.count(when).alias("n")).first()
-    if row.n < LEAST_DATED:
+    """One scan: span and periods come from a row for each day, which the calendar bounds."""
+    days = df.where(F.col(when).isNotNull()).groupBy(F.to_date(when).alias("d")).agg(F.min(when).alias("lo"), F.max(when).alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    if sum(r.n for r in days) < LEAST_DATED:
         return Window(g or "D", None, None, None)
-    g = g or grain((row.hi - row.lo).days)
-    last = [r.p for r in df.where(F.col(when).isNotNull()).select(period_of(when, g).alias("p")).distinct().orderBy(F.desc("p")).limit(3).collect()]
-    hi = row.hi.date() if hasattr(row.hi, "date") else row.hi
-    partial = ((hi - last[0]).days + 1) / length(last[0], g) < FULL_SHARE
+    lo, hi = min(r.lo for r in days), max(r.hi for r in days)
+    g = g or grain((hi - lo).days)
+    last = sorted({start(r.d, g) for r in days}, reverse=True)[:3]
+    partial = ((max(r.d for r in days) - last[0]).days + 1) / length(last[0], g) < FULL_SHARE
     dropped = last[0] if partial and len(last) > 1 else None
     last = last[1:] if dropped else last
     return Window(g, last[0], last[1] if len(last) > 1 else None, dropped)
@@ -59,6 +82,11 @@ def series(df: DataFrame, when: str, value: Column, g: str, w: Window | None = N
     return out.where(F.col("period") != F.lit(w.dropped)) if w and w.dropped else out
 
 
-def money(c: Column | str) -> Column:
-    """Exact sum of an amount with two decimals, as a double; the order of rows does not show in it."""
-    return F.sum(F.col(c).cast("decimal(18,2)") if isinstance(c, str) else c.cast("decimal(18,2)")).cast("double")
+#: Decimal places of an amount that money() keeps in each row.
+PLACES = 6
+
+
+def money(c: Column | str, places: int = PLACES) -> Column:
+    """Exact sum of amounts, as a double: the order of rows does not show in it. Rows count to `places` decimal places, of
+    which money has two to four; finer values need more."""
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast(f"decimal({24 + places},{places})")).cast("double")

@@ -10,13 +10,14 @@ from . import periods
 
 
 def where(df: DataFrame, column: str, op: str, literal: str) -> DataFrame:
-    """== != > >= < <= with the literal in the column's type; contains and not contains ignore case, and null contains nothing."""
+    """== != > >= < <= with the literal in the column's type; contains and not contains ignore case. Null equals, contains
+    and exceeds nothing, so != and not contains keep it."""
     c = F.col(column)
     if op in ("contains", "not contains"):
         hit = F.coalesce(F.contains(F.lower(c.cast("string")), F.lower(F.lit(literal))), F.lit(False))
         return df.where(hit if op == "contains" else ~hit)
     v = F.lit(literal).cast(df.schema[column].dataType)
-    return df.where({"==": c == v, "!=": c != v, ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v}[op])
+    return df.where({"==": c == v, "!=": ~c.eqNullSafe(v), ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v}[op])
 
 
 def between_dates(df: DataFrame, column: str, first, last) -> DataFrame:
@@ -55,21 +56,31 @@ def duplicates(df: DataFrame) -> DataFrame:
 AGGREGATES = {
     "sum": periods.money,
     "mean": lambda c: F.try_divide(periods.money(c), F.count(c)),
-    "median": lambda c: F.percentile(c, F.lit(0.5)),
     "max": F.max,
     "min": F.min,
     "count": F.count,
-    "std": lambda c: F.round(F.stddev_samp(c), 4),
-    "var": lambda c: F.round(F.var_samp(c), 2),
-    "nunique": F.count_distinct,
+    "std": F.stddev_samp,
+    "var": F.var_samp,
 }
+#: Those that a grouping by value comes first for: a row for each value instead of a set of them.
+BY_VALUE = {"median": lambda c: F.percentile(c, F.lit(0.5), F.col("_n")), "nunique": F.count}
 
 
 def group(df: DataFrame, keys: list[str], column: str, functions: list[str], order: Column | None = None) -> DataFrame:
-    """Grouped aggregates; rows with a null key are left out. first and last need an order and skip nulls."""
+    """Grouped aggregates; rows with a null key are left out. first and last need an order and skip nulls.
+
+    median and nunique are aggregates over values with their counts, which map tasks have summed before; the other
+    functions are one aggregate over the rows.
+    """
     x = F.col(column)
     ordered = {"first": lambda c: F.min_by(c, F.when(x.isNotNull(), order)), "last": lambda c: F.max_by(c, F.when(x.isNotNull(), order))}
-    return df.dropna(subset=keys).groupBy(*keys).agg(*((AGGREGATES | ordered)[f](column).alias(f) for f in functions))
+    rows = df.dropna(subset=keys)
+    plain = [f for f in functions if f not in BY_VALUE]
+    out = rows.groupBy(*keys).agg(*((AGGREGATES | ordered)[f](column).alias(f) for f in plain)) if plain else rows.select(*keys).distinct()
+    if counted := [f for f in functions if f in BY_VALUE]:
+        values = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+        out = out.join(values.groupBy(*keys).agg(*(BY_VALUE[f](column).alias(f) for f in counted)), keys)
+    return out.select(*keys, *functions)
 
 
 def value_counts(df: DataFrame, column: str, top: int) -> DataFrame:
@@ -113,12 +124,126 @@ def density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(at(x, r.x0, r.x1).alias("bx"), at(y, r.y0, r.y1).alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def top_and_others(sums: DataFrame, key: str, values: list[str], order: list[Column], top: int) -> DataFrame:
+    """The first `top` groups, and one row Others of what is left in all the others; no row if none are left. The groups
+    are never sorted in one task: a top-k and a total are enough."""
+    head = sums.orderBy(*order).limit(top)
+    count = F.count(F.lit(1)).alias("_n")
+    all_ = sums.agg(count, *(F.sum(v).alias(v) for v in values))
+    some = head.agg(F.count(F.lit(1)).alias("_m"), *(F.sum(v).alias(f"_{v}") for v in values))
+    rest = all_.crossJoin(F.broadcast(some)).where("_n > _m").select(F.lit("Others").alias(key), *((F.col(v) - F.col(f"_{v}")).alias(v) for v in values))
+    return head.select(key, *values).unionByName(rest)
+
+
 def others(df: DataFrame, key: str, value: str | None, top: int) -> DataFrame:
     """The top groups and the rest as Others; a null key is a group of its own."""
     total = periods.money(value) if value else F.count(F.lit(1)).cast("double")
     s = df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("(null)")).alias("segment")).agg(total.alias("total"))
-    ranked = s.withColumn("_r", F.row_number().over(W.orderBy(F.desc("total"), "segment")))
-    return ranked.groupBy(F.when(F.col("_r") <= top, F.col("segment")).otherwise("Others").alias("segment")).agg(F.round(F.sum("total"), 2).alias("total"))
+    return top_and_others(s, "segment", ["total"], [F.desc("total"), F.col("segment")], top).withColumn("total", F.round("total", 2))
+
+
+def choices(df: DataFrame, column: str, most: int = 30) -> DataFrame:
+    """value, n of the most frequent values as text, for a slicer; ties by value."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(most)
+
+
+def among(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Rows whose value, as text, is one of the chosen; no choice keeps every row."""
+    return df.where(F.col(column).cast("string").isin(values)) if values else df
+
+
+def keep_groups(df: DataFrame, key: str, least: int = 8, most: int = 12) -> DataFrame:
+    """Rows of the `most` largest groups with `least` rows or more."""
+    kept = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).orderBy(F.desc("_n"), key).limit(most)
+    return df.join(F.broadcast(kept.select(key)), key, "left_semi")
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """A row for each column: count, n_unique, top, freq (the most frequent value, ties by text), and for numbers mean,
+    std, min, p25, p50, p75, max."""
+    from .kpi import quantiles
+
+    c = lambda n: F.col(f"`{n}`")
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("col"), c(n).cast("string").alias("v")) for n in df.columns))).alias("x")).select("x.*")
+    once = cells.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
+    most = once.groupBy("col").agg(F.max(F.when(F.col("v").isNotNull(), F.col("n"))).alias("freq"))
+    base = once.groupBy("col").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("count"), F.count("v").alias("n_unique"))
+    top = once.join(most, "col").where(F.col("v").isNotNull() & (F.col("n") == F.col("freq"))).groupBy("col", "freq").agg(F.min("v").alias("top"))
+    numbers = [f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")]
+    parts = None
+    for n in numbers:
+        x = c(n).cast("double")
+        own = df.agg(F.lit(n).alias("col"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        own = own.crossJoin(F.broadcast(quantiles(df.select(x.alias("x")), "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75})))
+        parts = own if parts is None else parts.unionByName(own)
+    out = base.join(top, "col", "left")
+    if parts is None:
+        return out.select("col", "count", "n_unique", "top", "freq", *(F.lit(None).cast("double").alias(n) for n in ("mean", "std", "min", "p25", "p50", "p75", "max")))
+    return out.join(parts, "col", "left").select("col", "count", "n_unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def summary_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What cleaning did: a row for each of rows, columns, missing, duplicates, with before, after and removed."""
+
+    def one(df: DataFrame) -> DataFrame:
+        missing = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), missing.cast("long").alias("missing"))
+        twice = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"))
+        wide = counts.crossJoin(F.broadcast(twice))
+        return wide.unpivot([], ["rows", "columns", "missing", "duplicates"], "item", "n")
+
+    return one(before).withColumnRenamed("n", "before").join(one(after).withColumnRenamed("n", "after"), "item").withColumn("removed", F.col("before") - F.col("after"))
+
+
+def smoothed(series: DataFrame, points: int = 10, noise: float = 0.4) -> DataFrame:
+    """period, value, smooth: a trailing mean of seven (three at least) where the series has `points` periods or more and
+    its relative changes spread by more than `noise`, else null. A series is one row for each period."""
+    line, every = W.orderBy("period"), W.partitionBy()
+    change = F.try_divide(F.col("value"), F.lag("value").over(line)) - 1
+    s = series.withColumn("_c", change)
+    noisy = (F.count("value").over(every) >= points) & (F.stddev_samp("_c").over(every) > noise)
+    seven = line.rowsBetween(-6, 0)
+    return s.select("period", "value", F.when(noisy & (F.count("value").over(seven) >= 3), F.avg("value").over(seven)).alias("smooth"))
+
+
+def hierarchy(df: DataFrame, path: list[str], value: str) -> DataFrame:
+    """Sums along a path of columns: a row for each prefix of the path, its columns beyond null, with its depth."""
+    return df.rollup(*path).agg(F.grouping_id().alias("_g"), periods.money(value).alias("total")).select(*path, (F.lit(len(path)) - F.bit_count("_g")).cast("int").alias("depth"), "total")
+
+
+def pivot_years(df: DataFrame, when: str, value: str, years: list[int] | None = None) -> DataFrame:
+    """month and a column for each year with the month's sum, null where there is none."""
+    rows = df.where(F.col(when).isNotNull()).select(F.month(when).cast("long").alias("month"), F.year(when).alias("_y"), F.col(value).alias("_v"))
+    return rows.groupBy("month").pivot("_y", years).agg(periods.money("_v"))
+
+
+def largest(df: DataFrame, column: str, context: list[str], most: int = 3) -> DataFrame:
+    """The rows with the largest values, with their context; ties by the context."""
+    return df.where(F.col(column).isNotNull()).orderBy(F.desc(column), *context).select(column, *context).limit(most)
+
+
+def seeded_sample(df: DataFrame, most: int = 3_000, seed: int = 42) -> DataFrame:
+    """At most `most` rows for a scatter plot, the same ones in every run."""
+    return df.orderBy(F.xxhash64(*df.columns, F.lit(seed)), *df.columns).limit(most)
+
+
+MONTH_HEADER = r"(?i)^(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-/ '.]*(?:\d{2}|\d{4})?|\d{4}[-/.](?:0?[1-9]|1[0-2])|(?:0?[1-9]|1[0-2])[-/.]\d{4}|(?:fy)?\d{4}|q[1-4][-/ '.]*(?:\d{2}|\d{4})?)$"
+
+
+def unpivot_wide(df: DataFrame) -> DataFrame:
+    """Tables with five month-like headers or more beside one to four other columns become period, value rows, if over
+    70 % of the headers are periods and over half of the cells numbers; any other table stays as it is."""
+    import re
+
+    months = [c for c in df.columns if re.match(MONTH_HEADER, c.strip())]
+    ids = [c for c in df.columns if c not in months]
+    if len(months) < 5 or not 1 <= len(ids) <= 4 or not any(ch.isdigit() or ch.isalpha() for ch in "".join(months)):
+        return df
+    text = df.select(*(F.col(f"`{c}`") for c in ids), *(F.col(f"`{c}`").cast("string").alias(c) for c in months))
+    long = text.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in months], "period", "value")
+    number = F.regexp_replace("value", r"[,\s%₹$€£]", "").try_cast("double")
+    s = long.agg(F.count("value").alias("n"), F.count(number).alias("good")).first()
+    return long.withColumn("value", number).where("value is not null") if s.n and s.good > 0.5 * s.n else df
 
 
 def unpivot_months(df: DataFrame, ids: list[str], months: list[str]) -> DataFrame:

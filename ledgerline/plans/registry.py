@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import analytics, audit, kpi, periods, series, stats, verbs
+from ..operators import analytics, audit, forecast, insights, kpi, periods, semantics, series, stats, verbs
 from ..sources import delimited
-from . import catalog, sqlbox
+from . import catalog, packs, sqlbox
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -57,7 +57,7 @@ w AS (SELECT c.cur, (SELECT max(p) FROM q WHERE p < c.cur) AS prev FROM c)"""
 
 def _money(x: str, when: str = "") -> str:
     f = f" FILTER (WHERE {when})" if when else ""
-    return f"CAST(sum(CAST({x} AS DECIMAL(18,2))){f} AS DOUBLE)"
+    return f"round(CAST(sum(CAST({x} AS DECIMAL(30,6))){f} AS DOUBLE), 4)"
 
 
 def _slices(name: str, f: Callable[[str], str]) -> str:
@@ -80,7 +80,7 @@ UNION ALL SELECT 'top_product_share', 100.0 * (SELECT sum(s) FROM (SELECT s FROM
 SELECT key, round(value, 4) AS value, round(previous, 4) AS previous, round(delta_pct, 4) AS delta_pct FROM r"""
 )
 def kpi_pack_retail(spark, d):
-    out = kpi.pack(read(spark, d, "lineitem"), catalog.RETAIL, RETAIL_MAP, "l_shipdate")
+    out = kpi.pack(read(spark, d, "lineitem"), catalog.RETAIL.kpis, RETAIL_MAP, "l_shipdate")
     return out.select("key", *(F.round(c, 4).alias(c) for c in ("value", "previous", "delta_pct")))
 
 
@@ -92,22 +92,22 @@ UNION ALL SELECT 'txn_count', CAST(c AS DOUBLE) FROM a UNION ALL SELECT 'avg_txn
 UNION ALL SELECT 'top_head_share', round(100.0 * (SELECT sum(s) FROM (SELECT s FROM t ORDER BY s DESC LIMIT 5)) / (SELECT sum(s) FROM t), 4)"""
 )
 def kpi_pack_finance(spark, d):
-    return kpi.pack(read(spark, d, "customer"), catalog.FINANCE, {"amount": "c_acctbal", "account": "c_nationkey"}, None).select("key", F.round("value", 4).alias("value"))
+    return kpi.pack(read(spark, d, "customer"), catalog.FINANCE.kpis, {"amount": "c_acctbal", "account": "c_nationkey"}, None).select("key", F.round("value", 4).alias("value"))
 
 
 @query(
     f"""WITH j AS (SELECT o_orderdate, l_shipdate, l_returnflag, l_extendedprice, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 a AS (SELECT CAST(count(*) AS DOUBLE) AS n, {_money('l_extendedprice')} AS m, {_money('l_quantity')} AS q, {_money('l_extendedprice', 'l_quantity > 30')} AS h,
- CAST(count(*) FILTER (WHERE lower(trim(l_returnflag)) IN ('r', 'delivered')) AS DOUBLE) AS r, CAST(count(l_shipdate) AS DOUBLE) AS dated,
+ CAST(count(*) FILTER (WHERE lower(trim(l_returnflag)) IN ('r', 'returned')) AS DOUBLE) AS r, CAST(count(l_shipdate) AS DOUBLE) AS dated,
  CAST(sum(date_diff('day', o_orderdate, l_shipdate)) FILTER (WHERE l_shipdate >= o_orderdate) AS DOUBLE) / count(*) FILTER (WHERE l_shipdate >= o_orderdate) AS t FROM j)
-SELECT 'shipments' AS key, n AS value FROM a UNION ALL SELECT 'delivered_rate', round(100.0 * r / n, 4) FROM a UNION ALL SELECT 'avg_transit', round(t, 4) FROM a
-UNION ALL SELECT 'total_freight', round(m, 4) FROM a UNION ALL SELECT 'cost_per_shipment', round(m / n, 4) FROM a UNION ALL SELECT 'heavy_share', round(100.0 * h / m, 4) FROM a
+SELECT 'lines' AS key, n AS value FROM a UNION ALL SELECT 'returned_rate', round(100.0 * r / n, 4) FROM a UNION ALL SELECT 'avg_transit', round(t, 4) FROM a
+UNION ALL SELECT 'total_freight', round(m, 4) FROM a UNION ALL SELECT 'cost_per_line', round(m / n, 4) FROM a UNION ALL SELECT 'heavy_share', round(100.0 * h / m, 4) FROM a
 UNION ALL SELECT 'cost_per_weight', round(m / q, 4) FROM a UNION ALL SELECT 'dated_share', round(100.0 * dated / n, 4) FROM a"""
 )
 def kpi_rates_and_durations(spark, d):
     rows = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     fields = {"ship_date": "o_orderdate", "delivery_date": "l_shipdate", "status": "l_returnflag", "cost": "l_extendedprice", "weight": "l_quantity"}
-    return kpi.pack(rows, catalog.LOGISTICS, fields, None).select("key", F.round("value", 4).alias("value"))
+    return kpi.pack(rows, catalog.LINES, fields, None).select("key", F.round("value", 4).alias("value"))
 
 
 @query(
@@ -332,12 +332,14 @@ def corr_spearman(spark, d):
     return stats.spearman(read(spark, d, "lineitem"), "l_quantity", "l_discount")
 
 
-@query(f"SELECT count(l_extendedprice) AS n, quantile_cont(l_extendedprice, 0.5) AS median, round({_money('l_extendedprice')} / count(l_extendedprice), 4) AS mean, quantile_cont(l_extendedprice, 0.9) AS p90, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem")
+@query(
+    f"""WITH m AS (SELECT avg(l_extendedprice) AS a, stddev_samp(l_extendedprice) AS s FROM lineitem),
+g AS (SELECT count(l_extendedprice) AS n, quantile_cont(l_extendedprice, 0.5) AS median, {_money('l_extendedprice')} / count(l_extendedprice) AS mean, quantile_cont(l_extendedprice, 0.9) AS p90, min(l_extendedprice) AS min, max(l_extendedprice) AS max,
+ skewness(l_extendedprice) AS skew, count(*) FILTER (WHERE abs((l_extendedprice - m.a) / m.s) > 3) AS outliers FROM lineitem, m)
+SELECT n, round(median, 4) AS median, round(mean, 4) AS mean, round(p90, 4) AS p90, min, max, round(skew, 4) AS skew, outliers, CASE WHEN skew > 1 THEN 'right-skewed' WHEN skew < -1 THEN 'left-skewed' ELSE 'balanced' END AS shape FROM g"""
+)
 def distribution_stats(spark, d):
-    return analytics.distribution(read(spark, d, "lineitem"), "l_extendedprice").withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4), "p90": F.round("p90", 4)})
-
-
-_ORACLES["distribution_stats"] = _ORACLES["distribution_stats"].replace("quantile_cont(l_extendedprice, 0.5)", "round(quantile_cont(l_extendedprice, 0.5), 4)").replace("quantile_cont(l_extendedprice, 0.9)", "round(quantile_cont(l_extendedprice, 0.9), 4)")
+    return analytics.distribution(read(spark, d, "lineitem"), "l_extendedprice").withColumns({c: F.round(c, 4) for c in ("mean", "median", "p90", "skew")})
 
 
 @query("WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, least(40, greatest(10, count(o_totalprice) // 15)) AS k FROM orders) SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / k)), k - 1) AS BIGINT) AS bin, count(*) AS n FROM orders, r GROUP BY 1")
@@ -369,12 +371,12 @@ def dedupe(spark, d):
 
 @query(
     f"""SELECT l_returnflag, l_linestatus, {_money('l_extendedprice')} AS sum, round({_money('l_extendedprice')} / count(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, max(l_extendedprice) AS max, min(l_extendedprice) AS min,
- count(l_extendedprice) AS count, round(stddev_samp(l_extendedprice), 2) AS std, count(DISTINCT l_extendedprice) AS nunique, arg_min(l_extendedprice, (l_orderkey * 10 + l_linenumber) * 1000000.0 + l_extendedprice) AS first, arg_max(l_extendedprice, (l_orderkey * 10 + l_linenumber) * 1000000.0 + l_extendedprice) AS last
+ count(l_extendedprice) AS count, round(stddev_samp(l_extendedprice), 2) AS std, round(var_samp(l_extendedprice), 0) AS var, count(DISTINCT l_extendedprice) AS nunique, arg_min(l_extendedprice, (l_orderkey * 10 + l_linenumber) * 1000000.0 + l_extendedprice) AS first, arg_max(l_extendedprice, (l_orderkey * 10 + l_linenumber) * 1000000.0 + l_extendedprice) AS last
 FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2"""
 )
 def groupby_11(spark, d):
-    out = verbs.group(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", ["sum", "mean", "median", "max", "min", "count", "std", "nunique", "first", "last"], (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000.0 + F.col("l_extendedprice"))
-    return out.withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4), "std": F.round("std", 2)})
+    out = verbs.group(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", ["sum", "mean", "median", "max", "min", "count", "std", "var", "nunique", "first", "last"], (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000.0 + F.col("l_extendedprice"))
+    return out.withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4), "std": F.round("std", 2), "var": F.round("var", 0)})
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3")
@@ -387,23 +389,21 @@ def crosstab(spark, d):
     return verbs.crosstab(read(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@query(
-    f"""WITH g AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, {_money('o_totalprice')} AS s, count(o_totalprice) AS c, max(o_totalprice) AS mx, min(o_totalprice) AS mn FROM orders WHERE o_custkey % 97 = 0 GROUP BY 1),
-sp AS (SELECT CAST(unnest(generate_series((SELECT min(bucket) FROM g), (SELECT max(bucket) FROM g), INTERVAL 1 MONTH)) AS DATE) AS bucket)
-SELECT sp.bucket, coalesce(s, 0.0) AS sum, coalesce(c, 0) AS count, round(s / c, 4) AS mean, mx AS max, mn AS min FROM sp LEFT JOIN g ON sp.bucket = g.bucket"""
-)
+def _resampled(unit: str) -> str:
+    return f"""WITH g AS (SELECT CAST(date_trunc('{unit}', o_orderdate) AS DATE) AS bucket, {_money('o_totalprice')} AS s, count(o_totalprice) AS c, max(o_totalprice) AS mx, min(o_totalprice) AS mn FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+sp AS (SELECT CAST(unnest(generate_series((SELECT min(bucket) FROM g), (SELECT max(bucket) FROM g), INTERVAL 1 {unit})) AS DATE) AS bucket)
+SELECT sp.bucket, coalesce(s, 0.0) AS sum, coalesce(c, 0) AS count, round(s / c, 6) AS mean, mx AS max, mn AS min FROM sp LEFT JOIN g ON sp.bucket = g.bucket"""
+
+
+@query(_resampled("day"))
 def resample_dense(spark, d):
-    return verbs.resample(read(spark, d, "orders").where("o_custkey % 97 = 0"), "o_orderdate", "o_totalprice", "M").withColumn("mean", F.round("mean", 4))
+    """All orders by day; small tables have days without orders. Gaps have a test of their own."""
+    return verbs.resample(read(spark, d, "orders"), "o_orderdate", "o_totalprice", "D").withColumn("mean", F.round("mean", 6))
 
 
-@query(
-    f"""WITH g AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, {_money('o_totalprice')} AS s, count(o_totalprice) AS c, max(o_totalprice) AS mx, min(o_totalprice) AS mn FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
-sp AS (SELECT CAST(unnest(generate_series((SELECT min(bucket) FROM g), (SELECT max(bucket) FROM g), INTERVAL 1 MONTH)) AS DATE) AS bucket)
-SELECT sp.bucket, coalesce(s, 0.0) AS sum, coalesce(c, 0) AS count, round(s / c, 4) AS mean, mx AS max, mn AS min FROM sp LEFT JOIN g ON sp.bucket = g.bucket"""
-)
+@query(_resampled("month"))
 def resample_orders(spark, d):
-    """All orders; resample_dense takes one customer key in 97, so that months may be empty."""
-    return verbs.resample(read(spark, d, "orders"), "o_orderdate", "o_totalprice", "M").withColumn("mean", F.round("mean", 4))
+    return verbs.resample(read(spark, d, "orders"), "o_orderdate", "o_totalprice", "M").withColumn("mean", F.round("mean", 6))
 
 
 @query(f"WITH {_SERIES} SELECT period, value, round(avg(value) OVER (ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rolling FROM ser")
@@ -498,15 +498,13 @@ def sql_box_setops(spark, d):
 SELECT count(*) AS days, CAST(median(gap) AS DOUBLE) AS median_gap, CAST(max(gap) AS BIGINT) AS longest FROM g"""
 )
 def audit_gaps(spark, d):
-    days = read(spark, d, "events").select(F.to_date("ts").alias("d")).distinct()
-    gap = days.withColumn("gap", F.datediff("d", F.lag("d").over(W.orderBy("d"))))
-    return gap.agg(F.count(F.lit(1)).alias("days"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.max("gap").cast("long").alias("longest"))
+    return audit.day_gaps(read(spark, d, "events"), "ts")
 
 
 @query("SELECT count(DISTINCT l_shipmode) AS raw, count(DISTINCT lower(trim(l_shipmode))) AS folded, count(*) FILTER (WHERE c_acctbal < 0) AS negatives FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || ' ' ELSE lower(c_mktsegment) END AS l_shipmode, c_acctbal FROM customer)")
 def audit_case_fold(spark, d):
     c = read(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.upper("c_mktsegment"), F.lit(" "))).otherwise(F.lower("c_mktsegment")).alias("s"), "c_acctbal")
-    return c.agg(F.count_distinct("s").alias("raw"), F.count_distinct(F.lower(F.trim("s"))).alias("folded"), F.count_if(F.col("c_acctbal") < 0).alias("negatives"))
+    return audit.folding(c, "s").crossJoin(c.agg(F.count_if(F.col("c_acctbal") < 0).alias("negatives")))  # one row each
 
 
 _PROFILE = {"o_orderkey": "orders", "o_totalprice": "orders", "o_orderstatus": "orders", "o_orderpriority": "orders"}
@@ -514,22 +512,13 @@ _PROFILE = {"o_orderkey": "orders", "o_totalprice": "orders", "o_orderstatus": "
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS n_unique, round(count(DISTINCT {c}) / CAST(count(*) AS DOUBLE), 4) AS ratio FROM {t}" for c, t in _PROFILE.items()))
 def profile_columns(spark, d):
-    """All columns from one unpivot: a pair for each cell, grouped twice, so no distinct count multiplies the rows."""
-    o = read(spark, d, "orders")
-    cells = o.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in _PROFILE))).alias("x")).select("x.*")
-    once = cells.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
-    out = once.groupBy("col").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("n_unique"))
-    return out.withColumn("ratio", F.round(F.col("n_unique") / F.col("n_rows"), 4))
+    """Four columns; profile_table has every one."""
+    return audit.cell_profile(read(spark, d, "orders"), list(_PROFILE))
 
 
 @query("SELECT col, count(*) AS n_rows, count(*) FILTER (WHERE v IS NULL) AS nulls, count(DISTINCT v) AS n_unique, round(count(DISTINCT v) / CAST(count(*) AS DOUBLE), 4) AS ratio FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM orders) UNPIVOT INCLUDE NULLS (v FOR col IN (COLUMNS(*))) GROUP BY col")
 def profile_table(spark, d):
-    """profile_columns for every column that the schema of orders has."""
-    o = read(spark, d, "orders")
-    cells = o.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("v")) for c in o.columns))).alias("x")).select("x.*")
-    once = cells.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
-    out = once.groupBy("col").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("n_unique"))
-    return out.withColumn("ratio", F.round(F.col("n_unique") / F.col("n_rows"), 4))
+    return audit.cell_profile(read(spark, d, "orders"))
 
 
 @query(
@@ -611,3 +600,153 @@ def zscore_outliers(spark, d):
 def kmeans_parts(spark, d):
     """No SQL fits clusters; tested by what must hold of any clustering."""
     return series.kmeans(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 4)
+
+
+# --- every preset on bound columns of order lines
+
+for _key, _preset in catalog.PRESETS.items():
+
+    def _run(spark, d, preset=_preset):
+        return packs.pack(spark, d, preset)
+
+    _run.__name__ = f"preset_{_key}"
+    query(packs.oracle(_preset, _window, _money))(_run)
+
+
+_RETAIL_LINES = "SELECT l_shipdate AS order_date, l_extendedprice AS net_amount, l_quantity AS qty, l_discount AS discount, l_orderkey AS order_id, concat('item ', l_partkey % 40) AS product_name, l_returnflag AS store FROM lineitem"
+
+
+def _retail_lines(spark, d):
+    read(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql(_RETAIL_LINES)
+
+
+@query()
+def preset_rank(spark, d):
+    """Presets by confidence for order lines with speaking names, and what the best one binds."""
+    ranked = semantics.rank(semantics.profile(_retail_lines(spark, d)))
+    return spark.createDataFrame([(r.preset.key, r.confidence, ", ".join(f"{f}={c}" for f, c in sorted(r.mapping.items()))) for r in ranked], "preset string, confidence int, mapping string")
+
+
+@query()
+def column_roles(spark, d):
+    rows = semantics.profile(_retail_lines(spark, d)) + semantics.profile(read(spark, d, "documents")) + semantics.profile(read(spark, d, "customer"))
+    return spark.createDataFrame([(c.name, c.role, c.rows, c.nulls) for c in rows], "col string, role string, n_rows long, nulls long")
+
+
+@query()
+def insight_cards(spark, d):
+    df = _retail_lines(spark, d)
+    bound = semantics.bind(df, "retail")
+    kpis = kpi.pack(df, bound.preset.kpis, bound.mapping, semantics.when(bound.preset, bound.mapping)).collect()
+    issues = audit.totals(df, ["net_amount"], ["qty"]).collect()
+    found = insights.cards(df, bound.preset, bound.mapping, kpis, issues)
+    return spark.createDataFrame([(c.kind, c.severity, c.headline, float(c.materiality)) for c in found], "kind string, severity string, headline string, materiality double")
+
+
+@query()
+def forecast_by_segment(spark, d):
+    """Months of each order priority, a forecast for each; small series choose other models than long ones."""
+    o = read(spark, d, "orders").where("o_orderdate IS NOT NULL")
+    months = o.groupBy("o_orderpriority", F.to_date(F.trunc("o_orderdate", "month")).alias("period")).agg(periods.money("o_totalprice").alias("value"))
+    return forecast.forecasts(months, 6, ["o_orderpriority"])
+
+
+@query(
+    f"""WITH {_window('lineitem', 'l_shipdate')}, g AS (SELECT {_slices('rev', lambda b: _money('l_extendedprice', b))}, {_slices('disc', lambda b: _money('l_discount', b))} FROM q, w),
+r AS (SELECT 'total_revenue' AS key, rev_a AS value, 100.0 * (rev_c - rev_b) / abs(rev_b) AS delta_pct, true AS up FROM g UNION ALL SELECT 'discount_total', disc_a, 100.0 * (disc_c - disc_b) / abs(disc_b), false FROM g)
+SELECT key, round(value, 4) AS value, round(delta_pct, 4) AS delta_pct, CASE WHEN abs(delta_pct) < 0.05 THEN 'flat' WHEN delta_pct > 0 THEN 'up' ELSE 'down' END AS direction,
+ CASE WHEN abs(delta_pct) < 0.05 THEN 'stable' WHEN (delta_pct > 0) = up THEN 'favourable' ELSE 'adverse' END AS verdict FROM r"""
+)
+def report_scorecard(spark, d):
+    kpis = [k for k in catalog.RETAIL.kpis if k.key in ("total_revenue", "discount_total")]
+    out = analytics.scorecard(kpi.pack(read(spark, d, "lineitem"), kpis, RETAIL_MAP, "l_shipdate"))
+    return out.withColumns({c: F.round(c, 4) for c in ("value", "delta_pct")})
+
+
+@query(
+    f"""WITH {_SERIES}, g AS (SELECT count(*) AS n, avg(value) AS mean, arg_max(period, value) AS best, arg_min(period, value) AS worst, 100 * stddev_samp(value) / abs(avg(value)) AS cv FROM ser)
+SELECT n, round(mean, 2) AS mean, best, worst, round(cv, 4) AS cv, CASE WHEN cv <= 15 THEN 'stable' WHEN cv <= 40 THEN 'moderate' ELSE 'volatile' END AS steadiness FROM g"""
+)
+def report_trend_bands(spark, d):
+    return analytics.trend_bands(_series(spark, d)).withColumns({"mean": F.round("mean", 2), "cv": F.round("cv", 4)})
+
+
+@query(
+    """WITH u AS (SELECT 'o_orderstatus' AS col, CAST(o_orderstatus AS VARCHAR) AS v, NULL AS x FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, NULL FROM orders UNION ALL SELECT 'o_totalprice', NULL, o_totalprice FROM orders),
+c AS (SELECT col, v, count(*) AS n FROM u WHERE v IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS r FROM c)
+SELECT u.col, count(coalesce(v, CAST(x AS VARCHAR))) AS count, count(DISTINCT coalesce(v, CAST(x AS VARCHAR))) AS n_unique, (SELECT v FROM t WHERE t.col = u.col AND r = 1) AS top,
+ CASE WHEN u.col <> 'o_totalprice' THEN CAST((SELECT n FROM t WHERE t.col = u.col AND r = 1) AS DOUBLE) END AS freq, round(avg(x), 2) AS mean, round(stddev_samp(x), 2) AS std, min(x) AS min, round(quantile_cont(x, 0.25), 2) AS p25, round(quantile_cont(x, 0.5), 2) AS p50, round(quantile_cont(x, 0.75), 2) AS p75, max(x) AS max
+FROM u GROUP BY u.col"""
+)
+def describe_all(spark, d):
+    out = verbs.describe(read(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice"))
+    number = F.col("col") == "o_totalprice"  # the most frequent price is of no use, and its text differs by engine
+    return out.withColumns({"top": F.when(~number, F.col("top")), "freq": F.when(~number, F.col("freq").cast("double"))} | {c: F.round(c, 2) for c in ("mean", "std", "p25", "p50", "p75")})
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS value, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 30")
+def slicer_choices(spark, d):
+    return verbs.choices(read(spark, d, "lineitem"), "l_partkey")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE CAST(c_nationkey AS VARCHAR) IN ('1', '7', '24')")
+def slicer_rows(spark, d):
+    return verbs.among(read(spark, d, "customer"), "c_nationkey", ["1", "7", "24"]).select("c_custkey", "c_nationkey")
+
+
+@query(
+    """WITH k AS (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1 HAVING count(*) >= 8 ORDER BY n DESC, c_nationkey LIMIT 12)
+SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM k)"""
+)
+def largest_groups(spark, d):
+    return verbs.keep_groups(read(spark, d, "customer"), "c_nationkey").select("c_custkey", "c_nationkey")
+
+
+@query(
+    """WITH a AS (SELECT lang, source, text FROM documents), b AS (SELECT DISTINCT * FROM a WHERE source <> 'src0'),
+r AS (SELECT 'rows' AS item, (SELECT count(*) FROM a) AS before, (SELECT count(*) FROM b) AS after UNION ALL SELECT 'columns', 3, 3
+ UNION ALL SELECT 'missing', (SELECT count(*) FILTER (WHERE lang IS NULL) + count(*) FILTER (WHERE source IS NULL) + count(*) FILTER (WHERE text IS NULL) FROM a), (SELECT count(*) FILTER (WHERE lang IS NULL) + count(*) FILTER (WHERE source IS NULL) + count(*) FILTER (WHERE text IS NULL) FROM b)
+ UNION ALL SELECT 'duplicates', (SELECT count(*) FROM a) - (SELECT count(*) FROM (SELECT DISTINCT * FROM a)), 0)
+SELECT item, CAST(before AS BIGINT) AS before, CAST(after AS BIGINT) AS after, CAST(before - after AS BIGINT) AS removed FROM r"""
+)
+def summary_diff(spark, d):
+    a = read(spark, d, "documents").select("lang", "source", "text")
+    return verbs.summary_diff(a, a.where("source <> 'src0'").distinct())
+
+
+@query(
+    """WITH s AS (SELECT CAST(ts AS DATE) AS period, CAST(count(*) FILTER (WHERE event_id % 7 < 1 + day(ts) % 5) AS DOUBLE) AS value FROM events GROUP BY 1),
+c AS (SELECT *, value / nullif(lag(value) OVER (ORDER BY period), 0) - 1 AS c FROM s), g AS (SELECT count(*) >= 10 AND stddev_samp(c) > 0.4 AS noisy FROM c)
+SELECT period, value, CASE WHEN noisy AND count(value) OVER w >= 3 THEN round(avg(value) OVER w, 6) END AS smooth FROM c, g WINDOW w AS (ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""
+)
+def smoothed_line(spark, d):
+    days = read(spark, d, "events").groupBy(F.to_date("ts").alias("period")).agg(F.count_if(F.col("event_id") % 7 < 1 + F.dayofmonth("ts") % 5).cast("double").alias("value"))
+    return verbs.smoothed(days).withColumn("smooth", F.round("smooth", 6))
+
+
+@query(f"SELECT l_returnflag, l_linestatus, CAST(2 - (grouping(l_returnflag) + grouping(l_linestatus)) AS INTEGER) AS depth, {_money('l_extendedprice')} AS total FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def hierarchy_sums(spark, d):
+    return verbs.hierarchy(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+
+
+@query("SELECT CAST(month(o_orderdate) AS BIGINT) AS month, " + ", ".join(f"{_money('o_totalprice', f'year(o_orderdate) = {y}')} AS \"{y}\"" for y in range(1995, 2002)) + " FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1")
+def pivot_years(spark, d):
+    return verbs.pivot_years(read(spark, d, "orders"), "o_orderdate", "o_totalprice", list(range(1995, 2002)))
+
+
+@query("SELECT o_totalprice, o_orderkey FROM orders WHERE o_totalprice IS NOT NULL ORDER BY o_totalprice DESC, o_orderkey LIMIT 3")
+def largest_rows(spark, d):
+    return verbs.largest(read(spark, d, "orders"), "o_totalprice", ["o_orderkey"])
+
+
+@query("SELECT o_orderpriority, CAST(sum(CAST(round(o_totalprice * 0.0001, 4) AS DECIMAL(20,4))) AS DOUBLE) AS sum, count(*) AS count, round(var_samp(round(o_totalprice * 0.0001, 4)), 6) AS var FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
+def sums_of_four_decimals(spark, d):
+    """Amounts of four decimals; the twin sums them in a type of its own."""
+    o = read(spark, d, "orders").withColumn("x", F.round(F.col("o_totalprice") * 0.0001, 4))
+    return verbs.group(o, ["o_orderpriority"], "x", ["sum", "count", "var"]).withColumn("var", F.round("var", 6))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice - (b * l_quantity + a), 2) AS resid FROM lineitem, (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)")
+def ols_residuals(spark, d):
+    return stats.residuals(read(spark, d, "lineitem"), "l_extendedprice", "l_quantity").select("l_orderkey", "l_linenumber", F.round("resid", 2).alias("resid"))
