@@ -223,7 +223,16 @@ def positions(df: DataFrame, column: str, descending: bool) -> DataFrame:
 def range_of(value: Column, df: DataFrame, x: Column) -> Column:
     """The number of the range that a value is in, of RANGES cut at approximate quantiles of x in df (one aggregate)."""
     cuts = df.agg(F.percentile_approx(x, F.lit([i / RANGES for i in range(1, RANGES)]), F.lit(20 * RANGES))).first()[0]
-    return F.size(F.filter(F.lit(sorted(set(cuts or []))).cast("array<double>"), lambda c: c < value))
+    cuts = sorted(set(cuts or []))
+
+    def halve(low: int, high: int) -> Column:
+        """How many of cuts[low:high] lie below the value, and low more; a few comparisons, all in generated code."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > cuts[middle], halve(middle + 1, high)).otherwise(halve(low, middle))
+
+    return halve(0, len(cuts))
 
 
 def quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
