@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, offsets, ids in tokens.encoded(batches, path, end_id):
+        for doc_ids, offsets, ids in tokens.encoded(batches, path, end_id, share=2):
             sizes = np.diff(offsets)
             n = -(-sizes // capacity)
             doc = np.repeat(np.arange(len(sizes)), n)

@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words held per worker, about 40 bytes each; when the store is full it starts anew, so a worker's memory is bounded.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 500_000
 #: Words encoded in one string, and bytes of text in one go.
-JOINED, BATCH = 256, 2 << 20
+JOINED, BATCH = 256, 4 << 20
 
 #: Estimated input for each token file.
 FILE_BYTES = 32 << 20
@@ -55,6 +55,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.most = MEMO_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -95,7 +96,7 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         whole, words = np.arange(n), np.zeros(0, np.int64)
         if self.cuts and n:
-            if len(self.words) > MEMO_WORDS:
+            if len(self.words) > self.most:
                 self.clear()
             split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
             words, counts = pc.list_flatten(split), pc.list_value_length(split).to_numpy()
@@ -150,9 +151,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(doc_ids, offsets, ids) of the rows (doc_id, text) in turns of about BATCH bytes of text, or one longer text."""
-    own, held, size = encoder(path), [], 0
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, share: int = 1) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, offsets, ids) of the rows (doc_id, text) in turns of about BATCH bytes of text, or one longer text.
+
+    A share of 2 takes half of the memory and some more time.
+    """
+    own, most, held, size = encoder(path), BATCH // share, [], 0
+    own.most = MEMO_WORDS // share
 
     def turn() -> tuple[pa.Array, np.ndarray, np.ndarray]:
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -164,11 +169,11 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, before + BATCH - size, side="right")))
+            to = max(at + 1, int(np.searchsorted(sizes, before + most - size, side="right")))
             held.append(batch.slice(at, to - at))
             size += int(sizes[to - 1] - before)
             at = to
-            if size >= BATCH or at < batch.num_rows:
+            if size >= most or at < batch.num_rows:
                 yield turn()
                 held, size = [], 0
     if held:
