@@ -33,8 +33,10 @@ class Ingested:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster shares; under one of our own only where none is set."""
+    """A new folder under the one that the cluster shares; under one of our own only where all is one machine."""
     if not (shared := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared}/{name}-{uuid.uuid4().hex}"
