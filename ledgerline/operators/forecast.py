@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import periods
+
 LEAST, ARIMA_LEAST, BAND = 10, 30, 1.96
 
 
@@ -141,6 +143,27 @@ def backtest(y: np.ndarray, days: Sequence) -> float | None:
     return mape(y[-held:], made.mean) if made else None
 
 
+def outlook(df: DataFrame, when: str, value: str, horizon: int | None = None) -> tuple[DataFrame | None, str]:
+    """The forecast of the value's full periods and their grain, or None and why there is none.
+
+    Fewer than LEAST months or quarters are read by week, if that gives LEAST. The horizon is a third of the periods,
+    between three and eight, unless it is given. Weeks without rows are absent, as in any period series.
+    """
+
+    def read(g: str | None) -> tuple[DataFrame, str, int]:
+        w = periods.bounds(df, when, g)
+        s = periods.series(df, when, periods.money(value), w.grain, w).where("value is not null").select("period", "value")
+        return s, w.grain, s.count()
+
+    series, g, n = read(None)
+    if n < LEAST and g in ("M", "Q"):
+        weekly = read("W")
+        series, g, n = weekly if weekly[2] >= LEAST else (series, g, n)
+    if n < LEAST:
+        return None, f"{n} full periods, and a model needs {LEAST}"
+    return forecasts(series, horizon or min(8, max(3, n // 3))), g
+
+
 def forecasts(series: DataFrame, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
     """keys, model, step, period, mean, lower, upper, fit_mape, backtest_mape of each series (keys, period, value).
 

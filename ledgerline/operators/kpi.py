@@ -275,3 +275,40 @@ def flows(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column)
     s = df.agg(periods.money(x).alias("net_total"), periods.money(F.when(x > 0, x)).alias("inflows"), periods.money(F.when(x < 0, x)).alias("outflows"))
     return s.withColumn("in_out_ratio", F.round(F.try_divide("inflows", F.abs("outflows")), 4))
+
+
+# Words that mark the column a domain's KPIs are of, in order of preference.
+TARGETS = {
+    "sales": ["revenue", "sales", "amount", "price", "total"],
+    "hr": ["salary", "wage", "compensation", "pay"],
+    "finance": ["amount", "balance", "value", "cost", "expense"],
+    "marketing": ["spend", "cost", "revenue", "value"],
+}
+
+
+def target(numbers: Sequence[str], domain: str) -> str | None:
+    """The numeric column that a domain's KPIs are of: the first that holds the domain's best word, else the first."""
+    named = (n for word in TARGETS.get(domain, []) for n in numbers if word in n.lower())
+    return next(named, numbers[0] if numbers else None)
+
+
+def selection(df: DataFrame, column: str, domain: str) -> DataFrame:
+    """domain, key, value: the universal KPIs of a column, and those of sales, hr or finance. KPIs without a value, as of an
+    empty column, have no row."""
+    base = universal(df, column)
+    rows = _long(base.withColumnRenamed("skew", "skewness"), "universal")
+    own = None
+    if domain == "sales":
+        own = base.select(F.col("total").alias("total_revenue"), F.col("mean").alias("aov"), F.col("std").alias("rev_std")).crossJoin(F.broadcast(pareto(df, column)))
+    elif domain == "hr":
+        heads = df.where(F.col(column).isNotNull()).select(column).distinct().agg(F.count(F.lit(1)).alias("headcount"))
+        own = base.select(F.col("mean").alias("avg_salary")).crossJoin(F.broadcast(heads)).crossJoin(F.broadcast(gini(df, column)))
+    elif domain == "finance":
+        own = flows(df, column)
+    return (rows.unionByName(_long(own, domain)) if own is not None else rows).where("value is not null")
+
+
+def _long(row: DataFrame, domain: str) -> DataFrame:
+    """A row for each column of a frame of one row."""
+    doubles = row.select(*(F.col(c).cast("double").alias(c) for c in row.columns))
+    return doubles.unpivot([], row.columns, "key", "value").select(F.lit(domain).alias("domain"), "key", "value")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,60 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
+def _inversions(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Pairs with a smaller x and a larger y, each as often as the product of its two counts n; one pass a bit of y."""
+    order = np.lexsort((y, x))
+    y, n = np.unique(y, return_inverse=True)[1][order], n[order].astype(float)
+    total = 0.0
+    for bit in range(int(y.max(initial=0)).bit_length()):
+        upper = (y >> bit) & 1
+        by = np.argsort(y >> (bit + 1), kind="stable")
+        group, upper, m = (y >> (bit + 1))[by], upper[by], n[by]
+        before = np.cumsum(m * upper)
+        start = np.concatenate([[True], group[1:] != group[:-1]])
+        base = (before - m * upper)[start][np.cumsum(start) - 1]
+        total += float(((before - base) * m * (1 - upper)).sum())
+    return total
+
+
+def kendall(df: DataFrame, a: str, b: str, block: int = 1_000_000, most: int = 1_000) -> DataFrame:
+    """n and tau-b of the rows that have both, exactly: no row is compared with every other.
+
+    Equal rows count once, with their number. Both columns are cut at values into blocks of about `block` rows (more where
+    that would give over `most` blocks); a value with so many rows has a block of its own. Pairs in different blocks of
+    both columns come from the counts of a grid of at most (2 * most)^2 cells, pairs in one block from that block alone,
+    and a block of one value holds none. Fewer than two different values of a column give a null tau.
+    """
+    from .kpi import positions
+
+    both = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x is not null and y is not null")
+    n = both.count()
+    block = max(block, -(-n // most))
+
+    def cut(c: str) -> DataFrame:
+        ranked = positions(both, c, False)
+        at = 2 * F.floor(F.col("before") / block) + (F.col("copies") >= block).cast("int")
+        return ranked.select(F.col("value").alias(c), at.cast("long").alias(f"{c}b"), F.col("copies").alias(f"{c}n"))
+
+    xs, ys = cut("x"), cut("y")
+    cells = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).join(xs, "x").join(ys, "y")
+
+    def within(by: str, x: str, y: str):
+        def count(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"d": [_inversions(part[x].to_numpy(), part[y].to_numpy(), part["n"].to_numpy())]})
+
+        return cells.where(f"{by} % 2 = 0").select(by, x, y, "n").groupBy(by).applyInPandas(count, "d double")
+
+    grid = cells.groupBy("xb", "yb").agg(F.sum("n").alias("n"))
+    across = grid.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda part: pd.DataFrame({"d": [_inversions(part["xb"].to_numpy(), part["yb"].to_numpy(), part["n"].to_numpy())]}), "d double")
+    # A block of y holds the pairs of different blocks of x only: those of one block of x are counted there.
+    found = across.unionByName(within("xb", "x", "y")).unionByName(within("yb", "xb", "y")).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
+    pairs = lambda c: F.coalesce(F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2), F.lit(0.0))
+    one = found.crossJoin(xs.agg(pairs("xn").alias("tx"))).crossJoin(ys.agg(pairs("yn").alias("ty"))).crossJoin(cells.agg(pairs("n").alias("txy")))
+    all_ = F.lit(n * (n - 1) / 2)
+    tau = F.try_divide(all_ - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("d"), F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty"))))
+    return one.select(F.lit(n).cast("long").alias("n"), F.round(tau, 6).alias("tau"))
+
 
 
 def beta_inc(a: float, b: float, x: float) -> float:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import analytics, audit, forecast, insights, kpi, periods, semantics, series, stats, verbs
+from ..operators import analytics, audit, charts, forecast, insights, kpi, periods, semantics, series, stats, verbs
 from ..sources import delimited
 from . import catalog, packs, sqlbox
 
@@ -750,3 +750,94 @@ def sums_of_four_decimals(spark, d):
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice - (b * l_quantity + a), 2) AS resid FROM lineitem, (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)")
 def ols_residuals(spark, d):
     return stats.residuals(read(spark, d, "lineitem"), "l_extendedprice", "l_quantity").select("l_orderkey", "l_linenumber", F.round("resid", 2).alias("resid"))
+
+
+@query(
+    """WITH c AS (SELECT p_size AS x, p_retailprice AS y, count(*) AS n FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT sum(a.n * b.n * sign(b.y - a.y)) AS s FROM c a JOIN c b ON a.x < b.x), t AS (SELECT sum(n) AS n FROM c),
+tx AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY x)), ty AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY y))
+SELECT CAST(t.n AS BIGINT) AS n, round(d.s / sqrt((t.n * (t.n - 1) / 2 - tx.v) * (t.n * (t.n - 1) / 2 - ty.v)), 6) AS tau FROM d, t, tx, ty"""
+)
+def corr_kendall(spark, d):
+    return stats.kendall(read(spark, d, "part"), "p_size", "p_retailprice")
+
+
+@query(
+    f"""WITH u AS ({_ORACLES['kpi_universal']}), p AS ({_ORACLES['kpi_pareto']}),
+l AS (UNPIVOT (SELECT total, mean, median, std, min, max, CAST(count AS DOUBLE) AS count, null_rate, cv, p25, p75, skew AS skewness, iqr, CAST(outliers AS DOUBLE) AS outliers FROM u) ON COLUMNS(*) INTO NAME key VALUE value)
+SELECT 'universal' AS domain, key, round(value, 2) AS value FROM l UNION ALL SELECT 'sales', 'total_revenue', round(total, 2) FROM u UNION ALL SELECT 'sales', 'aov', round(mean, 2) FROM u
+UNION ALL SELECT 'sales', 'rev_std', round(std, 2) FROM u UNION ALL SELECT 'sales', 'pareto', pareto FROM p"""
+)
+def kpi_selection(spark, d):
+    """The column is chosen by its name among the numbers of orders."""
+    o = read(spark, d, "orders")
+    return kpi.selection(o, kpi.target(["o_shippriority", "o_totalprice"], "sales"), "sales").withColumn("value", F.round("value", 2))
+
+
+@query()
+def forecast_outlook(spark, d):
+    """Tested against its own parts; SQL fits no such models."""
+    return forecast.outlook(read(spark, d, "orders"), "o_orderdate", "o_totalprice")[0]
+
+
+@query()
+def chart_recommended(spark, d):
+    found = charts.recommend(semantics.profile(_retail_lines(spark, d)))
+    return spark.createDataFrame([(i, c.kind, c.title, c.x, c.y, c.color) for i, c in enumerate(found)], "place int, kind string, title string, x string, y string, color string")
+
+
+@query(f"WITH {_SERIES} SELECT period, value FROM ser")
+def chart_line(spark, d):
+    return charts.marks(read(spark, d, "orders"), charts.Chart("line", "", "o_orderdate", "o_totalprice"))
+
+
+@query(
+    f"""WITH {_window('lineitem', 'l_shipdate')},
+t AS (SELECT l_suppkey AS g FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1 ORDER BY {_money('l_extendedprice')} DESC, CAST(l_suppkey AS VARCHAR) LIMIT 8)
+SELECT p AS period, CASE WHEN l_suppkey IN (SELECT g FROM t) THEN CAST(l_suppkey AS VARCHAR) ELSE 'Others' END AS color, {_money('l_extendedprice')} AS value FROM q, k WHERE k.gone IS NULL OR p <> k.gone GROUP BY 1, 2"""
+)
+def chart_stacked(spark, d):
+    return charts.marks(read(spark, d, "lineitem"), charts.Chart("stacked_bar", "", "l_shipdate", "l_extendedprice", "l_suppkey"))
+
+
+@query("SELECT o_orderpriority AS segment, count(o_totalprice) AS n, min(o_totalprice) AS min, round(quantile_cont(o_totalprice, 0.25), 2) AS p25, round(quantile_cont(o_totalprice, 0.5), 2) AS median, round(quantile_cont(o_totalprice, 0.75), 2) AS p75, max(o_totalprice) AS max FROM orders WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1")
+def chart_box(spark, d):
+    out = charts.marks(read(spark, d, "orders"), charts.Chart("box", "", "o_orderpriority", "o_totalprice"))
+    return out.withColumns({c: F.round(c, 2) for c in ("p25", "median", "p75")})
+
+
+@query(
+    f"""WITH {_window('orders', 'o_orderdate')}, t AS (SELECT o_orderpriority AS g FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY {_money('o_totalprice')} DESC, 1 LIMIT 4)
+SELECT o_orderpriority AS segment, p AS period, {_money('o_totalprice')} AS value FROM q, k WHERE (k.gone IS NULL OR p <> k.gone) AND o_orderpriority IN (SELECT g FROM t) GROUP BY 1, 2"""
+)
+def exhibit_small_multiples(spark, d):
+    return charts.small_multiples(read(spark, d, "orders"), "o_orderdate", "o_totalprice", "o_orderpriority")
+
+
+@query(
+    f"""SELECT key, delta_pct, CASE WHEN abs(delta_pct) < 0.05 THEN false WHEN key = 'discount_total' THEN delta_pct < 0 ELSE delta_pct > 0 END AS favourable FROM ({_ORACLES['kpi_pack_retail']}) WHERE delta_pct IS NOT NULL"""
+)
+def exhibit_tornado(spark, d):
+    return charts.tornado(kpi.pack(read(spark, d, "lineitem"), catalog.RETAIL.kpis, RETAIL_MAP, "l_shipdate")).withColumn("delta_pct", F.round("delta_pct", 4))
+
+
+@query(
+    f"""WITH {_window('orders', 'o_orderdate')},
+m AS (SELECT coalesce(o_orderpriority, '(null)') AS s, round(coalesce({_money('o_totalprice', 'p = cur')}, 0), 2) AS c, round(coalesce({_money('o_totalprice', 'p = prev')}, 0), 2) AS b FROM q, w WHERE p IN (cur, prev) GROUP BY 1),
+r AS (SELECT s, c - b AS d, row_number() OVER (ORDER BY abs(round(c - b, 2)) DESC, s) AS step FROM m),
+e AS (SELECT 0 AS step, 'previous' AS label, sum(b) AS d FROM m UNION ALL SELECT step, s, d FROM r), f AS (SELECT step, label, d, sum(d) OVER (ORDER BY step) AS stop FROM e)
+SELECT CAST(step AS INTEGER) AS step, label, round(stop - d, 2) AS start, round(stop, 2) AS stop FROM f UNION ALL SELECT 7, 'current', 0.0, round(sum(c), 2) FROM m"""
+)
+def exhibit_waterfall(spark, d):
+    o = read(spark, d, "orders")
+    return charts.waterfall(o, "o_orderdate", "o_totalprice", "o_orderpriority", periods.bounds(o, "o_orderdate"))
+
+
+@query(
+    f"""WITH {_window('orders', 'o_orderdate')}, g AS (SELECT {_slices('m', lambda b: _money('o_totalprice', b))}, {_slices('v', lambda b: f'CAST(count(*) FILTER (WHERE {b}) AS DOUBLE)')} FROM q, w),
+h AS (SELECT m_b AS m0, m_c AS m1, m_b + (v_c - v_b) * m_b / v_b AS mid FROM g)
+SELECT 0 AS step, 'previous' AS label, 0.0 AS start, round(m0, 2) AS stop FROM h UNION ALL SELECT 1, 'volume', round(m0, 2), round(mid, 2) FROM h UNION ALL SELECT 2, 'rate', round(mid, 2), round(m1, 2) FROM h UNION ALL SELECT 3, 'current', 0.0, round(m1, 2) FROM h"""
+)
+def exhibit_effects(spark, d):
+    o = read(spark, d, "orders")
+    return charts.effects(o, "o_orderdate", "o_totalprice", None, periods.bounds(o, "o_orderdate"))

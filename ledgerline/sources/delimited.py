@@ -1,8 +1,9 @@
 """Delimited text of unknown shape: encoding, separator, header, total rows, numbers and dates are found out.
 
 Choices that the head of a file decides come from its first lines; those about whole columns (width, empty columns,
-share of numbers and dates) from one aggregate over all rows, and the encoding of each file from one over all its lines. Line breaks inside quotes aren't supported: files stay
-splittable. Several files are read in the order of their names; a header that repeats is left out.
+share of numbers and dates) from one aggregate over all rows, and the encoding of each file from one over all its lines.
+Only where a line's quotes are odd, so that a cell may go on in the next, is each file read by one task; else files are
+split. Several files are read in the order of their names; a header that repeats is left out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import verbs
+
 SEPARATORS, CURRENCIES = (",", ";", "\t", "|"), "₹$€£"
 HEAD, SNIFF = 12, 30
 # Names of time columns, the shape of a date, the start of a total row.
@@ -122,11 +125,12 @@ def load(spark: SparkSession, path: str) -> Ingested:
         return Ingested(spark.createDataFrame([], "column_1 string"), ["empty input"])
     sep = _separator(lines)
     # Quoted separators make this too wide at worst; empty columns go below.
-    width = whole.agg(F.max(F.size(F.split("line", f"\\Q{sep}\\E")))).first()[0]
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    width, broken = whole.agg(F.max(F.size(F.split("line", f"\\Q{sep}\\E"))), F.bool_or(quotes % 2 == 1)).first()
     raw = [f"_c{i}" for i in range(width)]
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
     cells = lambda encoding: [*(F.nullif(F.trim(_western(c, encoding)), F.lit("")).alias(c) for c in raw), *place]
-    table = _read(spark, path, files, ", ".join(f"{c} string" for c in raw), cells, sep=sep, mode="PERMISSIVE")
+    table = _read(spark, path, files, ", ".join(f"{c} string" for c in raw), cells, sep=sep, mode="PERMISSIVE", escape='"', multiLine=bool(broken))
     order, back = ["_file", "_block", "_id"], [F.desc("_file"), F.desc("_block"), F.desc("_id")]
     head = table.orderBy(*order).limit(HEAD).collect()
     at = _header([[r[c] for c in raw] for r in head], width)
@@ -144,7 +148,10 @@ def load(spark: SparkSession, path: str) -> Ingested:
         rows = rows.where(~F.struct(*order).eqNullSafe(_place(r)))
     receipt.append(f"{len(totals)} total rows left out")
     typed, symbols, notes = _typed(rows.select(*(F.col(c).alias(n) for c, n in zip(raw, names, strict=True))))
-    return Ingested(typed, receipt + notes, symbols)
+    long = verbs.unpivot_wide(typed)
+    if long.columns != typed.columns:
+        notes.append("months as columns, turned into a row for each")
+    return Ingested(long, receipt + notes, symbols)
 
 
 def _place(row) -> Column:
