@@ -841,3 +841,12 @@ SELECT 0 AS step, 'previous' AS label, 0.0 AS start, round(m0, 2) AS stop FROM h
 def exhibit_effects(spark, d):
     o = read(spark, d, "orders")
     return charts.effects(o, "o_orderdate", "o_totalprice", None, periods.bounds(o, "o_orderdate"))
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def export_delimited(spark, d):
+    """The orders written out and read back."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    path = delimited.staging_path(spark, "export")
+    delimited.save(o, path)
+    return spark.read.csv(path, header=True, schema=o.schema, escape='"')

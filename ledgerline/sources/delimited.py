@@ -154,6 +154,14 @@ def load(spark: SparkSession, path: str) -> Ingested:
     return Ingested(long, receipt + notes, symbols)
 
 
+def save(df: DataFrame, path: str) -> None:
+    """A new folder of UTF-8 files, each with a header and with quotes doubled, as load reads them; arrays, maps and structs
+    become JSON. Null and empty text are one on reading."""
+    nested = {f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")}
+    cells = [F.to_json(f"`{c}`").alias(c) if c in nested else F.col(f"`{c}`") for c in df.columns]
+    df.select(*cells).write.csv(path, header=True, escape='"', encoding="UTF-8", timestampFormat="yyyy-MM-dd HH:mm:ss", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def _place(row) -> Column:
     return F.struct(F.lit(row._file).alias("_file"), F.lit(row._block).cast("long").alias("_block"), F.lit(row._id).cast("long").alias("_id"))
 

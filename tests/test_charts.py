@@ -104,3 +104,12 @@ def test_months_as_columns(spark, tmp_path):
     path.write_text("shop," + ",".join(months) + "\n" + "".join(f"s{i}," + ",".join(str(i * 10 + k) for k in range(6)) + "\n" for i in range(4)))
     got = delimited.load(spark, str(path))
     assert got.df.columns == ["shop", "period", "value"] and got.df.count() == 24 and "months as columns" in got.receipt[-1]
+
+
+def test_saved_text_is_read_again(spark, tmp_path):
+    rows = [("tea, green", 'say "hi"', 1.5, [1, 2]), ("oil\nraw", None, 2.5, None), (" salt ", "x", 3.5, []), ("rice", "y", None, [3])]
+    path = str(tmp_path / "out")
+    delimited.save(spark.createDataFrame(rows, "item string, note string, price double, tags array<int>").repartition(2), path)
+    got = {r.item: r for r in delimited.load(spark, path).df.collect()}
+    assert set(got) == {"tea, green", "oil\nraw", "salt", "rice"} and got["tea, green"].note == 'say "hi"' and got["oil\nraw"].price == 2.5
+    assert got["tea, green"].tags == "[1,2]" and got["rice"].price is None
