@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, common, html, jaccard, langid, mixing, packing, pii, quality, tokens
+from . import ann, chat, common, fim, html, jaccard, langid, mixing, omh, packing, pii, quality, rtree, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_mixing, op3_jaccard_join, op4_nearest_neighbours, op5_pii, op6_token_files, op7_chat, op8_language, op9_quality, op10_best_fit_packing)}
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.assemble(table(spark, sf_dir, "documents")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+    return rtree.mine(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", label=relabelled)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_mixing, op3_jaccard_join, op4_nearest_neighbours, op5_pii, op6_token_files, op7_chat, op8_language, op9_quality, op10_best_fit_packing, op11_order_minhash, op12_fill_in_middle, op13_hard_negatives)}
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -83,4 +96,20 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
   CAST(sum(length('<turn:') + length(role) + 2 + length(replace(replace(text, '\', '\b'), '<', '\l')) + length('</turn>') + 1) AS BIGINT) AS formatted_chars,
   CAST(0 AS BIGINT) AS expanded_tokens
 FROM turns GROUP BY conv_id""",
+    "op12_fill_in_middle": """
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b, CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS e FROM d),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form, least(a, b) AS p, abs(a - b) AS m FROM g),
+s AS (SELECT *, substring(t, 1, p) AS x, substring(t, p + 1, m) AS y, substring(t, p + m + 1) AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM s""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS alike, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3""",
 }
