@@ -6,11 +6,12 @@ grows with the rows and a bucket does not. Data rows go to one bucket of each ta
 whose axes are nearest in sum. Each bucket, cut into blocks of rows and of queries where it is large, ranks its own rows
 against its queries by one matrix product, then the best exactly in double precision; the best of all buckets are the
 result. With one rotation, tables and probes are fixed values that reach the wanted recall; with more, a bounded sample
-of queries is held against a search of all rows in blocks, and probes are doubled until RECALL is reached.
+of queries is held against a search of all rows in blocks, and probes are doubled until RECALL is reached; where even
+MOST_PROBES do not reach it, all queries search all rows in blocks.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a null id.
-Vectors are compared only with those of their own length. Ties of score go to the smaller id; repeated ids are compared
-as separate rows. A query that found fewer than k rows probes every axis of one table, which is a search of all rows in
+Vectors are compared only with those of their own length. Ties of score go to the smaller id. Rows are known by a number
+of their own: repeated ids are separate rows, as queries and as candidates, and a query meets every row but its own. A query that found fewer than k rows probes every axis of one table, which is a search of all rows in
 blocks; so the result has fewer than k rows only where there are fewer candidates. Empty tables give empty results;
 extra columns are ignored.
 """
@@ -63,11 +64,13 @@ def scaled(v: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """row (a number, written so that it stays), vec_id and embedding of the rows that take part."""
     e = F.col(embedding).cast("array<double>")
-    clean = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), e.alias("_e"))
+    clean = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), e.alias("_e"))
     fine = F.forall("_e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("_e", lambda x: x != 0)
-    return clean.where(F.col("vec_id").isNotNull() & F.col("_e").isNotNull() & F.coalesce(fine & some, F.lit(False))).select("vec_id", F.col("_e").alias("embedding"))
+    kept = clean.where(F.col("vec_id").isNotNull() & F.col("_e").isNotNull() & F.coalesce(fine & some, F.lit(False))).select("row", "vec_id", F.col("_e").alias("embedding"))
+    return common.settle(kept)
 
 
 def nearest_buckets(unit: np.ndarray, table: int, rotations: int, probes: int) -> np.ndarray:
@@ -90,7 +93,7 @@ def nearest_buckets(unit: np.ndarray, table: int, rotations: int, probes: int) -
 
 
 def hashed(rows: DataFrame, tables: int, probes: int, rotations: int = 1) -> DataFrame:
-    """A row for each table and probe: dim, table, bucket, vec_id, embedding."""
+    """A row for each table and probe: dim, table, bucket, row, vec_id, embedding."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,30 +104,29 @@ def hashed(rows: DataFrame, tables: int, probes: int, rotations: int = 1) -> Dat
                 for t in range(tables):
                     best = nearest_buckets(unit, t, rotations, probes)
                     for p in range(best.shape[1]):
-                        yield pd.DataFrame({"dim": dim, "table": t, "bucket": best[:, p], "vec_id": same.vec_id.to_numpy(), "embedding": same.embedding.to_numpy()})
+                        yield pd.DataFrame({"dim": dim, "table": t, "bucket": best[:, p], "row": same.row.to_numpy(), "vec_id": same.vec_id.to_numpy(), "embedding": same.embedding.to_numpy()})
 
-    return rows.mapInPandas(run, "dim int, table int, bucket long, vec_id long, embedding array<double>")
+    return rows.mapInPandas(run, "dim int, table int, bucket long, row long, vec_id long, embedding array<double>")
 
 
 def best_in_blocks(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows of each bucket for each of its queries: query_id, vec_id, score. Exact in the bucket."""
+    """The k nearest rows of each bucket for each of its queries: query, query_id, row, vec_id, score. Exact in the bucket."""
     keys = ["dim", "table", "bucket"]
     sides = data.select(*keys, F.lit(1).alias("_d"), F.lit(0).alias("_q")).unionByName(queries.select(*keys, F.lit(0).alias("_d"), F.lit(1).alias("_q")))
     counts = sides.groupBy(keys).agg(F.sum("_d").alias("_d"), F.sum("_q").alias("_q")).where("_d > 0 and _q > 0")
     counts = counts.select(*keys, F.ceil(F.col("_d") / BLOCK_ROWS).cast("int").alias("_n"), F.ceil(F.col("_q") / BLOCK_QUERIES).cast("int").alias("_m"))
     counts = common.settle(counts)
-    pick = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    pick = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     small = F.broadcast(counts) if counts.count() <= 200_000 else counts
     data = data.join(small, keys).withColumn("block", pick("_n")).withColumn("part", every("_m")).drop("_n", "_m")
     queries = queries.join(small, keys).withColumn("part", pick("_m")).withColumn("block", every("_n")).drop("_n", "_m")
 
     def rank(_, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
         if not len(q) or not len(d):
-            return out
-        ids, v = d.vec_id.to_numpy(), scaled(np.stack(d.embedding.to_numpy()))
-        own, x = q.vec_id.to_numpy(), scaled(np.stack(q.embedding.to_numpy()))
+            return pd.DataFrame(columns=["query", "query_id", "row", "vec_id", "score"])
+        rows, ids, v = d.row.to_numpy(), d.vec_id.to_numpy(), scaled(np.stack(d.embedding.to_numpy()))
+        own, own_ids, x = q.row.to_numpy(), q.vec_id.to_numpy(), scaled(np.stack(q.embedding.to_numpy()))
         norms, lengths = np.sqrt((v * v).sum(1)), np.sqrt((x * x).sum(1))
         most, found = min(k, len(ids)), []
 
@@ -135,20 +137,21 @@ def best_in_blocks(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
         for start in range(0, len(own), step):
             some = slice(start, start + step)
             rough = (x[some] @ v.T) / (lengths[some, None] * norms)
-            rough[own[some, None] == ids] = -np.inf
+            rough[own[some, None] == rows] = -np.inf
             least = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most, None] - 1e-9
             row, near = np.nonzero((rough >= least) & (rough > -np.inf))
             # The same for a pair in whichever bucket it meets.
             score = np.concatenate([np.zeros(0), *(pairs(near[i : i + PAIRS], row[i : i + PAIRS] + start) for i in range(0, len(row), PAIRS))])
-            order = np.lexsort((ids[near], -score, row))
+            order = np.lexsort((rows[near], ids[near], -score, row))
             row, near, score = row[order], near[order], score[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             best = place < most
-            found.append(pd.DataFrame({"query_id": own[some][row[best]], "vec_id": ids[near[best]], "score": score[best]}))
-        return pd.concat([out, *found])
+            row, near, score = row[best], near[best], score[best]
+            found.append(pd.DataFrame({"query": own[some][row], "query_id": own_ids[some][row], "row": rows[near], "vec_id": ids[near], "score": score}))
+        return pd.concat(found)
 
     keys = [*keys, "block", "part"]
-    return queries.groupBy(keys).cogroup(data.groupBy(keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
+    return queries.groupBy(keys).cogroup(data.groupBy(keys)).applyInPandas(rank, "query long, query_id long, row long, vec_id long, score double")
 
 
 def rotations_for(rows: int, dim: int) -> int:
@@ -164,12 +167,12 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, tables: int = TABLES,
     """query_id, rank, vec_id, score: the k nearest rows found for each row where is_query (SQL on vec_id) holds."""
     rows = usable(vectors, vec_id, embedding)
     queries = rows.where(is_query)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     shape = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dim")).first()
     rotations = rotations_for(shape.n, shape.dim)
 
     def top(found: DataFrame) -> DataFrame:
-        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        once = found.groupBy("query", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
         return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     def all_rows(some: DataFrame) -> DataFrame:
@@ -178,14 +181,24 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, tables: int = TABLES,
     def probed(some: DataFrame, probes: int) -> DataFrame:
         return best_in_blocks(hashed(some, tables, probes, rotations), hashed(rows, tables, 1, rotations), k)
 
+    def reached(sample: DataFrame, want: DataFrame, probes: int) -> bool:
+        return top(probed(sample, probes)).join(want, ["query", "row"]).count() >= RECALL * want.count()
+
+    enough = True
     if rotations > 1:
-        sample = common.settle(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE))
-        want = common.settle(top(all_rows(sample)).select("query_id", "vec_id"))
-        while probes < MOST_PROBES and top(probed(sample, probes)).join(want, ["query_id", "vec_id"]).count() < RECALL * want.count():
+        sample = common.settle(queries.orderBy(F.xxhash64("row"), "row").limit(SAMPLE))
+        want = common.settle(top(all_rows(sample)).select("query", "row"))
+        while not (enough := reached(sample, want, probes)) and probes < MOST_PROBES:
             probes *= 2
+    if not enough:
+        return ranked(top(all_rows(queries)))
     found = common.settle(top(probed(queries, probes)))
-    full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    short = common.settle(queries.join(full, "vec_id", "left_anti"))
+    full = found.groupBy("query").count().where(F.col("count") >= k).select(F.col("query").alias("row"))
+    short = common.settle(queries.join(full, "row", "left_anti"))
     if not short.isEmpty():
-        found = top(found.select("query_id", "vec_id", "score").unionByName(all_rows(short)))
+        found = top(found.drop("rank").unionByName(all_rows(short)))
+    return ranked(found)
+
+
+def ranked(found: DataFrame) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

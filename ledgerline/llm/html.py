@@ -1,12 +1,12 @@
 """Main text of web pages by site template removal.
 
 Each page's elements are built into a tree and each subtree is hashed. Spark counts, for each host, the distinct pages
-on which a subtree's hash occurs; what recurs on many pages of its host is template and is deleted, wherever in the body
-it stands. Of blocks of links the shape counts as well, since their words differ by page. The rest of the body is the
+on which a subtree's hash occurs; what recurs on many pages of its host is template and is deleted first, wherever in the
+body it stands and whatever it calls itself. Of blocks of links the shape counts as well, since their words differ by page. The rest of the body is the
 text. Prose inside an article or main element (paragraphs, headings, list items and so on) stays however often it
-recurs: copies of an article on a host do not make it template. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments that name themselves by tag, role or class go as well, since adverts and readers'
-comments need not recur.
+recurs: copies of an article on a host do not make it template. Of what is left, menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and comments that name themselves by tag, role or class go as well,
+since adverts and readers' comments need not recur.
 
 A host of fewer than LEAST_PAGES distinct pages shows no recurrence. There the text is that of the page's main part
 (its article or main element, or else its body), without what names itself as something else.
@@ -15,7 +15,7 @@ Character references are decoded, white space inside a block becomes one space,
 space; nothing else is dropped or capped. Null, empty and text-less pages give an empty text. A null or odd url counts
 as a host of its own kind (the empty host). Rows of a host with the same html count as one page, so copies of a page do
 not make its article template. Markup may be broken: open elements are closed as a browser would. Empty tables give
-empty results. Extra columns stay, but input columns called text or n_chars give way to the results.
+empty results. Extra columns stay, but input columns called text, n_chars or n_template give way to the results.
 """
 
 from __future__ import annotations
@@ -197,9 +197,9 @@ def main_parts(top: Node) -> list[Node]:
     return [a for m in mains or [top] for a in find(m, lambda x: x.tag == "article")] or mains or [top]
 
 
-def removable(top: Node, parts: list[Node]) -> Iterator[tuple[Node, int]]:
+def removable(top: Node, parts: list[Node]) -> Iterator[tuple[Node, int, int]]:
     """Elements that are template if their hash recurs: containers and, outside the main part, anything but a line's
-    inner markup. Of menus (mostly links) the shape counts as well, since their words differ by page."""
+    inner markup. Of menus (mostly links) the shape counts as well, since their words differ by page. With their characters."""
     inside = {id(p) for p in parts if p is not top}
     above = set()
     for p in parts:
@@ -216,9 +216,9 @@ def removable(top: Node, parts: list[Node]) -> Iterator[tuple[Node, int]]:
         dense = 2 * linked > chars
         if within[id(node)] and prose and not dense:
             continue
-        yield node, h
+        yield node, h, chars
         if dense and not within[id(node)]:
-            yield node, s ^ 0x5BD1E995
+            yield node, s ^ 0x5BD1E995, chars
 
 
 def within_main(node: Node) -> bool:
@@ -227,8 +227,21 @@ def within_main(node: Node) -> bool:
     return node is not None
 
 
-def text_of(parts: list[Node], gone: set[int]) -> str:
-    """White-space-normal text of the elements, without what is dropped or in gone (ids of nodes)."""
+def delete_template(top: Node, gone: frozenset[int]) -> int:
+    """Take the subtrees whose hash is in gone out of the page, whatever they are; returns the characters of their words."""
+    deleted = {id(node): (node, chars) for node, h, chars in removable(top, main_parts(top)) if h in gone}
+    out = 0
+    for node, chars in deleted.values():
+        above = node.parent
+        node.parent.items = [x for x in node.parent.items if x is not node]
+        while above is not None and id(above) not in deleted:
+            above = above.parent
+        out += chars if above is None else 0  # else counted with the subtree it is in
+    return out
+
+
+def text_of(parts: list[Node]) -> str:
+    """White-space-normal text of the elements, without what names itself as something else."""
     out: list[str] = []
     for part in parts:
         stack: list = [part]
@@ -237,7 +250,7 @@ def text_of(parts: list[Node], gone: set[int]) -> str:
             if isinstance(x, str):
                 out.append(x)
                 continue
-            if (x.dropped or id(x) in gone) and x is not part:
+            if x.dropped and x is not part:
                 continue
             if x.tag == "header" and x is not part:
                 if part.tag in ("#", "body") and not within_main(x):
@@ -269,7 +282,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(host, h, w) for host, text, w in zip(b.host, b.html, b.weight, strict=True) if text for top in [parse(text)] for h in {np.uint64(h).astype(np.int64) for _, h in removable(top, main_parts(top))}]
+            rows = [(host, h, w) for host, text, w in zip(b.host, b.html, b.weight, strict=True) if text for top in [parse(text)] for h in {np.uint64(h).astype(np.int64) for _, h, _ in removable(top, main_parts(top))}]
             yield pd.DataFrame(rows, columns=["host", "hash", "n"]).astype({"hash": "int64", "n": "float64"}).groupby(["host", "hash"], as_index=False).n.sum()
 
     found = pages.select("host", "html", "weight").mapInPandas(count, "host string, hash long, n double")
@@ -279,19 +292,19 @@ def templates(pages: DataFrame) -> DataFrame:
     return sizes.join(gone, "host", "left").select("host", F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"))
 
 
-def main_text(text: str | None, gone: frozenset[int] | None) -> str:
-    """The text of a page whose host's template is gone; None where the host shows none."""
+def main_text(text: str | None, gone: frozenset[int] | None) -> tuple[str, int]:
+    """The text of a page, and the characters that went with its host's template; gone is None where the host shows none."""
     if not text:
-        return ""
+        return "", 0
     top = parse(text)
-    parts = main_parts(top)
     if gone is None:
-        return text_of(parts, set())
-    return text_of([top], {id(n) for n, h in removable(top, parts) if h in gone} if gone else set())
+        return text_of(main_parts(top)), 0
+    deleted = delete_template(top, gone)
+    return text_of([top]), deleted
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages with text and n_chars (code points)."""
+    """pages with text, n_chars (code points) and n_template (characters of words that recurrence on the host removed)."""
     common.small_batches(pages.sparkSession)
     row = F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_row")
     text = F.col(f"`{html}`")
@@ -301,16 +314,17 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     known = templates(weighed.select(F.col("_host").alias("host"), F.col("_row")[html].alias("html"), (1.0 / F.coalesce("_n", F.lit(1))).alias("weight")))
     joined = common.join_measured(hosted, known.withColumnRenamed("host", "_host"), ["_host"], "left", BROADCAST_ROWS // 10)
 
-    @F.pandas_udf("string")
-    def read(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    @F.pandas_udf("text string, n_template long")
+    def read(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         out, sets = [], {}
         for own, hashes in zip(texts, gone, strict=True):
             bad = None
             if hashes is not None and (bad := sets.get(key := hashes.tobytes())) is None:
                 bad = sets[key] = frozenset(hashes.astype(np.uint64).tolist())
             out.append(main_text(own, bad))
-        return pd.Series(out, dtype=object)
+        return pd.DataFrame(out, columns=["text", "n_template"])
 
-    done = joined.select("_row", read(F.col("_row")[html], F.col("gone")).alias("_text"))
-    kept = [F.col("_row")[c].alias(c) for c in pages.columns if c not in ("text", "n_chars")]
-    return done.select(*kept, F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+    done = joined.select("_row", read(F.col("_row")[html], F.col("gone")).alias("_read"))
+    kept = [F.col("_row")[c].alias(c) for c in pages.columns if c not in ("text", "n_chars", "n_template")]
+    found = F.col("_read.text")
+    return done.select(*kept, found.alias("text"), F.length(found).cast("long").alias("n_chars"), F.col("_read.n_template").alias("n_template"))

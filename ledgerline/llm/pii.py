@@ -72,7 +72,8 @@ FORMS = {
     "spelled": (0, ("(at)", "[at]"), lambda t: t, rf"{LOCAL}+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+){{1,4}}"),
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-MARK = "\u0001"
+#: The mark around matches, and what stands for it where a text holds it: neither can be part of a match.
+MARK, OTHER = "\u0001", "\u0002"
 NONE = "array<struct<start:int,end:int,m:string,before:string>>"
 
 
@@ -83,7 +84,7 @@ def placed(text: Column, form: str) -> Column:
     pieces' lengths tell where they stand.
     """
     _, needed, look, pattern = FORMS[form]
-    unmarked = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(text)
+    unmarked = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
     pieces = F.split(F.regexp_replace(look(unmarked), f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
 
     def spans(p: Column, ends: Column) -> Column:

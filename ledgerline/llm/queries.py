@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_template")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, chat, common, html, jaccard, langid, mixing, packing, pii, quality, tokens
+from ledgerline.llm import ann, chat, common, html, jaccard, langid, mixing, packing, pii, quality, queries, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -423,6 +423,22 @@ def test_neighbours_small(spark):
     assert got == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """A query meets every row but its own; rows of one id count each for itself."""
+    schema = "vec_id long, embedding array<float>"
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.1]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], schema).repartition(2)
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df, "vec_id % 50 = 0", k=4).collect())
+    assert got == sorted([(0, i + 1, v) for v_all in ([0, 1, 1, 2], [0, 1, 1, 2]) for i, v in enumerate(v_all)])
+
+
+def test_neighbours_where_probes_do_not_suffice(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(ann, "MOST_PROBES", 1)
+    rng = np.random.default_rng(58)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(500, 12)))], "vec_id long, embedding array<double>")
+    assert recall(spark, df, tables=1, probes=1) == 1.0
+
+
 # --- PII
 
 
@@ -448,6 +464,8 @@ def test_pii_base(spark):
     texts = ODD + ["mail a@b.c@d.e x.@y.z a@b..c q@-.-. me@x.org. +1 (771) 555-1655, 4111 1111 1111 1111; 4111-1111-1111-1112 1.2.3.4.5.6.7.8 300.1.1.1 000255.0.0.1 é@x.com"]
     texts += ["".join(rng.choice(list("0123456789  -.+()@ab%é")) for _ in range(120)) for _ in range(400)]
     texts += ["".join(rng.choice(["a", "@", ".", "b-", "%", " ", "1", "."]) for _ in range(80)) for _ in range(400)]
+    texts += [t.replace("|", c) for c in "\x01\x02" for t in ("+1|415|555|0100", "+1 415 555 0100|+1 415 555 0101", "4111|1111|1111|1111", "4111 1111 1111 1111|2", "1.2.3|.4", "9|1.2.3.4|5", "a|b@c.de|f.g", "x@y|.org", "|a@b.c|")]
+    texts += ["".join(rng.choice(list("0123456789 -.+()@ab") + ["\x01", "\x01", "\x02"]) for _ in range(120)) for _ in range(200)]
     texts += ["4242424242424242 " * 50, "1 " * 20_000, "a@b" + ".c" * 20_000, "9" * 50_000, "x" * 60_000, "1.2" * 9_000]
     got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans if s.base] for r in pii.find(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
@@ -704,6 +722,27 @@ def test_html_templates(spark):
     assert [r.text for r in got[30:]] == [f"The same copy own {k}" for k in range(30)]
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recurrence_acts_on_the_registered_pages(spark, sf):
+    """Recurrence comes first: on every page of a host with a template it takes characters, whatever the lists would take."""
+    d = f"/root/testdata/{sf}"
+    raw = {r.page_id: r.html or "" for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    hosts = Counter(re.sub("^https?://([^/]*).*", r"\1", r.url or "") for r in spark.read.parquet(f"{d}/pages.parquet").collect())
+    got = queries.op1_html_extraction(spark, d).collect()
+    assert len(got) == len(raw)
+    framed = [r for r in got if re.search("<(nav|footer)[ >]", raw[r.page_id]) and hosts[re.sub("^https?://([^/]*).*", r"\1", r.url or "")] >= 4 * html.LEAST_PAGES]
+    assert framed and all(r.n_template > 0 for r in framed)
+
+
+def test_template_goes_before_the_lists():
+    page = "<body><nav>Menu one <b>two</b></nav><div class=box>Rights kept</div><p>own words</p><aside>note</aside></body>"
+    top = html.parse(page)
+    every = {n.tag: h for n, h, _ in html.removable(top, html.main_parts(top))}
+    assert html.main_text(page, frozenset({every["nav"], every["div"]})) == ("own words", 20)
+    assert html.main_text(page, frozenset()) == ("Rights kept own words", 0)
+    assert html.main_text(page, None) == ("Rights kept own words", 0)
+
+
 def chrome_pages(rng, n=24):
     """Pages whose template names itself nowhere: only recurrence tells it from the text. (host, html, own text)."""
     out = []
@@ -725,17 +764,18 @@ def test_html_recurrence_alone(spark, monkeypatch):
     df = pages(spark, [(f"http://{h}/{i}", t) for i, (h, t, _) in enumerate(rows)]).repartition(3).withColumns({c: F.lit(c) for c in ("gone", "_host", "_row", "host", "text")})
     got = {r.page_id: r for r in html.extract(df).collect()}
     assert all(got[i].text == own for i, (*_, own) in enumerate(rows))
-    assert got[0].gone == "gone" and got[0]._row == "_row" and len(html.extract(df).columns) == len(df.columns) + 1
+    assert got[0].gone == "gone" and got[0]._row == "_row" and len(html.extract(df).columns) == len(df.columns) + 2
+    assert all((got[i].n_template > 0) == (h != "small.example") for i, (h, *_) in enumerate(rows))
 
     # A plain count of distinct pages on each host says what the template is.
     want = defaultdict(set)
     for host in {h for h, *_ in rows}:
         distinct = {t for h, t, _ in rows if h == host}
-        counts = Counter(x for t in distinct for top in [html.parse(t)] for x in {h for _, h in html.removable(top, html.main_parts(top))})
+        counts = Counter(x for t in distinct for top in [html.parse(t)] for x in {h for _, h, _ in html.removable(top, html.main_parts(top))})
         if len(distinct) >= html.LEAST_PAGES:
             want[host] = {x for x, n in counts.items() if n >= html.LEAST_PAGES and n >= html.LEAST_SHARE * len(distinct)}
     for h, t, own in rows:
-        assert html.main_text(t, frozenset(want[h]) if h in want else None) == own
+        assert html.main_text(t, frozenset(want[h]) if h in want else None)[0] == own
     monkeypatch.setattr(html, "LEAST_SHARE", 2)  # the method switched off
     off = {r.page_id: r.text for r in html.extract(df).collect()}
     assert sum(off[i] != own for i, (*_, own) in enumerate(rows)) == len(rows) - 4
