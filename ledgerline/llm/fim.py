@@ -2,9 +2,10 @@
 
 A text is cut at two places drawn from the document's id; prefix, middle and suffix get a mark each and change places, as
 psm (prefix, suffix, middle) or spm (suffix, prefix, middle), or the text stays plain. A text becomes pieces of at most
-CHUNK code points, keyed by document and place in the output; repartitionAndSortWithinPartitions brings them together in
-order, so that a task streams them and never holds a text again once it is cut. restore() finds the marks in the output
-stream alone, gives each piece its place in the text, and sorts again; the partitioner is the same, so nothing moves.
+CHUNK code points, keyed by document and place in the output. repartition by document and sortWithinPartitions by both
+keys (the DataFrame form of repartitionAndSortWithinPartitions: one exchange that sorts as it reads) bring them together
+in order, so that a task streams them and never holds a text again once it is cut. restore() finds the marks in the
+output stream alone, gives each piece its place in the text, and sorts again inside the same partitions: nothing moves.
 
 A row is a document whatever its id: ids may repeat or be null (a null id draws as the empty string does). Null texts
 count as empty and stay plain. Texts that hold a mark stay plain, since they could not be told from marked ones. Extra
@@ -14,10 +15,11 @@ columns are ignored, whatever their names. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from hashlib import sha256
+from json import dumps, loads
 
-from pyspark import RDD
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ PLACE = {PREFIX: 0, MIDDLE: 1, SUFFIX: 2}
 TRANSFORMED, SPM = 90, 20
 #: Code points in a piece; bytes of text in a partition; a number above that of any piece of a text.
 CHUNK, PART, MOST = 1 << 16, 16 << 20, 1 << 40
+#: Rows and code points that a worker hands on in one go.
+BATCH_ROWS, BATCH_CHARS = 1_000, 4 << 20
+#: row: a number of the document; head: what is known of it, with its first piece and, in a restored stream, at its end.
+PIECES = "row long, place long, head string, piece string"
 SEED = 1
 
 
@@ -58,7 +64,7 @@ def plan(doc_id: int | None, text: str) -> Head:
 
 
 def pieces(row: int, doc_id: int | None, text: str) -> Iterator[tuple]:
-    """((row, place in the output), (head, piece)): the head goes with the first piece."""
+    """(row, place in the output, head, piece): the head goes with the first piece."""
     head = plan(doc_id, text)
     if head.form == "plain":
         parts = [("", 0, head.n)]
@@ -69,41 +75,68 @@ def pieces(row: int, doc_id: int | None, text: str) -> Iterator[tuple]:
     place = 0
     for mark, start, end in parts:
         for at in range(start, max(end, start + 1), CHUNK):
-            yield (row, place), (None if place else head, (mark if at == start else "") + text[at : min(end, at + CHUNK)])
+            yield row, place, None if place else dumps(asdict(head)), (mark if at == start else "") + text[at : min(end, at + CHUNK)]
             place += 1
 
 
-def by_row(key: tuple[int, int]) -> int:
-    """The partition of a piece: that of its document. Rows are numbered upwards from a multiple of 2 ** 33 in each task."""
-    return (key[0] >> 33) * 40503 + key[0]
+def batched(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows whose last value is a text, in frames of bounded size."""
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += len(row[-1] or "")
+        if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+            yield pd.DataFrame(held, columns=columns)
+            held, chars = [], 0
+    yield pd.DataFrame(held, columns=columns)
 
 
-def sort_pieces(some: RDD, n: int) -> RDD:
-    """Pieces of a document side by side, in the order of their places. Sorting what is sorted by_row already moves nothing."""
-    return some.repartitionAndSortWithinPartitions(n, by_row)
+def streamed(frames: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    for frame in frames:
+        yield from frame.itertuples(index=False, name=None)
 
 
-def assemble(docs: DataFrame) -> RDD:
-    """((row, place), (head, piece)) in the order of the output."""
-    rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    return sort_pieces(rows.rdd.flatMap(lambda r: pieces(*r)), common.parts(rows, PART))
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def texts(assembled: RDD) -> DataFrame:
+def assemble(docs: DataFrame) -> DataFrame:
+    """row, place, head, piece: the pieces of the outputs, a document's in one partition and in order."""
+    common.small_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").cast("string").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        documents = ((row, None if doc_id is None else int(doc_id), text) for row, doc_id, text in streamed(frames))
+        return batched((p for one in documents for p in pieces(*one)), names(PIECES))
+
+    return rows.mapInPandas(cut, PIECES).repartition(common.parts(rows, PART), "row").sortWithinPartitions("row", "place")
+
+
+def by_document(stream: Iterable[tuple]) -> Iterator[tuple[int, Head, Iterator[str]]]:
+    """row, head and pieces of one document after the other. The pieces must be taken before the next document."""
+    stream = iter(stream)
+    following = next(stream, None)
+    while following is not None:
+        row, head = following[0], Head(**loads(following[2]))
+
+        def own() -> Iterator[str]:
+            nonlocal following
+            while following is not None and following[0] == row:
+                yield following[3]
+                following = next(stream, None)
+
+        yield row, head, own()
+
+
+def texts(assembled: DataFrame) -> DataFrame:
     """doc_id, form, output: the whole text of the output in a row, as it came in one."""
+    schema = "doc_id string, form string, output string"
 
-    def join(some: Iterable[tuple]) -> Iterator[tuple]:
-        head, parts = None, []
-        for _, (first, piece) in some:
-            if first is not None:
-                if head is not None:
-                    yield head.doc_id, head.form, "".join(parts)
-                head, parts = first, []
-            parts.append(piece)
-        if head is not None:
-            yield head.doc_id, head.form, "".join(parts)
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((None if head.doc_id is None else str(head.doc_id), head.form, "".join(own)) for _, head, own in by_document(streamed(frames)))
+        return batched(rows, names(schema))
 
-    return assembled.mapPartitions(join).toDF("doc_id long, form string, output string")
+    return assembled.mapInPandas(join, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def unmarked(form: str, stream: Iterable[str]) -> Iterator[tuple[int, str]]:
@@ -124,46 +157,40 @@ def unmarked(form: str, stream: Iterable[str]) -> Iterator[tuple[int, str]]:
         yield place, rest
 
 
-def restore(assembled: RDD) -> RDD:
-    """((row, place), piece) in the order of the text, and at each document's end ((row, place), (head, digest of the output))."""
+def restore(assembled: DataFrame) -> DataFrame:
+    """The pieces in the order of the text; at each document's end its head, with the digest of the output as piece."""
 
-    def places(some: Iterable[tuple]) -> Iterator[tuple]:
-        some = iter(some)
-        following = next(some, None)
-        while following is not None:
-            (row, _), (head, _) = following
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for row, head, own in by_document(streamed(frames)):
             digest, counts = sha256(), [0, 0, 0]
 
-            def stream() -> Iterator[str]:
-                nonlocal following
-                while True:
-                    piece = following[1][1]
+            def read() -> Iterator[str]:
+                for piece in own:
                     digest.update(piece.encode())
                     yield piece
-                    following = next(some, None)
-                    if following is None or following[0][0] != row:
-                        return
 
-            for place, piece in unmarked(head.form, stream()):
-                yield (row, place * MOST + counts[place]), piece
+            for place, piece in unmarked(head.form, read()):
+                yield row, place * MOST + counts[place], None, piece
                 counts[place] += 1
-            yield (row, 3 * MOST), (head, digest.hexdigest())
+            yield row, 3 * MOST, dumps(asdict(head)), digest.hexdigest()
 
-    return sort_pieces(assembled.mapPartitions(places, preservesPartitioning=True), assembled.getNumPartitions())
+    found = assembled.mapInPandas(lambda frames: batched(placed(frames), names(PIECES)), PIECES)
+    return found.sortWithinPartitions("row", "place")
 
 
-def digests(assembled: RDD) -> DataFrame:
+def digests(assembled: DataFrame) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars, and the digests of the output and of the text restored from it."""
+    schema = "head string, output_sha256 string, restored_sha256 string"
 
-    def digest(some: Iterable[tuple]) -> Iterator[tuple]:
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         restored = sha256()
-        for _, value in some:
-            if isinstance(value, str):
-                restored.update(value.encode())
+        for _, _, head, piece in streamed(frames):
+            if head is None:
+                restored.update(piece.encode())
                 continue
-            head, output = value
-            yield head.doc_id, head.n, head.form, head.prefix, head.middle, output, restored.hexdigest()
+            yield head, piece, restored.hexdigest()
             restored = sha256()
 
-    schema = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
-    return restore(assembled).mapPartitions(digest).toDF(schema)
+    done = restore(assembled).mapInPandas(lambda frames: batched(digest(frames), names(schema)), schema)
+    head = F.from_json("head", "doc_id long, n long, form string, prefix long, middle long")
+    return done.select(head.alias("h"), "output_sha256", "restored_sha256").select("h.doc_id", "h.n", "h.form", F.col("h.prefix").alias("prefix_chars"), F.col("h.middle").alias("middle_chars"), "output_sha256", "restored_sha256")
