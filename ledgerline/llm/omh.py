@@ -16,7 +16,9 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from hashlib import sha256
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -167,8 +169,8 @@ def fingerprint(text: Column | str) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the hashes in which two fingerprints agree."""
-    agree = F.filter(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), lambda i: F.substring(a, i * 8 + 1, F.lit(8)) == F.substring(b, i * 8 + 1, F.lit(8)))
-    return F.size(agree) / F.lit(float(FUNCTIONS))
+    agree = (F.when(F.substring(a, i + 1, 8) == F.substring(b, i + 1, 8), 1).otherwise(0) for i in range(0, 8 * FUNCTIONS, 8))
+    return reduce(add, agree) / F.lit(float(FUNCTIONS))
 
 
 def dealt_in_order(docs: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def dealt_in_order(docs: DataFrame) -> DataFrame:
     keyed = rows.withColumn("key", key).withColumn("to", F.explode(places("key.known", "key.id", "key.tie")))
     part, copy = F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")), F.col("to") < 0
     dealt = keyed.select("doc_id", "text", "key", part.alias("part"), copy.alias("copy"))
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "copy", F.desc("key"))
+    return dealt.repartitionById(len(rising) or 1, "part").sortWithinPartitions("part", "copy", F.desc("key"))
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
