@@ -1,13 +1,33 @@
-"""Guarded read-only SQL over a table called data: the parser says what is a query; a few functions that reach the machine
-are barred by name, and paths do not resolve as tables."""
+"""Guarded read-only SQL over a table called data.
+
+Spark's own parser says what a text is; the guard then walks everything that hangs on the parsed plan: inputs, common
+table expressions, subqueries inside expressions, whatever holds them. It refuses commands, script transformations,
+functions that call into the machine (by the class behind the name, so no spelling hides one), table-valued functions,
+names that are only known when the query runs, and tables that are not in the catalog, such as paths to files. Strings,
+comments and column names can say what they like.
+"""
 
 from __future__ import annotations
 
+from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
-#: Logical nodes that change something or leave the engine, and functions that call into the machine.
-BARRED_NODES = ("Command", "CreateTable", "DropTable", "InsertInto", "Insert", "Delete", "Update", "Merge", "ScriptTransformation", "CacheTable", "SetCatalog", "Truncate", "Alter", "Replace", "LoadData", "RefreshTable", "Call")
-BARRED_FUNCTIONS = ("reflect", "java_method", "try_reflect", "read_files")
+_LOGICAL, _ANALYSIS = "org.apache.spark.sql.catalyst.plans.logical.", "org.apache.spark.sql.catalyst.analysis."
+#: What a plan must not hold, and why.
+REFUSED = {
+    _LOGICAL + "Command": "a command, not a query",
+    _LOGICAL + "ParsedStatement": "a statement, not a query",
+    _LOGICAL + "Call": "a procedure, not a query",
+    _LOGICAL + "ScriptTransformation": "runs a program",
+    _ANALYSIS + "UnresolvedTableValuedFunction": "a table-valued function",
+    _ANALYSIS + "UnresolvedTVFAliases": "a table-valued function",
+    _ANALYSIS + "PlanWithUnresolvedIdentifier": "a name known only when it runs",
+    _ANALYSIS + "ExpressionWithUnresolvedIdentifier": "a name known only when it runs",
+}
+#: Classes, by a part of their name, of functions that call methods of the machine.
+REACHING = ("Reflect", "Invoke", "PythonUDF", "Load")
+#: Functions that say what the machine, the session or its files are.
+TELLING = frozenset("input_file_name input_file_block_start input_file_block_length java_method reflect try_reflect read_files".split())
 ROWS = 200
 
 
@@ -15,24 +35,56 @@ class Refused(ValueError):
     """The text is not one read-only query."""
 
 
+def _parts(spark: SparkSession, value: object) -> list[object]:
+    """What a node, a list, an option or a tuple of the parser's tree holds."""
+    gateway = spark.sparkContext._gateway
+    if not isinstance(value, JavaObject):
+        return []
+    if is_instance_of(gateway, value, "scala.collection.Iterable"):
+        them = value.toSeq()
+        return [them.apply(i) for i in range(them.size())]
+    if is_instance_of(gateway, value, "scala.Product"):
+        return [value.productElement(i) for i in range(value.productArity())]
+    return []
+
+
+def _names(value: JavaObject) -> list[str]:
+    return [value.apply(i) for i in range(value.size())]
+
+
+def _check_function(spark: SparkSession, names: list[str]) -> None:
+    name = names[-1].lower()
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    found = registry.lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    behind = found.get().getClassName().rsplit(".", 1)[-1] if found.isDefined() else ""
+    if name in TELLING or any(part in behind for part in REACHING):
+        raise Refused(f"function {name} is not allowed")
+
+
 def check(spark: SparkSession, text: str) -> None:
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text.strip().rstrip(";"))
     except Exception as error:
         raise Refused("not one query") from error
-    stack = [plan]
+    gateway, stack = spark.sparkContext._gateway, [plan]
     while stack:
         node = stack.pop()
-        name = node.getClass().getSimpleName()
-        if name.startswith(BARRED_NODES) or name.endswith("Command"):
-            raise Refused(f"{name} is not a query")
-        children = node.children()
-        stack.extend(children.apply(i) for i in range(children.size()))
-    low = text.lower()
-    import re
-
-    if re.search(rf"\b({'|'.join(BARRED_FUNCTIONS)})\s*\(", low) or re.search(r"\b(parquet|csv|json|orc|text|binaryfile|delta|avro)\s*\.\s*`", low):
-        raise Refused("function or file path not allowed")
+        if isinstance(node, JavaObject):
+            kind = node.getClass().getSimpleName()
+            if is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.trees.TreeNode"):
+                for refused, why in REFUSED.items():
+                    if is_instance_of(gateway, node, refused):
+                        raise Refused(f"{kind}: {why}")
+            if kind == "UnresolvedFunction":
+                _check_function(spark, _names(node.nameParts()))
+            elif kind == "UnresolvedGenerator":
+                _check_function(spark, [node.name().funcName()])
+            elif kind == "UnresolvedRelation":
+                names = _names(node.multipartIdentifier())
+                quoted = ".".join("`" + n.replace("`", "``") + "`" for n in names)
+                if len(names) > 1 and not spark.catalog.tableExists(quoted):  # a file's format and path looks like this
+                    raise Refused(f"no table {quoted}")
+        stack.extend(_parts(spark, node))
 
 
 def ask(df: DataFrame, text: str, rows: int | None = ROWS) -> DataFrame:
@@ -40,11 +92,5 @@ def ask(df: DataFrame, text: str, rows: int | None = ROWS) -> DataFrame:
     spark = df.sparkSession
     check(spark, text)
     df.createOrReplaceTempView("data")
-    key = "spark.sql.runSQLOnFiles"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")  # names are resolved here and now, so paths are none
-    try:
-        out = spark.sql(text.strip().rstrip(";"))
-    finally:
-        spark.conf.set(key, before)
+    out = spark.sql(text.strip().rstrip(";"))
     return out.limit(rows) if rows else out
