@@ -43,8 +43,9 @@ def trend(series: DataFrame) -> DataFrame:
 
 
 def two_periods(df: DataFrame, when: str, w: periods.Window) -> tuple[DataFrame, Column, Column]:
-    """The rows of the current and previous period, and a predicate for each. Ranges of the column itself go to the scan."""
-    cur, prev = (periods.within(df, when, first, w.grain) for first in (w.current, w.previous))
+    """The rows of the current and previous period, and a predicate for each. Ranges of the column itself go to the scan.
+    A period that there is not (an empty table, or one period only) has no rows."""
+    cur, prev = (periods.within(df, when, first, w.grain) if first else F.lit(False) for first in (w.current, w.previous))
     return df.where(cur | prev), cur, prev
 
 
@@ -68,7 +69,7 @@ def volume_rate(df: DataFrame, when: str, value: str, unit: str | None, w: perio
         s = rows.agg(*sums).crossJoin(F.broadcast(units))  # one row each
     else:
         s = rows.agg(*sums, F.count_if(cur).cast("double").alias("v1"), F.count_if(prev).cast("double").alias("v0"))
-    s = s.withColumn("r1", F.col("m1") / F.col("v1")).withColumn("r0", F.col("m0") / F.col("v0"))
+    s = s.withColumn("r1", F.try_divide("m1", "v1")).withColumn("r0", F.try_divide("m0", "v0"))
     return s.select("m1", "m0", "v1", "v0", "r1", "r0", ((F.col("v1") - F.col("v0")) * F.col("r0")).alias("volume_effect"), ((F.col("r1") - F.col("r0")) * F.col("v1")).alias("rate_effect"))
 
 
@@ -78,7 +79,8 @@ def mix_shift(df: DataFrame, when: str, value: str, segment: str, w: periods.Win
     v = F.col(value)
     s = rows.groupBy(segment).agg(periods.money(F.when(cur, v)).alias("m1"), periods.money(F.when(prev, v)).alias("m0"), F.count(F.when(cur, 1)).cast("double").alias("n1"), F.count(F.when(prev, 1)).cast("double").alias("n0")).where("n1 > 0 and n0 > 0")
     t = s.agg(F.sum("m1").alias("m1"), F.sum("m0").alias("m0"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum(F.col("m1") / F.col("n1") * F.col("n0")).alias("f"))
-    return t.select(F.round(100 * (F.col("m1") / F.col("n1") / (F.col("m0") / F.col("n0")) - 1), 6).alias("blended_pct"), F.round(100 * (F.col("f") / F.col("m0") - 1), 6).alias("fixed_mix_pct"))
+    blended = F.try_divide(F.try_divide("m1", "n1"), F.try_divide("m0", "n0"))
+    return t.select(F.round(100 * (blended - 1), 6).alias("blended_pct"), F.round(100 * (F.try_divide("f", "m0") - 1), 6).alias("fixed_mix_pct"))
 
 
 def segments(df: DataFrame, when: str, value: str, dims: list[str], w: periods.Window) -> DataFrame:
@@ -86,9 +88,10 @@ def segments(df: DataFrame, when: str, value: str, dims: list[str], w: periods.W
     p, v = periods.period_of(when, w.grain), F.col("v")
     pairs = F.array(*(F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d).cast("string"), F.lit("(null)")).alias("segment")) for d in dims))
     rows = df.select(p.alias("p"), F.col(value).alias("v"), F.explode(pairs).alias("s")).select("p", "v", "s.*")
-    cur, prev = F.col("p") == F.lit(w.current), F.col("p") == F.lit(w.previous)
+    cur, prev = (F.col("p") == F.lit(first) if first else F.lit(False) for first in (w.current, w.previous))
     s = rows.groupBy("dim", "segment").agg(periods.money("v").alias("total"), periods.money(F.when(cur, v)).alias("m1"), periods.money(F.when(prev, v)).alias("m0"), F.count_if(cur).alias("n1"), F.count_if(prev).alias("n0"))
-    share = 100.0 * F.col("total") / F.sum("total").over(W.partitionBy("dim"))
+    all_ = rows.groupBy("dim").agg(periods.money("v").alias("_all"))  # a row for each dimension
+    s, share = s.join(F.broadcast(all_), "dim"), 100.0 * F.try_divide("total", "_all")
     move = F.when((F.col("n1") >= 8) & (F.col("n0") >= 8), 100.0 * F.try_divide(F.col("m1") - F.col("m0"), F.abs("m0")))
     return s.select("dim", "segment", "total", F.round(share, 6).alias("share_pct"), F.round(move, 6).alias("move_pct"))
 
@@ -146,22 +149,22 @@ def repeat_gap(df: DataFrame, when: str, entity: str) -> DataFrame:
     days = df.where(F.col(entity).isNotNull() & F.col(when).isNotNull()).select(F.col(entity).alias("e"), F.to_date(when).alias("d")).distinct()
     gap = days.withColumn("gap", F.datediff("d", F.lag("d").over(W.partitionBy("e").orderBy("d"))))
     one = gap.groupBy("e").agg(F.count("gap").alias("again"))
-    return one.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("again") > 0).alias("repeaters")).withColumn("repeat_pct", F.round(100.0 * F.col("repeaters") / F.col("entities"), 6)).crossJoin(gap.agg(F.percentile("gap", F.lit(0.5)).alias("median_gap")))
+    return one.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("again") > 0).alias("repeaters")).withColumn("repeat_pct", F.round(100.0 * F.col("repeaters") / F.col("entities"), 6)).crossJoin(F.broadcast(kpi.quantiles(gap, "gap", {"median_gap": 0.5})))
 
 
 def driver_lags(series: DataFrame, most: int = 4) -> DataFrame:
     """lag, n, r of driver k periods before against target. series: period, driver, target."""
     lagged = series.select("target", *(F.lag("driver", k).over(by_period()).alias(f"d{k}") for k in range(1, most + 1)))
-    parts = [F.struct(F.lit(k).cast("long").alias("lag"), F.count(F.when(F.col(f"d{k}").isNotNull() & F.col("target").isNotNull(), 1)).alias("n"), F.round(F.corr(f"d{k}", "target"), 6).alias("r")) for k in range(1, most + 1)]
+    parts = [F.struct(F.lit(k).cast("long").alias("lag"), F.count(F.when(F.col(f"d{k}").isNotNull() & F.col("target").isNotNull(), 1)).alias("n"), F.round(periods.corr(F.col(f"d{k}"), F.col("target")), 6).alias("r")) for k in range(1, most + 1)]
     return lagged.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, median, p90, least and largest value, bias-corrected skewness with its band, and values more than three
     deviations (ddof 1) from the mean. Null statistics below 30 values."""
-    x = F.col(column).cast("double")
+    x = periods.number(column)
     n = F.count(x)
-    s = df.agg(n.alias("n"), F.try_divide(periods.money(x), n).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"), (F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))).alias("skew"))
+    s = df.agg(n.alias("n"), periods.mean(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"), (F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))).alias("skew"))
     far = df.crossJoin(F.broadcast(s.select("_m", "_s"))).agg(F.count_if(F.abs((x - F.col("_m")) / F.nullif("_s", F.lit(0.0))) > 3).alias("outliers"))
     out = s.drop("_m", "_s").crossJoin(F.broadcast(kpi.quantiles(df, column, {"median": 0.5, "p90": 0.9}))).crossJoin(F.broadcast(far))
     shape = F.when(F.col("skew") > 1, "right-skewed").when(F.col("skew") < -1, "left-skewed").otherwise("balanced")

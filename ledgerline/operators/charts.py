@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import analytics, kpi, periods, semantics, verbs
+from . import analytics, kpi, periods, quantiles, semantics, verbs
 
 #: Groups that a box plot or a pie can show, groups of a bar chart, colours, and bars of a tornado.
 FEW, BARS, COLOURS, MOVES = 8, 12, 8, 12
@@ -111,17 +111,12 @@ def small_multiples(df: DataFrame, when: str, value: str, segment: str, most: in
 def box(df: DataFrame, group: str, value: str) -> DataFrame:
     """segment, n, min, p25, median, p75, max of the FEW largest groups by rows, exact.
 
-    Each group's quantiles come from ranks over ranges of its values, so that a group with most of the rows is no single
-    task; the price is a scan for each of at most FEW groups."""
-    out = None
-    for name in _largest(df.where(F.col(value).isNotNull()), group, None, FEW):
-        own = df.where((F.col(group).cast("string") == name) & F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-        ends = own.agg(F.lit(name).alias("segment"), F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
-        row = ends.crossJoin(F.broadcast(kpi.quantiles(own, "v", {"p25": 0.25, "median": 0.5, "p75": 0.75})))  # one row each
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "segment string, n long, min double, p25 double, median double, p75 double, max double")
-    return out.select("segment", "n", "min", "p25", "median", "p75", "max")
+    All groups' quantiles are found in two passes, without a group in one task."""
+    rows = df.where(F.col(group).cast("string").isin(_largest(df.where(periods.number(value).isNotNull()), group, None, FEW)))
+    rows = rows.select(F.col(group).cast("string").alias("segment"), periods.number(value).alias("v")).where("v is not null")
+    ends = rows.groupBy("segment").agg(F.min("v").alias("min"), F.max("v").alias("max"))  # FEW rows
+    parts = quantiles.exact(rows, ["segment"], {"v": F.col("v")}, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return parts.join(F.broadcast(ends), "segment").select("segment", "n", "min", "p25", "median", "p75", "max")
 
 
 def heat(df: DataFrame, when: str, hours: int = 3) -> DataFrame:

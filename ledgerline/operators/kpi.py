@@ -1,8 +1,9 @@
 """KPI algebra: a pack of specs becomes one aggregate over the slices all, current and previous.
 
-Every additive KPI is an aggregate with a FILTER for each slice, so a pack costs one scan (after the bounds) however
-many KPIs it has; composite KPIs are arithmetic over the aggregated row. Shares of the top groups take one more
-aggregate by their dimension.
+Every additive KPI is an aggregate with a FILTER for each slice, so they cost one scan (after the bounds) however many
+they are; composite KPIs are arithmetic over the aggregated row. Distinct counts and shares of the top groups, again
+however many, take one more scan: each row gives a tagged value for each of them, which map tasks group before the one
+shuffle. Medians of all KPIs and slices come from exact quantiles together. NaN counts as missing everywhere.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import periods
+from . import periods, quantiles as exact_quantiles
 
 FLAT, SLICES = 0.05, ("all", "cur", "prev")
 #: Ranges that distinct values are dealt to.
@@ -65,9 +66,11 @@ def aggregate(k: KPI, mapping: dict[str, str], by: Column, as_of: Column) -> dic
             elif not p.get("where_fallback"):
                 return None
         x = F.when(keep, x)
-        agg = {"sum": lambda: periods.money(x), "mean": lambda: F.try_divide(periods.money(x), F.count(x)), "median": lambda: F.percentile(x, F.lit(0.5)), "max": lambda: F.max(x).cast("double")}[k.kind]()
+        if k.kind == "median":  # of all KPIs and slices together: exact_quantiles
+            return {"median": periods.number(x)}
+        agg = {"sum": lambda: periods.money(x), "mean": lambda: periods.mean(x), "max": lambda: F.max(periods.number(x))}[k.kind]()
         return {"value": agg * p.get("scale", 1.0)}
-    if k.kind == "distinct":  # of a mapped field: distinct_counts
+    if k.kind == "distinct":  # of a mapped field: by_value
         return {"value": F.count(one).cast("double")} if col("field") is None and p.get("fallback_rows") else None
     if k.kind == "rows":
         return {"value": F.count(one).cast("double")}
@@ -110,12 +113,46 @@ def distinct_counts(df: DataFrame, column: str, cut: dict[str, Column], name: st
     return once.agg(*(F.coalesce(F.sum(f"_{s}"), F.lit(0)).cast("double").alias(f"{name}__{s}") for s in cut))
 
 
+#: Buckets that a KPI's groups are dealt to before the largest of each are compared.
+BUCKETS = 64
+
+
+def by_value(df: DataFrame, cut: dict[str, Column], distinct: dict[str, str], top: dict[str, tuple[str, Column, int]]) -> DataFrame:
+    """One row: <key>__<slice>, the distinct values of each column in distinct, and <key>__all, the share (percent) of the
+    n largest groups in all of each (column, amount, n) in top. Null values and groups count as none.
+
+    A row gives one tagged value for each key. Values are grouped once, with a flag for each slice and the sum of the
+    amounts; each bucket of groups then hands on its n largest sums at most.
+    """
+    slices = [s for s in cut if s != "all"]
+    tags = [(k, c, F.lit(None).cast("double"), 0) for k, c in distinct.items()] + [(k, c, v, n) for k, (c, v, n) in top.items()]
+    cells = F.array(*(F.struct(F.lit(i).alias("tag"), F.col(c).cast("string").alias("v"), v.cast("double").alias("m")) for i, (_, c, v, _) in enumerate(tags)))
+    rows = df.select(*(cut[s].alias(f"_{s}") for s in slices), F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("_c")).select(*(f"_{s}" for s in slices), "_c.*")
+    once = rows.groupBy("tag", "v").agg(*(F.max(f"_{s}").alias(f"_{s}") for s in slices), periods.money("m").alias("m"))
+    most = max([n for *_, n in tags])
+    bucket = W.partitionBy("tag", "_b").orderBy(F.desc_nulls_last("m"))
+    ranked = once.withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(BUCKETS))).withColumn("_r", F.row_number().over(bucket)) if most else once.withColumn("_r", F.lit(1))
+    sums = ranked.groupBy("tag").agg(
+        F.count(F.lit(1)).alias("all"),
+        *(F.count_if(F.col(f"_{s}")).alias(s) for s in slices),
+        periods.money("m").alias("total"),
+        F.slice(F.sort_array(F.collect_list(F.when(F.col("_r") <= most, F.col("m"))), asc=False), 1, max(1, most)).alias("largest"),
+    )
+    out = []
+    for i, (key, _, _, n) in enumerate(tags):
+        of = lambda c, i=i: F.max(F.when(F.col("tag") == i, F.col(c)))
+        if n:
+            head = F.aggregate(F.slice(of("largest"), 1, n), F.lit(0.0), lambda a, x: a + x)
+            out.append((100.0 * F.try_divide(head, of("total"))).alias(f"{key}__all"))
+        else:
+            out += [F.coalesce(of(s), F.lit(0)).cast("double").alias(f"{key}__{s}") for s in cut]
+    return sums.agg(*out)
+
+
 def top_share(df: DataFrame, by: str, value: str, n: int = 10, absolute: bool = False) -> DataFrame:
     """One row: the share (percent) of the n largest groups in all groups; null keys are left out."""
     v = F.abs(F.col(value)) if absolute else F.col(value)
-    sums = df.where(F.col(by).isNotNull()).groupBy(by).agg(periods.money(v).alias("s"))
-    top = sums.orderBy(F.desc("s"), by).limit(n).agg(F.sum("s").alias("top"))
-    return sums.agg(F.sum("s").alias("all")).crossJoin(top).select((100.0 * F.try_divide("top", "all")).alias("value"))
+    return by_value(df, {"all": F.lit(True)}, {}, {"value": (by, v, n)}).withColumnRenamed("value__all", "value")
 
 
 def pack(df: DataFrame, kpis: Sequence[KPI], mapping: dict[str, str], when: str | None, as_of: Column | None = None) -> DataFrame:
@@ -125,20 +162,32 @@ def pack(df: DataFrame, kpis: Sequence[KPI], mapping: dict[str, str], when: str
     cut = {"all": F.lit(True)}
     if w.previous:
         cut |= {s: F.coalesce(periods.within(df, when, first, w.grain), F.lit(False)) for s, first in (("cur", w.current), ("prev", w.previous))}
-    aggs, known, counted = [], {}, []
+    aggs, known, distinct, top, medians = [], {}, {}, {}, {}
     for k in kpis:
-        if k.kind == "distinct" and k.params["field"] in mapping:
-            counted.append(distinct_counts(df, mapping[k.params["field"]], cut, k.key))
+        p = k.params
+        if k.kind == "distinct" and p["field"] in mapping:
+            distinct[k.key] = mapping[p["field"]]
             known |= {(k.key, s): F.col(f"{k.key}__{s}") for s in cut}
             continue
+        if k.kind == "top_share":
+            if p["by"] in mapping and p["field"] in mapping:
+                amount = F.col(mapping[p["field"]])
+                top[k.key] = mapping[p["by"]], F.abs(amount) if p.get("absolute") else amount, p.get("n", 10)
+            continue
         for s, by in cut.items():
             parts = aggregate(k, mapping, by, as_of)
-            if parts and "value" in parts:
+            if parts and "median" in parts:
+                medians[f"{k.key}__{s}"] = parts["median"]
+                known[k.key, s] = F.col(f"{k.key}__{s}") * p.get("scale", 1.0)
+            elif parts:
                 aggs.append(parts["value"].alias(f"{k.key}__{s}"))
                 known[k.key, s] = F.col(f"{k.key}__{s}")
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
-    for one in counted:  # one row each
-        row = row.crossJoin(F.broadcast(one))
+    if distinct or top:
+        row = row.crossJoin(F.broadcast(by_value(df, cut, distinct, top)))  # one row each
+    if medians:
+        long = exact_quantiles.exact(df, [], medians, {"median": 0.5})
+        row = row.crossJoin(F.broadcast(long.agg(*(F.max(F.when(F.col("name") == n, F.col("median"))).alias(n) for n in medians))))
     by_key = {k.key: k for k in kpis}
 
     def value(key: str, s: str, depth: int = 0) -> Column | None:
@@ -159,23 +208,16 @@ def pack(df: DataFrame, kpis: Sequence[KPI], mapping: dict[str, str], when: str
             return None if a is None or b is None else 100.0 * F.try_divide(a - b, F.abs(b))
         return None
 
-    rows, shares = [], []
+    rows = []
     for k in kpis:
-        if k.kind == "top_share":
-            if k.params["by"] in mapping and k.params["field"] in mapping:
-                share = top_share(df, mapping[k.params["by"]], mapping[k.params["field"]], k.params.get("n", 10), k.params.get("absolute", False))
-                shares.append(share.select(F.lit(k.key).alias("key"), "value", F.lit(None).cast("double").alias("previous"), F.lit(None).cast("double").alias("delta_pct"), F.lit(k.fmt).alias("fmt"), F.lit(k.polarity).alias("polarity")))
-            continue
-        v = value(k.key, "all")
+        v = F.col(f"{k.key}__all") if k.key in top else value(k.key, "all") if k.kind != "top_share" else None
         if v is None:
             continue
-        cur, prev = (value(k.key, s) if w.previous and k.kind != "growth" else None for s in ("cur", "prev"))
+        cur, prev = (value(k.key, s) if w.previous and k.kind not in ("growth", "top_share") else None for s in ("cur", "prev"))
         delta = 100.0 * F.try_divide(cur - prev, F.abs(prev)) if cur is not None and prev is not None else F.lit(None)
         rows.append(F.struct(F.lit(k.key).alias("key"), v.cast("double").alias("value"), (prev if prev is not None else F.lit(None)).cast("double").alias("previous"), delta.cast("double").alias("delta_pct"), F.lit(k.fmt).alias("fmt"), F.lit(k.polarity).alias("polarity")))
     empty = "key string, value double, previous double, delta_pct double, fmt string, polarity string"
     out = row.select(F.explode(F.array(*rows)).alias("k")).select("k.*") if rows else df.sparkSession.createDataFrame([], empty)
-    for share in shares:
-        out = out.unionByName(share)
     return out.where("value is not null and not isnan(value)")
 
 
@@ -183,12 +225,15 @@ def pack(df: DataFrame, kpis: Sequence[KPI], mapping: dict[str, str], when: str
 
 
 def universal(df: DataFrame, column: str) -> DataFrame:
-    """Total, mean, median, spread, null rate, quartiles, bias-corrected skewness and |z| > 3 outliers of a column."""
-    x = F.col(column).cast("double")
+    """Total, mean, median, spread, null rate, quartiles, bias-corrected skewness and |z| > 3 outliers of a column.
+
+    NaN counts as missing. Statistics of no values are null, as are those of a spread that a single value has not.
+    """
+    x = periods.number(column)
     n, sd = F.count(x), F.stddev_samp(x)
     stats = df.agg(
         periods.money(x).alias("total"),
-        F.try_divide(periods.money(x), n).alias("mean"),
+        periods.mean(x).alias("mean"),
         sd.alias("std"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
@@ -198,10 +243,10 @@ def universal(df: DataFrame, column: str) -> DataFrame:
         F.round(F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)), 4).alias("skew"),
         F.avg(x).alias("_m"),
     )
-    row = F.broadcast(stats.select(F.col("_m"), F.col("std").alias("_s")))  # one row
+    row = F.broadcast(stats.select(F.col("_m"), F.nullif("std", F.lit(0.0)).alias("_s")))  # one row
     outliers = df.crossJoin(row).agg(F.count_if(F.abs((x - F.col("_m")) / F.col("_s")) > 3).alias("outliers"))
     parts = quantiles(df, column, {"p25": 0.25, "median": 0.5, "p75": 0.75})
-    return stats.drop("_m").crossJoin(F.broadcast(parts)).withColumn("iqr", F.col("p75") - F.col("p25")).crossJoin(outliers)
+    return stats.drop("_m").crossJoin(F.broadcast(parts)).withColumn("iqr", F.col("p75") - F.col("p25")).crossJoin(F.broadcast(outliers))
 
 
 def positions(df: DataFrame, column: str, descending: bool) -> DataFrame:
@@ -210,7 +255,7 @@ def positions(df: DataFrame, column: str, descending: bool) -> DataFrame:
     Distinct values are dealt to ranges cut at approximate quantiles, so ranges are alike however the values lie; exact
     ranks come from a window inside each range and the counts of the ranges before it, a row for each range.
     """
-    x = F.col(column).cast("double")
+    x = periods.number(column)
     counts = df.where(x.isNotNull()).groupBy(x.alias("value")).agg(F.count(F.lit(1)).alias("copies"))
     counts = counts.withColumn("_bin", range_of(F.col("value"), df, x))
     order = F.desc if descending else F.asc
@@ -237,37 +282,26 @@ def range_of(value: Column, df: DataFrame, x: Column) -> Column:
 
 def quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
     """One row, a column for each wanted quantile, exact with linear interpolation; null for a column without values."""
-    p = positions(df, column, False)
-    n = F.broadcast(df.agg(F.count(column).alias("_all")))  # one row, and beside each distinct value
-    at = p.crossJoin(n)
-    last = F.col("before") + F.col("copies")
-    aggs = []
-    for name, q in wanted.items():
-        place = F.lit(float(q)) * (F.col("_all") - 1)
-        for side, i in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            aggs.append(F.max(F.when((F.col("before") <= i) & (i < last), F.col("value"))).alias(f"_{side}_{name}"))
-        aggs.append(F.max(place - F.floor(place)).alias(f"_part_{name}"))
-    row = at.agg(*aggs)
-    return row.select(*((F.col(f"_lo_{c}") + (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * F.col(f"_part_{c}")).alias(c) for c in wanted))
+    found = exact_quantiles.exact(df, [], {"x": F.col(column)}, wanted)
+    return found.agg(*(F.max(c).alias(c) for c in wanted))
 
 
 def pareto(df: DataFrame, column: str, share: float = 0.2) -> DataFrame:
     """Percent of the total held by the top share of rows (at least one)."""
-    n = df.where(F.col(column).isNotNull()).count()
+    n = df.where(periods.number(column).isNotNull()).count()
     top = max(1, int(n * share))
     p = positions(df, column, True)
     taken = F.greatest(F.lit(0), F.least(F.col("copies"), F.lit(top) - F.col("before")))
-    value = F.col("value").cast("decimal(30,6)")
-    return p.agg(F.round(100.0 * F.try_divide(F.sum(value * taken).cast("double"), F.sum(value * F.col("copies")).cast("double")), 1).alias("pareto"))
+    return p.agg(F.round(100.0 * F.try_divide(periods.money(F.col("value") * taken), periods.money(F.col("value") * F.col("copies"))), 1).alias("pareto"))
 
 
 def gini(df: DataFrame, column: str) -> DataFrame:
     """Gini coefficient over rows in ascending order, four decimals."""
     p = positions(df, column, False)
-    value, n, b = F.col("value").cast("decimal(30,6)"), F.col("copies"), F.col("before")
+    n, b = F.col("copies"), F.col("before")
     ranks = (n * b + n * (n + 1) / 2).cast("decimal(20,0)")  # sum of the ranks of the copies
-    s = p.agg(F.sum(ranks.cast("double") * F.col("value")).alias("w"), F.sum(value * n).cast("double").alias("t"), F.sum(n).alias("n"))
-    return s.select(F.round(2 * F.col("w") / (F.col("n") * F.col("t")) - (F.col("n") + 1) / F.col("n"), 4).alias("gini"))
+    s = p.agg(F.sum(ranks.cast("double") * F.col("value")).alias("w"), periods.money(F.col("value") * n).alias("t"), F.sum(n).alias("n"))
+    return s.select(F.round(2 * F.try_divide(F.col("w"), F.col("n") * F.col("t")) - F.try_divide(F.col("n") + 1, F.col("n")), 4).alias("gini"))
 
 
 def flows(df: DataFrame, column: str) -> DataFrame:

@@ -82,11 +82,36 @@ def series(df: DataFrame, when: str, value: Column, g: str, w: Window | None = N
     return out.where(F.col("period") != F.lit(w.dropped)) if w and w.dropped else out
 
 
-#: Decimal places of an amount that money() keeps in each row.
-PLACES = 6
+def number(c: Column | str) -> Column:
+    """A column as doubles, in which NaN is null: it counts as missing everywhere, while infinities are values."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
-def money(c: Column | str, places: int = PLACES) -> Column:
-    """Exact sum of amounts, as a double: the order of rows does not show in it. Rows count to `places` decimal places, of
-    which money has two to four; finer values need more."""
-    return F.sum((F.col(c) if isinstance(c, str) else c).cast(f"decimal({24 + places},{places})")).cast("double")
+#: Decimal places that money() sums exactly, in amounts below NEAR; what lies beyond is summed as doubles.
+PLACES, NEAR = 12, 2.0**40
+
+
+def money(c: Column | str) -> Column:
+    """Sum of amounts as a double, null without amounts; NaN counts as missing, and infinities make it infinite.
+
+    An amount below NEAR is a decimal of PLACES places, summed exactly and in any order, and a rest far below the last
+    place that such a sum shows; the rests, and amounts of NEAR or more, are summed as doubles. So the order of rows does
+    not show in a sum of money, and neither small nor large values are lost.
+    """
+    x = number(c)
+    near = F.when(F.abs(x) < NEAR, x).cast(f"decimal({16 + PLACES},{PLACES})")
+    rest = F.coalesce(x - near.cast("double"), x)
+    return F.coalesce(F.sum(near).cast("double"), F.lit(0.0)) + F.sum(rest)
+
+
+def mean(c: Column | str) -> Column:
+    """money() over the number of amounts."""
+    return F.try_divide(money(c), F.count(number(c)))
+
+
+def corr(a: Column, b: Column) -> Column:
+    """Pearson's r of the rows that have both, null where either side has no spread; NaN counts as missing."""
+    a, b = number(a), number(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))

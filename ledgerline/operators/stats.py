@@ -6,21 +6,33 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import periods
+
+
+def _over(top: Column, bottom: Column) -> Column:
+    """A statistic over its spread: infinite where there is a difference and no spread, null where there is neither."""
+    infinite = F.when(top > 0, F.lit(float("inf"))).when(top < 0, F.lit(float("-inf")))
+    return F.when(bottom == 0, infinite).otherwise(F.try_divide(top, bottom))
+
 
 def t_one_sample(df: DataFrame, x: str, mu: float) -> DataFrame:
+    """n and t. A constant column differs infinitely from any other mean (p 0); from its own it has no t. Below two values
+    there is none."""
     s = df.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"))
-    return s.select("n", F.round((F.col("m") - mu) / (F.col("sd") / F.sqrt("n")), 6).alias("t"))
+    return s.select("n", F.round(_over(F.col("m") - mu, F.try_divide(F.col("sd"), F.sqrt("n"))), 6).alias("t"))
 
 
 def t_two_sample(df: DataFrame, x: str, group: str, a: str, b: str) -> DataFrame:
-    """Pooled variance."""
+    """Pooled variance. Groups without spread differ infinitely, or have no t where they are equal; so has a group of none."""
     v = lambda g: F.when(F.col(group) == g, F.col(x))
     s = df.agg(*(f(v(g)).alias(f"{n}{i}") for i, g in enumerate((a, b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
-    pooled = ((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / (F.col("n0") + F.col("n1") - 2)
-    return s.select("n0", "n1", F.round((F.col("m0") - F.col("m1")) / F.sqrt(pooled * (1 / F.col("n0") + 1 / F.col("n1"))), 6).alias("t"))
+    part = lambda i: (F.col(f"n{i}") - 1) * F.when(F.col(f"n{i}") == 1, 0.0).otherwise(F.col(f"v{i}"))
+    pooled = F.try_divide(part(0) + part(1), F.col("n0") + F.col("n1") - 2)
+    spread = F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("n0")) + F.try_divide(F.lit(1.0), F.col("n1"))))
+    return s.select("n0", "n1", F.round(_over(F.col("m0") - F.col("m1"), spread), 6).alias("t"))
 
 
 def chi_square(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -43,10 +55,12 @@ def chi_square(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def anova(df: DataFrame, x: str, group: str) -> DataFrame:
+    """k groups, n rows and F. One group, or a row a group, has no F; groups without spread that differ have an infinite one."""
     g = df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
     t = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") ** 2).alias("q"), F.sum(F.col("n") * F.col("v")).alias("within"))
-    between = F.col("q") - F.col("s") ** 2 / F.col("n")
-    return t.select("k", "n", F.round((between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k"))), 4).alias("f"))
+    between = F.col("q") - F.try_divide(F.col("s") ** 2, F.col("n"))
+    apart = F.try_divide(F.when(between > 1e-12 * F.col("q"), between).otherwise(F.lit(0.0)), F.col("k") - 1)
+    return t.select("k", "n", F.round(_over(apart, F.try_divide("within", F.col("n") - F.col("k"))), 4).alias("f"))
 
 
 def ols(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -56,7 +70,7 @@ def ols(df: DataFrame, y: str, x: str) -> DataFrame:
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r of every pair, from one aggregate; each pair over rows where both are present."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    s = df.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 6).alias("r")) for a, b in pairs)).alias("p"))
+    s = df.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(periods.corr(F.col(a), F.col(b)), 6).alias("r")) for a, b in pairs)).alias("p"))
     return s.select(F.explode("p").alias("p")).select("p.*")
 
 
@@ -67,7 +81,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     rank = lambda c, name: positions(both, c, False).select(F.col("value").alias(f"_{name}v"), (F.col("before") + (F.col("copies") + 1) / 2).alias(name))
     out = both.select(F.col(a).cast("double").alias("_rav"), F.col(b).cast("double").alias("_rbv")).join(rank(a, "ra"), "_rav").join(rank(b, "rb"), "_rbv")
-    return out.agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
+    return out.agg(F.round(periods.corr(F.col("ra"), F.col("rb")), 6).alias("rho"))
 
 
 def _inversions(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
@@ -186,13 +200,19 @@ def tested(df: DataFrame, test: str, **how) -> DataFrame:
     run = {"t1": t_one_sample, "t2": t_two_sample, "chi2": chi_square, "anova": anova, "slope": slope_test, "corr": corr_test}[test]
     row = run(df, **how)
     r = row.first()
-    if test == "chi2":
-        p = chi2_p_value(r.chi2, r.dof) if r.dof else None
+    statistic = {"chi2": "chi2", "anova": "f"}.get(test, "t")
+    value = r[statistic]
+    if value is None or value != value:
+        p = None
+    elif math.isinf(value):
+        p = 0.0
+    elif test == "chi2":
+        p = chi2_p_value(value, r.dof) if r.dof else None
     elif test == "anova":
-        p = f_p_value(r.f, r.k - 1, r.n - r.k) if r.f is not None else None
+        p = f_p_value(value, r.k - 1, r.n - r.k)
     else:
         dof = r.n - 1 if test == "t1" else r.n0 + r.n1 - 2 if test == "t2" else r.n - 2
-        p = t_p_value(r.t, dof) if r.t is not None and dof > 0 else None
+        p = t_p_value(value, dof) if dof > 0 else None
     return row.withColumn("p", F.lit(p).cast("double"))
 
 
@@ -203,9 +223,10 @@ def slope_test(df: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def corr_test(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, r and t of a correlation."""
-    s = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"))
-    return s.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") ** 2, F.lit(0.0))))
+    """n, r and t of a correlation; t is infinite (p 0) where r is 1 or -1 of three values or more, null below three."""
+    s = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count(F.lit(1)).alias("n"), periods.corr(F.col(a), F.col(b)).alias("r"))
+    far = F.when(F.abs("r") >= 1, F.signum("r") * float("inf"))
+    return s.withColumn("t", F.when(F.col("n") > 2, F.coalesce(far, F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") ** 2, F.lit(0.0))))))
 
 
 def residuals(df: DataFrame, y: str, x: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import periods
+from . import periods, quantiles
 
 
 def where(df: DataFrame, column: str, op: str, literal: str) -> DataFrame:
@@ -31,21 +31,30 @@ def mode(df: DataFrame, column: str):
 
 
 def fill_missing(df: DataFrame, column: str, how: str, constant=None) -> DataFrame:
+    """Rows without a value dropped, or given the mode, mean, median or a constant. NaN of a numeric column counts as no
+    value. A column without values stays as it is."""
+    if df.schema[column].dataType.typeName() in ("float", "double"):
+        df = df.withColumn(column, F.when(~F.isnan(column), F.col(column)))
     if how == "drop":
         return df.dropna(subset=[column])
     if how == "mode":
         value = mode(df, column)
     elif how == "constant":
         value = constant
+    elif how == "mean":
+        value = df.agg(F.avg(periods.number(column))).first()[0]
     else:
-        value = df.agg({"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}[how](column)).first()[0]
+        found = quantiles.exact(df, [], {"x": F.col(column)}, {"median": 0.5}).first()
+        value = found.median if found else None
     return df.withColumn(column, F.coalesce(column, F.lit(value))) if value is not None else df
 
 
 def without_outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
-    """Rows within limit population deviations; null rows stay."""
-    m, s = df.agg(F.avg(column), F.stddev_pop(column)).first()
-    return df.where(F.col(column).isNull() | (F.abs((F.col(column) - F.lit(m)) / F.lit(s)) <= limit)) if s else df
+    """Rows within limit population deviations; rows of null or NaN stay, and so does every row where no spread is known
+    (no values, one value, or an infinite one)."""
+    x = periods.number(column)
+    m, s = df.agg(F.avg(x), F.stddev_pop(x)).first()
+    return df.where(x.isNull() | (F.abs((x - F.lit(m)) / F.lit(s)) <= limit)) if s and s == s else df
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -55,31 +64,34 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 AGGREGATES = {
     "sum": periods.money,
-    "mean": lambda c: F.try_divide(periods.money(c), F.count(c)),
+    "mean": periods.mean,
     "max": F.max,
     "min": F.min,
     "count": F.count,
     "std": F.stddev_samp,
     "var": F.var_samp,
 }
-#: Those that a grouping by value comes first for: a row for each value instead of a set of them.
-BY_VALUE = {"median": lambda c: F.percentile(c, F.lit(0.5), F.col("_n")), "nunique": F.count}
 
 
 def group(df: DataFrame, keys: list[str], column: str, functions: list[str], order: Column | None = None) -> DataFrame:
-    """Grouped aggregates; rows with a null key are left out. first and last need an order and skip nulls.
+    """Grouped aggregates; rows with a null key are left out. first and last need an order and skip nulls. NaN of a numeric
+    column counts as missing.
 
-    median and nunique are aggregates over values with their counts, which map tasks have summed before; the other
+    nunique groups by value first; medians come from exact quantiles, which split a group of any size; the other
     functions are one aggregate over the rows.
     """
+    rows = df.dropna(subset=keys)
+    if df.schema[column].dataType.typeName() in ("float", "double"):
+        rows = rows.withColumn(column, F.when(~F.isnan(column), F.col(column)))
     x = F.col(column)
     ordered = {"first": lambda c: F.min_by(c, F.when(x.isNotNull(), order)), "last": lambda c: F.max_by(c, F.when(x.isNotNull(), order))}
-    rows = df.dropna(subset=keys)
-    plain = [f for f in functions if f not in BY_VALUE]
+    plain = [f for f in functions if f not in ("median", "nunique")]
     out = rows.groupBy(*keys).agg(*((AGGREGATES | ordered)[f](column).alias(f) for f in plain)) if plain else rows.select(*keys).distinct()
-    if counted := [f for f in functions if f in BY_VALUE]:
-        values = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-        out = out.join(values.groupBy(*keys).agg(*(BY_VALUE[f](column).alias(f) for f in counted)), keys)
+    if "nunique" in functions:
+        values = rows.select(*keys, column).distinct()
+        out = out.join(values.groupBy(*keys).agg(F.count(column).alias("nunique")), keys)
+    if "median" in functions:  # groups without values have none
+        out = out.join(quantiles.exact(rows, keys, {"x": x}, {"median": 0.5}).select(*keys, "median"), keys, "left")
     return out.select(*keys, *functions)
 
 
@@ -107,21 +119,37 @@ def forward_fill(df: DataFrame, column: str, keys: list[str], order: str) -> Dat
     return df.withColumn(column, F.last(column, ignorenulls=True).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
+def finite(column: str) -> Column:
+    """A column as doubles, null where it is NaN or infinite: what has a place on an axis."""
+    x = periods.number(column)
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def histogram(df: DataFrame, column: str) -> DataFrame:
-    """bin, n over clamp(rows // 15, 10, 40) bins of equal width; the largest value falls in the last bin."""
-    r = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n")).first()
+    """bin, n over clamp(rows // 15, 10, 40) bins of equal width; the largest value falls in the last bin. Values that are
+    not finite have no bin; fewer than 20 values, or equal ones, have no histogram."""
+    x = finite(column)
+    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
     if r.n < 20 or r.lo == r.hi:
         return df.sparkSession.createDataFrame([], "bin long, n long")
     bins = min(40, max(10, r.n // 15))
-    at = F.least(F.floor((F.col(column) - F.lit(r.lo)) / F.lit((r.hi - r.lo) / bins)), F.lit(bins - 1))
-    return df.where(F.col(column).isNotNull()).groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    at = F.least(F.floor((x - F.lit(r.lo)) / F.lit((r.hi - r.lo) / bins)), F.lit(bins - 1))
+    return df.where(x.isNotNull()).groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
-    """Counts in a grid of bins x bins."""
-    r = df.agg(F.min(x).cast("double").alias("x0"), F.max(x).cast("double").alias("x1"), F.min(y).cast("double").alias("y0"), F.max(y).cast("double").alias("y1")).first()
-    at = lambda c, lo, hi: F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("long")
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(at(x, r.x0, r.x1).alias("bx"), at(y, r.y0, r.y1).alias("by")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts in a grid of bins x bins. Pairs that are not finite have no cell; a side of equal values is one bin, 0; an
+    empty table has no cells."""
+    cx, cy = finite(x), finite(y)
+    rows = df.where(cx.isNotNull() & cy.isNotNull()).select(cx.alias("_x"), cy.alias("_y"))
+    r = rows.agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1")).first()
+    if r.x0 is None:
+        return df.sparkSession.createDataFrame([], "bx long, by long, n long")
+
+    def at(c: str, lo: float, hi: float) -> Column:
+        return F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("long") if hi > lo else F.lit(0).cast("long")
+
+    return rows.groupBy(at("_x", r.x0, r.x1).alias("bx"), at("_y", r.y0, r.y1).alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_and_others(sums: DataFrame, key: str, values: list[str], order: list[Column], top: int) -> DataFrame:
@@ -160,26 +188,25 @@ def keep_groups(df: DataFrame, key: str, least: int = 8, most: int = 12) -> Data
 
 def describe(df: DataFrame) -> DataFrame:
     """A row for each column: count, n_unique, top, freq (the most frequent value, ties by text), and for numbers mean,
-    std, min, p25, p50, p75, max."""
-    from .kpi import quantiles
-
+    std, min, p25, p50, p75, max. NaN counts as missing. All columns are described in four scans, however many they are."""
     c = lambda n: F.col(f"`{n}`")
-    cells = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("col"), c(n).cast("string").alias("v")) for n in df.columns))).alias("x")).select("x.*")
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("float", "double")}
+    text = lambda n: F.when(~F.isnan(c(n)), c(n).cast("string")) if n in floats else c(n).cast("string")
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("col"), text(n).alias("v")) for n in df.columns))).alias("x")).select("x.*")
     once = cells.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
     most = once.groupBy("col").agg(F.max(F.when(F.col("v").isNotNull(), F.col("n"))).alias("freq"))
     base = once.groupBy("col").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("count"), F.count("v").alias("n_unique"))
     top = once.join(most, "col").where(F.col("v").isNotNull() & (F.col("n") == F.col("freq"))).groupBy("col", "freq").agg(F.min("v").alias("top"))
     numbers = [f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")]
-    parts = None
-    for n in numbers:
-        x = c(n).cast("double")
-        own = df.agg(F.lit(n).alias("col"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        own = own.crossJoin(F.broadcast(quantiles(df.select(x.alias("x")), "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75})))
-        parts = own if parts is None else parts.unionByName(own)
-    out = base.join(top, "col", "left")
-    if parts is None:
+    every = df.sparkSession.range(1).select(F.explode(F.array(*(F.lit(n) for n in df.columns))).alias("col"))  # columns of an empty table too
+    out = every.join(base, "col", "left").join(top, "col", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("count", "n_unique")})
+    if not numbers:
         return out.select("col", "count", "n_unique", "top", "freq", *(F.lit(None).cast("double").alias(n) for n in ("mean", "std", "min", "p25", "p50", "p75", "max")))
-    return out.join(parts, "col", "left").select("col", "count", "n_unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max")
+    xs = {n: periods.number(c(n)) for n in numbers}
+    one = lambda n, x: F.struct(F.lit(n).alias("col"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    moments = df.agg(F.array(*(one(n, x) for n, x in xs.items())).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    parts = quantiles.exact(df, [], xs, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n").withColumnRenamed("name", "col")
+    return out.join(moments, "col", "left").join(parts, "col", "left").select("col", "count", "n_unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def summary_diff(before: DataFrame, after: DataFrame) -> DataFrame:

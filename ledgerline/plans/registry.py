@@ -56,8 +56,9 @@ w AS (SELECT c.cur, (SELECT max(p) FROM q WHERE p < c.cur) AS prev FROM c)"""
 
 
 def _money(x: str, when: str = "") -> str:
+    """A compensated sum of doubles: another type than the library's, so that it sees what that one loses."""
     f = f" FILTER (WHERE {when})" if when else ""
-    return f"round(CAST(sum(CAST({x} AS DECIMAL(30,6))){f} AS DOUBLE), 4)"
+    return f"round(fsum(CAST({x} AS DOUBLE)){f}, 4)"
 
 
 def _slices(name: str, f: Callable[[str], str]) -> str:
@@ -138,6 +139,24 @@ def kpi_gini(spark, d):
     return kpi.gini(read(spark, d, "orders"), "o_totalprice")
 
 
+_ODD = """SELECT l_returnflag, CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 5 THEN NULL ELSE l_extendedprice END AS gaps,
+ l_discount * 1e-9 AS tiny, l_extendedprice * 1e20 AS huge, CASE WHEN l_linenumber = 1 THEN l_extendedprice * 1e9 ELSE l_discount * 1e-3 END AS mixed FROM lineitem"""
+
+
+@query(
+    f"""WITH o AS ({_ODD}), k AS (SELECT *, CASE WHEN NOT isnan(gaps) THEN gaps END AS gap FROM o)
+SELECT l_returnflag, round(fsum(gap), 4) AS gaps_sum, round(fsum(gap) / count(gap), 6) AS gaps_mean, count(gap) AS gaps_count, round(quantile_cont(gap, 0.5), 6) AS gaps_median, max(gap) AS gaps_max,
+ round(fsum(tiny) * 1e9, 6) AS tiny_sum, round(fsum(huge) / 1e20, 4) AS huge_sum, round(fsum(mixed) / 1e9, 4) AS mixed_sum FROM k GROUP BY l_returnflag"""
+)
+def sums_of_odd_values(spark, d):
+    read(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    rows = spark.sql(_ODD)
+    out = verbs.group(rows, ["l_returnflag"], "gaps", ["sum", "mean", "count", "median", "max"])
+    for c, unit in (("tiny", 1e-9), ("huge", 1e20), ("mixed", 1e9)):
+        out = out.join(verbs.group(rows, ["l_returnflag"], c, ["sum"]).select("l_returnflag", F.round(F.col("sum") / unit, 6 if c == "tiny" else 4).alias(f"{c}_sum")), "l_returnflag")
+    return out.select("l_returnflag", F.round("sum", 4).alias("gaps_sum"), F.round("mean", 6).alias("gaps_mean"), F.col("count").alias("gaps_count"), F.round("median", 6).alias("gaps_median"), F.col("max").alias("gaps_max"), "tiny_sum", "huge_sum", "mixed_sum")
+
+
 @query(
     f"""WITH s AS (SELECT {_money('c_acctbal')} AS net_total, {_money('c_acctbal', 'c_acctbal > 0')} AS inflows, {_money('c_acctbal', 'c_acctbal < 0')} AS outflows FROM customer)
 SELECT *, round(inflows / abs(outflows), 4) AS in_out_ratio FROM s"""
