@@ -114,4 +114,5 @@ def corr(a: Column, b: Column) -> Column:
     """Pearson's r of the rows that have both, null where either side has no spread; NaN counts as missing."""
     a, b = number(a), number(b)
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))  # corr itself would divide by zero
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

@@ -217,15 +217,16 @@ def tested(df: DataFrame, test: str, **how) -> DataFrame:
 
 
 def slope_test(df: DataFrame, y: str, x: str) -> DataFrame:
-    """n, slope, r2 and t of a line."""
+    """n, slope, r2 and t of a line; t is infinite (p 0) where three values or more lie on it."""
     s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"))
-    return s.withColumn("t", F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / F.nullif(1 - F.col("r2"), F.lit(0.0))))
+    far = F.when((F.col("r2") > 1 - 1e-14) & (F.col("n") > 2), F.signum("slope") * float("inf"))
+    return s.withColumn("t", F.coalesce(far, F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / F.nullif(1 - F.col("r2"), F.lit(0.0)))))
 
 
 def corr_test(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, r and t of a correlation; t is infinite (p 0) where r is 1 or -1 of three values or more, null below three."""
     s = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count(F.lit(1)).alias("n"), periods.corr(F.col(a), F.col(b)).alias("r"))
-    far = F.when(F.abs("r") >= 1, F.signum("r") * float("inf"))
+    far = F.when(F.abs("r") > 1 - 1e-14, F.signum("r") * float("inf"))  # 1 but for rounding
     return s.withColumn("t", F.when(F.col("n") > 2, F.coalesce(far, F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") ** 2, F.lit(0.0))))))
 
 
