@@ -28,7 +28,7 @@ from . import common
 
 SCALE = 256
 #: Rows of a tile, of a leaf; boxes of an inner node; coordinates that a tile is packed along.
-TILE_ROWS, LEAF_ROWS, FAN, DIMENSIONS = 8_192, 64, 16, 3
+TILE_ROWS, LEAF_ROWS, FAN, DIMENSIONS = 8_192, 512, 8, 3
 #: Anchors that one task searches a tree for.
 BLOCK_ANCHORS = 1_000
 EXACT = 2.0**53
@@ -159,11 +159,11 @@ class Best:
         return low <= self.high and min(high, self.high) >= self.least()
 
     def take(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        fit = np.flatnonzero((scores <= self.high) & (scores >= self.least()))
-        if len(fit) > self.k:  # no more than the k best of a leaf can count
-            fit = fit[np.lexsort((ids[fit], -scores[fit]))[: self.k]]
-        for i in fit:
-            one = (scores[i], -int(ids[i]), -int(rows[i]))
+        fit = ((scores <= self.high) & (scores >= self.least())).nonzero()[0]
+        if len(fit) > self.k:  # of a leaf no more than the k best can count, and what ties with the last of them
+            own = scores[fit]
+            fit = fit[own >= np.partition(own, len(own) - self.k)[len(own) - self.k]]
+        for one in zip(scores[fit].tolist(), (-ids[fit]).tolist(), (-rows[fit]).tolist()):
             if len(self.held) < self.k:
                 heapq.heappush(self.held, one)
             elif one > self.held[0]:
@@ -194,12 +194,14 @@ def best_first(tree: Tree, anchor: np.ndarray, fits: np.ndarray, wanted: list[Be
                     heapq.heappush(queue, (-h, l, level - 1, first + i))
             continue
         read += 1
-        own = np.arange(node * LEAF_ROWS, min((node + 1) * LEAF_ROWS, len(tree.ids)))
-        own = own[fits[own]]
+        start, end = node * LEAF_ROWS, (node + 1) * LEAF_ROWS
+        scores = tree.vectors[start:end] @ anchor
+        least, most = min(w.least() for w in wanted), max(w.high for w in wanted)
+        own = ((scores >= least) & (scores <= most) & fits[start:end]).nonzero()[0]
         if len(own):
-            scores = tree.vectors[own] @ anchor
+            scores, ids, rows = scores[own], tree.ids[start:end][own], tree.rows[start:end][own]
             for w in wanted:
-                w.take(scores, tree.ids[own], tree.rows[own])
+                w.take(scores, ids, rows)
     return read
 
 
@@ -221,10 +223,12 @@ def positives(anchors: DataFrame, trees: DataFrame, k: int) -> DataFrame:
         out = []
         if len(one):
             tree = Tree.read(key[0], one.iloc[0])
-            for a in some.itertuples():
-                best = Best(k)
-                best_first(tree, np.asarray(a.vector, float), (tree.labels == a.label) & (tree.rows != a.row), [best])
-                out += [(a.row, -i, -r, int(s)) for s, i, r in best.held]
+            for label, same in some.groupby("label"):
+                alike = tree.labels == label
+                for a in same.itertuples():
+                    best, own = Best(k), alike & (tree.rows != a.row)
+                    best_first(tree, np.asarray(a.vector, float), own, [best])
+                    out += [(a.row, -i, -r, int(s)) for s, i, r in best.held]
         return pd.DataFrame(out, columns=["anchor", "positive_id", "positive_row", "positive_score"])
 
     found = in_blocks(anchors, trees, search, "anchor long, positive_id long, positive_row long, positive_score long")
@@ -240,12 +244,14 @@ def negatives(anchors: DataFrame, trees: DataFrame, k: int, low: int, high: int)
         out = []
         if len(one):
             tree = Tree.read(key[0], one.iloc[0])
-            for a in some.itertuples():
-                windows = {p["place"]: Best(k, -(-low * p["positive_score"] // 100), high * p["positive_score"] // 100) for p in a.positives}
-                windows = {p: w for p, w in windows.items() if w.low <= w.high}
-                if windows:
-                    best_first(tree, np.asarray(a.vector, float), tree.labels != a.label, list(windows.values()))
-                out += [(a.row, p, -i, -r, int(s)) for p, w in windows.items() for s, i, r in w.held]
+            for label, same in some.groupby("label"):
+                others = tree.labels != label
+                for a in same.itertuples():
+                    windows = {p["place"]: Best(k, -(-low * p["positive_score"] // 100), high * p["positive_score"] // 100) for p in a.positives}
+                    windows = {p: w for p, w in windows.items() if w.low <= w.high}
+                    if windows:
+                        best_first(tree, np.asarray(a.vector, float), others, list(windows.values()))
+                    out += [(a.row, p, -i, -r, int(s)) for p, w in windows.items() for s, i, r in w.held]
         return pd.DataFrame(out, columns=["anchor", "place", "negative_id", "negative_row", "negative_score"])
 
     found = in_blocks(anchors, trees, search, "anchor long, place int, negative_id long, negative_row long, negative_score long")
