@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import analytics, audit, charts, forecast, insights, kpi, periods, semantics, series, stats, verbs
-from ..sources import delimited
+from ..sources import delimited, staging
 from . import catalog, packs, sqlbox
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +157,24 @@ def sums_of_odd_values(spark, d):
     return out.select("l_returnflag", F.round("sum", 4).alias("gaps_sum"), F.round("mean", 6).alias("gaps_mean"), F.col("count").alias("gaps_count"), F.round("median", 6).alias("gaps_median"), F.col("max").alias("gaps_max"), "tiny_sum", "huge_sum", "mixed_sum")
 
 
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(fsum(l_extendedprice), 4) AS total FROM lineitem GROUP BY 1, 2")
+def cached_totals(spark, d):
+    """The second of two askings: it reads what the first one settled."""
+    ask = lambda: staging.cached(read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(periods.money("l_extendedprice"), 4).alias("total")))
+    ask()
+    return ask()
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, md5(coalesce(translate(text, chr(32) || chr(9) || chr(10) || chr(13), ''), '')) AS text_md5 FROM documents")
+def ingest_quoted_texts(spark, d):
+    """Documents saved as delimited text, whose line breaks stand in quotes, and read back by splits."""
+    out = staging.staging_path(spark, "quoted")
+    delimited.save(read(spark, d, "documents").select("doc_id", "source", "text"), out)
+    table, names = delimited.quoted.parsed(delimited._lines(spark, out, {"UTF-8": []}), ",", [])
+    rows = table.where("_c0 <> 'doc_id'")
+    return rows.select(F.col("_c0").alias("doc_id"), F.col("_c1").alias("source"), F.md5(F.translate(F.coalesce("_c2", F.lit("")), " \t\n\r", "").cast("binary")).alias("text_md5"))
+
+
 @query(
     f"""WITH s AS (SELECT {_money('c_acctbal')} AS net_total, {_money('c_acctbal', 'c_acctbal > 0')} AS inflows, {_money('c_acctbal', 'c_acctbal < 0')} AS outflows FROM customer)
 SELECT *, round(inflows / abs(outflows), 4) AS in_out_ratio FROM s"""

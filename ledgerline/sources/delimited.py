@@ -2,21 +2,21 @@
 
 Choices that the head of a file decides come from its first lines; those about whole columns (width, empty columns,
 share of numbers and dates) from one aggregate over all rows, and the encoding of each file from one over all its lines.
-Only where a line's quotes are odd, so that a cell may go on in the next, is each file read by one task; else files are
-split. Several files are read in the order of their names; a header that repeats is left out.
+Files are read by splits, those with line breaks in quotes too (quoted.py). Several files are read in the order of their
+names; where the header stands again at the head of a further file, it is left out.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import verbs
+from . import quoted
+from .staging import staging_path  # noqa: F401
 
 SEPARATORS, CURRENCIES = (",", ";", "\t", "|"), "₹$€£"
 HEAD, SNIFF = 12, 30
@@ -35,16 +35,6 @@ class Ingested:
     symbols: dict[str, str] = field(default_factory=dict)
 
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster shares; under one of our own only where all is one machine."""
-    if not (shared := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def _encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """The files of each encoding: UTF-8 if every line's bytes are, else Latin-1 (made cp1252 by _western)."""
     file = F.col("_metadata.file_path").alias("_file")
@@ -66,6 +56,18 @@ def _read(spark: SparkSession, path: str, files: dict[str, list[str]], schema: s
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def _lines(spark: SparkSession, path: str, files: dict[str, list[str]]) -> DataFrame:
+    """_file, _block, _id and line of every line, blank ones too, in the order of the files' splits."""
+    bytes_ = F.col("value").cast("binary")
+    western = F.decode(bytes_, "ISO-8859-1")
+    line = F.when(F.col("_metadata.file_path").isin(files["ISO-8859-1"]), western).otherwise(F.col("value")) if len(files) > 1 else F.col("value") if "UTF-8" in files else western
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
+    told = (F.col("_metadata.file_path").isin(files["ISO-8859-1"]) if len(files) > 1 else F.lit("UTF-8" not in files)).alias("_western")
+    lines = spark.read.text(path).select(*place, line.alias("line"), told)
+    mark = F.when(F.col("_western"), _western("line", "ISO-8859-1")).otherwise(F.col("line"))
+    return lines.select("_file", "_block", "_id", F.regexp_replace(mark, "^\ufeff", "").alias("line"))
+
+
 def _western(c: str, encoding: str) -> Column:
     """What Latin-1 reads as control characters are cp1252's signs; bytes that cp1252 lacks stay."""
     pairs = [(chr(b), sign) for b in range(0x80, 0xA0) if (sign := bytes([b]).decode("cp1252", "ignore"))]
@@ -130,7 +132,12 @@ def load(spark: SparkSession, path: str) -> Ingested:
     raw = [f"_c{i}" for i in range(width)]
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
     cells = lambda encoding: [*(F.nullif(F.trim(_western(c, encoding)), F.lit("")).alias(c) for c in raw), *place]
-    table = _read(spark, path, files, ", ".join(f"{c} string" for c in raw), cells, sep=sep, mode="PERMISSIVE", escape='"', multiLine=bool(broken))
+    if broken:  # line breaks in quotes: records are found over all splits
+        table, raw = quoted.parsed(_lines(spark, path, files), sep, ["_file", "_block", "_id"])
+        width = len(raw)
+        table = table.select(*(F.nullif(F.trim(c), F.lit("")).alias(c) for c in raw), "_file", "_block", "_id")
+    else:
+        table = _read(spark, path, files, ", ".join(f"{c} string" for c in raw), cells, sep=sep, mode="PERMISSIVE", escape='"')
     order, back = ["_file", "_block", "_id"], [F.desc("_file"), F.desc("_block"), F.desc("_id")]
     head = table.orderBy(*order).limit(HEAD).collect()
     at = _header([[r[c] for c in raw] for r in head], width)
@@ -142,7 +149,11 @@ def load(spark: SparkSession, path: str) -> Ingested:
     again = F.lit(True)
     for c in raw:
         again = again & F.col(c).eqNullSafe(F.lit(top[c]))
-    rows = table.where(~before & ~again & F.coalesce(*raw).isNotNull())
+    rows = table.where(~before & F.coalesce(*raw).isNotNull())
+    if sum(map(len, files.values())) > 1:
+        first = table.groupBy("_file").agg(F.min("_id").alias("_first"))
+        further = (F.col("_file") != top._file) & (F.col("_id") < F.col("_first") + HEAD)
+        rows = rows.join(first, "_file").where(~(further & again)).drop("_first")
     totals = [r for r in rows.orderBy(*back).limit(3).collect() if _is_total(r, raw)]
     for r in totals:
         rows = rows.where(~F.struct(*order).eqNullSafe(_place(r)))
