@@ -144,6 +144,74 @@ def cohorts(df: DataFrame, when: str, entity: str, most: int = 6) -> DataFrame:
     return s.withColumn("retention_pct", F.round(100.0 * F.col("entities") / size, 6))
 
 
+#: A cohort grid needs so many dated rows and entities; shorter spans are seen by weeks.
+GRID_ROWS, GRID_ENTITIES, GRID_DAYS = 60, 30, 85
+
+
+def cohort_grid(df: DataFrame, when: str, entity: str, cohorts: int = 8, most: int = 6) -> DataFrame:
+    """cohort, offset, entities, retention_pct of the latest cohorts: every offset up to `most`, 0 where a cohort was not
+    seen, null where its period begins after the last date and nothing can have been seen yet.
+
+    By months, or by weeks where the dates span less than GRID_DAYS. No rows below GRID_ROWS dated rows or GRID_ENTITIES
+    entities, or where every entity is seen in one period only.
+    """
+    rows = df.where(F.col(entity).isNotNull() & F.col(when).isNotNull())
+    span = rows.agg(F.min(when).alias("lo"), F.max(when).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    empty = df.sparkSession.createDataFrame([], "cohort date, offset long, entities long, retention_pct double")
+    if span.n < GRID_ROWS:
+        return empty
+    g = "M" if (span.hi - span.lo).days >= GRID_DAYS else "W"
+    seen = rows.select(F.col(entity).alias("e"), periods.period_of(when, g).alias("p")).distinct().withColumn("cohort", F.min("p").over(W.partitionBy("e")))
+    step = F.months_between("p", "cohort") if g == "M" else F.datediff("p", "cohort") / 7
+    s = seen.groupBy("cohort", step.cast("long").alias("offset")).agg(F.count(F.lit(1)).alias("entities"))  # a row for each pair of periods
+    sizes = s.where(F.col("offset") == 0).select("cohort", F.col("entities").alias("size"))
+    total = sizes.agg(F.sum("size").alias("n")).crossJoin(F.broadcast(s.agg(F.max("offset").alias("most")))).first()
+    if (total.n or 0) < GRID_ENTITIES or (total.most or 0) < 1:
+        return empty
+    latest = sizes.orderBy(F.desc("cohort")).limit(cohorts)
+    spine = latest.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(most, total.most)).cast("long"))))
+    begins = F.add_months("cohort", F.col("offset").cast("int")) if g == "M" else F.date_add("cohort", (F.col("offset") * 7).cast("int"))
+    found = F.coalesce("entities", F.lit(0))
+    seen_by_now = begins.cast("timestamp") <= F.lit(span.hi).cast("timestamp")
+    out = spine.join(s, ["cohort", "offset"], "left").withColumn("entities", F.when(seen_by_now, found))
+    return out.select("cohort", "offset", "entities", F.round(100.0 * F.col("entities") / F.col("size"), 6).alias("retention_pct"))
+
+
+#: Dated rows that a pace needs.
+PACE_ROWS = 20
+
+
+def pace_summary(df: DataFrame, when: str, value: str, g: str | None = None) -> DataFrame:
+    """One row: the latest period, the day it is at and its days, its total so far, the previous period's at the same day
+    and whole, the pace (percent) and what the period comes to at this rate, with its change on the previous (percent).
+
+    For periods of weeks or months, by the dates' span unless given. No row below PACE_ROWS dated rows, for other periods,
+    or for one period only.
+    """
+    from datetime import timedelta
+
+    w = periods.bounds(df, when, g)
+    rows = df.where(F.col(when).isNotNull())
+    empty = df.sparkSession.createDataFrame([], "period date, day long, days long, so_far double, previous_same_day double, previous_total double, pace_pct double, run_rate double, projected_pct double")
+    if w.grain not in ("W", "M") or w.current is None or rows.count() < PACE_ROWS:
+        return empty
+    last = rows.agg(F.max(when).alias("hi")).first().hi
+    period = periods.start(last.date() if hasattr(last, "date") else last, w.grain)
+    earlier = rows.where(F.col(when) < F.lit(period.isoformat()).cast(df.schema[when].dataType)).agg(F.max(when).alias("hi")).first().hi
+    if earlier is None:
+        return empty
+    previous = periods.start(earlier.date() if hasattr(earlier, "date") else earlier, w.grain)
+    day = ((last.date() if hasattr(last, "date") else last) - period).days + 1
+    days = periods.length(period, w.grain)
+    cur, prev = periods.within(rows, when, period, w.grain), periods.within(rows, when, previous, w.grain)
+    same = prev & (F.to_date(when) < F.lit(previous + timedelta(days=day)))
+    v = F.col(value)
+    s = rows.where(cur | prev).agg(periods.money(F.when(cur, v)).alias("so_far"), periods.money(F.when(same, v)).alias("previous_same_day"), periods.money(F.when(prev, v)).alias("previous_total"))
+    rate = F.col("so_far") / day * days
+    change = lambda a, b: F.round(100.0 * F.try_divide(a - F.col(b), F.nullif(b, F.lit(0.0))), 6)
+    return s.select(F.lit(period).alias("period"), F.lit(day).cast("long").alias("day"), F.lit(days).cast("long").alias("days"), F.round("so_far", 4).alias("so_far"), F.round("previous_same_day", 4).alias("previous_same_day"), F.round("previous_total", 4).alias("previous_total"), change(F.col("so_far"), "previous_same_day").alias("pace_pct"), F.round(rate, 4).alias("run_rate"), change(rate, "previous_total").alias("projected_pct"))
+
+
 def repeat_gap(df: DataFrame, when: str, entity: str) -> DataFrame:
     """Entities, those that came back, their rate, and the median days between visits."""
     days = df.where(F.col(entity).isNotNull() & F.col(when).isNotNull()).select(F.col(entity).alias("e"), F.to_date(when).alias("d")).distinct()

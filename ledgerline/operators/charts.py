@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import analytics, kpi, periods, quantiles, semantics, verbs
+from . import analytics, curves, kpi, periods, quantiles, semantics, verbs
 
 #: Groups that a box plot or a pie can show, groups of a bar chart, colours, and bars of a tornado.
 FEW, BARS, COLOURS, MOVES = 8, 12, 8, 12
@@ -59,8 +59,14 @@ def marks(df: DataFrame, chart: Chart) -> DataFrame:
         return verbs.others(df, x, y, {"bar": BARS, "funnel": BARS}.get(chart.kind, FEW))
     if chart.kind == "stacked_bar":
         return stacked(df, x, y, color)
-    if chart.kind in ("box", "violin"):
+    if chart.kind == "box":
         return box(df, x, y)
+    if chart.kind == "violin":
+        return curves.violin(df, x, y, _largest(df.where(periods.number(y).isNotNull()), x, None, FEW))
+    if chart.kind == "trendline":
+        return curves.lowess(df, x, y)
+    if chart.kind == "scatter_matrix":
+        return scatter_matrix(df, [x, y, *([color] if color else [])])
     if chart.kind == "scatter":
         return verbs.seeded_sample(df.select(x, y, *([color] if color else [])).where(F.col(x).isNotNull() & F.col(y).isNotNull()))
     if chart.kind == "histogram":
@@ -70,7 +76,7 @@ def marks(df: DataFrame, chart: Chart) -> DataFrame:
     if chart.kind == "heat":
         return heat(df, x)
     if chart.kind in ("sunburst", "treemap"):
-        return verbs.hierarchy(df, [x, color] if color else [x], y)
+        return verbs.hierarchy_top(df, [x, color] if color else [x], y, FEW)
     raise ValueError(f"no chart of kind {chart.kind!r}")
 
 
@@ -99,6 +105,30 @@ def stacked(df: DataFrame, when: str, value: str | None, color: str) -> DataFram
     return dated.where(F.col("period") != F.lit(w.dropped)) if w.dropped else dated
 
 
+def scatter_matrix(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFrame:
+    """a, b, ba, bb, n: the counts of each pair of columns on a grid of bins x bins, all pairs in two scans. Values that are
+    not finite have no place; a column without spread is one bin, 0."""
+    xs = {c: verbs.finite(c) for c in columns}
+    r = df.agg(*(f(x).alias(f"{n}{i}") for i, x in enumerate(xs.values()) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    at = {}
+    for i, (c, x) in enumerate(xs.items()):
+        lo, hi = r[f"lo{i}"], r[f"hi{i}"]
+        at[c] = F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("long") if lo is not None and hi > lo else F.when(x.isNotNull(), F.lit(0).cast("long"))
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), at[a].alias("ba"), at[b].alias("bb")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    cells = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("ba is not null and bb is not null")
+    return cells.groupBy("a", "b", "ba", "bb").agg(F.count(F.lit(1)).alias("n"))
+
+
+def facets(df: DataFrame, x: str, y: str, facet: str, most: int = 4, bins: int = 20) -> DataFrame:
+    """facet, bx, by, n: a density grid for each of the largest groups, on axes that all share."""
+    rows = df.where(F.col(facet).cast("string").isin(_largest(df, facet, None, most)))
+    cx, cy = verbs.finite(x), verbs.finite(y)
+    rows = rows.select(F.col(facet).cast("string").alias("facet"), cx.alias("x"), cy.alias("y")).where("x is not null and y is not null")
+    r = rows.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    at = lambda c, lo, hi: F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("long") if lo is not None and hi > lo else F.lit(0).cast("long")
+    return rows.groupBy("facet", at("x", r.x0, r.x1).alias("bx"), at("y", r.y0, r.y1).alias("by")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def small_multiples(df: DataFrame, when: str, value: str, segment: str, most: int = 4) -> DataFrame:
     """segment, period, value: a series for each of the largest segments; periods without rows are absent."""
     w = periods.bounds(df, when)

@@ -9,7 +9,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNITS = {"D": "day", "W": "week", "M": "month", "Q": "quarter"}
+UNITS = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 #: A trailing period is partial below this share of its length.
 FULL_SHARE = 0.8
 LEAST_DATED = 4

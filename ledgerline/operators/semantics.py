@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.catalog import PRESETS, Field, Preset
+from . import memory
 
 #: Cells of a column that vocabularies are held against.
 SAMPLE = 200
+#: Standard error of the sketches that count distinct values.
+SKETCH_ERROR = 0.01
 # Words in a column's name that speak for a role, and the roles that a preset's field may take.
 ID_WORDS = frozenset("id uuid key code sku serial ref no num idx".split())
 TIME_WORDS = frozenset("date time timestamp created updated modified at on year month week day".split())
@@ -58,16 +61,17 @@ class Column:
 def profile(df: DataFrame) -> list[Column]:
     """Rows, nulls, distinct values and mean text length of every column.
 
-    One aggregate with a sketch for each column; columns whose sketch says few values are counted exactly by one grouping
-    of their cells, so no exact count of a long column's values is shuffled. The thresholds of the roles lie among the
-    few; for others the sketch (5 % error) only tells whether most values differ.
+    One aggregate with a sketch for each column. Columns whose sketch says few values, or a share of distinct values so
+    near to a threshold of the roles (half, nine tenths) that its error could decide, are counted exactly by one grouping
+    of their cells; of the others the sketch tells on which side they are.
     """
     if not df.columns:
         return []
     c = lambda name: F.col(f"`{name}`")
-    parts = [x for i, n in enumerate(df.columns) for x in (F.count(c(n)).alias(f"n{i}"), F.approx_count_distinct(c(n)).alias(f"d{i}"), F.avg(F.length(c(n).cast("string"))).alias(f"l{i}"))]
+    parts = [x for i, n in enumerate(df.columns) for x in (F.count(c(n)).alias(f"n{i}"), F.approx_count_distinct(c(n), SKETCH_ERROR).alias(f"d{i}"), F.avg(F.length(c(n).cast("string"))).alias(f"l{i}"))]
     s = df.agg(F.count(F.lit(1)).alias("rows"), *parts).first()
-    few = [i for i in range(len(df.columns)) if s[f"d{i}"] <= 400]
+    near = lambda d: any(abs(d - t * s.rows) <= 5 * SKETCH_ERROR * d for t in (0.5, 0.9))
+    few = [i for i in range(len(df.columns)) if s[f"d{i}"] <= 400 or near(s[f"d{i}"])]
     exact = {}
     if few:
         cells = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), c(df.columns[i]).cast("string").alias("v")) for i in few))).alias("x")).select("x.*")
@@ -169,9 +173,14 @@ def detect(columns: Sequence[Column], least: int = DETECTED) -> Ranked | None:
     return best[0] if best and best[0].confidence >= least else None
 
 
-def bind(df: DataFrame, preset: str | None = None, override: Mapping[str, str] | None = None, columns: Sequence[Column] | None = None) -> Ranked | None:
-    """The preset to use with its fields bound: the forced one, or the best of at least TAKEN. An override binds a field to
-    a column, taking it from whatever field had it; an empty one unbinds. None means the general view."""
+def bind(df: DataFrame, preset: str | None = None, override: Mapping[str, str] | None = None, columns: Sequence[Column] | None = None, remembered: str | None = None) -> Ranked | None:
+    """The preset to use with its fields bound: the forced one; else, where nothing is forced or overridden, what the
+    folder of memory has for these column names, with confidence 100; else the best of at least TAKEN. An override binds
+    a field to a column, taking it from whatever field had it; an empty one unbinds. None means the general view."""
+    if remembered and preset is None and not override:
+        known = memory.recall(df.sparkSession, remembered, df.columns)
+        if known and known.preset in PRESETS:
+            return Ranked(PRESETS[known.preset], 100, known.mapping)
     columns = profile(df) if columns is None else columns
     ranked = {r.preset.key: r for r in rank(columns)}
     best = ranked[preset] if preset else max(ranked.values(), key=lambda r: r.confidence)
@@ -192,22 +201,39 @@ def when(preset: Preset, mapping: Mapping[str, str]) -> str | None:
 
 # --- the broad domain of a table, from words in its columns' names
 
-# Domains in order of precedence. The words are our own.
+# Domains in order of precedence, with the words of column names that speak for them.
 DOMAINS = {
-    "sales": "sales revenue order customer product quantity price discount invoice".split(),
-    "hr": "employee salary department hire gender tenure staff position".split(),
-    "finance": "account balance debit credit transaction expense income budget".split(),
-    "marketing": "campaign clicks impressions conversion channel lead spend".split(),
-    "logistics": "shipment delivery carrier freight warehouse route weight".split(),
+    "sales": "revenue sales sale order orders customer customers product products price prices quantity qty units discount profit margin invoice deal deals pipeline conversion upsell quota target forecast".split(),
+    "hr": "employee employees staff worker workers headcount salary salaries wage wages compensation department departments hire hired termination resigned tenure performance rating appraisal leave absence training role position grade band level".split(),
+    "finance": "account accounts balance balances transaction transactions debit credit budget budgets expense expenses income cost costs payment payments invoice invoices tax asset assets liability liabilities equity cashflow pnl ebitda roi irr npv ledger journal".split(),
+    "marketing": "campaign campaigns impression impressions click clicks conversion conversions lead leads channel channels spend cpc cpm ctr roas roi attribution audience segment segments reach engagement bounce session sessions pageview pageviews subscriber".split(),
+    "logistics": "shipment shipments delivery deliveries warehouse inventory stock carrier route routes tracking sku item items dispatch freight parcel weight dimension eta pod return returns lead_time".split(),
 }
 
 
 def domain(columns: Sequence[Column]) -> str:
-    """The domain with most points: one for a word that a name has or begins with, two more if the column is numeric."""
+    """The domain with most points: one for each word that a name has or begins with, two if the column is numeric."""
     points = dict.fromkeys(DOMAINS, 0)
     for c in columns:
-        words, numeric = set(_plain(c.name).split()), c.role in ("continuous", "discrete")
+        low, numeric = c.name.lower(), c.role in ("continuous", "discrete")
+        words = set(re.split(r"[_\s\-.]+", low))
         for name, keys in DOMAINS.items():
-            points[name] += sum(3 if numeric else 1 for k in keys if k in words or _plain(c.name).startswith(k))
+            points[name] += sum(2 if numeric else 1 for k in keys if k in words or low.startswith(k))
     best = max(points, key=points.get)
     return best if points[best] else "general"
+
+
+# Words anywhere in the columns' names that speak for a template, in order of precedence.
+TEMPLATES = {
+    "sales": "revenue sales order orders customer customers product products price prices quantity qty units discount profit margin invoice".split(),
+    "hr": "employee employees staff worker headcount salary salaries wage wages department hire tenure performance leave absence role".split(),
+    "finance": "account accounts balance transaction transactions debit credit budget expense expenses income cost payment invoice tax asset liability equity".split(),
+}
+
+
+def template(names: Sequence[str]) -> str | None:
+    """The template with most of its words somewhere in the names, of equal ones the first; None if none has any."""
+    text = " ".join(names).lower()
+    points = {t: sum(w in text for w in words) for t, words in TEMPLATES.items()}
+    best = max(points, key=points.get)
+    return best if points[best] else None

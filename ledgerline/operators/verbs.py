@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,12 +105,14 @@ def crosstab(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
 
 
-def resample(df: DataFrame, when: str, value: str, g: str = "M") -> DataFrame:
-    """Dense buckets: an empty one has sum 0, count 0 and null otherwise."""
+def resample(df: DataFrame, when: str, value: str, g: str = "M", label: str = "start") -> DataFrame:
+    """Dense buckets of days, weeks (from Monday), months, quarters or years (D W M Q Y), labelled by their first or, with
+    label "end", last day: an empty one has sum 0, count 0 and null otherwise."""
     s = df.where(F.col(when).isNotNull()).groupBy(periods.period_of(when, g).alias("bucket")).agg(periods.money(value).alias("s"), F.count(value).alias("c"), F.max(value).alias("max"), F.min(value).alias("min"))
-    step = {"D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months"}[g]
+    step = {"D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months", "Y": "interval 1 year"}[g]
     spine = s.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", F.expr(step))).alias("bucket"))
-    return spine.join(s, "bucket", "left").select("bucket", F.coalesce("s", F.lit(0.0)).alias("sum"), F.coalesce("c", F.lit(0)).alias("count"), F.try_divide("s", "c").alias("mean"), "max", "min")
+    named = F.date_sub((F.col("bucket") + F.expr(step)).cast("date"), 1).alias("bucket") if label == "end" else F.col("bucket")
+    return spine.join(s, "bucket", "left").select(named, F.coalesce("s", F.lit(0.0)).alias("sum"), F.coalesce("c", F.lit(0)).alias("count"), F.try_divide("s", "c").alias("mean"), "max", "min")
 
 
 def rolling_mean(series: DataFrame, k: int) -> DataFrame:
@@ -238,6 +242,27 @@ def hierarchy(df: DataFrame, path: list[str], value: str) -> DataFrame:
     return df.rollup(*path).agg(F.grouping_id().alias("_g"), periods.money(value).alias("total")).select(*path, (F.lit(len(path)) - F.bit_count("_g")).cast("int").alias("depth"), "total")
 
 
+def hierarchy_top(df: DataFrame, path: list[str], value: str, most: int = 8) -> DataFrame:
+    """hierarchy() of the `most` largest children of each parent, the rest of them as one leaf Others.
+
+    At most (most + 1) ^ depth marks, whose sums at every level are those of the whole. Null labels are '(null)', and an
+    own label Others joins the rest. Children are ranked inside their parent, of which each task hands on its `most` largest.
+    """
+    label = [F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in path]
+    now = df.select(*label, periods.number(value).alias("_v")).groupBy(*path).agg(periods.money("_v").alias("_v"))
+    for i, c in enumerate(path):
+        up, own = path[:i], path[: i + 1]
+        order = W.partitionBy(*up).orderBy(F.desc_nulls_last("_t"), c)
+        sums = now.where(F.col(c).isNotNull()).groupBy(*own).agg(periods.money("_v").alias("_t"))
+        kept = sums.withColumn("_r", F.row_number().over(order)).where((F.col("_r") <= most) & (F.col(c) != "Others"))
+        marked = now.join(F.broadcast(kept.select(*own, F.lit(True).alias("_k"))), own, "left")  # most ^ depth rows
+        now = marked.select(*up, F.when(F.col("_k"), F.col(c)).when(F.col(c).isNotNull(), F.lit("Others")).alias(c), *(F.when(F.col("_k"), F.col(d)).alias(d) for d in path[i + 1 :]), "_v")
+        now = now.groupBy(*path).agg(periods.money("_v").alias("_v"))
+    out = hierarchy(now, path, "_v")
+    real = [F.col("depth") <= F.lit(i) for i in range(len(path))]
+    return out.where(F.forall(F.array(*(r | F.col(c).isNotNull() for r, c in zip(real, path))), lambda b: b))
+
+
 def pivot_years(df: DataFrame, when: str, value: str, years: list[int] | None = None) -> DataFrame:
     """month and a column for each year with the month's sum, null where there is none."""
     rows = df.where(F.col(when).isNotNull()).select(F.month(when).cast("long").alias("month"), F.year(when).alias("_y"), F.col(value).alias("_v"))
@@ -254,23 +279,46 @@ def seeded_sample(df: DataFrame, most: int = 3_000, seed: int = 42) -> DataFrame
     return df.orderBy(F.xxhash64(*df.columns, F.lit(seed)), *df.columns).limit(most)
 
 
-MONTH_HEADER = r"(?i)^(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-/ '.]*(?:\d{2}|\d{4})?|\d{4}[-/.](?:0?[1-9]|1[0-2])|(?:0?[1-9]|1[0-2])[-/.]\d{4}|(?:fy)?\d{4}|q[1-4][-/ '.]*(?:\d{2}|\d{4})?)$"
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+NAMED_MONTH = r"(?i)^(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?:[-/ '.]*(\d{2}|\d{4}))?$"
+# Fixed value: headers that may be months.
+MONTH_HEADER = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*([\s\-'/]*\d{2,4})?$|^\d{4}[-/]\d{1,2}$"
+
 
+def period_of_header(header: str, year: int):
+    """The first day of the month that a header names; the given year where it names none, years of two digits in this
+    century; None for a word that only begins like a month, and for a month 13."""
+    from datetime import date
 
-def unpivot_wide(df: DataFrame) -> DataFrame:
-    """Tables with five month-like headers or more beside one to four other columns become period, value rows, if over
-    70 % of the headers are periods and over half of the cells numbers; any other table stays as it is."""
-    import re
+    text = header.strip()
+    if m := re.match(NAMED_MONTH, text):
+        y = int(m[2]) if m[2] else year
+        return date(y + 2000 if m[2] and len(m[2]) == 2 else y, MONTHS.index(m[1][:3].lower()) + 1, 1)
+    if (m := re.match(r"^(\d{4})[-/](\d{1,2})$", text)) and 1 <= int(m[2]) <= 12:
+        return date(int(m[1]), int(m[2]), 1)
+    return None
 
-    months = [c for c in df.columns if re.match(MONTH_HEADER, c.strip())]
-    ids = [c for c in df.columns if c not in months]
-    if len(months) < 5 or not 1 <= len(ids) <= 4 or not any(ch.isdigit() or ch.isalpha() for ch in "".join(months)):
+
+def unpivot_wide(df: DataFrame, year: int | None = None) -> DataFrame:
+    """Tables with five month-like headers or more beside one to four other columns become rows of period (a date) and
+    value, if over 70 % of those headers are months and over half of their cells numbers; any other table stays as it is.
+
+    Headers that only look like months have no period, and their cells no row. Cells that are no number stay as null.
+    year is that of months without one: this year, if it isn't given.
+    """
+    from datetime import date
+
+    wide = [c for c in df.columns if re.match(MONTH_HEADER, c.strip())]
+    ids = [c for c in df.columns if c not in wide]
+    dated = {c: d for c in wide if (d := period_of_header(c, year or date.today().year))}
+    if len(wide) < 5 or not 1 <= len(ids) <= 4 or len(dated) <= 0.7 * len(wide):
+        return df
+    number = lambda c: F.regexp_replace(F.col(f"`{c}`").cast("string"), r"[,\s%₹$€£]", "").try_cast("double")
+    s = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(number(c)).alias(f"c{i}") for i, c in enumerate(wide))).first()
+    if not s.n or sum(s[f"c{i}"] for i in range(len(wide))) <= 0.5 * s.n * len(wide):
         return df
-    text = df.select(*(F.col(f"`{c}`") for c in ids), *(F.col(f"`{c}`").cast("string").alias(c) for c in months))
-    long = text.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in months], "period", "value")
-    number = F.regexp_replace("value", r"[,\s%₹$€£]", "").try_cast("double")
-    s = long.agg(F.count("value").alias("n"), F.count(number).alias("good")).first()
-    return long.withColumn("value", number).where("value is not null") if s.n and s.good > 0.5 * s.n else df
+    cells = F.array(*(F.struct(F.lit(d).alias("period"), number(c).alias("value")) for c, d in dated.items()))
+    return df.select(*(F.col(f"`{c}`") for c in ids), F.explode(cells).alias("_c")).select(*(F.col(f"`{c}`") for c in ids), "_c.period", "_c.value")
 
 
 def unpivot_months(df: DataFrame, ids: list[str], months: list[str]) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import analytics, audit, charts, forecast, insights, kpi, periods, semantics, series, stats, verbs
+from ..operators import analytics, audit, charts, curves, forecast, insights, kpi, periods, semantics, series, stats, verbs
 from ..sources import delimited, staging
+from ..streaming import sessions
 from . import catalog, packs, sqlbox
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +158,108 @@ def sums_of_odd_values(spark, d):
     return out.select("l_returnflag", F.round("sum", 4).alias("gaps_sum"), F.round("mean", 6).alias("gaps_mean"), F.col("count").alias("gaps_count"), F.round("median", 6).alias("gaps_median"), F.col("max").alias("gaps_max"), "tiny_sum", "huge_sum", "mixed_sum")
 
 
+@query(
+    f"""WITH v AS (SELECT l_returnflag AS segment, l_quantity AS v FROM lineitem WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL),
+s AS (SELECT segment, count(*) AS n, min(v) AS lo, max(v) AS hi, 1.059 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349) * count(*) ** -0.2 AS h FROM v GROUP BY 1),
+a AS (SELECT segment, n, h, lo - 2 * h AS a, (hi - lo + 4 * h) / {curves.GRID - 1} AS step FROM s),
+p AS (SELECT a.segment, (v - a) / step AS p FROM v JOIN a USING (segment)), q AS (SELECT segment, p, least(floor(p), {curves.GRID - 2}) AS i FROM p),
+u AS (SELECT segment, i, sum(u) AS u FROM (SELECT segment, i, 1 - (p - i) AS u FROM q UNION ALL SELECT segment, i + 1, p - i FROM q) GROUP BY 1, 2),
+g AS (SELECT a.*, k AS g FROM a, range({curves.GRID}) r(k))
+SELECT g.segment, CAST(max(n) AS BIGINT) AS n, round(g.a + g.g * g.step, 6) AS "at", round(sum(u.u * exp(-0.5 * ((g.g - u.i) * g.step / g.h) ** 2)) / (max(n) * g.h * sqrt(2 * pi())), 8) AS density
+FROM g JOIN u USING (segment) GROUP BY g.segment, g.g, g.a, g.step, g.h"""
+)
+def chart_violin(spark, d):
+    out = charts.marks(read(spark, d, "lineitem"), charts.Chart("violin", "", "l_returnflag", "l_quantity"))
+    return out.select("segment", "n", F.round("at", 6).alias("at"), F.round("density", 8).alias("density"))
+
+
+@query(
+    """WITH b AS (SELECT c_mktsegment AS x, CAST(c_nationkey AS VARCHAR) AS y, fsum(c_acctbal) AS v FROM customer GROUP BY 1, 2),
+r AS (SELECT x, row_number() OVER (ORDER BY fsum(v) DESC, x) AS r FROM b GROUP BY x), b1 AS (SELECT CASE WHEN r <= 3 THEN x ELSE 'Others' END AS x, CASE WHEN r <= 3 THEN y END AS y, v FROM b JOIN r USING (x)),
+s AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY fsum(v) DESC, y) AS r FROM b1 WHERE y IS NOT NULL GROUP BY x, y),
+b2 AS (SELECT b1.x, CASE WHEN b1.y IS NULL THEN NULL WHEN s.r <= 3 THEN b1.y ELSE 'Others' END AS y, v FROM b1 LEFT JOIN s ON s.x = b1.x AND s.y = b1.y)
+SELECT NULL AS c_mktsegment, NULL AS c_nationkey, 0 AS depth, round(fsum(v), 2) AS total FROM b2 UNION ALL SELECT x, NULL, 1, round(fsum(v), 2) FROM b2 GROUP BY x
+UNION ALL SELECT x, y, 2, round(fsum(v), 2) FROM b2 WHERE y IS NOT NULL GROUP BY x, y"""
+)
+def chart_hierarchy_top(spark, d):
+    return verbs.hierarchy_top(read(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], "c_acctbal", 3).withColumn("total", F.round("total", 2))
+
+
+def _grid(table: str, when: str, entity: str, unit: str) -> str:
+    step = f"date_diff('{unit}', cohort, p)" if unit == "month" else "date_diff('day', cohort, p) // 7"
+    begins = f"cohort + k * INTERVAL 1 {unit}"
+    return f"""WITH e AS (SELECT DISTINCT {entity} AS e, CAST(date_trunc('{unit}', {when}) AS DATE) AS p FROM {table} WHERE {entity} IS NOT NULL AND {when} IS NOT NULL),
+f AS (SELECT *, min(p) OVER (PARTITION BY e) AS cohort FROM e), s AS (SELECT cohort, {step} AS k, count(*) AS n FROM f GROUP BY 1, 2),
+z AS (SELECT cohort, n AS size FROM s WHERE k = 0 ORDER BY cohort DESC LIMIT 8), h AS (SELECT max({when}) AS hi FROM {table}),
+g AS (SELECT cohort, size, k FROM z, range(7) r(k) WHERE k <= (SELECT max(k) FROM s) AND (SELECT count(DISTINCT e) FROM e) >= 30 AND (SELECT max(k) FROM s) >= 1)
+SELECT g.cohort, CAST(g.k AS BIGINT) AS "offset", CASE WHEN {begins.replace('cohort', 'g.cohort').replace('k *', 'g.k *')} <= hi THEN coalesce(n, 0) END AS entities,
+ CASE WHEN {begins.replace('cohort', 'g.cohort').replace('k *', 'g.k *')} <= hi THEN round(100.0 * coalesce(n, 0) / size, 6) END AS retention_pct FROM g CROSS JOIN h LEFT JOIN s ON s.cohort = g.cohort AND s.k = g.k"""
+
+
+@query(_grid("orders", "o_orderdate", "o_custkey", "month"))
+def cohort_grid_months(spark, d):
+    return analytics.cohort_grid(read(spark, d, "orders"), "o_orderdate", "o_custkey")
+
+
+@query(_grid("events", "ts", "user_id", "week"))
+def cohort_grid_weeks(spark, d):
+    return analytics.cohort_grid(read(spark, d, "events"), "ts", "user_id")
+
+
+@query(
+    f"""WITH s AS (SELECT date_trunc('year', o_orderdate) AS b, {_money('o_totalprice')} AS s, count(o_totalprice) AS c FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+y AS (SELECT unnest(generate_series((SELECT min(b) FROM s), (SELECT max(b) FROM s), INTERVAL 1 YEAR)) AS b)
+SELECT CAST(y.b + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) AS bucket, coalesce(s, 0.0) AS sum, coalesce(c, 0) AS count FROM y LEFT JOIN s ON s.b = y.b"""
+)
+def resample_year_ends(spark, d):
+    return verbs.resample(read(spark, d, "orders"), "o_orderdate", "o_totalprice", "Y", "end").select("bucket", F.round("sum", 4).alias("sum"), "count")
+
+
+@query(
+    f"""WITH q AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS p FROM orders WHERE o_orderdate IS NOT NULL), h AS (SELECT max(p) AS p, CAST(max(o_orderdate) AS DATE) AS hi FROM q),
+w AS (SELECT h.p, date_diff('day', h.p, hi) + 1 AS day, day(last_day(h.p)) AS days, (SELECT max(p) FROM q WHERE q.p < h.p) AS b FROM h),
+s AS (SELECT w.p, w.day, w.days, {_money('o_totalprice', 'q.p = w.p')} AS a, {_money('o_totalprice', "q.p = w.b AND date_diff('day', w.b, CAST(o_orderdate AS DATE)) < w.day")} AS c, {_money('o_totalprice', 'q.p = w.b')} AS t FROM q, w GROUP BY 1, 2, 3)
+SELECT p AS period, day, days, a AS so_far, c AS previous_same_day, t AS previous_total, round(100.0 * (a - c) / nullif(c, 0), 6) AS pace_pct, round(a / day * days, 4) AS run_rate, round(100.0 * (a / day * days - t) / nullif(t, 0), 6) AS projected_pct FROM s"""
+)
+def pace_run_rate(spark, d):
+    return analytics.pace_summary(read(spark, d, "orders"), "o_orderdate", "o_totalprice", "M")
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS first FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n, round(fsum(value), 4) AS total FROM s GROUP BY user_id, k"""
+)
+def event_sessions(spark, d):
+    return sessions.sessions(read(spark, d, "events"), "ts", "user_id", "value", "2 hours").withColumn("total", F.round("total", 4))
+
+
+_BIN = "CAST(CASE WHEN {0}1 > {0}0 THEN least(floor(({0} - {0}0) / (({0}1 - {0}0) / 20)), 19) ELSE 0 END AS BIGINT)"
+
+
+@query(
+    f"""WITH r AS (SELECT l_quantity AS q, l_discount AS d, l_tax AS t, q0, q1, d0, d1, t0, t1 FROM lineitem, (SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_discount) AS d0, max(l_discount) AS d1, min(l_tax) AS t0, max(l_tax) AS t1 FROM lineitem)),
+b AS (SELECT {_BIN.format('q')} AS q, {_BIN.format('d')} AS d, {_BIN.format('t')} AS t FROM r)
+SELECT 'l_quantity' AS a, 'l_discount' AS b, q AS ba, d AS bb, count(*) AS n FROM b GROUP BY 3, 4 UNION ALL SELECT 'l_quantity', 'l_tax', q, t, count(*) FROM b GROUP BY 3, 4 UNION ALL SELECT 'l_discount', 'l_tax', d, t, count(*) FROM b GROUP BY 3, 4"""
+)
+def chart_scatter_matrix(spark, d):
+    return charts.scatter_matrix(read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+
+
+@query(
+    f"""WITH r AS (SELECT l_returnflag AS facet, l_quantity AS q, l_discount AS d, q0, q1, d0, d1 FROM lineitem, (SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_discount) AS d0, max(l_discount) AS d1 FROM lineitem))
+SELECT facet, {_BIN.format('q')} AS bx, {_BIN.format('d')} AS by, count(*) AS n FROM r GROUP BY 1, 2, 3"""
+)
+def chart_facets(spark, d):
+    return charts.facets(read(spark, d, "lineitem"), "l_quantity", "l_discount", "l_returnflag")
+
+
+@query()
+def chart_lowess(spark, d):
+    """A trend line over all rows; tests hold it against plain LOWESS."""
+    return curves.lowess(read(spark, d, "orders").select(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("x"), "o_totalprice"), "x", "o_totalprice")
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(fsum(l_extendedprice), 4) AS total FROM lineitem GROUP BY 1, 2")
 def cached_totals(spark, d):
     """The second of two askings: it reads what the first one settled."""

@@ -60,7 +60,7 @@ class Files:
         return self._fs.delete(self.path(path), True)
 
     def write(self, path: str, text: str) -> None:
-        """The whole text or nothing: it is written beside and then takes the name."""
+        """The whole text or nothing, under a new name: it is written beside and then takes the name."""
         beside = f"{path}.{uuid.uuid4().hex}"
         out = self._fs.create(self.path(beside), True)
         try:
@@ -68,10 +68,8 @@ class Files:
         finally:
             out.close()
         if not self.rename(beside, path):
-            self.delete(path)
-            if not self.rename(beside, path):
-                self.delete(beside)
-                raise OSError(f"cannot write {path}")
+            self.delete(beside)
+            raise OSError(f"cannot write {path}")
 
     def touch(self, path: str) -> None:
         self._fs.setTimes(self.path(path), int(time.time() * 1000), -1)
