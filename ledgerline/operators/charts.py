@@ -36,16 +36,16 @@ def recommend(columns: Sequence[semantics.Column], most: int = 5) -> list[Chart]
 
     def offers() -> Iterator[Chart]:
         if when and numbers:
-            yield Chart("line", f"{numbers[0]} over {when.name}", when.name, numbers[0])
+            yield Chart("line", f"{numbers[0]} as {when.name} goes on", when.name, numbers[0])
         if len(numbers) > 1:
-            yield Chart("scatter", f"{numbers[0]} vs {numbers[1]}", numbers[0], numbers[1], group.name if group else None)
+            yield Chart("scatter", f"{numbers[0]} beside {numbers[1]}, point by point", numbers[0], numbers[1], group.name if group else None)
         if group and numbers:
-            title = f"{numbers[0]} distribution by {group.name}" if small else f"{numbers[0]} by {group.name}"
+            title = f"Spread of {numbers[0]} in each {group.name}" if small else f"{numbers[0]} of the largest {group.name}"
             yield Chart("box" if small else "bar", title, group.name, numbers[0])
         if numbers:
-            yield Chart("histogram", f"Distribution of {numbers[0]}", numbers[0])
+            yield Chart("histogram", f"How often {numbers[0]} takes which values", numbers[0])
         if group:
-            yield Chart("pie" if small else "bar", f"Breakdown of {group.name}" if small else f"Value counts of {group.name}", group.name)
+            yield Chart("pie" if small else "bar", f"Rows of each {group.name}" if small else f"Rows of the largest {group.name}", group.name)
 
     return list(offers())[:most]
 
@@ -113,7 +113,8 @@ def scatter_matrix(df: DataFrame, columns: Sequence[str], bins: int = 20) -> Dat
     at = {}
     for i, (c, x) in enumerate(xs.items()):
         lo, hi = r[f"lo{i}"], r[f"hi{i}"]
-        at[c] = F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("long") if lo is not None and hi > lo else F.when(x.isNotNull(), F.lit(0).cast("long"))
+        place = F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)) if lo is not None and hi > lo else F.lit(0)
+        at[c] = F.when(x.isNotNull(), place.cast("long"))
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), at[a].alias("ba"), at[b].alias("bb")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     cells = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("ba is not null and bb is not null")
     return cells.groupBy("a", "b", "ba", "bb").agg(F.count(F.lit(1)).alias("n"))

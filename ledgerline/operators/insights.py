@@ -91,11 +91,10 @@ def variance_cards(kpis: Sequence[Row]) -> list[Card]:
     return out
 
 
-def concentration_card(preset: Preset, kpis: Sequence[Row]) -> Card | None:
-    """The first KPI of top groups with 60 % or more."""
-    kinds = {k.key: k.kind for k in preset.kpis}
+def concentration_card(kpis: Sequence[Row]) -> Card | None:
+    """The first KPI with share in its key of 60 % or more."""
     for k in kpis:
-        if kinds.get(k.key) == "top_share" and k.value >= 60:
+        if "share" in k.key and k.value is not None and k.value >= 60:
             return Card("concentration", "warn", f"{k.key} is {k.value:.0f} %", min(10.0, (k.value - 50) / 5), {"kpi": k.key, "share": k.value})
     return None
 
@@ -117,6 +116,12 @@ def quality_cards(issues: Sequence[Row]) -> list[Card]:
     return [Card("dq_warning", "risk", f"{i.check}{' in ' + i.column if i.column else ''}: {i.affected} affected", 6.0, {"check": i.check, "column": i.column}) for i in issues if i.severity == "high"]
 
 
+def context(found: Sequence[Card]) -> str:
+    """The cards as lines of text that hold aggregates only, no rows: for whoever writes the story."""
+    told = (f"- {c.kind} ({c.severity}, weight {c.materiality:.1f}): {c.headline}" for c in found)
+    return "\n".join(["Findings, each past its statistical gate:", *told])
+
+
 def cards(df: DataFrame, preset: Preset, mapping: Mapping[str, str], kpis: Sequence[Row], issues: Sequence[Row] = (), most: int = MOST) -> list[Card]:
     """The `most` most material cards; of equal ones the earlier. kpis: rows of kpi.pack; issues: rows of audit.audit."""
     out = quality_cards(issues)
@@ -126,5 +131,5 @@ def cards(df: DataFrame, preset: Preset, mapping: Mapping[str, str], kpis: Seque
         y = np.array([r.value for r in series.orderBy("period").collect() if r.value is not None], float)
         out += [c for c in [trend_card(y, w.grain, preset.metric)] if c] + anomaly_cards(df, series, len(y), preset, mapping, w.grain, preset.metric)
     out += variance_cards(kpis)
-    out += [c for c in (concentration_card(preset, kpis), leader_card(df, preset, mapping)) if c]
+    out += [c for c in (concentration_card(kpis), leader_card(df, preset, mapping)) if c]
     return sorted(out, key=lambda c: -c.materiality)[:most]

@@ -173,16 +173,16 @@ def detect(columns: Sequence[Column], least: int = DETECTED) -> Ranked | None:
     return best[0] if best and best[0].confidence >= least else None
 
 
-def bind(df: DataFrame, preset: str | None = None, override: Mapping[str, str] | None = None, columns: Sequence[Column] | None = None, remembered: str | None = None) -> Ranked | None:
+def bind(df: DataFrame, preset: str | None = None, override: Mapping[str, str] | None = None, columns: Sequence[Column] | None = None, remembered: str | None = None, presets: Mapping[str, Preset] = PRESETS) -> Ranked | None:
     """The preset to use with its fields bound: the forced one; else, where nothing is forced or overridden, what the
     folder of memory has for these column names, with confidence 100; else the best of at least TAKEN. An override binds
     a field to a column, taking it from whatever field had it; an empty one unbinds. None means the general view."""
     if remembered and preset is None and not override:
         known = memory.recall(df.sparkSession, remembered, df.columns)
-        if known and known.preset in PRESETS:
-            return Ranked(PRESETS[known.preset], 100, known.mapping)
+        if known and known.preset in presets:
+            return Ranked(presets[known.preset], 100, known.mapping)
     columns = profile(df) if columns is None else columns
-    ranked = {r.preset.key: r for r in rank(columns)}
+    ranked = {r.preset.key: r for r in rank(columns, presets)}
     best = ranked[preset] if preset else max(ranked.values(), key=lambda r: r.confidence)
     if not preset and best.confidence < TAKEN:
         return None

@@ -11,11 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Points that a decomposition needs.
+LEAST = 14
+
+
 def decompose(series: DataFrame, season: int) -> DataFrame:
     """period, value, trend, seasonal, resid of series (period, value): additive, by a centred moving average.
 
     An even season takes half of the two outer points. Points without a full window have no trend and no rest. Phases
-    average to zero. The windows run over periods, a few thousand rows at most, after rows were summed by period.
+    average to zero. Below LEAST points nothing is told apart, and there is no row. The windows run over periods, a few thousand rows at most, after rows were summed by period.
     """
     half, line = season // 2, W.orderBy("period")
     around = line.rowsBetween(-half, half)
@@ -23,7 +27,8 @@ def decompose(series: DataFrame, season: int) -> DataFrame:
     if season % 2 == 0:
         inner = inner - 0.5 * (F.lag("value", half).over(line) + F.lead("value", half).over(line))
     trend = F.when(F.count("value").over(around) == 2 * half + 1, inner / season)
-    t = series.withColumn("_phase", (F.row_number().over(line) - 1) % season).withColumn("trend", trend)
+    enough = series.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= LEAST)  # one row or none
+    t = series.crossJoin(F.broadcast(enough)).withColumn("_phase", (F.row_number().over(line) - 1) % season).withColumn("trend", trend)
     t = t.withColumn("_mean", F.avg(F.col("value") - F.col("trend")).over(W.partitionBy("_phase")))
     level = t.groupBy("_phase").agg(F.first("_mean").alias("_m")).agg(F.avg("_m").alias("_level"))  # one row
     s = t.crossJoin(F.broadcast(level)).withColumn("seasonal", F.col("_mean") - F.col("_level"))

@@ -5,8 +5,8 @@ A field's words are names its column may have; a preset's triggers are words tha
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from ..operators.kpi import KPI
@@ -75,23 +75,23 @@ def _preset(key: str, metric: str, triggers: str, fields: Sequence[Field], kpis:
     return Preset(key, metric, tuple(triggers.split()), tuple(fields), tuple(kpis), tuple(charts), tuple(tiles.split()), tuple(slicers.split()))
 
 
-# Keys, kinds and parameters of the KPIs, the fields they name, charts, tiles and slicers of each preset.
-# The words and triggers are our own.
+# Keys, kinds and parameters of the KPIs, the fields they name, charts, tiles and slicers of each preset, and
+# the words of the retail fields. The other presets have a few words a field; with_words() adds a caller's own.
 RETAIL = _preset(
     "retail",
     "revenue",
     "bill invoice sku store product basket qty mrp pos retail item sale",
     _fields(
-        "order_date*:t: order date, bill date, invoice date, sale date, purchase date, date",
-        "revenue*:n: net amount, revenue, sales, amount, total, sale value, net sales",
-        "quantity:n: qty, quantity, units, pieces",
-        "product*:c: product name, product, item name, item, sku",
-        "order_id:i: order id, bill no, invoice no, receipt no, order number",
-        "category:c: category, department, product category",
-        "store:c: store, branch, outlet, shop",
-        "customer_id:i: customer id, customer, client id, buyer",
-        "discount:n: discount, markdown, rebate",
-        "cost:n: cost, unit cost, cogs",
+        "order_date*:t: date, order date, bill date, invoice date, txn date, created at, purchase date",
+        "revenue*:n: amount, total, net amount, sales, gross sales, line total, amt, value, revenue, sale amount",
+        "quantity:n: qty, quantity, units, pcs, nos, items",
+        "product*:c: product, item, item name, sku, description, product title, product name",
+        "order_id:i: order id, order no, bill no, invoice no, receipt, transaction id",
+        "category:c: category, product type, department, group",
+        "store:c: store, location, branch, outlet, channel, marketplace",
+        "customer_id:i: customer, customer id, buyer, email, customer name",
+        "discount:n: discount, promo, coupon amount, markdown",
+        "cost:n: cost, cogs, purchase price, landed cost",
     ),
     (
         _kpi("total_revenue", "sum", "currency", "up_good", field="revenue"),
@@ -499,3 +499,18 @@ LINES = (
     _kpi("cost_per_weight", "ratio_fields", "currency", "neutral", num_field="cost", den_field="weight"),
     _kpi("dated_share", "rate_notnull", "percent", "neutral", field="delivery_date"),
 )
+
+
+def with_words(words: Mapping[str, Mapping[str, Sequence[str]]], presets: Mapping[str, Preset] = PRESETS) -> dict[str, Preset]:
+    """The presets with further words for their fields: preset -> field -> words, which come before those that are there.
+
+    A house names its columns in its own way; what it knows of them is a parameter here and goes to semantics.rank and
+    semantics.bind as presets. Unknown presets and fields are refused.
+    """
+    out = dict(presets)
+    for key, fields in words.items():
+        if key not in out or (unknown := set(fields) - {f.name for f in out[key].fields}):
+            raise KeyError(f"no such preset or field: {key} {sorted(unknown) if key in out else ''}")
+        more = (replace(f, words=tuple(dict.fromkeys((*fields.get(f.name, ()), *f.words)))) for f in out[key].fields)
+        out[key] = replace(out[key], fields=tuple(more))
+    return out

@@ -6,9 +6,11 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from ledgerline.operators import analytics, charts, curves, memory, semantics, verbs
+from ledgerline.operators import analytics, charts, curves, insights, memory, semantics, series, verbs
+from ledgerline.plans import catalog
 from ledgerline.streaming import sessions
 
 
@@ -202,3 +204,41 @@ def test_shares_near_a_threshold_are_counted(spark):
     df = spark.range(20_000).select(F.concat(F.lit("v"), F.least(F.col("id"), F.lit(10_010))).alias("user_id"), F.concat(F.lit("w"), F.least(F.col("id"), F.lit(18_001))).alias("label"))
     a, b = semantics.profile(df)
     assert (a.distinct, b.distinct) == (10_011, 18_002) and b.role == "identifier"
+
+
+def test_words_of_retail_and_of_a_house(spark):
+    rows = [(datetime(2024, 1, 1 + i), 10.5 + i, f"thing {i % 7}", i % 4) for i in range(28)]
+    df = spark.createDataFrame(rows, "`Created At` timestamp, Amt double, `Product Title` string, pcs int")
+    found = semantics.detect(semantics.profile(df))
+    assert found.preset.key == "retail" and found.mapping == {"order_date": "Created At", "revenue": "Amt", "product": "Product Title", "quantity": "pcs"}
+    odd = spark.createDataFrame(rows, "`When Sold` timestamp, Taken double, Ware string, Heads int")
+    assert semantics.detect(semantics.profile(odd)) is None
+    ours = catalog.with_words({"retail": {"order_date": ["when sold"], "revenue": ["taken"], "product": ["ware"], "quantity": ["heads"]}})
+    bound = semantics.bind(odd, presets=ours)
+    assert bound.preset.key == "retail" and bound.mapping == {"order_date": "When Sold", "revenue": "Taken", "product": "Ware", "quantity": "Heads"}
+    assert "date" in ours["retail"].fields[0].words and catalog.PRESETS["retail"].fields[0].words == catalog.RETAIL.fields[0].words
+    for wrong in ({"nope": {}}, {"retail": {"nope": ["x"]}}):
+        with pytest.raises(KeyError):
+            catalog.with_words(wrong)
+
+
+def test_context_and_concentration():
+    rows = [Row(key="total", value=99.0), Row(key="exit_share", value=70.0), Row(key="top_share", value=80.0)]
+    card = insights.concentration_card(rows)
+    assert card.evidence == {"kpi": "exit_share", "share": 70.0} and insights.concentration_card(rows[:1]) is None
+    text = insights.context([card])
+    assert text.splitlines()[0].startswith("Findings") and "exit_share is 70 %" in text and "concentration (warn, weight 4.0)" in text
+
+
+def test_decomposition_needs_points(spark):
+    made = lambda n: spark.createDataFrame([(date(2024, 1, 1) + timedelta(days=i), float(i % 3)) for i in range(n)], "period date, value double")
+    assert series.decompose(made(13), 3).count() == 0 and series.decompose(made(14), 3).count() == 14
+
+
+def test_grid_charts(spark):
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 2.0), ("b", 3.0, 2.0), ("c", float("nan"), 2.0), ("b", 3.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    cells = {(r.ba, r.bb): r.n for r in charts.scatter_matrix(df, ["x", "y"], 2).collect()}
+    assert cells == {(0, 0): 1, (1, 0): 2}
+    assert {(r.facet, r.bx, r.by): r.n for r in charts.facets(df, "x", "y", "g", 2, 2).collect()} == {("a", 0, 0): 1, ("a", 1, 0): 1, ("b", 1, 0): 1}
+    assert charts.scatter_matrix(df.limit(0), ["x", "y"]).count() == 0 and charts.facets(df.limit(0), "x", "y", "g").count() == 0
