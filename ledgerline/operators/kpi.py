@@ -19,8 +19,8 @@ from pyspark.sql import Window as W
 from . import periods, quantiles as exact_quantiles
 
 FLAT, SLICES = 0.05, ("all", "cur", "prev")
-#: Ranges that distinct values are dealt to.
-RANGES = 64
+#: Ranges that distinct values are dealt to, and rows of a range beyond which it is cut again.
+RANGES, RANGE_ROWS = 64, 500_000
 UNIT_DAYS = {"days": 1.0, "months": 30.44, "years": 365.25}
 
 
@@ -249,14 +249,14 @@ def universal(df: DataFrame, column: str) -> DataFrame:
     return stats.drop("_m").crossJoin(F.broadcast(parts)).withColumn("iqr", F.col("p75") - F.col("p25")).crossJoin(F.broadcast(outliers))
 
 
-def positions(df: DataFrame, column: str, descending: bool) -> DataFrame:
+def positions(df: DataFrame, column: str, descending: bool, weight: str | None = None) -> DataFrame:
     """value, copies and rank before it of each distinct value: ranks without a row-level sort in one task.
 
     Distinct values are dealt to ranges cut at approximate quantiles, so ranges are alike however the values lie; exact
     ranks come from a window inside each range and the counts of the ranges before it, a row for each range.
     """
     x = periods.number(column)
-    counts = df.where(x.isNotNull()).groupBy(x.alias("value")).agg(F.count(F.lit(1)).alias("copies"))
+    counts = df.where(x.isNotNull()).groupBy(x.alias("value")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("copies"))
     counts = counts.withColumn("_bin", range_of(F.col("value"), df, x))
     order = F.desc if descending else F.asc
     sums = counts.groupBy("_bin").agg(F.sum("copies").alias("_n"))
@@ -266,9 +266,11 @@ def positions(df: DataFrame, column: str, descending: bool) -> DataFrame:
 
 
 def range_of(value: Column, df: DataFrame, x: Column) -> Column:
-    """The number of the range that a value is in, of RANGES cut at approximate quantiles of x in df (one aggregate)."""
-    cuts = df.agg(F.percentile_approx(x, F.lit([i / RANGES for i in range(1, RANGES)]), F.lit(20 * RANGES))).first()[0]
-    cuts = sorted(set(cuts or []))
+    """The number of the range that a value is in, ascending with it: of RANGES cut at approximate quantiles of x in df (one
+    aggregate), each cut evenly again where it would have more than about RANGE_ROWS rows."""
+    parts = F.percentile_approx(x, F.lit([i / RANGES for i in range(1, RANGES)]), F.lit(20 * RANGES))
+    r = df.agg(parts.alias("cuts"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
+    cuts, finer = sorted(set(r.cuts or [])), -(-r.n // (RANGES * RANGE_ROWS))
 
     def halve(low: int, high: int) -> Column:
         """How many of cuts[low:high] lie below the value, and low more; a few comparisons, all in generated code."""
@@ -277,7 +279,12 @@ def range_of(value: Column, df: DataFrame, x: Column) -> Column:
         middle = (low + high) // 2
         return F.when(value > cuts[middle], halve(middle + 1, high)).otherwise(halve(low, middle))
 
-    return halve(0, len(cuts))
+    if finer <= 1:
+        return halve(0, len(cuts))
+    ends = [float(e) for e in (r.lo, *cuts, r.hi)]
+    at = lambda some: F.get(F.array(*(F.lit(e) for e in some)), halve(0, len(cuts)))
+    inside = F.floor(F.try_divide(value - at(ends[:-1]), at(ends[1:]) - at(ends[:-1])) * finer)
+    return halve(0, len(cuts)) * finer + F.greatest(F.lit(0), F.least(F.coalesce(inside, F.lit(0)), F.lit(finer - 1)))
 
 
 def quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import staging
 from . import periods
 
 
@@ -75,13 +76,18 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation of average ranks; ranks come from counts of distinct values."""
+    """Correlation of average ranks; ranks come from counts of distinct values. Null where a column has one value only."""
     from .kpi import positions
 
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rank = lambda c, name: positions(both, c, False).select(F.col("value").alias(f"_{name}v"), (F.col("before") + (F.col("copies") + 1) / 2).alias(name))
-    out = both.select(F.col(a).cast("double").alias("_rav"), F.col(b).cast("double").alias("_rbv")).join(rank(a, "ra"), "_rav").join(rank(b, "rb"), "_rbv")
-    return out.agg(F.round(periods.corr(F.col("ra"), F.col("rb")), 6).alias("rho"))
+    both = df.select(periods.number(a).alias("x"), periods.number(b).alias("y")).where("x is not null and y is not null")
+    # One scan of the rows: ranks and their moments are of the distinct pairs and their numbers.
+    each = staging.settle(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    rank = lambda c, name: positions(each, c, False, "n").select(F.col("value").alias(c), (F.col("before") + (F.col("copies") + 1) / 2).alias(name))
+    s = each.agg(F.sum("n").alias("_all"))  # one row; ranks are taken from their mean, (all + 1) / 2, so that large ones lose nothing
+    out = each.join(rank("x", "ra"), "x").join(rank("y", "rb"), "y").crossJoin(F.broadcast(s))
+    from_mean = lambda c: F.col(c) - (F.col("_all") + 1) / 2
+    sums = out.agg(*(F.sum(F.col("n") * v).alias(k) for k, v in (("ab", from_mean("ra") * from_mean("rb")), ("aa", from_mean("ra") ** 2), ("bb", from_mean("rb") ** 2))))
+    return sums.select(F.round(F.try_divide("ab", F.nullif(F.sqrt("aa") * F.sqrt("bb"), F.lit(0.0))), 6).alias("rho"))
 
 
 def _inversions(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
@@ -110,17 +116,19 @@ def kendall(df: DataFrame, a: str, b: str, block: int = 1_000_000, most: int = 1
     """
     from .kpi import positions
 
-    both = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x is not null and y is not null")
-    n = both.count()
+    both = df.select(periods.number(a).alias("x"), periods.number(b).alias("y")).where("x is not null and y is not null")
+    # One scan of the rows: all that follows is of the distinct pairs and their numbers.
+    each = staging.settle(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    n = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     block = max(block, -(-n // most))
 
     def cut(c: str) -> DataFrame:
-        ranked = positions(both, c, False)
+        ranked = staging.settle(positions(each, c, False, "n"))
         at = 2 * F.floor(F.col("before") / block) + (F.col("copies") >= block).cast("int")
         return ranked.select(F.col("value").alias(c), at.cast("long").alias(f"{c}b"), F.col("copies").alias(f"{c}n"))
 
     xs, ys = cut("x"), cut("y")
-    cells = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).join(xs, "x").join(ys, "y")
+    cells = staging.settle(each.join(xs, "x").join(ys, "y"))
 
     def within(by: str, x: str, y: str):
         def count(part: pd.DataFrame) -> pd.DataFrame:

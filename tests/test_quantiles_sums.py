@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,25 @@ def test_periods_without_rows(spark):
         assert analytics.segments(df, "d", "x", ["g"], w).count() == (1 if rows else 0)
         assert verbs.resample(df, "d", "x").count() == (1 if rows else 0)
         assert analytics.cohorts(df, "d", "g").count() == (1 if rows else 0) and analytics.pace(df, "d", "x").count() == (1 if rows else 0)
+
+
+@pytest.mark.parametrize("rows", [kpi.RANGE_ROWS, 1])
+def test_ranks_over_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(kpi, "RANGE_ROWS", rows)
+    rng = random.Random(6)
+    values = [rng.choice([rng.gauss(0, 1), float(round(rng.gauss(5, 3))), 7.0]) for _ in range(900)] + [None, NAN]
+    clean = sorted(v for v in values if v is not None and v == v)
+    for down in (False, True):
+        got = {r.value: (r.copies, r.before) for r in kpi.positions(frame(spark, values).repartition(3), "x", down).collect()}
+        ranked = clean[::-1] if down else clean
+        assert got == {v: (clean.count(v), ranked.index(v)) for v in set(clean)}
+    pairs = [(v, rng.choice([v, rng.random()])) for v in clean]
+    df = spark.createDataFrame(pairs + [(1.0, None), (NAN, 2.0)], "a double, b double").repartition(3)
+    p = pd.DataFrame(pairs, columns=["a", "b"])
+    assert stats.spearman(df, "a", "b").first().rho == pytest.approx(p.a.rank().corr(p.b.rank()), abs=1e-6)
+    tau = stats.kendall(df, "a", "b", block=50).first()
+    x, y = p.a.to_numpy(), p.b.to_numpy()
+    s = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
+    want = s.sum() / np.sqrt((np.sign(x[:, None] - x) ** 2).sum() * (np.sign(y[:, None] - y) ** 2).sum())
+    assert (tau.n, tau.tau) == (len(pairs), pytest.approx(want, abs=1e-6))
+    assert stats.spearman(df.limit(0), "a", "b").first().rho is None and stats.kendall(df.limit(0), "a", "b").first().tau is None
