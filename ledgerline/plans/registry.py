@@ -813,16 +813,17 @@ def report_trend_bands(spark, d):
 
 
 @query(
-    """WITH u AS (SELECT 'o_orderstatus' AS col, CAST(o_orderstatus AS VARCHAR) AS v, NULL AS x FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, NULL FROM orders UNION ALL SELECT 'o_totalprice', NULL, o_totalprice FROM orders),
+    f"""WITH u AS (SELECT 'o_orderstatus' AS col, o_orderstatus AS v, CAST(NULL AS DOUBLE) AS x, o_orderstatus AS s FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, NULL, o_orderpriority FROM orders
+ {' '.join(f"UNION ALL SELECT '{c}', NULL, {c}, CAST({c} AS VARCHAR) FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice"))} UNION ALL SELECT 'o_orderdate', NULL, NULL, CAST(o_orderdate AS VARCHAR) FROM orders),
 c AS (SELECT col, v, count(*) AS n FROM u WHERE v IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS r FROM c)
-SELECT u.col, count(coalesce(v, CAST(x AS VARCHAR))) AS count, count(DISTINCT coalesce(v, CAST(x AS VARCHAR))) AS n_unique, (SELECT v FROM t WHERE t.col = u.col AND r = 1) AS top,
- CASE WHEN u.col <> 'o_totalprice' THEN CAST((SELECT n FROM t WHERE t.col = u.col AND r = 1) AS DOUBLE) END AS freq, round(avg(x), 2) AS mean, round(stddev_samp(x), 2) AS std, min(x) AS min, round(quantile_cont(x, 0.25), 2) AS p25, round(quantile_cont(x, 0.5), 2) AS p50, round(quantile_cont(x, 0.75), 2) AS p75, max(x) AS max
+SELECT u.col, count(s) AS count, count(DISTINCT s) AS n_unique, (SELECT v FROM t WHERE t.col = u.col AND r = 1) AS top,
+ CAST((SELECT n FROM t WHERE t.col = u.col AND r = 1) AS DOUBLE) AS freq, round(avg(x), 2) AS mean, round(stddev_samp(x), 2) AS std, min(x) AS min, round(quantile_cont(x, 0.25), 2) AS p25, round(quantile_cont(x, 0.5), 2) AS p50, round(quantile_cont(x, 0.75), 2) AS p75, max(x) AS max
 FROM u GROUP BY u.col"""
 )
 def describe_all(spark, d):
-    out = verbs.describe(read(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice"))
-    number = F.col("col") == "o_totalprice"  # the most frequent price is of no use, and its text differs by engine
-    return out.withColumns({"top": F.when(~number, F.col("top")), "freq": F.when(~number, F.col("freq").cast("double"))} | {c: F.round(c, 2) for c in ("mean", "std", "p25", "p50", "p75")})
+    out = verbs.describe(read(spark, d, "orders"))
+    text = F.col("col").isin("o_orderstatus", "o_orderpriority")  # the text of numbers and times differs by engine
+    return out.withColumns({"top": F.when(text, F.col("top")), "freq": F.when(text, F.col("freq").cast("double"))} | {c: F.round(c, 2) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
 @query("SELECT CAST(l_partkey AS VARCHAR) AS value, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 30")
@@ -909,9 +910,10 @@ SELECT 'universal' AS domain, key, round(value, 2) AS value FROM l UNION ALL SEL
 UNION ALL SELECT 'sales', 'rev_std', round(std, 2) FROM u UNION ALL SELECT 'sales', 'pareto', pareto FROM p"""
 )
 def kpi_selection(spark, d):
-    """The column is chosen by its name among the numbers of orders."""
+    """The column is chosen by its name among the numbers that the profile of orders finds."""
     o = read(spark, d, "orders")
-    return kpi.selection(o, kpi.target(["o_shippriority", "o_totalprice"], "sales"), "sales").withColumn("value", F.round("value", 2))
+    numbers = [c.name for c in semantics.profile(o) if c.role in ("continuous", "discrete")]
+    return kpi.selection(o, kpi.target(numbers, "sales"), "sales").withColumn("value", F.round("value", 2))
 
 
 @query()
