@@ -35,17 +35,24 @@ class Refused(ValueError):
     """The text is not one read-only query."""
 
 
-def _parts(spark: SparkSession, value: object) -> list[object]:
+#: What is known of a class of the parser's tree: why it is refused, and how its parts are read.
+_known: dict[str, tuple[str | None, str | None]] = {}
+
+
+def _nature(gateway, value: JavaObject, kind: str) -> tuple[str | None, str | None]:
+    if kind not in _known:
+        why = next((w for refused, w in REFUSED.items() if is_instance_of(gateway, value, refused)), None)
+        held = next((h for h in ("scala.collection.Iterable", "scala.Product") if is_instance_of(gateway, value, h)), None)
+        _known[kind] = why, held
+    return _known[kind]
+
+
+def _parts(value: JavaObject, held: str | None) -> list[object]:
     """What a node, a list, an option or a tuple of the parser's tree holds."""
-    gateway = spark.sparkContext._gateway
-    if not isinstance(value, JavaObject):
-        return []
-    if is_instance_of(gateway, value, "scala.collection.Iterable"):
+    if held == "scala.collection.Iterable":
         them = value.toSeq()
         return [them.apply(i) for i in range(them.size())]
-    if is_instance_of(gateway, value, "scala.Product"):
-        return [value.productElement(i) for i in range(value.productArity())]
-    return []
+    return [value.productElement(i) for i in range(value.productArity())] if held else []
 
 
 def _names(value: JavaObject) -> list[str]:
@@ -69,22 +76,23 @@ def check(spark: SparkSession, text: str) -> None:
     gateway, stack = spark.sparkContext._gateway, [plan]
     while stack:
         node = stack.pop()
-        if isinstance(node, JavaObject):
-            kind = node.getClass().getSimpleName()
-            if is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.trees.TreeNode"):
-                for refused, why in REFUSED.items():
-                    if is_instance_of(gateway, node, refused):
-                        raise Refused(f"{kind}: {why}")
-            if kind == "UnresolvedFunction":
-                _check_function(spark, _names(node.nameParts()))
-            elif kind == "UnresolvedGenerator":
-                _check_function(spark, [node.name().funcName()])
-            elif kind == "UnresolvedRelation":
-                names = _names(node.multipartIdentifier())
-                quoted = ".".join("`" + n.replace("`", "``") + "`" for n in names)
-                if len(names) > 1 and not spark.catalog.tableExists(quoted):  # a file's format and path looks like this
-                    raise Refused(f"no table {quoted}")
-        stack.extend(_parts(spark, node))
+        if not isinstance(node, JavaObject):
+            continue
+        full = node.getClass().getName()
+        kind = full.rsplit(".", 1)[-1]
+        why, held = _nature(gateway, node, full)
+        if why:
+            raise Refused(f"{kind}: {why}")
+        if kind == "UnresolvedFunction":
+            _check_function(spark, _names(node.nameParts()))
+        elif kind == "UnresolvedGenerator":
+            _check_function(spark, [node.name().funcName()])
+        elif kind == "UnresolvedRelation":
+            names = _names(node.multipartIdentifier())
+            quoted = ".".join("`" + n.replace("`", "``") + "`" for n in names)
+            if len(names) > 1 and not spark.catalog.tableExists(quoted):  # a file's format and path looks like this
+                raise Refused(f"no table {quoted}")
+        stack.extend(_parts(node, held))
 
 
 def ask(df: DataFrame, text: str, rows: int | None = ROWS) -> DataFrame:
