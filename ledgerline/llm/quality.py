@@ -127,14 +127,16 @@ def beta_prior(n: float, hosts: int, n2: float, k: float, q: float) -> tuple[flo
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, the metrics, base_failed, host_rejected, kept of every row of docs (doc_id, text, host)."""
+    """doc_id, host, the metrics, base_failed, host_rejected, kept of every row of docs (doc_id, text, host); and for each
+    rule the host's shrunk rate of failures with its limit, shrunk_<rule> and limit_<rule>."""
     common.small_batches(docs.sparkSession)
     rows = common.settle(measured(docs, host))
     bad = F.lit(False)
     for r in RULES:
         bad = bad | (F.col(f"shrunk_{r}") >= F.col(f"limit_{r}"))
-    verdicts = host_rates(rows).select(F.struct(F.col("host")).alias("_key"), bad.alias("host_rejected"))
+    rates = [f"{kind}_{r}" for r in RULES for kind in ("shrunk", "limit")]
+    verdicts = host_rates(rows).select(F.struct(F.col("host")).alias("_key"), bad.alias("host_rejected"), *rates)
     keyed = rows.withColumn("_key", F.struct("host"))  # a struct is equal to another with a null in the same place
     out = common.join_measured(keyed, verdicts, ["_key"], "left")
     failed = F.col("fail_short") | F.col("fail_repeated")
-    return out.select("doc_id", "host", *[m.split()[0] for m in METRICS.split(", ")], failed.alias("base_failed"), "host_rejected", (~failed & ~F.col("host_rejected")).alias("kept"))
+    return out.select("doc_id", "host", *[m.split()[0] for m in METRICS.split(", ")], failed.alias("base_failed"), "host_rejected", (~failed & ~F.col("host_rejected")).alias("kept"), *rates)

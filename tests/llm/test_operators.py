@@ -799,3 +799,17 @@ def test_sketches_lose_no_link_and_tell_long_sets_apart():
                 linked.add((y, x))
     assert linked and linked <= joined
     assert not any(sizes[x] > 2000 and (x, y) not in linked for x, y in joined)
+
+
+def test_quality_shows_the_rates_it_judges_by(spark):
+    rng = random.Random(77)
+    texts = [prose(rng, 80) for _ in range(30)] + ["short"] * 30 + [prose(rng, 80) for _ in range(4)]
+    hosts = ["good"] * 30 + ["bad"] * 30 + [None] * 4
+    rows = quality.judge(docs(spark, texts, source=hosts)).collect()
+    for r in rows:
+        over = [r[f"shrunk_{rule}"] >= r[f"limit_{rule}"] for rule in quality.RULES]
+        assert r.host_rejected == any(over) and r.kept == (not r.base_failed and not r.host_rejected)
+        assert all(0 < r[f"shrunk_{rule}"] < 1 and quality.LEAST_LIMIT <= r[f"limit_{rule}"] <= quality.MOST_LIMIT for rule in quality.RULES)
+    rate = {r.host: r.shrunk_short for r in rows}
+    assert rate["good"] < rate[None] < rate["bad"]  # few documents are drawn to the mean of all
+    assert {r.host for r in rows if r.host_rejected} == {"bad"}
