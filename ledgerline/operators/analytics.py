@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import kpi, periods, verbs
+from . import kpi, periods, stats, verbs
 
 
 def by_period():
@@ -119,19 +119,33 @@ def pace(df: DataFrame, when: str, value: str, g: str = "M") -> DataFrame:
     return days.select("period", "day", F.round(F.sum("v").over(W.partitionBy("period").orderBy("day").rowsBetween(W.unboundedPreceding, 0)), 2).alias("running"))
 
 
+#: Dated rows, and days that they span, below which years are not compared.
+YEAR_ROWS, YEAR_DAYS = 30, 400
+
+
 def year_over_year(df: DataFrame, when: str, value: str, first_month: int = 1) -> DataFrame:
-    """year (fiscal where first_month > 1), month, total, and the change on the same month a year before."""
+    """year (fiscal where first_month > 1), month, total, and the change on the same month a year before. No rows below
+    YEAR_ROWS dated rows, or where they span less than YEAR_DAYS or lie in one year."""
     y = F.year(when) + F.when(F.month(when) >= first_month, 1).otherwise(0) if first_month > 1 else F.year(when)
     s = df.where(F.col(when).isNotNull()).groupBy(y.cast("long").alias("year"), F.month(when).cast("long").alias("month")).agg(periods.money(value).alias("total"))
+    span = df.agg(F.count(when).alias("n"), F.min(when).alias("lo"), F.max(when).alias("hi")).where((F.col("n") >= YEAR_ROWS) & (F.datediff("hi", "lo") >= YEAR_DAYS))  # one row or none
+    every = W.partitionBy()  # months by years only
+    s = s.crossJoin(F.broadcast(span.select("n"))).drop("n").withColumn("_years", F.max("year").over(every) - F.min("year").over(every)).where("_years > 0").drop("_years")
     before = F.lag("total").over(W.partitionBy("month").orderBy("year"))
     gap = F.col("year") - F.lag("year").over(W.partitionBy("month").orderBy("year"))
     return s.withColumn("change_pct", F.when(gap == 1, F.round(100.0 * F.try_divide(F.col("total") - before, F.abs(before)), 6)))
 
 
+#: Weekdays that a week's shape needs.
+WEEKDAYS = 5
+
+
 def seasonality(df: DataFrame, when: str, value: str) -> DataFrame:
-    """weekday (Monday 0), total, n, share."""
+    """weekday (Monday 0), total, n, share. No rows below WEEKDAYS different days, or where they total 0."""
     s = df.where(F.col(when).isNotNull()).groupBy(F.weekday(when).cast("long").alias("weekday")).agg(periods.money(value).alias("total"), F.count(F.lit(1)).alias("n"))
-    return s.withColumn("share_pct", F.round(100.0 * F.col("total") / F.sum("total").over(W.partitionBy()), 6))
+    whole = W.partitionBy()  # seven rows at most
+    shaped = s.withColumn("_all", F.sum("total").over(whole)).withColumn("_days", F.count(F.lit(1)).over(whole)).where((F.col("_days") >= WEEKDAYS) & (F.col("_all") != 0))
+    return shaped.withColumn("share_pct", F.round(100.0 * F.col("total") / F.col("_all"), 6)).drop("_all", "_days")
 
 
 def cohorts(df: DataFrame, when: str, entity: str, most: int = 6) -> DataFrame:
@@ -220,6 +234,30 @@ def repeat_gap(df: DataFrame, when: str, entity: str) -> DataFrame:
     return one.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("again") > 0).alias("repeaters")).withColumn("repeat_pct", F.round(100.0 * F.col("repeaters") / F.col("entities"), 6)).crossJoin(F.broadcast(kpi.quantiles(gap, "gap", {"median_gap": 0.5})))
 
 
+#: What an association of rows needs: pairs, r and p; and one of a driver some periods before: pairs, r and p.
+DRIVER, LEADING = (30, 0.3, 0.01), (8, 0.5, 0.05)
+STRONG = 0.6
+
+
+def drivers(df: DataFrame, metric: str, others: list[str]) -> DataFrame:
+    """column, n, r, p, strength (strong from STRONG, else moderate) of the columns that move with the metric: DRIVER pairs
+    or more, and r and p past its bounds. One aggregate for all columns; their p are tails worked out on the driver."""
+    m = periods.number(metric)
+    parts = [F.struct(F.count(F.when(m.isNotNull(), periods.number(c))).alias("n"), periods.corr(m, periods.number(c)).alias("r")).alias(str(i)) for i, c in enumerate(others)]
+    row = df.agg(*parts).first() if parts else []
+    found = [(c, s.n, s.r, stats.r_p_value(s.r, s.n)) for c, s in zip(others, row) if s.r is not None and s.n >= DRIVER[0]]
+    kept = [(c, n, r, p, "strong" if abs(r) >= STRONG else "moderate") for c, n, r, p in found if abs(r) >= DRIVER[1] and p < DRIVER[2]]
+    return df.sparkSession.createDataFrame(kept, "column string, n long, r double, p double, strength string")
+
+
+def leading(series: DataFrame, most: int = 4) -> DataFrame:
+    """lag, n, r, p of the lag at which a driver leads its target best, if any passes LEADING; no row else. series: period,
+    driver, target."""
+    found = [(x["lag"], x.n, x.r, stats.r_p_value(x.r, x.n)) for x in driver_lags(series, most).collect() if x.r is not None and x.n >= LEADING[0]]
+    kept = sorted((f for f in found if abs(f[2]) >= LEADING[1] and f[3] < LEADING[2]), key=lambda f: (-abs(f[2]), f[0]))[:1]
+    return series.sparkSession.createDataFrame(kept, "lag long, n long, r double, p double")
+
+
 def driver_lags(series: DataFrame, most: int = 4) -> DataFrame:
     """lag, n, r of driver k periods before against target. series: period, driver, target."""
     lagged = series.select("target", *(F.lag("driver", k).over(by_period()).alias(f"d{k}") for k in range(1, most + 1)))

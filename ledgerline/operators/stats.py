@@ -238,6 +238,13 @@ def corr_test(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.withColumn("t", F.when(F.col("n") > 2, F.coalesce(far, F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") ** 2, F.lit(0.0))))))
 
 
+def r_p_value(r: float, n: int) -> float:
+    """Two-sided p of a correlation of n pairs."""
+    if n < 3 or abs(r) > 1 - 1e-14:
+        return 1.0 if n < 3 else 0.0
+    return t_p_value(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
 def residuals(df: DataFrame, y: str, x: str) -> DataFrame:
     """df with fitted and resid of a line, of rows that have both."""
     s = df.agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))

@@ -254,6 +254,15 @@ def chart_facets(spark, d):
     return charts.facets(read(spark, d, "lineitem"), "l_quantity", "l_discount", "l_returnflag")
 
 
+@query(
+    """WITH r AS (SELECT corr(l_extendedprice, l_quantity) AS a, corr(l_extendedprice, l_discount) AS b, corr(l_extendedprice, l_tax) AS c, count(*) AS n FROM lineitem)
+SELECT k AS "column", n, round(v, 6) AS r, CASE WHEN abs(v) >= 0.6 THEN 'strong' ELSE 'moderate' END AS strength FROM (SELECT 'l_quantity' AS k, a AS v, n FROM r UNION ALL SELECT 'l_discount', b, n FROM r UNION ALL SELECT 'l_tax', c, n FROM r) WHERE n >= 30 AND abs(v) >= 0.3"""
+)
+def driver_associations(spark, d):
+    """Of so many rows an r of 0.3 has no p worth telling from 0; the p of few rows are tested by value."""
+    return analytics.drivers(read(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).select("column", "n", F.round("r", 6).alias("r"), "strength")
+
+
 @query()
 def chart_lowess(spark, d):
     """A trend line over all rows; tests hold it against plain LOWESS."""
@@ -425,7 +434,7 @@ def seasonality_weekday(spark, d):
 
 @query("SELECT CAST(isodow(ts) - 1 AS BIGINT) AS weekday, CAST(hour(ts) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def heat_dow_hour(spark, d):
-    return read(spark, d, "events").groupBy(F.weekday("ts").cast("long").alias("weekday"), F.hour("ts").cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return charts.heat(read(spark, d, "events"), "ts")
 
 
 @query(

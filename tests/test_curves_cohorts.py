@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from ledgerline.operators import analytics, charts, curves, insights, memory, semantics, series, verbs
+from ledgerline.operators import analytics, charts, curves, insights, memory, semantics, series, stats, verbs
 from ledgerline.plans import catalog
 from ledgerline.streaming import sessions
 
@@ -242,3 +242,34 @@ def test_grid_charts(spark):
     assert cells == {(0, 0): 1, (1, 0): 2}
     assert {(r.facet, r.bx, r.by): r.n for r in charts.facets(df, "x", "y", "g", 2, 2).collect()} == {("a", 0, 0): 1, ("a", 1, 0): 1, ("b", 1, 0): 1}
     assert charts.scatter_matrix(df.limit(0), ["x", "y"]).count() == 0 and charts.facets(df.limit(0), "x", "y", "g").count() == 0
+
+
+def test_gates_of_years_and_weekdays(spark):
+    daily = lambda first, n, step=1: spark.createDataFrame([(first + timedelta(days=i * step), 1.0) for i in range(n)], "d date, v double")
+    years = lambda df: analytics.year_over_year(df, "d", "v").count()
+    assert years(daily(date(2022, 3, 1), 401)) > 0 and years(daily(date(2022, 3, 1), 400)) == 0
+    assert years(daily(date(2022, 3, 1), 29, 20)) == 0 and years(daily(date(2022, 3, 1), 30, 20)) > 0 and years(daily(date(2022, 3, 1), 0)) == 0
+    week = lambda df: analytics.seasonality(df, "d", "v").count()
+    assert week(daily(date(2024, 1, 1), 5)) == 5 and week(daily(date(2024, 1, 1), 4)) == 0
+    assert week(daily(date(2024, 1, 1), 7).withColumn("v", F.lit(0.0))) == 0
+
+
+def test_gates_of_drivers(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=60)
+    rows = [(float(a), float(2 * a + rng.normal()), float(0.45 * a + rng.normal()), float(rng.normal()), float(a) if i < 29 else None) for i, a in enumerate(m)]
+    df = spark.createDataFrame(rows, "m double, near double, some double, none double, few double")
+    got = {r.column: r for r in analytics.drivers(df, "m", ["near", "some", "none", "few"]).collect()}
+    x = np.array([r[:4] for r in rows])
+    for i, c in enumerate(("near", "some", "none"), 1):
+        r = np.corrcoef(x[:, 0], x[:, i])[0, 1]
+        p = stats.t_p_value(r * np.sqrt(58 / (1 - r * r)), 58)
+        assert (c in got) == (abs(r) >= 0.3 and p < 0.01)
+        if c in got:
+            assert got[c].n == 60 and got[c].r == pytest.approx(r) and got[c].p == pytest.approx(p) and got[c].strength == ("strong" if abs(r) >= 0.6 else "moderate")
+    assert "near" in got and "few" not in got and analytics.drivers(df, "m", []).count() == 0 and analytics.drivers(df.limit(0), "m", ["near"]).count() == 0
+    y = rng.normal(size=14)
+    lead = lambda n: spark.createDataFrame([(date(2024, 1, 1) + timedelta(days=i), float(y[i]), float(y[i - 2]) if i > 1 else 0.0) for i in range(n)], "period date, driver double, target double")
+    best = analytics.leading(lead(14)).collect()
+    assert [(b["lag"], b.n) for b in best] == [(2, 12)] and best[0].r == pytest.approx(1.0) and best[0].p < 1e-6
+    assert analytics.leading(lead(9)).where("lag = 2").count() == 0  # seven pairs
