@@ -88,21 +88,24 @@ def number(c: Column | str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-#: Decimal places that money() sums exactly, in amounts below NEAR; what lies beyond is summed as doubles.
-PLACES, NEAR = 12, 2.0**40
+#: money() counts amounts below NEAR in units of 2 ** -UNIT; LOW bits of the units are summed apart from the others.
+NEAR, UNIT, LOW = 2.0**40, 20, 22
 
 
 def money(c: Column | str) -> Column:
     """Sum of amounts as a double, null without amounts; NaN counts as missing, and infinities make it infinite.
 
-    An amount below NEAR is a decimal of PLACES places, summed exactly and in any order, and a rest far below the last
-    place that such a sum shows; the rests, and amounts of NEAR or more, are summed as doubles. So the order of rows does
-    not show in a sum of money, and neither small nor large values are lost.
+    An amount below NEAR is a whole number of units and a rest below one. The units' high bits are summed as doubles
+    (exact up to totals of 3e16), the low bits as integers (up to 2 ** 41 rows), so their sums are the same in any order;
+    the rests, far below what such a sum shows, and amounts of NEAR or more are summed as doubles. So the order of rows
+    does not show in a sum of money, and neither small nor large values are lost. All of it is plain arithmetic.
     """
     x = number(c)
-    near = F.when(F.abs(x) < NEAR, x).cast(f"decimal({16 + PLACES},{PLACES})")
-    rest = F.coalesce(x - near.cast("double"), x)
-    return F.coalesce(F.sum(near).cast("double"), F.lit(0.0)) + F.sum(rest)
+    units = F.when(F.abs(x) < NEAR, F.floor(x * float(1 << UNIT)))
+    high, low = F.shiftright(units, LOW).cast("double"), units.bitwiseAND(F.lit((1 << LOW) - 1).cast("long"))
+    rest = F.coalesce(x - units.cast("double") / float(1 << UNIT), x)
+    whole = F.sum(high) * float(1 << LOW - UNIT) + F.sum(low).cast("double") / float(1 << UNIT)
+    return F.coalesce(whole, F.lit(0.0)) + F.sum(rest)
 
 
 def mean(c: Column | str) -> Column:
