@@ -127,7 +127,7 @@ def by_value(df: DataFrame, cut: dict[str, Column], distinct: dict[str, str], to
     slices = [s for s in cut if s != "all"]
     tags = [(k, c, F.lit(None).cast("double"), 0) for k, c in distinct.items()] + [(k, c, v, n) for k, (c, v, n) in top.items()]
     cells = F.array(*(F.struct(F.lit(i).alias("tag"), F.col(c).cast("string").alias("v"), v.cast("double").alias("m")) for i, (_, c, v, _) in enumerate(tags)))
-    rows = df.select(*(cut[s].alias(f"_{s}") for s in slices), F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("_c")).select(*(f"_{s}" for s in slices), "_c.*")
+    rows = df.select(*(cut[s].alias(f"_{s}") for s in slices), F.explode(cells).alias("_c")).select(*(f"_{s}" for s in slices), "_c.*").where("v is not null")
     once = rows.groupBy("tag", "v").agg(*(F.max(f"_{s}").alias(f"_{s}") for s in slices), periods.money("m").alias("m"))
     most = max([n for *_, n in tags])
     bucket = W.partitionBy("tag", "_b").orderBy(F.desc_nulls_last("m"))

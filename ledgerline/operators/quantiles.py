@@ -45,7 +45,7 @@ def exact(df: DataFrame, keys: list[str], values: dict[str, Column], wanted: dic
         below, inside = F.col("x") < low, (F.col("x") >= low) & (F.col("x") <= high)
         return F.when(below | inside, F.struct(F.lit(i).alias("q"), F.when(inside, F.col("x")).alias("v")))
 
-    cells = rows.select(*by, "n", F.explode(F.filter(F.array(*(cell(i) for i in range(len(qs)))), lambda c: c.isNotNull())).alias("_c")).select(*by, "n", "_c.*")
+    cells = rows.select(*by, "n", F.explode(F.array(*(cell(i) for i in range(len(qs))))).alias("_c")).where("_c is not null").select(*by, "n", "_c.*")
     counts = cells.groupBy(*by, "q", "v").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     up = W.partitionBy(*by, "q").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, -1)
     placed = counts.withColumn("b", F.coalesce(F.sum("c").over(up), F.lit(0)))
