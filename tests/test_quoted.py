@@ -110,3 +110,21 @@ def test_header_goes_at_the_head_of_further_files_only(spark, tmp_path):
     (tmp_path / "b.csv").write_text("name,amount\nz,3\n", encoding="utf-8")
     got = sorted(r.name for r in delimited.load(spark, str(tmp_path)).df.collect())
     assert got == ["name", "x", "y", "z"]
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_width_counts_separators_outside_quotes_only(spark, small_splits, tmp_path, seed):
+    rng = random.Random(seed)
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f)
+        for i in range(120):
+            out.writerow([i, ",\n" * rng.randint(0, 80) + '",",' * rng.randint(0, 9), "z", *["w"] * (i == 70 + seed)])
+    (tmp_path / "b.csv").write_text('x,"a,b\n,,\n' + ",\n" * 400, encoding="utf-8")  # no quote closes the last record
+    got, names = quoted.parsed(delimited._lines(spark, str(tmp_path), {"UTF-8": []}), ",", [])
+    assert names == ["_c0", "_c1", "_c2", "_c3"]
+    rows = {r[0]: tuple(r) for r in got.collect()}
+    assert len(rows) == 121 and rows[str(70 + seed)][3] == "w" and all(r[2] == "z" for k, r in rows.items() if k != "x")
+    assert rows["x"][1].rstrip("\n").startswith("a,b\n,,\n,")
+    text = 'p,"' + "q\n" * 500 + '",r,s,t,u\n'  # the widest record begins and ends in other splits
+    (tmp_path / "b.csv").write_text(text, encoding="utf-8")
+    assert len(quoted.parsed(delimited._lines(spark, str(tmp_path), {"UTF-8": []}), ",", [])[1]) == 6
