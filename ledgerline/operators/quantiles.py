@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import staging
 from . import periods
 
 #: A sketch is off by one rank in so many at most; brackets reach at least three times as far on both sides, and by two
@@ -20,11 +21,22 @@ from . import periods
 ACCURACY = 50_000
 SLACKS = [3.0 / ACCURACY * 8**i for i in range(1, 6)] + [1.0]
 
+#: So many groups are few: their sketches go to all tasks, some 200 bytes each. The rows of more groups meet theirs in so
+#: many tasks a group.
+FEW, DEALT = 20_000, 16
+
+
+def _dealt(long: DataFrame, sketch: DataFrame, by: list[str]) -> DataFrame:
+    """long with the columns of sketch, of which there are many; the rows of one group are dealt to DEALT tasks."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("_part")
+    dealt = long.withColumn("_part", (F.monotonically_increasing_id() % DEALT).cast("int"))
+    return dealt.join(sketch.select("*", parts), [*by, "_part"]).drop("_part")
+
 
 def exact(df: DataFrame, keys: list[str], values: dict[str, Column], wanted: dict[str, float]) -> DataFrame:
     """keys, name (of values), n and a column for each wanted quantile, with linear interpolation as pandas has it.
 
-    Null and NaN count as missing. Groups with a null key are left out, and so is a name without values in a group.
+    Null and NaN count as missing. With keys the sketch runs at once. Groups with a null key are left out, and so is a name without values in a group.
     """
     named = F.array(*(F.struct(F.lit(n).alias("name"), periods.number(c).alias("x")) for n, c in values.items()))
     long = df.dropna(subset=keys) if keys else df
@@ -37,8 +49,10 @@ def exact(df: DataFrame, keys: list[str], values: dict[str, Column], wanted: dic
         level = F.when(F.col("n") * (slack - 3.0 / ACCURACY) >= 2, i).otherwise(level)
     picked = F.transform(F.sequence(F.lit(0), F.lit(2 * len(qs) - 1)), lambda j: F.get("_cuts", (j / 2).cast("int") * 2 * len(SLACKS) + 2 * level + j % 2))
     sketch = sketch.select(*by, "n", picked.alias("_cuts"))
-    # without keys the sketch has a row for each name at most
-    rows = long.join(sketch if keys else F.broadcast(sketch), by)
+    if keys:  # its size tells how it is joined; few groups don't bring the table together by group
+        sketch = staging.settle(sketch)
+    few = not keys or sketch.limit(FEW + 1).count() <= FEW
+    rows = long.join(F.broadcast(sketch), by) if few else _dealt(long, sketch, by)
 
     def cell(i: int) -> Column:
         low, high = F.get("_cuts", F.lit(2 * i)), F.get("_cuts", F.lit(2 * i + 1))

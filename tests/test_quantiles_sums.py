@@ -143,3 +143,21 @@ def test_ranks_over_ranges(spark, monkeypatch, rows):
     want = s.sum() / np.sqrt((np.sign(x[:, None] - x) ** 2).sum() * (np.sign(y[:, None] - y) ** 2).sum())
     assert (tau.n, tau.tau) == (len(pairs), pytest.approx(want, abs=1e-6))
     assert stats.spearman(df.limit(0), "a", "b").first().rho is None and stats.kendall(df.limit(0), "a", "b").first().tau is None
+
+
+@pytest.mark.parametrize("few", [quantiles.FEW, 0])
+def test_a_large_group_is_not_brought_together(spark, monkeypatch, few):
+    """Few groups: their sketches go to the rows, whatever Spark would choose. Many: each group's rows are dealt out."""
+    monkeypatch.setattr(quantiles, "FEW", few)
+    df = spark.range(0, 60_000, 1, 6).select(F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("g"), (F.col("id") * 7919 % 60_013).cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quantiles.exact(df, ["g"], {"v": F.col("v")}, {"m": 0.5, "p": 0.9})
+        got = {r.g: (r.n, r.m, r.p) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    v = np.arange(60_000) * 7919 % 60_013
+    for g, own in (("a", v[np.arange(60_000) % 50 != 0]), ("b", v[::50])):
+        assert got[g] == (len(own), pytest.approx(np.quantile(own, 0.5)), pytest.approx(np.quantile(own, 0.9)))
+    assert ("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan) if few else "_part" in plan
