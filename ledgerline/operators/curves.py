@@ -11,12 +11,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import periods, quantiles
 
 #: Places of a trend line. Where x has no more distinct values, each is a place, and the line is LOWESS at every point.
 POINTS = 40
+#: Cells that the values of x are counted in: an order statistic puts a few of so many parts of the rows in order.
+CELLS = 2048
 
 
 def _between(x: Column, xs: list[float], ys: list[float]) -> Column:
@@ -30,6 +33,69 @@ def _between(x: Column, xs: list[float], ys: list[float]) -> Column:
     return F.when(x < F.lit(float(xs[middle])), _between(x, xs[: middle + 1], ys[: middle + 1])).otherwise(_between(x, xs[middle:], ys[middle:]))
 
 
+class Cells:
+    """Exact counts of a column's values at cuts (odd cells) and between them (even ones), and order statistics from those.
+
+    A statistic of all rows lies in a few cells; only the rows of these are put in order.
+    """
+
+    def __init__(self, rows: DataFrame, x: str) -> None:
+        self.rows = rows.select(F.col(x).alias("x"))
+        wanted = F.lit([i / (CELLS - 1) for i in range(CELLS)])
+        self.cuts = np.unique(self.rows.agg(F.percentile_approx("x", wanted, F.lit(10 * CELLS))).first()[0] or [])
+        cuts, cell = self.cuts, self._cell
+
+        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = sum((np.bincount(cell(cuts, f["x"].to_numpy()), minlength=2 * len(cuts) + 1) for f in frames), np.zeros(2 * len(cuts) + 1, int))
+            yield pd.DataFrame({"cell": np.flatnonzero(own), "c": own[own > 0]})
+
+        self.counts = np.zeros(2 * len(cuts) + 1, int)
+        for r in self.rows.mapInPandas(count, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).collect():
+            self.counts[r.cell] = r.c
+        self.n = int(self.counts.sum())
+
+    @staticmethod
+    def _cell(cuts: np.ndarray, xs: np.ndarray) -> np.ndarray:
+        return np.searchsorted(cuts, xs, "left") + np.searchsorted(cuts, xs, "right")
+
+    def kth(self, asks: list[tuple[float | None, int]]) -> list[float]:
+        """For each (p, k) the k-th least distance from p, or the k-th least value where p is None; k from 1 to n."""
+        cuts, cell = self.cuts, self._cell
+        ends = np.concatenate([[-np.inf], cuts, [np.inf]])
+        low, high = np.empty(len(self.counts)), np.empty(len(self.counts))
+        low[1::2] = high[1::2] = cuts
+        low[0::2], high[0::2] = ends[:-1], ends[1:]
+        held, low, high = np.flatnonzero(self.counts), low[self.counts > 0], high[self.counts > 0]
+        counts, open_, left = self.counts[held], np.zeros((len(asks), len(self.counts)), bool), []
+        for i, (p, k) in enumerate(asks):
+            least, most = (low, high) if p is None else (np.maximum(0.0, np.maximum(low - p, p - high)), np.maximum(np.abs(low - p), np.abs(high - p)))
+            bounds = []
+            for side in (least, most):
+                order = np.argsort(side, kind="stable")
+                bounds.append(side[order][np.searchsorted(np.cumsum(counts[order]), k)])
+            below = most < bounds[0]
+            open_[i, held] = ~below & (least <= bounds[1])
+            left.append(k - int(counts[below].sum()))
+        places = [p for p, _ in asks]
+
+        def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                xs = frame["x"].to_numpy()
+                at, out = cell(cuts, xs), []
+                for i, p in enumerate(places):
+                    own = xs[open_[i, at]]
+                    v, c = np.unique(own if p is None else np.abs(own - p), return_counts=True)
+                    out.append(pd.DataFrame({"i": i, "v": v, "c": c}))
+                yield pd.concat(out)
+
+        found = self.rows.mapInPandas(pick, "i int, v double, c long").groupBy("i", "v").agg(F.sum("c").alias("c"))
+        reach = F.sum("c").over(W.partitionBy("i").orderBy("v"))
+        need = F.element_at(F.lit(left), F.col("i") + 1)
+        first = found.withColumn("reach", reach).where(F.col("reach") >= need).groupBy("i").agg(F.min("v").alias("v"))
+        got = {r.i: r.v for r in first.collect()}
+        return [got[i] for i in range(len(asks))]
+
+
 def lowess(df: DataFrame, x: str, y: str, share: float = 2 / 3, rounds: int = 3, points: int = POINTS) -> DataFrame:
     """x, fitted: locally weighted lines with tricube weights over the nearest `share` of the rows, refitted `rounds` times
     with bisquare weights of the residuals.
@@ -41,30 +107,32 @@ def lowess(df: DataFrame, x: str, y: str, share: float = 2 / 3, rounds: int = 3,
     """
     a, b = periods.number(x), periods.number(y)
     rows = df.select(a.alias("x"), b.alias("y")).where("x is not null and y is not null and abs(x) < double('infinity') and abs(y) < double('infinity')")
-    distinct = [r.x for r in rows.select("x").distinct().limit(points + 1).collect()]
-    if not distinct:
+    cells = Cells(rows, "x")
+    if not (n := cells.n):
         return df.sparkSession.createDataFrame([], "x double, fitted double")
+    distinct = cells.cuts if len(cells.cuts) > points else [r.x for r in rows.select("x").distinct().limit(points + 1).collect()]
     if len(distinct) > points:
-        wanted = {f"q{i}": i / (points - 1) for i in range(points)}
-        found = quantiles.exact(rows, [], {"x": F.col("x")}, wanted).first()
-        distinct = [found[q] for q in wanted]
+        ranks = [i / (points - 1) * (n - 1) for i in range(points)]
+        found = cells.kth([(None, 1 + min(n - 1, int(f(r)))) for r in ranks for f in (np.floor, np.ceil)])
+        distinct = [lo + (hi - lo) * (r - np.floor(r)) for r, lo, hi in zip(ranks, found[::2], found[1::2])]
     places = np.array(sorted(set(distinct)))
-    n = rows.count()
     k = max(1, min(n, int(share * n + 1e-10)))
-    near = {str(i): F.abs(F.col("x") - F.lit(float(p))) for i, p in enumerate(places)}
-    width = {r.name: r.h for r in quantiles.exact(rows, [], near, {"h": (k - 1) / max(1, n - 1)}).collect()}
-    widths = np.array([width[str(i)] for i in range(len(places))])
+    widths = np.array(cells.kth([(float(p), k) for p in places]))
 
     def fit(weighted: DataFrame) -> np.ndarray:
         def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(places), 5))
             for frame in frames:
-                for start in range(0, len(frame), 10_000):
-                    xs, ys, own = (frame[c].to_numpy(float)[start : start + 10_000] for c in ("x", "y", "w"))
+                whole = [frame[c].to_numpy(float) for c in ("x", "y", "w")]
+                for start in range(0, len(frame), 2_000):  # arrays that stay in the processor's cache
+                    xs, ys, own = (c[start : start + 2_000] for c in whole)
                     away = xs[None] - places[:, None]
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        w = np.where(widths[:, None] > 0, np.clip(1 - (np.abs(away) / widths[:, None]) ** 3, 0, None) ** 3, away == 0) * own
-                    total += np.stack([w.sum(1), (w * away).sum(1), (w * away * away).sum(1), w @ ys, (w * away) @ ys], 1)
+                    part = np.abs(away) / np.where(widths > 0, widths, 1.0)[:, None]
+                    w = np.maximum(1 - part * part * part, 0)  # products: powers take most of the time otherwise
+                    w = w * w * w * own
+                    w[widths <= 0] = (away[widths <= 0] == 0) * own
+                    first = w * away
+                    total += np.stack([w.sum(1), first.sum(1), (first * away).sum(1), w @ ys, first @ ys], 1)
             yield pd.DataFrame({"place": range(len(places)), **{f"s{i}": total[:, i] for i in range(5)}})
 
         each = weighted.select("x", "y", "w").mapInPandas(sums, "place int, s0 double, s1 double, s2 double, s3 double, s4 double")

@@ -273,3 +273,24 @@ def test_gates_of_drivers(spark):
     best = analytics.leading(lead(14)).collect()
     assert [(b["lag"], b.n) for b in best] == [(2, 12)] and best[0].r == pytest.approx(1.0) and best[0].p < 1e-6
     assert analytics.leading(lead(9)).where("lag = 2").count() == 0  # seven pairs
+
+
+@pytest.mark.parametrize("cuts", [3, 60])
+def test_cells_give_exact_order_statistics(spark, monkeypatch, cuts):
+    monkeypatch.setattr(curves, "CELLS", cuts)
+    rng = np.random.default_rng(cuts)
+    x = np.concatenate([rng.normal(size=900), np.round(rng.normal(size=900), 1), np.full(500, 0.3), [-1e9, 1e9]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
+    cells = curves.Cells(df, "x")
+    assert cells.n == len(x)
+    asks = [(p, k) for p in (None, -5.0, 0.3, 0.31, 1e9) for k in (1, 2, 700, 1500, len(x))]
+    assert cells.kth(asks) == [np.sort(x if p is None else np.abs(x - p))[k - 1] for p, k in asks]
+
+
+def test_lowess_makes_no_row_for_each_place(spark, monkeypatch):
+    """Quantiles of forty distances took a row for each row and place."""
+    seen = []
+    plain = curves.quantiles.exact
+    monkeypatch.setattr(curves.quantiles, "exact", lambda df, keys, values, wanted: seen.append(len(values) * len(wanted)) or plain(df, keys, values, wanted))
+    df = spark.range(300).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    assert curves.lowess(df, "x", "y").count() == curves.POINTS and set(seen) == {1}
