@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,17 +22,6 @@ POINTS = 40
 CELLS = 2048
 
 
-def _between(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """The broken line through (xs, ys) at x, found by halving; xs ascend, and x lies between their ends."""
-    if len(xs) == 1:
-        return F.lit(float(ys[0]))
-    if len(xs) == 2:
-        slope = (ys[1] - ys[0]) / (xs[1] - xs[0])
-        return F.lit(float(ys[0])) + (x - F.lit(float(xs[0]))) * F.lit(float(slope))
-    middle = len(xs) // 2
-    return F.when(x < F.lit(float(xs[middle])), _between(x, xs[: middle + 1], ys[: middle + 1])).otherwise(_between(x, xs[middle:], ys[middle:]))
-
-
 class Cells:
     """Exact counts of a column's values at cuts (odd cells) and between them (even ones), and order statistics from those.
 
@@ -119,11 +108,18 @@ def lowess(df: DataFrame, x: str, y: str, share: float = 2 / 3, rounds: int = 3,
     k = max(1, min(n, int(share * n + 1e-10)))
     widths = np.array(cells.kth([(float(p), k) for p in places]))
 
-    def fit(weighted: DataFrame) -> np.ndarray:
+    def away_from(line: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        return np.abs(ys - np.interp(xs, places, line))
+
+    def fit(line: np.ndarray | None = None, reach: float = 1.0) -> np.ndarray:
+        """Bisquare weights of the residuals from a line, which vanish at `reach`; without a line all weigh 1."""
+
         def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(places), 5))
             for frame in frames:
-                whole = [frame[c].to_numpy(float) for c in ("x", "y", "w")]
+                whole = [frame[c].to_numpy(float) for c in ("x", "y")]
+                part = np.zeros(len(frame)) if line is None else away_from(line, *whole) / reach
+                whole.append(np.where(part < 1, (1 - part * part) ** 2, 0.0))
                 for start in range(0, len(frame), 2_000):  # arrays that stay in the processor's cache
                     xs, ys, own = (c[start : start + 2_000] for c in whole)
                     away = xs[None] - places[:, None]
@@ -135,7 +131,7 @@ def lowess(df: DataFrame, x: str, y: str, share: float = 2 / 3, rounds: int = 3,
                     total += np.stack([w.sum(1), first.sum(1), (first * away).sum(1), w @ ys, first @ ys], 1)
             yield pd.DataFrame({"place": range(len(places)), **{f"s{i}": total[:, i] for i in range(5)}})
 
-        each = weighted.select("x", "y", "w").mapInPandas(sums, "place int, s0 double, s1 double, s2 double, s3 double, s4 double")
+        each = rows.mapInPandas(sums, "place int, s0 double, s1 double, s2 double, s3 double, s4 double")
         s = np.array([r[1:] for r in each.groupBy("place").agg(*(F.sum(f"s{i}") for i in range(5))).orderBy("place").collect()])
         with np.errstate(invalid="ignore", divide="ignore"):
             mean, centre = s[:, 3] / s[:, 0], s[:, 1] / s[:, 0]
@@ -143,15 +139,18 @@ def lowess(df: DataFrame, x: str, y: str, share: float = 2 / 3, rounds: int = 3,
             slope = (s[:, 4] / s[:, 0] - centre * mean) / spread
         return np.where(spread > 1e-12 * np.maximum(widths, 1e-300) ** 2, mean - slope * centre, mean)
 
-    fitted = fit(rows.withColumn("w", F.lit(1.0)))
+    def residuals(frames: Iterator[pd.DataFrame], line: np.ndarray) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"r": away_from(line, frame["x"].to_numpy(float), frame["y"].to_numpy(float))})
+
+    fitted = fit()
     for _ in range(rounds):
         held = np.where(np.isnan(fitted), 0.0, fitted)  # a place that robust weights left without rows
-        away = F.abs(F.col("y") - _between(F.col("x"), places.tolist(), held.tolist()))
-        middle = quantiles.exact(rows, [], {"r": away}, {"m": 0.5}).first().m
+        away = rows.mapInPandas(lambda frames, line=held: residuals(frames, line), "r double")
+        middle = quantiles.exact(away, [], {"r": F.col("r")}, {"m": 0.5}).first().m
         if not middle > 0:
             break
-        part = away / F.lit(6.0 * middle)
-        fitted = fit(rows.withColumn("w", F.when(part < 1, F.pow(1 - part * part, F.lit(2))).otherwise(F.lit(0.0))))
+        fitted = fit(held, 6.0 * middle)
     return df.sparkSession.createDataFrame([(float(p), None if np.isnan(f) else float(f)) for p, f in zip(places, fitted)], "x double, fitted double")
 
 
