@@ -6,8 +6,11 @@ import hashlib
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +85,27 @@ class Files:
             stream.close()
 
 
+@contextmanager
+def parted(df: DataFrame, most: int) -> Iterator[DataFrame]:
+    """df in parts of at most `most` rows, for work that holds whole parts. Where a part has more, df is written without a
+    shuffle to files of at most as many rows, each read as a part of its own, and deleted at the end."""
+    largest = df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] or 0
+    if largest <= most:
+        yield df
+        return
+    spark, path = df.sparkSession, staging_path(df.sparkSession, "parted")
+    own = spark._jsparkSession.newSession()  # the caller's settings stay as they are
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key) or not key.startswith("spark."):
+            own.conf().set(key, value)
+    own.conf().set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))  # no two files share a part
+    try:
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", most).parquet(path)
+        yield DataFrame(own.read().schema(df._jdf.schema()).parquet(path), spark)
+    finally:
+        Files(spark, path).delete(path)
+
+
 #: Results that the cache keeps.
 MOST = 32
 

@@ -84,5 +84,22 @@ def test_kmeans_covers_rows(spark):
     assert [r.n for r in rows] == [30, 30, 30] and [r.mean_a for r in rows] == pytest.approx([2, 102, 202])
 
 
+def test_kmeans_fits_all_rows_in_bounded_parts(spark, monkeypatch):
+    fit, seen = series.KMeans.fit, []
+
+    def watched(self, points):
+        seen.append([r["count"] for r in points.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(self, points)
+
+    monkeypatch.setattr(series.KMeans, "fit", watched)
+    monkeypatch.setattr(series, "HELD", 16_800, raising=False)  # 100 rows of two columns
+    x = spark.range(0, 900, 1, 1).select(((F.col("id") % 3) * 100 + F.col("id") % 5).cast("double").alias("a"), F.lit(1.0).alias("b"))
+    rows = series.kmeans(x, ["a", "b"], 3).collect()
+    assert [r.n for r in rows] == [300, 300, 300] and [r.mean_a for r in rows] == pytest.approx([2, 102, 202])
+    costs = series.elbow(x, ["a", "b"], 3)
+    assert [k for k, _ in costs] == [2, 3] and costs[1][1] < costs[0][1]
+    assert len(seen) == 3 and all(sum(counts) == 900 and max(counts) <= 100 for counts in seen)
+
+
 def test_outliers_of_one_value(spark):
     assert series.outliers(spark.createDataFrame([(1.0,)] * 3 + [(None,)], "a double"), "a", 1.5).count() == 0

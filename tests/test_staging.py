@@ -53,3 +53,18 @@ def test_oldest_go(spark, tmp_path):
     time.sleep(0.02)
     assert staging.cached(ask(3), folder, most=2).count() == 3
     assert sorted(os.listdir(tmp_path / "results")) == sorted([keys[0], keys[2]])
+
+
+def test_parts_hold_so_many_rows_at_most(spark):
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    df = spark.range(0, 1000, 1, 1).selectExpr("CASE WHEN id % 7 > 0 THEN double(id) END AS x", "string(id) AS s")
+    with staging.parted(df, 130) as even:
+        counts = [r["count"] for r in even.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(counts) <= 130 and sum(counts) == 1000 and not df.exceptAll(even).count() and not even.exceptAll(df).count()
+        path = even.inputFiles()[0].rsplit("/", 1)[0]
+        assert staging.Files(spark, path).exists(path)
+    assert not staging.Files(spark, path).exists(path) and spark.conf.get("spark.sql.files.openCostInBytes") == before
+    with staging.parted(df, 1000) as same:
+        assert same is df
+    with staging.parted(df.limit(0), 10) as none:
+        assert none.count() == 0
