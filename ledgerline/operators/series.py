@@ -47,21 +47,17 @@ def outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
 
 
 def _standard(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with all columns, and these standardised, as _z_ and the name; a column of one value counts as 0."""
+    """Rows with all columns, and their standardised vector; a column of one value counts as 0."""
     full = df.dropna(subset=list(columns))
     one = full.agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
-    z = {f"_z_{c}": F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)) for c in columns}
-    return full.crossJoin(F.broadcast(one)).withColumns(z).drop(*one.columns)
+    scaled = full.crossJoin(F.broadcast(one)).withColumns({f"_z_{c}": F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)) for c in columns})
+    return VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_v").transform(scaled).select(*full.columns, "_v")
 
 
-def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    z = [f"_z_{c}" for c in columns]
-    return VectorAssembler(inputCols=z, outputCol="_v").transform(df).drop(*z)
-
-
-def _parted(points: DataFrame, columns: Sequence[str]) -> AbstractContextManager[DataFrame]:
-    """The standardised columns, in parts that a task of a fit can hold."""
-    return staging.parted(points.select(*(f"_z_{c}" for c in columns)), max(1, HELD // (2 * (68 + 8 * len(columns)))))
+def _parted(df: DataFrame, columns: Sequence[str]) -> AbstractContextManager[DataFrame]:
+    """The columns of rows with all of them, in parts that a task of a fit can hold. They are as read, not standardised: so
+    their files are the same in every run, and with them the order of parts, by which the fit seeds its first centres."""
+    return staging.parted(df.dropna(subset=list(columns)).select(*columns), max(1, HELD // (2 * (68 + 8 * len(columns)))))
 
 
 def _means(k: int, seed: int) -> KMeans:
@@ -72,17 +68,17 @@ def _means(k: int, seed: int) -> KMeans:
 def kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     """cluster, n and the mean of each column; clusters are numbered by size, then by the first mean."""
     points = _standard(df, columns)
-    with _parted(points, columns) as even:
-        model = _means(k, seed).fit(_vectors(even, columns))
-    parts = model.transform(_vectors(points, columns)).groupBy("_part").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in columns))
+    with _parted(df, columns) as even:
+        model = _means(k, seed).fit(_standard(even, columns))
+    parts = model.transform(points).groupBy("_part").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in columns))
     rank = F.row_number().over(W.orderBy(F.desc("n"), f"mean_{columns[0]}"))  # k rows
     return parts.select(rank.alias("cluster"), "n", *(f"mean_{c}" for c in columns))
 
 
 def elbow(df: DataFrame, columns: Sequence[str], most: int = 10, seed: int = 42) -> list[tuple[int, float]]:
     """(k, within-cluster sum of squares) for k from 2 to `most`."""
-    with _parted(_standard(df, columns), columns) as even:
-        points = _vectors(even, columns).persist()
+    with _parted(df, columns) as even:
+        points = _standard(even, columns).select("_v").persist()
         try:
             return [(k, _means(k, seed).fit(points).summary.trainingCost) for k in range(2, most + 1)]
         finally:
