@@ -7,6 +7,9 @@ threshold. Links are exact: none is lost and none is added but by a collision of
 2. Two sets that may link differ in at most D shingles. Cut by hash range into more than D segments, they agree on one
    segment at least; so classes that share a segment go to one family (connected components over segment digests), and
    no link leaves a family. A task sends one row for each segment digest it met, however many copies it read.
+   Shingles that many documents hold, as a sample shows, are left out of the segments, so that documents which share no
+   more than a passage do not meet; sets with too few others send their rarest shingles instead, one at least of which
+   two sets that link share. The sample decides how many meet, never who links.
    Large families are first cut by sketches that show which documents cannot link.
 3. Each family is searched by DivideSkip over inverted lists. Of a query's lists, the L longest are set aside, L growing
    with the overlap T that a link needs at least and shrinking with the longest list; a heap merges the others, skipping
@@ -45,6 +48,9 @@ BLOCK, GROUPED = 2_000_000, 2_000_000
 CELLS, PAIRED, SKETCHED = 128, 3_000, 4_000_000
 #: How fast the number of long lists shrinks as the longest of them grows.
 MU = 0.01
+#: About how many sets at most are sampled for common shingles, in how many of them a common one is, and how many such a
+#: task holds at most.
+SAMPLED, COMMON, MOST_COMMON = 40_000, 3, 500_000
 MEMO_WORDS = 100_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -86,6 +92,20 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(h)
 
 
+#: Sorted hashes of common shingles, and how often each is in the sample.
+Common = tuple[np.ndarray, np.ndarray]
+NONE: Common = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def times(h: np.ndarray, often: Common) -> np.ndarray:
+    """How often each hash is in the sample, 0 if it is not common."""
+    hashes, n = often
+    if not len(hashes):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return np.where(hashes[at] == h, n[at], 0)
+
+
 class Segments:
     """Which segment digests a set needs at a threshold of num / den."""
 
@@ -117,19 +137,25 @@ class Segments:
         """About how many digests a set of n gives."""
         return sum(len(starts) for s in self.schemes(n) for most, starts, _ in [self.cut(s)] if most) if n else 0
 
-    def digests(self, h: np.ndarray) -> np.ndarray:
-        """Two linking, differing sets of one scheme differ in at most `most` of k segments, so agree on k - most. If
-        one has fewer empty segments than that, they agree on one that is not empty; if not, both send empty ones too."""
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + _M1), dtype=np.uint64)])
-        out = []
+    def digests(self, h: np.ndarray, often: Common = NONE) -> np.ndarray:
+        """Two linking, differing sets of one scheme differ in at most `most` of k segments, with or without the common
+        hashes, so agree on k - most. If one has fewer empty segments than that, they agree on one that is not empty; if
+        not, both send their rarest hashes, which leave too few to link without one of them."""
+        rest = h[times(h, often) == 0]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(rest + _M1), dtype=np.uint64)])
+        out, rarest = [], None
         for s in self.schemes(len(h)) if len(h) else ():
             most, starts, salts = self.cut(s)
             if not most:  # only equal sets link
                 continue
-            at = np.append(np.searchsorted(h, starts), len(h))
-            digest = mix((sums[at[1:]] - sums[at[:-1]]) ^ salts)
+            at = np.append(np.searchsorted(rest, starts), len(rest))
             empty = at[1:] == at[:-1]
-            out.append(digest if empty.sum() >= len(starts) - most else digest[~empty])
+            out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ salts)[~empty])
+            if empty.sum() >= len(starts) - most:
+                if rarest is None:
+                    least = -(-self.num * len(h) // self.den)  # what links shares at least so many
+                    rarest = h[np.argsort(times(h, often), kind="stable")[: len(h) - least + 1]]
+                out.append(mix(rarest ^ mix(salts[:1] ^ _M3)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -149,6 +175,23 @@ def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, s1 long, s2 long, n_digests long")
 
 
+def common_shingles(docs: DataFrame, rows: DataFrame, width: int) -> Common:
+    """Shingles that several sampled sets hold. The sample is drawn by the digest of the set, so that copies count once."""
+    sets = rows.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    step = max(1, -(-rows.count() // SAMPLED))
+    some = sets.where(F.pmod(F.xxhash64("s1", "s2"), F.lit(step)) == 0).select("doc_id")
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingles(t, width).view(np.int64))
+
+    each = common.join_measured(docs.select("doc_id", "text"), some, ["doc_id"], "inner").select(F.explode(hashes("text")).alias("h"))
+    most = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas()
+    h, n = most.h.to_numpy(np.int64).view(np.uint64), most.n.to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
 def stars(digests: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The first document of each digest, and the distinct links of it with the others: (digests, docs, a, b)."""
     order = np.lexsort((docs, digests))
@@ -180,7 +223,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[roots[other]], ids[other]
 
 
-def family_links(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+def family_links(docs: DataFrame, width: int, num: int, den: int, buckets: int, often: Common = NONE) -> DataFrame:
     """Links (a, b) that join the documents that share a segment.
 
     A map task joins its own documents first and sends the digests of a group under the group's smallest document, so
@@ -207,7 +250,7 @@ def family_links(docs: DataFrame, width: int, num: int, den: int, buckets: int)
 
         for batch in batches:
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                digests = rule.digests(shingles(text, width))
+                digests = rule.digests(shingles(text, width), often)
                 if len(digests):
                     held.append((doc_id, digests))
                     size += len(digests)
@@ -441,7 +484,7 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Da
     rows = common.settle(signed(docs, width, num, den))
     total = rows.agg(F.sum("n_digests")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET))
-    families = common.components(family_links(docs, width, num, den, buckets))
+    families = common.components(family_links(docs, width, num, den, buckets, common_shingles(docs, rows, width)))
     some = rows.where("n_shingles > 0")
     key = ["s1", "s2", "n_shingles"]
     classes = some.groupBy(*key).agg(F.min("doc_id").alias("head"))

@@ -327,6 +327,42 @@ def test_divide_skip_on_a_large_family():
     assert time.time() - start < 60 and len(links) == 2999
 
 
+def test_segments_without_common_shingles_lose_no_link():
+    rng = np.random.default_rng(57)
+    hot = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    common = hot, rng.integers(3, 90, 300)
+    for num in (80, 90):
+        rule, linked = jaccard.Segments(num, 100), 0
+        for _ in range(600):
+            n = int(rng.integers(3, 90))
+            base = np.unique(np.where(rng.random(n) < rng.choice([0, 0.3, 0.9, 1]), rng.choice(hot, n), rng.integers(0, 2**64, n, dtype=np.uint64)))
+            pair = [np.unique(np.where(rng.random(len(base)) < rng.choice([0, 0.03, 0.08]), rng.choice([hot, np.arange(9, dtype=np.uint64)][rng.integers(2)], len(base)), base)) for _ in "ab"]
+            shared = len(np.intersect1d(*pair))
+            if len(np.union1d(*pair)) > shared and 100 * shared >= num * len(np.union1d(*pair)):
+                linked += 1
+                assert len(np.intersect1d(*(rule.digests(h, common) for h in pair)))
+        assert linked > 60
+
+
+def test_documents_that_share_a_passage_meet_in_no_family(spark, monkeypatch):
+    """Else a family grows with the table, and the pairs of its sketches with its square."""
+    rng = random.Random(58)
+    passages = [prose(rng, 30, 10**4) for _ in range(3)]
+    texts = [p + " " + prose(rng, rng.randrange(1, 150), 10**6) for p in passages for _ in range(250)]
+    texts += [edited(rng, t, 1) for t in texts[::10]] + [edited(rng, p, 1) for p in passages for _ in range(4)]
+    ids = list(range(len(texts)))
+    largest, before = [], jaccard.refined
+
+    def seen(docs, members, *rest):
+        largest.append(max(r["count"] for r in members.groupBy("family").count().collect()))
+        return before(docs, members, *rest)
+
+    monkeypatch.setattr(jaccard, "refined", seen)
+    got = jaccard.groups(docs(spark, texts, ids=ids).repartition(4), 5, 80, 100)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_groups(ids, texts, 5, 80, 100))
+    assert largest[0] < 60
+
+
 def test_merge_skip_equals_counting():
     rng = random.Random(56)
     for _ in range(200):
