@@ -11,9 +11,11 @@ threshold. Links are exact: none is lost and none is added but by a collision of
    more than a passage do not meet; sets with too few others send their rarest shingles instead, one at least of which
    two sets that link share. The sample decides how many meet, never who links.
    Large families are first cut by sketches that show which documents cannot link.
-3. Each family is searched by DivideSkip over inverted lists. Of a query's lists, the L longest are set aside, L growing
+3. Each family is searched by DivideSkip over inverted lists, without the documents of which too few shingles occur in
+   any other. Of a query's lists, the L longest are set aside, L growing
    with the overlap T that a link needs at least and shrinking with the longest list; a heap merges the others, skipping
-   documents on fewer than T - L of them; the documents so found are probed for in the long lists by binary search, and
+   documents on fewer than T - L of them, or they are counted where they are so dense that hardly any would be skipped;
+   the documents so found are probed for in the long lists by binary search, or these are counted where that is less, and
    those that reach the overlap link. The family's central document queries first. A document that its turn finds in the
    central one's group need not query: what it links with is in that group, or has queried or will. Large families are
    searched in pairs of blocks.
@@ -47,7 +49,7 @@ BLOCK, GROUPED = 2_000_000, 2_000_000
 #: Least cells of a sketch, and documents and cells in a block of sketches.
 CELLS, PAIRED, SKETCHED = 128, 3_000, 4_000_000
 #: How fast the number of long lists shrinks as the longest of them grows.
-MU = 0.01
+MU = 0.001
 #: About how many sets at most are sampled for common shingles, in how many of them a common one is, and how many such a
 #: task holds at most.
 SAMPLED, COMMON, MOST_COMMON = 40_000, 3, 500_000
@@ -306,7 +308,18 @@ def merge_skip(key: array, lists: list[tuple[int, int, int]], least: int) -> tup
 
 def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links (i, j) that join all linked sets of a family; of links that would close a ring, none is needed."""
-    m, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    ids, sizes = np.arange(len(sets)), np.array([len(s) for s in sets], np.int64)
+    every, owner = np.concatenate(sets), np.repeat(ids, sizes)
+    while True:
+        _, rank, n = np.unique(every, return_inverse=True, return_counts=True)
+        able = den * np.bincount(owner, n[rank] > 1, len(ids)) >= num * sizes
+        if able.all():
+            break
+        # What no other document can share enough with links with nothing, nor do its shingles count for the others.
+        every, owner, ids, sizes = every[able[owner]], (np.cumsum(able) - 1)[owner[able[owner]]], ids[able], sizes[able]
+        if not len(ids):
+            return []
+    m = len(ids)
     parent = list(range(m))
 
     def root(i: int) -> int:
@@ -315,25 +328,35 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    every, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    _, rank, n = np.unique(every, return_inverse=True, return_counts=True)
     key = np.sort(rank.astype(np.int64) * m + owner)  # the inverted lists, one after the other
-    plain = array("q", key.tobytes())
+    plain, docs = array("q", key.tobytes()), key % m
     begins = np.concatenate([[0], np.cumsum(n)])
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     central = int(np.argmax(np.add.reduceat(n[rank], offsets[:-1]) / sizes))
     out = []
 
+    def counted(lists: np.ndarray) -> np.ndarray:
+        """On how many of the lists each document is."""
+        return np.bincount(np.concatenate([docs[begins[r] : begins[r + 1]] for r in lists]), minlength=m) if len(lists) else np.zeros(m, np.int64)
+
     def query(q: int) -> None:
         own = rank[offsets[q] : offsets[q + 1]]
         own = own[np.argsort(n[own], kind="stable")]
         least = -(-num * len(own) // den)  # T: whatever links with q shares at least so many of its shingles
         apart = min(least - 1, int(least / (MU * math.log2(int(n[own[-1]]) + 1) + 1)))  # L
         short, long_ = own[: len(own) - apart], own[len(own) - apart :]
-        found, counts = merge_skip(plain, [(int(begins[r]), int(begins[r + 1]), int(r) * m) for r in short], least - apart)
+        if n[short].sum() > m // 8:
+            found = np.flatnonzero((held := counted(short)) >= least - apart)
+            counts = held[found]
+        else:
+            merged = merge_skip(plain, [(int(begins[r]), int(begins[r + 1]), int(r) * m) for r in short], least - apart)
+            found, counts = (np.array(x, np.int64) for x in merged)
         mine = root(q)
-        keep = [k for k, d in enumerate(found) if d != q and root(d) != mine and den * min(sizes[d], sizes[q]) >= num * max(sizes[d], sizes[q])]
-        found, counts = np.array(found, np.int64)[keep], np.array(counts, np.int64)[keep]
+        near = den * np.minimum(sizes[found], sizes[q]) >= num * np.maximum(sizes[found], sizes[q])
+        keep = [k for k in np.flatnonzero(near).tolist() if root(int(found[k])) != mine]
+        found, counts = found[keep], counts[keep]
+        if len(found) and n[long_].sum() < 8 * len(found) * len(long_):
+            counts, long_ = counts + counted(long_)[found], long_[:0]
         step = max(1, 1_000_000 // max(1, len(long_)))
         for k in range(0, len(found), step):
             some = found[k : k + step]
@@ -343,7 +366,7 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
             for d in some[den * overlap >= num * (sizes[q] + sizes[some] - overlap)]:
                 if (a := root(q)) != (b := root(int(d))):
                     parent[max(a, b)] = min(a, b)
-                    out.append((q, int(d)))
+                    out.append((int(ids[q]), int(ids[d])))
 
     # Those most like the central document come first: they carry its group on, so that fewer are left to query.
     shared = np.add.reduceat(np.isin(rank, rank[offsets[central] : offsets[central + 1]]).astype(np.int64), offsets[:-1])

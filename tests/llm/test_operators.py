@@ -363,6 +363,29 @@ def test_documents_that_share_a_passage_meet_in_no_family(spark, monkeypatch):
     assert largest[0] < 60
 
 
+def test_divide_skip_on_near_copies_that_do_not_link():
+    """Many that share most shingles, but too few to link with the central document, take a count of lists each."""
+    rng = np.random.default_rng(59)
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    one, sets = fresh(400), []
+    for k in range(2400):
+        own = sets[rng.integers(0, k)] if k and rng.random() < 0.1 else one
+        sets.append(np.unique(np.where(rng.random(len(own)) < rng.choice([0.02, 0.08, 0.15, 0.25]), fresh(len(own)), own)))
+    start = time.time()
+    links = jaccard.search(sets, 90, 100)
+    assert time.time() - start < 20
+    _, rank, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sizes = np.array([len(s) for s in sets])
+    column = np.cumsum(n > 1) - 1
+    shared = np.zeros((len(sets), column[-1] + 1), np.float32)
+    shared[np.repeat(np.arange(len(sets)), sizes)[n[rank] > 1], column[rank[n[rank] > 1]]] = 1
+    overlap = shared @ shared.T
+    a, b = np.nonzero(np.triu(100 * overlap >= 90 * (sizes[:, None] + sizes - overlap), 1))
+    assert all(100 * overlap[x, y] >= 90 * (sizes[x] + sizes[y] - overlap[x, y]) for x, y in links)
+    want, got = (sorted(zip(*(x.tolist() for x in jaccard.forest(*pairs)))) for pairs in ((a, b), np.array(links).T))
+    assert want == got and 300 < len(want) < 2000
+
+
 def test_merge_skip_equals_counting():
     rng = random.Random(56)
     for _ in range(200):
